@@ -1,10 +1,20 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import mixing, packing
+from . import html, jaccard, media, mixing, packing, quality, token_counts, topk, toxicity
 
 QUERIES = {
+    "op1_media_png": media.op1_media_png,
+    "op2_top_inner_products": topk.op2_top_inner_products,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op5_jaccard_components": jaccard.op5_jaccard_components,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_main_text": html.op7_main_text,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_quality": quality.op9_quality,
     "op10_pack_best_fit": packing.op10_pack_best_fit,
 }
 
-ORACLES = {"op6_mix_sources": mixing.ORACLE_SQL}
+ORACLES = {
+    "op2_top_inner_products": topk.ORACLE_SQL,
+    "op6_mix_sources": mixing.ORACLE_SQL,
+}
