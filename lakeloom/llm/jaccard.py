@@ -16,6 +16,8 @@ threshold; the result is the components of these links.
    packed by size into R-tree pages with their bounding boxes.  The overlap of two
    points, or of two boxes, is at most the sum of the coordinate-wise minima;
    pages and pairs that cannot reach the overlap their sizes demand are dropped.
+   Each node first proposes its likeliest partners only; what they verify is
+   merged, and then every remaining pair of different components is looked at.
 4. Surviving pairs are verified on the sets themselves, recomputed from the texts
    of the nodes concerned.
 
@@ -52,6 +54,9 @@ FREQUENT_SHARE = 1 / 2000
 LEAST_FREQUENT = 40
 MOST_FREQUENT = 1 << 19
 GROUP_ROWS = 4096
+#: larger partners that a node proposes in a group before all are looked at
+LIKELIEST = 4
+PROPOSALS = 2
 PAGE = 32
 
 SKETCH = T.StructType([
@@ -149,17 +154,19 @@ def _sketches(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, width: in
         group = (mixed(items) >> np.uint64(58)).astype(np.int64)
         points = np.bincount(doc * GROUPS + group, minlength=len(n) * GROUPS).reshape(len(n), GROUPS).astype(np.uint32)
         first = n - -(-percent * n // 100) + 1
+        digests = np.zeros(len(n), np.uint64)
+        if len(items):
+            some = np.flatnonzero(n)
+            digests[some] = mixed(np.bitwise_xor.reduceat(mixed(items), offsets[some]) + n[some].astype(np.uint64))
         out: dict[str, object] = {c: batch.column(c) for c in ("doc_id", "k1", "k2")}
-        node, prefix = [], []
+        prefix = []
         for i in range(len(n)):
             own, rare = items[offsets[i] : offsets[i + 1]], ~late[offsets[i] : offsets[i + 1]]
-            digest = int(mixed(np.bitwise_xor.reduce(mixed(own)) + np.uint64(n[i])).astype(np.int64)) if n[i] else 0
-            node.append(digest)
             head = own[rare][: first[i]]
             if len(head) < first[i]:
                 head = np.concatenate([head, own[~rare][: first[i] - len(head)]])
             prefix.append(head.tobytes() if n[i] else b"")
-        out |= {"node": node, "n": n, "bands": [b.tobytes() for b in bands], "prefix": prefix, "point": [p.tobytes() for p in points]}
+        out |= {"node": digests.view(np.int64), "n": n, "bands": [b.tobytes() for b in bands], "prefix": prefix, "point": [p.tobytes() for p in points]}
         yield record_batch(out, SKETCH)
 
 
@@ -212,68 +219,101 @@ def overlap_bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.minimum(p[:, None, :], q[None, :, :]).sum(axis=2, dtype=np.int64)
 
 
-def page_pairs(n: np.ndarray, points: np.ndarray, percent: int, split: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (sorted by size) whose points allow a link.
+def page_pairs(n: np.ndarray, points: np.ndarray, percent: int, component: np.ndarray | None = None, split: np.ndarray | None = None, best: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (sorted by size) whose points allow a link, page by page.
 
-    With ``split`` (a part number per row) only pairs of different parts count.
+    With ``component`` only pairs of different components count, with ``split``
+    only pairs of different parts.  ``best`` > 0 keeps for each row only so many
+    larger partners, those whose bound exceeds what is needed by most.
     """
-    m, left, right = len(n), [], []
+    m = len(n)
     starts = np.arange(0, m, PAGE)
-    tops = np.maximum.reduceat(points, starts, axis=0) if m else points
+    if not m:
+        return
+    tops = np.maximum.reduceat(points, starts, axis=0)
+    low, high = (f.reduceat(component, starts) for f in (np.minimum, np.maximum)) if component is not None else (starts, starts + 1)
     for i, a in enumerate(starts):
         b = min(a + PAGE, m)
         # later pages hold larger sets: a link needs percent * larger <= 100 * smaller
         reach = int(np.searchsorted(n, 100 * n[b - 1] // percent, side="right"))
         pages = np.arange(i, -(-reach // PAGE))
+        pages = pages[(np.minimum(low[i], low[pages]) != np.maximum(high[i], high[pages]))]
         least = needed(n[a], n[starts[pages]], percent)
         pages = pages[np.minimum(tops[i], tops[pages]).sum(axis=1, dtype=np.int64) >= least]
+        left, right, slack = [], [], []
         for j in pages:
             c, d = starts[j], min(starts[j] + PAGE, m)
-            ok = overlap_bound(points[a:b], points[c:d]) >= needed(n[a:b, None], n[None, c:d], percent)
-            x, y = np.nonzero(ok)
+            over = overlap_bound(points[a:b], points[c:d]) - needed(n[a:b, None], n[None, c:d], percent)
+            x, y = np.nonzero(over >= 0)
+            over = over[x, y]
             x, y = x + a, y + c
             use = x < y
+            if component is not None:
+                use &= component[x] != component[y]
             if split is not None:
                 use &= split[x] != split[y]
             left.append(x[use])
             right.append(y[use])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
+            slack.append(over[use] / n[x[use]])
+        if left:
+            yield _most(np.concatenate(left), np.concatenate(right), np.concatenate(slack), best)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _most(x: np.ndarray, y: np.ndarray, slack: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each ``x`` the ``best`` partners by ``slack`` (all, if 0)."""
+    if not best or not len(x):
+        return x, y
+    order = np.lexsort((-slack, x))
+    x, y = x[order], y[order]
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    nth = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
+    return x[nth < best], y[nth < best]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (group, size) to pairs of different components that may link."""
     rest: pa.Table | None = None
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
         group, node, n, component, part = (table.column(c).to_numpy() for c in ("group", "node", "n", "component", "part"))
         points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         sizes = np.diff(np.r_[starts, len(group)])
-        left, right = [], []
+        left: list[np.ndarray] = []
+        right: list[np.ndarray] = []
+
+        def batch() -> pa.RecordBatch:
+            ab = np.sort(np.c_[node[np.concatenate(left)], node[np.concatenate(right)]], axis=1)
+            left.clear()
+            right.clear()
+            ab = np.unique(ab, axis=0) if len(ab) else ab
+            return record_batch({"a": ab[:, 0], "b": ab[:, 1]}, PAIRS)
+
         small = sizes <= PAGE
         for m in np.unique(sizes[small & (sizes > 1)]):  # groups of one page, all at once
             base = starts[sizes == m]
             x, y = np.triu_indices(m, 1)
-            x, y = (base[:, None] + x).ravel(), (base[:, None] + y).ravel()
-            for at in range(0, len(x), 200_000):
-                p, q = x[at : at + 200_000], y[at : at + 200_000]
+            for at in range(0, len(base), max(1, 100_000 // len(x))):
+                some = base[at : at + max(1, 100_000 // len(x)), None]
+                p, q = (some + x).ravel(), (some + y).ravel()
                 ok = (component[p] != component[q]) & (100 * n[p] >= percent * n[q])
                 p, q = p[ok], q[ok]
-                ok = np.minimum(points[p], points[q]).sum(axis=1) >= needed(n[p], n[q], percent)
-                left.append(p[ok])
-                right.append(q[ok])
+                over = np.minimum(points[p], points[q]).sum(axis=1) - needed(n[p], n[q], percent)
+                ok = over >= 0
+                p, q = _most(p[ok], q[ok], over[ok] / n[p[ok]], best)
+                left.append(p)
+                right.append(q)
         for s, m in zip(starts[~small], sizes[~small], strict=True):
             parts = part[s : s + m]
-            p, q = page_pairs(n[s : s + m], points[s : s + m], percent, parts if parts.min() != parts.max() else None)
-            left.append(p + s)
-            right.append(q + s)
-        p = np.concatenate(left) if left else np.empty(0, np.int64)
-        q = np.concatenate(right) if right else np.empty(0, np.int64)
-        use = component[p] != component[q]
-        ab = np.sort(np.c_[node[p[use]], node[q[use]]], axis=1)
-        ab = np.unique(ab, axis=0) if len(ab) else ab
-        return record_batch({"a": ab[:, 0], "b": ab[:, 1]}, PAIRS)
+            split = parts if parts.min() != parts.max() else None
+            for p, q in page_pairs(n[s : s + m], points[s : s + m], percent, component[s : s + m], split, best):
+                left.append(p + s)
+                right.append(q + s)
+                if sum(map(len, left)) > 500_000:
+                    yield batch()
+        if left:
+            yield batch()
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -282,10 +322,10 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         last = group[-1].as_py()
         cut = int(np.searchsorted(group.to_numpy(), last, side="left"))
         if cut:
-            yield pairs(rest.slice(0, cut))
+            yield from pairs(rest.slice(0, cut))
             rest = rest.slice(cut)
     if rest is not None and rest.num_rows:
-        yield pairs(rest)
+        yield from pairs(rest)
 
 
 def _grouped(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -299,6 +339,23 @@ def _grouped(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.select(key.alias("group"), "node", "part")
 
 
+def _marked(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """Nodes with the component that they are known to be in."""
+    return nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _may_link(meeting: DataFrame, marked: DataFrame, percent: int, best: int) -> DataFrame:
+    """Distinct pairs of nodes of different components that meet and may link."""
+    spark = meeting.sparkSession
+    facts = marked.select("node", "n", "component", "point").dropDuplicates(["node"])
+    known = meeting.join(facts.select("node", "component"), "node")
+    mixed_groups = known.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("group")
+    rows = meeting.join(mixed_groups, "group", "left_semi").join(facts, "node")
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group", "n", "node")
+    rows = rows.select("group", "node", "n", "component", "part", "point")
+    return rows.mapInArrow(lambda it: _candidates(it, percent, best), PAIRS).distinct()
+
+
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, k1, k2, n_shingles, component_id)`` of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -318,17 +375,19 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     sure = staged(_verify(staged(star, "band_pairs"), nodes, docs, width, percent), "band_links")
     joined = staged(components(sure), "band_components")
 
-    # everything else that may link
-    marked = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # nodes of different components that share a prefix shingle
+    marked = _marked(nodes, joined)
     tokens = _unfolded(marked, "prefix", ["node", "component"])
     shared = tokens.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("holders")).filter("lo < hi").select("item", "holders")
-    groups = _grouped(tokens, shared)
-    groups = groups.join(marked.select("node", "n", "component", "point").dropDuplicates(["node"]), "node")
-    width_now = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = groups.repartition(width_now, "group").sortWithinPartitions("group", "n", "node").select("group", "node", "n", "component", "part", "point")
-    pairs = staged(groups.mapInArrow(lambda it: _candidates(it, percent), PAIRS).distinct(), "pairs")
-    more = _verify(pairs, nodes, docs, width, percent)
-    final = components(sure.union(more))
+    meeting = staged(_grouped(tokens, shared), "meeting")
+    # first the likeliest partners, so that what is much alike is one component...
+    for _ in range(PROPOSALS):
+        likely = staged(_may_link(meeting, marked, percent, LIKELIEST), "likely_pairs")
+        sure = staged(sure.union(_verify(likely, nodes, docs, width, percent)), "likely_links")
+        marked = _marked(nodes, staged(components(sure), "likely_components"))
+    # ...then every pair of different components that the bounds allow
+    pairs = staged(_may_link(meeting, marked, percent, 0), "pairs")
+    final = components(sure.union(_verify(pairs, nodes, docs, width, percent)))
 
     names = reps.select("node", "least").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = names.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import html, jaccard, media, mixing, packing, quality, token_counts, topk, toxicity
+from . import html, jaccard, media, mixing, packing, quality, suffix, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_media_png": media.op1_media_png,
     "op2_top_inner_products": topk.op2_top_inner_products,
+    "op3_suffix_dedup": suffix.op3_suffix_dedup,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_jaccard_components": jaccard.op5_jaccard_components,
     "op6_mix_sources": mixing.op6_mix_sources,

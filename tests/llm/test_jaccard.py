@@ -108,7 +108,9 @@ def test_page_pairs_lose_nothing():
     sets_.sort(key=len)
     points = np.array([np.bincount(s % 64, minlength=64) for s in sets_])
     n = np.array([len(s) for s in sets_])
-    got = set(zip(*(x.tolist() for x in jaccard.page_pairs(n, points, 85)), strict=True))
+    got = {(x, y) for p, q in jaccard.page_pairs(n, points, 85) for x, y in zip(p.tolist(), q.tolist(), strict=True)}
+    few = [x for p, _ in jaccard.page_pairs(n, points, 85, best=1) for x in p.tolist()]
+    assert len(few) == len(set(few)) and set(few) == {x for x, _ in got}
     for i in range(len(sets_)):
         for j in range(i + 1, len(sets_)):
             same = len(np.intersect1d(sets_[i], sets_[j]))

@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 
@@ -5,6 +7,10 @@ from lakeloom.llm import mixing
 from tests.llm.fixtures import documents, rows
 
 
+def split(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
 def reshare(sizes, weights=(3, 1, 2)):
     """Targets as the contract words them, step by step."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
@@ -24,11 +30,9 @@ def reshare(sizes, weights=(3, 1, 2)):
 
 def check(out, data):
     sizes, taken, largest = {}, {}, {}
-    import re
-
     size = {}
     for r in data:
-        n = len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+        n = len(split(r[1]))
         sizes[r[3]] = sizes.get(r[3], 0) + n
         largest[r[3]] = max(largest.get(r[3], 0), n)
         size[r[0]] = (n, r[3])
