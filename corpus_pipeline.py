@@ -1,8 +1,61 @@
-"""A training-data pipeline over ``documents``."""
+"""A training-data pipeline over ``documents``.
 
-STAGES = []
+Each stage takes the rows that its predecessor kept (Parquet, written and read
+again) and returns the columns of ``documents``; the last one returns packed
+pieces.  Stages read other tables of ``sf_dir`` only for labels.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lakeloom.llm import jaccard, mixing, packing, suffix, toxicity
+from lakeloom.llm.common import staged
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not reject."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.clean_documents(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of five-word shingle sets at least 80 % alike."""
+    return jaccard.distinct_documents(docs, width=5, percent=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without byte strings of 200 that occur twice."""
+    return suffix.cut_documents(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target weight takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents packed into sequences."""
+    return packing.pack_documents(docs).drop("ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("mix_sources", mix),
+    ("best_fit_packing", pack),
+]
+
+#: classifiers, hashes and tokens are beyond SQL; tests/llm holds a brute-force version
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        rows = staged(stage(spark, rows, sf_dir), name)
+    return rows
