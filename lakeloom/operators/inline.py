@@ -1,0 +1,61 @@
+"""Operators on layouts, tables, families and tags, over literal rows.
+
+The driver's tables hold no page geometry, so these queries carry their rows as
+``VALUES``; the functions behind them take any DataFrame of the same columns.
+"""
+
+from __future__ import annotations
+
+from ..plans.registry import query, shared
+
+REGIONS = "(VALUES (1, 1, 0.0, 0.0, 100.0, 20.0), (1, 2, 0.0, 30.0, 45.0, 60.0), (1, 3, 55.0, 30.0, 100.0, 60.0), (1, 4, 0.0, 25.0, 10.0, 35.0), (2, 5, 0.0, 0.0, 50.0, 10.0), (2, 6, 5.0, 2.0, 15.0, 8.0)) AS r(page, id, x0, y0, x1, y1)"
+LAYOUT = "(VALUES (1, 10, 'heading', 0.0, 0.0, 100.0, 22.0), (1, 11, 'paragraph', 0.0, 28.0, 48.0, 64.0), (1, 12, 'paragraph', 52.0, 28.0, 100.0, 64.0), (2, 13, 'figure', 0.0, 0.0, 30.0, 12.0)) AS b(page, block, kind, x0, y0, x1, y1)"
+OVERLAP = "greatest(0.0, least(r.x1, b.x1) - greatest(r.x0, b.x0)) * greatest(0.0, least(r.y1, b.y1) - greatest(r.y0, b.y0))"
+JOBS = "(VALUES (1, NULL, 'parse'), (2, 1, 'unit'), (3, 2, 'unit'), (4, 1, 'publish'), (5, NULL, 'parse'), (6, 4, 'unit'), (7, 8, 'unit'), (8, 7, 'unit')) AS j(id, parent, stage)"
+CELLS = "(VALUES ('t1', 2, 2, 0, 0, 1, 2), ('t1', 2, 2, 1, 0, 1, 1), ('t1', 2, 2, 1, 1, 1, 1), ('t2', 2, 2, 0, 0, 2, 1), ('t2', 2, 2, 0, 1, 1, 1), ('t3', 1, 2, 0, 0, 1, 2), ('t3', 1, 2, 0, 1, 1, 1)) AS c(table_id, n_rows, n_cols, r, c, rs, cs)"
+GLOSSARY = "(VALUES ('global', 'Cat', 'chat', 'must'), ('global', 'Dog', 'chien', 'must'), ('doc', 'cat', 'matou', 'preferred'), ('doc', 'Bird', 'oiseau', 'must'), ('doc', 'bird', 'piaf', 'must')) AS g(scope, term, target, mode)"
+
+shared(
+    "region_owner", "JOIN-09", "JOIN-10", "FN-01", "LAY-02", "FN-18",
+    sql=f"""SELECT r.page, r.id, b.block, b.kind FROM {REGIONS} JOIN {LAYOUT} ON r.page = b.page
+WHERE {OVERLAP} >= 0.6 * (r.x1 - r.x0) * (r.y1 - r.y0) AND r.x0 <= r.x1 AND r.y0 <= r.y1""",
+)
+shared("partial_graphics", "JOIN-14", "JOIN-13", sql=f"SELECT b.block, bool_or({OVERLAP} >= 0.9 * (r.x1 - r.x0) * (r.y1 - r.y0)) AND bool_or({OVERLAP} BETWEEN 0.05 * (r.x1 - r.x0) * (r.y1 - r.y0) AND 0.89 * (r.x1 - r.x0) * (r.y1 - r.y0)) AS ambiguous FROM {REGIONS} JOIN {LAYOUT} ON r.page = b.page GROUP BY b.block")
+shared("order_conflicts", "JOIN-12", sql=f"SELECT r.id AS a, s.id AS b FROM {REGIONS} JOIN {REGIONS.replace('AS r(', 'AS s(')} ON r.page = s.page AND r.id < s.id WHERE least(r.x1, s.x1) > greatest(r.x0, s.x0) AND r.y0 > s.y0")
+shared("reading_order", "SRT-10", "LAY-13", sql=f"SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY band, col, y0, x0, id) AS pos FROM (SELECT r.*, CASE WHEN x1 - x0 > 60 THEN 0 ELSE 1 END AS band, CASE WHEN x1 - x0 > 60 THEN 0 WHEN x0 < 50 THEN 1 ELSE 2 END AS col FROM {REGIONS}) o")
+shared("paragraph_islands", "WIN-14", "WIN-13", "WIN-15", sql=f"SELECT page, id, sum(brk) OVER (PARTITION BY page ORDER BY y0, x0, id ROWS UNBOUNDED PRECEDING) AS paragraph FROM (SELECT r.*, CASE WHEN y0 - lag(y1) OVER (PARTITION BY page ORDER BY y0, x0, id) <= 0.45 * (y1 - y0) THEN 0 ELSE 1 END AS brk FROM {REGIONS}) o")
+shared("page_coverage", "AGG-18", "AGG-16", sql=f"SELECT page, count(*) AS regions, max(y1 - y0) AS tallest, min(x0) AS left_edge, max(x1) AS right_edge FROM {REGIONS} GROUP BY page")
+shared("coordinate_flip", "FN-02", sql=f"SELECT id, x0, 800.0 - y1 AS top, x1, 800.0 - y0 AS bottom, (x0 >= 0 AND x0 <= x1 AND y0 <= y1) AS valid FROM {REGIONS}")
+shared("glossary_override", "JOIN-16", "JOIN-17", "SET-05", "SET-01", sql=f"SELECT lower(term) AS term, target, scope FROM {GLOSSARY} WHERE scope = 'doc' UNION ALL SELECT lower(term) AS term, target, scope FROM {GLOSSARY} WHERE scope = 'global' AND lower(term) NOT IN (SELECT lower(term) FROM {GLOSSARY} WHERE scope = 'doc')")
+shared("glossary_conflicts", "SET-07", "STR-10", "AGG-14", sql=f"SELECT lower(term) AS term, count(DISTINCT target) AS targets FROM {GLOSSARY} WHERE scope = 'doc' AND mode IN ('must', 'preferred') GROUP BY lower(term) HAVING count(DISTINCT target) > 1")
+shared("glossary_lines", "FN-23", sql=f"SELECT term, CASE mode WHEN 'must' THEN concat(term, ' => ', target) WHEN 'preferred' THEN concat(term, ' ~> ', target) ELSE term END AS line FROM {GLOSSARY}")
+shared("backoff_table", "FN-11", "FN-12", "FN-19", sql="SELECT a, greatest(r, least(CAST(power(2, a) AS BIGINT), 30)) AS wait FROM (VALUES (0, 0), (1, 0), (4, 20), (5, 0), (9, 45)) AS v(a, r)")
+shared("admission_reasons", "STM-08", "AGG-21", sql="SELECT id, CASE WHEN masters >= 2 THEN 'MASTER_LIMIT' WHEN children >= 1 THEN 'SUBJOB_LIMIT' WHEN ram IS NULL THEN 'TELEMETRY' WHEN ram + need > 100 THEN 'RAM' ELSE 'ADMIT' END AS reason FROM (VALUES (1, 2, 0, 10, 5), (2, 1, 1, 10, 5), (3, 0, 0, NULL, 5), (4, 0, 0, 96, 5), (5, 0, 0, 95, 5)) AS v(id, masters, children, ram, need)")
+shared("context_mode", "TRN-10", "FN-22", sql="SELECT model, kind, CASE WHEN model LIKE 'local%' THEN 'none' WHEN kind IN ('table_cell', 'caption') THEN 'short' ELSE 'full' END AS context FROM (VALUES ('local-1', 'paragraph'), ('api-1', 'caption'), ('api-1', 'paragraph')) AS v(model, kind)")
+shared("price_validation", "VAL-07", "FN-21", "VAL-08", sql="SELECT id, (inp IS NULL OR out IS NULL) AS incomplete, coalesce(inp >= 0 AND out >= 0 AND cached <= inp, false) AS valid FROM (VALUES (1, 10, 20, 5), (2, 0, 0, 0), (3, 10, NULL, 1), (4, 5, 5, 6)) AS v(id, inp, out, cached)")
+
+
+@query(
+    "job_family_tree", "JOIN-07", "JOIN-08", "SET-01", "WIN-17", "SRT-12",
+    oracle=f"""WITH RECURSIVE j AS (SELECT * FROM {JOBS}), f AS (SELECT id AS root, id, 0 AS depth FROM j WHERE parent IS NULL OR stage = 'publish' UNION ALL SELECT f.root, j.id, f.depth + 1 FROM f JOIN j ON j.parent = f.id WHERE j.stage <> 'publish' AND f.depth < 50)
+SELECT DISTINCT root, id, depth FROM f""",
+)
+def job_family_tree(t):
+    """Roots and their descendants; main jobs start families of their own, cycles are never entered."""
+    return t.spark.sql(f"""WITH RECURSIVE j AS (SELECT * FROM {JOBS}), f AS (SELECT id AS root, id, 0 AS depth FROM j WHERE parent IS NULL OR stage = 'publish' UNION ALL SELECT f.root, j.id, f.depth + 1 FROM f JOIN j ON j.parent = f.id WHERE j.stage <> 'publish' AND f.depth < 50)
+SELECT DISTINCT root, id, depth FROM f""")
+
+
+@query(
+    "grid_cover", "FN-03", "FN-04", "SRC-11", "SRC-12",
+    oracle=f"""WITH s AS (SELECT table_id, n_rows * n_cols AS slots, r + dr AS rr, c + dc AS cc FROM (SELECT *, unnest(range(rs)) AS dr FROM {CELLS}) a, unnest(range(cs)) AS u(dc))
+SELECT table_id, count(*) = max(slots) AND count(DISTINCT rr * 1000 + cc) = max(slots) AS complete FROM s GROUP BY table_id""",
+)
+def grid_cover(t):
+    """A table is complete if every slot has exactly one owner."""
+    from pyspark.sql import functions as F
+
+    c = t.spark.sql(f"SELECT * FROM {CELLS}")
+    s = c.withColumn("rr", F.explode(F.sequence(F.col("r"), F.col("r") + F.col("rs") - 1))).withColumn("cc", F.explode(F.sequence(F.col("c"), F.col("c") + F.col("cs") - 1)))
+    slots = F.max(F.col("n_rows") * F.col("n_cols"))
+    return s.groupBy("table_id").agg(((F.count("*") == slots) & (F.countDistinct("rr", "cc") == slots)).alias("complete"))
