@@ -114,19 +114,21 @@ def train(pairs: list[tuple[bytes, int]], steps: int = 200, l2: float = 1e-3) ->
     if len(set(y.tolist())) < 2:
         share = min((y.sum() + 0.5) / (len(y) + 1), THRESHOLD - 0.01)
         return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    docs, feats = [], []
-    for a in range(0, len(pairs), 256):
-        d, h = present(*_buffer([t for t, _ in pairs[a : a + 256]]))
-        docs.append(d + a)
-        feats.append(h.astype(np.int32))
-    doc, feat = np.concatenate(docs), np.concatenate(feats)
-    one = y[doc] == 1
-    pos, neg = np.bincount(feat[one], minlength=size), np.bincount(feat[~one], minlength=size)
+    pos, neg = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for part in _parts(pairs):
+        doc, h = present(*_buffer([pairs[i][0] for i in part]))
+        one = y[part][doc] == 1
+        pos += np.bincount(h[one], minlength=size)
+        neg += np.bincount(h[~one], minlength=size)
     ratio = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
     use = _evidence(pos, neg, y.sum(), (1 - y).sum()) >= LEAST_EVIDENCE
-    keep = use[feat]
-    number = np.cumsum(use) - 1  # hash to position among the features
-    doc, feat = doc[keep], number[feat[keep]]
+    number = (np.cumsum(use) - 1).astype(np.int32)  # hash to position among the features
+    docs, feats = [], []
+    for part in _parts(pairs):
+        doc, h = present(*_buffer([pairs[i][0] for i in part]), use)
+        docs.append((doc + part[0]).astype(np.int32))
+        feats.append(number[h])
+    doc, feat = np.concatenate(docs), np.concatenate(feats)
     scale = ratio[use]
     value, size = scale[feat], len(scale)
     # classes weigh alike, so the threshold does not hang on the sample's make-up
@@ -147,6 +149,16 @@ def train(pairs: list[tuple[bytes, int]], steps: int = 200, l2: float = 1e-3) ->
     return Model(weights, float(bias))
 
 
+def _parts(pairs: list[tuple[bytes, int]], limit: int = 1 << 18) -> Iterator[range]:
+    """Runs of texts of about ``limit`` bytes, so that training holds few grams at a time."""
+    start = size = 0
+    for i, (text, _) in enumerate(pairs):
+        size += len(text)
+        if size >= limit or i + 1 == len(pairs):
+            yield range(start, i + 1)
+            start, size = i + 1, 0
+
+
 def _evidence(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> np.ndarray:
     """Likelihood-ratio statistic of presence against class."""
     share = (pos + neg) / (n_pos + n_neg)
