@@ -10,7 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,20 +44,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/lakeloom-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    # the write's shuffle files go once the driver's JVM has noticed that nothing refers to them
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
-def drop_staged(keep: Iterable[str] = ()) -> None:
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
+    parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(parent, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more (what was made of them is staged)."""
+    for table in tables:
+        _WRITTEN.remove((table.sparkSession, table.staged_path))
+        _delete(table.sparkSession, table.staged_path)
+
+
+def drop_staged() -> None:
     """Delete the intermediate tables written so far (results read them lazily)."""
-    kept = set(keep)
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        if path in kept:
-            continue
         try:
-            jvm = spark.sparkContext._jvm
-            parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(parent, True)
+            _delete(*_WRITTEN.pop())
         except Exception:  # the session has ended; its folder is the cluster's to clear
             return
 

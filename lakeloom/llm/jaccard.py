@@ -18,8 +18,8 @@ threshold; the result is the components of these links.
    pages and pairs that cannot reach the overlap their sizes demand are dropped.
    Each node first proposes its likeliest partners only; what they verify is
    merged, and then every remaining pair of different components is looked at.
-4. Surviving pairs are verified on the sets themselves, recomputed from the texts
-   of the nodes concerned.
+4. Surviving pairs are verified on the sets themselves, recomputed from the two
+   texts.
 
 A shingle shared by more than ``GROUP_ROWS`` nodes is split into parts, and every
 pair of parts is a group of its own: memory is bounded and no pair is left out.
@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_parts, record_batch, slices, staged, text_bytes
+from .common import binary_parts, record_batch, release, slices, staged, text_bytes
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -70,7 +70,6 @@ SKETCH = T.StructType([
     T.StructField("point", T.BinaryType()),
 ])
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("items", T.BinaryType())])
 TOKENS = T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.LongType())])
 
 
@@ -184,34 +183,52 @@ def _unfolded(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, column).mapInArrow(lambda it: _longs(it, column, schema), schema)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", BATCH_BYTES):
-        items, offsets = shingle_sets(*binary_parts(batch.column("text")), width)
-        yield record_batch({"node": batch.column("node"), "items": [items[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]}, SETS)
-
-
-def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _verified(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs ``(a, b)`` whose texts ``x`` and ``y`` have sets that link."""
+    for batch in slices(batches, "x", BATCH_BYTES):
+        (p, p_at), (q, q_at) = (shingle_sets(*binary_parts(batch.column(c)), width) for c in ("x", "y"))
         keep = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.searchsorted(q, p)
-            same = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
-            keep.append(same > 0 and 100 * same >= percent * (len(p) + len(q) - same))
+        for i in range(batch.num_rows):
+            one, two = p[p_at[i] : p_at[i + 1]], q[q_at[i] : q_at[i + 1]]
+            if len(one) > len(two):
+                one, two = two, one
+            at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+            same = int((two[at] == one).sum()) if len(two) else 0
+            keep.append(same > 0 and 100 * same >= percent * (len(one) + len(two) - same))
         yield record_batch({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")}, PAIRS)
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs of nodes that link, by their sets."""
+    """The pairs of nodes that link, by their sets.
+
+    Texts travel, not sets: Spark compresses them to a fraction of the hashes.
+    """
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     reps = nodes.join(wanted, "node", "left_semi").select("node", "k1", "k2").dropDuplicates(["node"])
     k1, k2 = row_keys()
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), "text").join(reps, ["k1", "k2"]).select("node", text_bytes().alias("text"))
-    sets = staged(texts.mapInArrow(lambda it: _sets(it, width), SETS), "sets").dropDuplicates(["node"])
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    return both.mapInArrow(lambda it: _verified(it, percent), PAIRS)
+    kept = staged(docs.select(k1.alias("k1"), k2.alias("k2"), "text").join(reps, ["k1", "k2"]).select("node", text_bytes().alias("text")), "texts")
+    texts = kept.dropDuplicates(["node"])
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    links = staged(both.mapInArrow(lambda it: _verified(it, width, percent), PAIRS), "links")
+    release(kept)
+    return links
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, GROUPS) for c in ("x", "y"))
+        need = needed(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
+        ok = pa.array(np.minimum(p, q).sum(axis=1, dtype=np.int64) >= need)
+        yield record_batch({c: batch.column(c).filter(ok) for c in ("a", "b")}, PAIRS)
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose points allow a link: sets are fetched for these only."""
+    facts = nodes.select("node", "n", "point").dropDuplicates(["node"])
+    a = facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("x"))
+    b = facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("y"))
+    both = pairs.join(a, "a").join(b, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(lambda it: _bounded(it, percent), PAIRS)
 
 
 def overlap_bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -366,13 +383,16 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     filled = sketch.filter("n > 0")
     reps = filled.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("r"))
     reps = reps.select("node", "least", "r.k1", "r.k2")
-    nodes = staged(filled.drop("doc_id").join(reps, ["node", "k1", "k2"]), "nodes")
+    reps = staged(reps, "representatives")
+    nodes = staged(filled.drop("doc_id").join(reps.drop("least"), ["node", "k1", "k2"]), "nodes")
+    rows = staged(sketch.select("doc_id", "k1", "k2", "node", "n"), "rows")
+    release(sketch)
 
     # near copies of a band's least node
     bands = _unfolded(nodes, "bands", ["node"])
     pivots = bands.groupBy("item").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot < top").drop("top")
     star = bands.join(pivots, "item").filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    sure = staged(_verify(staged(star, "band_pairs"), nodes, docs, width, percent), "band_links")
+    sure = _verify(staged(_possible(star, nodes, percent), "band_pairs"), nodes, docs, width, percent)
     joined = staged(components(sure), "band_components")
 
     # nodes of different components that share a prefix shingle
@@ -383,7 +403,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     # first the likeliest partners, so that what is much alike is one component...
     for _ in range(PROPOSALS):
         likely = staged(_may_link(meeting, marked, percent, LIKELIEST), "likely_pairs")
-        sure = staged(sure.union(_verify(likely, nodes, docs, width, percent)), "likely_links")
+        sure = sure.union(_verify(likely, nodes, docs, width, percent))
         marked = _marked(nodes, staged(components(sure), "likely_components"))
     # ...then every pair of different components that the bounds allow
     pairs = staged(_may_link(meeting, marked, percent, 0), "pairs")
@@ -392,7 +412,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     names = reps.select("node", "least").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = names.groupBy("component").agg(F.min("least").alias("component_id"))
     named = names.select("node", "component").join(least, "component").select("node", "component_id")
-    out = sketch.select("doc_id", "k1", "k2", "node", F.col("n").alias("n_shingles"))
+    out = rows.withColumnRenamed("n", "n_shingles")
     full = out.filter("n_shingles > 0").join(named, "node").select("doc_id", "k1", "k2", "n_shingles", "component_id")
     empty = out.filter("n_shingles = 0").select("doc_id", "k1", "k2", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.union(empty)
