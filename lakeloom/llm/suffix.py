@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_parts, record_batch, slices, staged, text_bytes
+from .common import binary_parts, record_batch, release, slices, staged, text_bytes
 from .jaccard import row_keys
 
 LENGTH = 200
@@ -56,6 +56,8 @@ BATCH_BYTES = 1 << 20
 #: suffix arrays are built for about this many bytes of contexts at a time
 INDEX_BYTES = 1 << 20
 GROUP_CONTEXTS = 8192
+#: bits for the length of a run of windows (a context has fewer than 256)
+RUN_BITS = 16
 
 _long, _int, _bin = T.LongType(), T.IntegerType(), T.BinaryType()
 
@@ -66,7 +68,7 @@ def _struct(**kinds: T.DataType) -> T.StructType:
 
 ANCHORS = _struct(h=_long, k1=_long, k2=_long, place=_long)
 PIECES = _struct(piece=_long, c1=_long, c2=_long, k1=_long, k2=_long, start=_long, context=_bin)
-MARKS = _struct(piece=_long, c1=_long, c2=_long, marks=_bin)
+MARKS = _struct(piece=_long, c1=_long, c2=_long, first=_int, last=_int)
 WINDOWS = _struct(piece=_long, c1=_long, c2=_long, w1=_long, w2=_long, nth=_int)
 CLEANED = _struct(doc_id=_long, n_bytes=_long, n_removed=_long, n_spans=_long, kept_sha256=T.StringType(), kept=_bin, spans=_bin)
 
@@ -260,10 +262,10 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.unique(index.context[hit])
         out: dict[str, list] = {f.name: [] for f in MARKS}
         for i in some:
-            own = hit[index.starts[i] : index.ends[i]]
-            out["marks"].append(np.flatnonzero(own).astype("<i4").tobytes())
-            for k, c in enumerate(("piece", "c1", "c2")):
-                out[c].append(rows[i][k])
+            own = np.diff(hit[index.starts[i] : index.ends[i]].astype(np.int8), prepend=0, append=0)
+            for first, end in zip(np.flatnonzero(own == 1).tolist(), np.flatnonzero(own == -1).tolist(), strict=True):
+                for c, v in zip(MARKS.names, (*rows[i][:3], first, end - 1), strict=True):
+                    out[c].append(v)
         return record_batch(out, MARKS)
 
     held: list[tuple] = []
@@ -293,11 +295,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(out, WINDOWS)
 
 
-def _spans(starts: list[dict]) -> np.ndarray:
+def _spans(runs: np.ndarray) -> np.ndarray:
     """Maximal runs of bytes that marked windows cover: (start, end) rows."""
-    at = np.unique(np.concatenate([np.frombuffer(x["marks"], "<i4").astype(np.int64) + x["start"] for x in starts]))
-    gap = np.flatnonzero(np.diff(at) > LENGTH)  # windows that touch or overlap make one span
-    return np.c_[at[np.r_[0, gap + 1]], at[np.r_[gap, len(at) - 1]] + LENGTH]
+    first = runs >> RUN_BITS
+    end = first + (runs & ((1 << RUN_BITS) - 1)) + LENGTH
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], np.maximum.accumulate(end[order])
+    gap = np.flatnonzero(first[1:] > end[:-1])  # runs that touch or overlap make one span
+    return np.c_[first[np.r_[0, gap + 1]], end[np.r_[gap, len(end) - 1]]]
 
 
 def _without(raw: pa.Buffer, spans: np.ndarray) -> bytes:
@@ -308,9 +313,9 @@ def _without(raw: pa.Buffer, spans: np.ndarray) -> bytes:
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", 8 << 20):
         out: dict[str, list] = {f.name: [] for f in CLEANED if f.name != "doc_id"}
-        for value, starts in zip(batch.column("text"), batch.column("starts").to_pylist(), strict=True):
+        for value, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
             raw = value.as_buffer()
-            spans = _spans(starts) if starts else np.empty((0, 2), np.int64)
+            spans = _spans(runs.values.to_numpy()) if runs.is_valid else np.empty((0, 2), np.int64)
             kept = _without(raw, spans)
             removed = int((spans[:, 1] - spans[:, 0]).sum())
             for k, v in (("n_bytes", raw.size), ("n_removed", removed), ("n_spans", len(spans)), ("kept_sha256", hashlib.sha256(kept).hexdigest()), ("kept", kept), ("spans", spans.astype("<i8").tobytes())):
@@ -319,10 +324,10 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """``(k1, k2, starts)``: for every row with repeated windows, ``(start, marks)`` pairs.
+    """``(k1, k2, runs)``: for every row with repeated windows, where they start.
 
-    Marks are little-endian int32 offsets from start: windows of LENGTH bytes that
-    occur twice or more in the corpus begin there.
+    A run is ``first << RUN_BITS | length - 1``: so many windows of LENGTH bytes that
+    occur twice or more in the corpus start from ``first`` on.
     """
     k1, k2 = row_keys()
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), text_bytes().alias("text"))
@@ -330,9 +335,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     twice = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     lists = found.join(twice, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
     # equal rows (id and text) have equal places; each of them is one occurrence
-    lists = lists.withColumn("places", F.array_distinct("places"))
+    lists = staged(lists.withColumn("places", F.array_distinct("places")), "places")
+    release(found)
     occurrences = texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(_pieces, PIECES)
     occurrences = staged(occurrences, "pieces")
+    release(lists)
 
     first = F.struct("k1", "k2", "start")
     contexts = occurrences.groupBy("piece", "c1", "c2").agg(F.count("*").alias("times"), F.min(first).alias("r"))
@@ -350,43 +357,25 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     windows = large.select("piece", "c1", "c2", "context").mapInArrow(_windows, WINDOWS)
     again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
     single = windows.join(again, ["w1", "w2"], "left_semi").select("piece", "c1", "c2", "nth")
-    partial = marks.union(_packed(single))
+    partial = marks.union(single.select("piece", "c1", "c2", F.col("nth").alias("first"), F.col("nth").alias("last")))
     partial = partial.join(whole, ["piece", "c1", "c2"], "left_anti")
-    lengths = F.octet_length("context").alias("size")
-    rows = occurrences.select("piece", "c1", "c2", "k1", "k2", "start", lengths)
-    by_whole = rows.join(whole, ["piece", "c1", "c2"], "left_semi").mapInArrow(_all_windows, _struct(k1=_long, k2=_long, start=_long, marks=_bin))
-    by_part = rows.join(partial, ["piece", "c1", "c2"]).select("k1", "k2", "start", "marks")
-    return by_whole.union(by_part).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "marks")).alias("starts"))
-
-
-def _packed(single: DataFrame) -> DataFrame:
-    """One mark row per window."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = [int(x).to_bytes(4, "little") for x in batch.column("nth").to_pylist()]
-            yield record_batch({"marks": marks, **{c: batch.column(c) for c in ("piece", "c1", "c2")}}, MARKS)
-
-    return single.mapInArrow(pack, MARKS)
-
-
-def _all_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = _struct(k1=_long, k2=_long, start=_long, marks=_bin)
-    marks: dict[int, bytes] = {}
-    for batch in batches:
-        sizes = batch.column("size").to_pylist()
-        for n in set(sizes) - set(marks):
-            marks[n] = np.arange(n - LENGTH + 1, dtype="<i4").tobytes()
-        yield record_batch({"marks": [marks[n] for n in sizes], **{c: batch.column(c) for c in ("k1", "k2", "start")}}, schema)
+    marks = whole.select("*", F.lit(0).alias("first"), F.lit(None).cast("int").alias("last")).union(partial)
+    rows = occurrences.select("piece", "c1", "c2", "k1", "k2", "start", F.octet_length("context").alias("size")).join(marks, ["piece", "c1", "c2"])
+    more = F.coalesce(F.col("last"), F.col("size") - LENGTH) - F.col("first")
+    run = F.shiftleft(F.col("start") + F.col("first"), RUN_BITS) + more
+    runs = staged(rows.select("k1", "k2", run.alias("run")).groupBy("k1", "k2").agg(F.collect_list("run").alias("runs")), "runs")
+    # the texts are shuffled next: what led here need not be on disk beside them
+    release(occurrences, contexts, open_)
+    return runs
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row: counts, digest, remaining bytes and removed spans (int64 pairs)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     k1, k2 = row_keys()
-    starts = repeated_windows(docs)
+    runs = repeated_windows(docs)
     keyed = docs.select("doc_id", text_bytes().alias("text"), k1.alias("k1"), k2.alias("k2"))
-    rows = keyed.join(starts, ["k1", "k2"], "left").select("doc_id", "text", "starts")
+    rows = keyed.join(runs, ["k1", "k2"], "left").select("doc_id", "text", "runs")
     return rows.mapInArrow(_cleaned, CLEANED)
 
 
@@ -406,17 +395,17 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     schema, names = docs.schema, docs.columns
     d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     k1, k2 = row_keys()
-    starts = repeated_windows(d.select("doc_id", "text"))
-    rows = d.select("row", text_bytes().alias("text"), k1.alias("k1"), k2.alias("k2")).join(starts, ["k1", "k2"], "left")
+    runs = repeated_windows(d.select("doc_id", "text"))
+    rows = d.select("row", text_bytes().alias("text"), k1.alias("k1"), k2.alias("k2")).join(runs, ["k1", "k2"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
             row = dict(zip(names, batch.column("row").flatten(), strict=True))
             texts = row["text"].to_pylist()
             sizes = row["n_chars"].to_pylist() if "n_chars" in row else None
-            for i, (value, starts) in enumerate(zip(batch.column("text"), batch.column("starts").to_pylist(), strict=True)):
-                if starts:
-                    texts[i] = _without(value.as_buffer(), _spans(starts)).decode("utf-8", "ignore")
+            for i, (value, runs) in enumerate(zip(batch.column("text"), batch.column("runs"), strict=True)):
+                if runs.is_valid:
+                    texts[i] = _without(value.as_buffer(), _spans(runs.values.to_numpy())).decode("utf-8", "ignore")
                     if sizes is not None:
                         sizes[i] = len(texts[i])
             row["text"] = texts
@@ -424,4 +413,4 @@ def cut_documents(docs: DataFrame) -> DataFrame:
                 row["n_chars"] = sizes
             yield record_batch(row, schema)
 
-    return rows.select("row", "text", "starts").mapInArrow(cut, schema)
+    return rows.select("row", "text", "runs").mapInArrow(cut, schema)
