@@ -67,7 +67,8 @@ def _struct(**kinds: T.DataType) -> T.StructType:
 
 
 ANCHORS = _struct(h=_long, k1=_long, k2=_long, place=_long)
-PIECES = _struct(piece=_long, c1=_long, c2=_long, k1=_long, k2=_long, start=_long, context=_bin)
+PIECES = _struct(piece=_long, c1=_long, c2=_long, k1=_long, k2=_long, start=_long, size=_int)
+OPEN = _struct(piece=_long, c1=_long, c2=_long, times=_long, kinds=_long, context=_bin)
 MARKS = _struct(piece=_long, c1=_long, c2=_long, first=_int, last=_int)
 WINDOWS = _struct(piece=_long, c1=_long, c2=_long, w1=_long, w2=_long, nth=_int)
 CLEANED = _struct(doc_id=_long, n_bytes=_long, n_removed=_long, n_spans=_long, kept_sha256=T.StringType(), kept=_bin, spans=_bin)
@@ -150,12 +151,26 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     context = text[a : b + LENGTH]
                     c1, c2 = _digest(context)
-                    for k, v in (("piece", _digest(shared, b"l" if b <= at - half else b"r")[0]), ("c1", c1), ("c2", c2), ("k1", k1), ("k2", k2), ("start", a), ("context", context)):
+                    for k, v in (("piece", _digest(shared, b"l" if b <= at - half else b"r")[0]), ("c1", c1), ("c2", c2), ("k1", k1), ("k2", k2), ("start", a), ("size", len(context))):
                         out[k].append(v)
         if out["c1"]:
             yield record_batch(out, PIECES)
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The contexts that an index has to decide, cut from their texts."""
+    for batch in slices(batches, "text", BATCH_BYTES):
+        out: dict[str, list] = {f.name: [] for f in OPEN}
+        for value, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
+            text = value.as_py()
+            for w in wanted:
+                out["context"].append(text[w["start"] : w["start"] + w["size"]])
+                for c in OPEN.names[:-1]:
+                    out[c].append(w[c])
+        if out["piece"]:
+            yield record_batch(out, OPEN)
+
+
 class RunLengthIndex:
     """Run-length BWT of grouped contexts with matching statistics from run ends."""
 
@@ -341,14 +356,18 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     occurrences = staged(occurrences, "pieces")
     release(lists)
 
-    first = F.struct("k1", "k2", "start")
+    first = F.struct("k1", "k2", "start", "size")
     contexts = occurrences.groupBy("piece", "c1", "c2").agg(F.count("*").alias("times"), F.min(first).alias("r"))
     contexts = staged(contexts.select("piece", "c1", "c2", "times", "r.*"), "contexts")
     groups = contexts.groupBy("piece").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     # times > 1: the whole context repeats (its windows are all marked)
     whole = contexts.filter("times > 1").select("piece", "c1", "c2")
-    open_ = contexts.join(groups, "piece").join(occurrences.select("piece", "c1", "c2", "k1", "k2", "start", "context"), ["piece", "c1", "c2", "k1", "k2", "start"])
-    open_ = staged(open_.select("piece", "c1", "c2", "times", "kinds", "context").dropDuplicates(["piece", "c1", "c2"]), "open")
+    wanted = contexts.join(groups, "piece").groupBy("k1", "k2").agg(F.collect_list(F.struct("piece", "c1", "c2", "times", "kinds", "start", "size")).alias("wanted"))
+    wanted = staged(wanted, "wanted")
+    # equal rows (id and text) give the same contexts
+    open_ = texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_contexts, OPEN).dropDuplicates(["piece", "c1", "c2"])
+    open_ = staged(open_, "open")
+    release(wanted)
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = open_.filter(F.col("kinds") <= GROUP_CONTEXTS).repartition(width, "piece").sortWithinPartitions("piece", "c1", "c2")
     marks = small.mapInArrow(_indexed, MARKS)
@@ -360,7 +379,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     partial = marks.union(single.select("piece", "c1", "c2", F.col("nth").alias("first"), F.col("nth").alias("last")))
     partial = partial.join(whole, ["piece", "c1", "c2"], "left_anti")
     marks = whole.select("*", F.lit(0).alias("first"), F.lit(None).cast("int").alias("last")).union(partial)
-    rows = occurrences.select("piece", "c1", "c2", "k1", "k2", "start", F.octet_length("context").alias("size")).join(marks, ["piece", "c1", "c2"])
+    rows = occurrences.select("piece", "c1", "c2", "k1", "k2", "start", "size").join(marks, ["piece", "c1", "c2"])
     more = F.coalesce(F.col("last"), F.col("size") - LENGTH) - F.col("first")
     run = F.shiftleft(F.col("start") + F.col("first"), RUN_BITS) + more
     runs = staged(rows.select("k1", "k2", run.alias("run")).groupBy("k1", "k2").agg(F.collect_list("run").alias("runs")), "runs")
