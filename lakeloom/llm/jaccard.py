@@ -16,6 +16,8 @@ threshold; the result is the components of these links.
    packed by size into R-tree pages with their bounding boxes.  The overlap of two
    points, or of two boxes, is at most the sum of the coordinate-wise minima;
    pages and pairs that cannot reach the overlap their sizes demand are dropped.
+   For the pairs left, the first ``FINE`` groups are cut into 2**32 finer ones each
+   and the minima summed again: the longer the texts, the less the coarse groups tell.
    Each node first proposes its likeliest partners only; what they verify is
    merged, and then every remaining pair of different components is looked at.
 4. Surviving pairs are verified on the sets themselves, recomputed from the two
@@ -47,6 +49,8 @@ from .shingles import mixed, shingle_sets
 
 WIDTH, PERCENT = 5, 80
 GROUPS = 64
+#: of these, the groups that a second bound refines
+FINE = 8
 BANDS, ROWS = 8, 3
 BATCH_BYTES = 2 << 20
 #: a shingle is frequent if at least this share of documents has it (and LEAST_FREQUENT do)
@@ -68,6 +72,7 @@ SKETCH = T.StructType([
     T.StructField("bands", T.BinaryType()),
     T.StructField("prefix", T.BinaryType()),
     T.StructField("point", T.BinaryType()),
+    T.StructField("fine", T.BinaryType()),
 ])
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 TOKENS = T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.LongType())])
@@ -150,7 +155,12 @@ def _sketches(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, width: in
         bands = np.full((len(n), BANDS), np.uint64(0)) + np.arange(BANDS, dtype=np.uint64)
         for k in range(ROWS):
             bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
-        group = (mixed(items) >> np.uint64(58)).astype(np.int64)
+        grouped = mixed(items)
+        group = (grouped >> np.uint64(58)).astype(np.int64)
+        own = group < FINE
+        fine = np.sort(doc[own].astype(np.uint64) << np.uint64(32) | grouped[own] & np.uint64(2**32 - 1))
+        fine_at = np.searchsorted(fine, np.arange(len(n) + 1, dtype=np.uint64) << np.uint64(32))
+        fine = fine.astype(np.uint32)
         points = np.bincount(doc * GROUPS + group, minlength=len(n) * GROUPS).reshape(len(n), GROUPS).astype(np.uint32)
         first = n - -(-percent * n // 100) + 1
         digests = np.zeros(len(n), np.uint64)
@@ -165,7 +175,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, width: in
             if len(head) < first[i]:
                 head = np.concatenate([head, own[~rare][: first[i] - len(head)]])
             prefix.append(head.tobytes() if n[i] else b"")
-        out |= {"node": digests.view(np.int64), "n": n, "bands": [b.tobytes() for b in bands], "prefix": prefix, "point": [p.tobytes() for p in points]}
+        out |= {"node": digests.view(np.int64), "n": n, "bands": [b.tobytes() for b in bands], "prefix": prefix, "point": [p.tobytes() for p in points], "fine": [fine[a:b].tobytes() for a, b in zip(fine_at[:-1], fine_at[1:], strict=True)]}
         yield record_batch(out, SKETCH)
 
 
@@ -214,21 +224,35 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, per
     return links
 
 
+def fine_overlap(p: bytes, q: bytes) -> int:
+    """At least the overlap of two sets in the refined groups, by their sorted finer coordinates."""
+    one, two = sorted((np.frombuffer(x, np.uint32) for x in (p, q)), key=len)
+    if not len(one):
+        return 0
+    at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+    return int((two[at] == one).sum())
+
+
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, GROUPS) for c in ("x", "y"))
         need = needed(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
-        ok = pa.array(np.minimum(p, q).sum(axis=1, dtype=np.int64) >= need)
-        yield record_batch({c: batch.column(c).filter(ok) for c in ("a", "b")}, PAIRS)
+        least = np.minimum(p, q)
+        rest = least[:, FINE:].sum(axis=1, dtype=np.int64)
+        ok = rest + least[:, :FINE].sum(axis=1, dtype=np.int64) >= need
+        for i in np.flatnonzero(ok):
+            ok[i] = rest[i] + fine_overlap(batch.column("fx")[i].as_py(), batch.column("fy")[i].as_py()) >= need[i]
+        keep = pa.array(ok)
+        yield record_batch({c: batch.column(c).filter(keep) for c in ("a", "b")}, PAIRS)
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose points allow a link: sets are fetched for these only."""
-    facts = nodes.select("node", "n", "point").dropDuplicates(["node"])
-    a = facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("x"))
-    b = facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("y"))
+    """The pairs whose points allow a link: texts are fetched for these only."""
+    facts = nodes.select("node", "n", "point", "fine").dropDuplicates(["node"])
+    a = facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("x"), F.col("fine").alias("fx"))
+    b = facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("y"), F.col("fine").alias("fy"))
     both = pairs.join(a, "a").join(b, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(lambda it: _bounded(it, percent), PAIRS)
+    return both.select("a", "b", "na", "nb", "x", "y", "fx", "fy").mapInArrow(lambda it: _bounded(it, percent), PAIRS)
 
 
 def overlap_bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -396,18 +420,21 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     joined = staged(components(sure), "band_components")
 
     # nodes of different components that share a prefix shingle
-    marked = _marked(nodes, joined)
+    marked = _marked(nodes.drop("fine"), joined)
     tokens = _unfolded(marked, "prefix", ["node", "component"])
     shared = tokens.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("holders")).filter("lo < hi").select("item", "holders")
     meeting = staged(_grouped(tokens, shared), "meeting")
+    facts = staged(nodes.select("node", "k1", "k2", "n", "point", "fine"), "facts")
+    release(nodes)
+    marked = _marked(facts, joined)
     # first the likeliest partners, so that what is much alike is one component...
     for _ in range(PROPOSALS):
-        likely = staged(_may_link(meeting, marked, percent, LIKELIEST), "likely_pairs")
-        sure = sure.union(_verify(likely, nodes, docs, width, percent))
-        marked = _marked(nodes, staged(components(sure), "likely_components"))
+        likely = staged(_possible(_may_link(meeting, marked, percent, LIKELIEST), facts, percent), "likely_pairs")
+        sure = sure.union(_verify(likely, facts, docs, width, percent))
+        marked = _marked(facts, staged(components(sure), "likely_components"))
     # ...then every pair of different components that the bounds allow
-    pairs = staged(_may_link(meeting, marked, percent, 0), "pairs")
-    final = components(sure.union(_verify(pairs, nodes, docs, width, percent)))
+    pairs = staged(_possible(_may_link(meeting, marked, percent, 0), facts, percent), "pairs")
+    final = components(sure.union(_verify(pairs, facts, docs, width, percent)))
 
     names = reps.select("node", "least").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = names.groupBy("component").agg(F.min("least").alias("component_id"))

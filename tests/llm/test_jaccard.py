@@ -135,3 +135,9 @@ def test_query(spark, small):
     out = jaccard.op5_jaccard_components(spark, small)
     assert out.columns == ["doc_id", "n_shingles", "component_id"]
     assert sorted((str(a), b, str(c)) for a, b, c in out.collect()) == brute(data, 4, 85)
+
+
+@given(st.lists(st.integers(0, 400), max_size=300, unique=True), st.lists(st.integers(0, 400), max_size=300, unique=True))
+def test_fine_overlap_is_a_bound(a, b):
+    spread = lambda x: np.sort((np.array(x, np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) & np.uint32(1023)).astype(np.uint32)
+    assert jaccard.fine_overlap(spread(a).tobytes(), spread(b).tobytes()) >= len(set(a) & set(b))
