@@ -7,7 +7,7 @@ threshold; the result is the components of these links.
 1. Frequent shingles are counted over all documents.  In every node shingles are
    ordered rare before frequent, then by hash.  Nodes that link must share one of
    their first ``n - ceil(t * n) + 1`` shingles in any such order, so sharing one
-   is necessary, never guessed.
+   is necessary, never guessed; where they share the first, enough must follow.
 2. Nodes with equal min-hash bands are compared with the least node of their
    band.  What links there is merged first, so that a large group of near copies
    is never paired all with all.
@@ -48,9 +48,9 @@ from .components import components
 from .shingles import mixed, shingle_sets
 
 WIDTH, PERCENT = 5, 80
-GROUPS = 64
+GROUPS = 128
 #: of these, the groups that a second bound refines
-FINE = 8
+FINE = 16
 BANDS, ROWS = 8, 3
 BATCH_BYTES = 2 << 20
 #: a shingle is frequent if at least this share of documents has it (and LEAST_FREQUENT do)
@@ -60,7 +60,7 @@ MOST_FREQUENT = 1 << 19
 GROUP_ROWS = 4096
 #: larger partners that a node proposes in a group before all are looked at
 LIKELIEST = 4
-PROPOSALS = 2
+PROPOSALS = 1
 PAGE = 32
 
 SKETCH = T.StructType([
@@ -156,7 +156,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, width: in
         for k in range(ROWS):
             bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
         grouped = mixed(items)
-        group = (grouped >> np.uint64(58)).astype(np.int64)
+        group = (grouped >> np.uint64(64 - (GROUPS - 1).bit_length())).astype(np.int64)
         own = group < FINE
         fine = np.sort(doc[own].astype(np.uint64) << np.uint64(32) | grouped[own] & np.uint64(2**32 - 1))
         fine_at = np.searchsorted(fine, np.arange(len(n) + 1, dtype=np.uint64) << np.uint64(32))
@@ -180,16 +180,17 @@ def _sketches(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, width: in
 
 
 def _longs(batches: Iterator[pa.RecordBatch], column: str, schema: T.StructType) -> Iterator[pa.RecordBatch]:
-    """Unfold a binary column of 64-bit values into rows, with the other columns of ``schema``."""
+    """Unfold a binary column of 64-bit values into rows ``item`` at ``pos``, with the other columns of ``schema``."""
     for batch in slices(batches, column, 4 << 20):
         data, offsets = binary_parts(batch.column(column))
         at = np.repeat(np.arange(batch.num_rows), np.diff(offsets) // 8)
-        out = {f.name: batch.column(f.name).take(pa.array(at)) for f in schema if f.name != "item"}
-        yield record_batch(out | {"item": np.frombuffer(data.tobytes(), np.int64)}, schema)
+        out = {f.name: batch.column(f.name).take(pa.array(at)) for f in schema if f.name not in ("item", "pos")}
+        pos = np.arange(len(at)) - (offsets[:-1] // 8)[at]
+        yield record_batch(out | {"item": np.frombuffer(data.tobytes(), np.int64), "pos": pos.astype(np.int32)}, schema)
 
 
 def _unfolded(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("item", T.LongType())])
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("item", T.LongType()), T.StructField("pos", T.IntegerType())])
     return df.select(*keep, column).mapInArrow(lambda it: _longs(it, column, schema), schema)
 
 
@@ -260,11 +261,12 @@ def overlap_bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.minimum(p[:, None, :], q[None, :, :]).sum(axis=2, dtype=np.int64)
 
 
-def page_pairs(n: np.ndarray, points: np.ndarray, percent: int, component: np.ndarray | None = None, split: np.ndarray | None = None, best: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def page_pairs(n: np.ndarray, points: np.ndarray, percent: int, component: np.ndarray | None = None, split: np.ndarray | None = None, best: int = 0, rest: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows (sorted by size) whose points allow a link, page by page.
 
     With ``component`` only pairs of different components count, with ``split``
-    only pairs of different parts.  ``best`` > 0 keeps for each row only so many
+    only pairs of different parts, with ``rest`` only pairs that both have so many
+    shingles left as they need.  ``best`` > 0 keeps for each row only so many
     larger partners, those whose bound exceeds what is needed by most.
     """
     m = len(n)
@@ -284,8 +286,12 @@ def page_pairs(n: np.ndarray, points: np.ndarray, percent: int, component: np.nd
         left, right, slack = [], [], []
         for j in pages:
             c, d = starts[j], min(starts[j] + PAGE, m)
-            over = overlap_bound(points[a:b], points[c:d]) - needed(n[a:b, None], n[None, c:d], percent)
-            x, y = np.nonzero(over >= 0)
+            least = needed(n[a:b, None], n[None, c:d], percent)
+            over = overlap_bound(points[a:b], points[c:d]) - least
+            may = over >= 0
+            if rest is not None:
+                may &= np.minimum(rest[a:b, None], rest[None, c:d]) >= least
+            x, y = np.nonzero(may)
             over = over[x, y]
             x, y = x + a, y + c
             use = x < y
@@ -312,13 +318,18 @@ def _most(x: np.ndarray, y: np.ndarray, slack: np.ndarray, best: int) -> tuple[n
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (group, size) to pairs of different components that may link."""
+    """Rows sorted by (group, size) to pairs of different components that may link.
+
+    All that a pair shares comes at or after the first shingle it shares, so in that
+    shingle's group the shorter of the two remainders reaches the overlap it needs.
+    """
     rest: pa.Table | None = None
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
-        group, node, n, component, part = (table.column(c).to_numpy() for c in ("group", "node", "n", "component", "part"))
-        points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+        group, node, n, component, part, pos = (table.column(c).to_numpy() for c in ("group", "node", "n", "component", "part", "pos"))
+        rest_of = n - pos
+        points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS)
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         sizes = np.diff(np.r_[starts, len(group)])
         left: list[np.ndarray] = []
@@ -339,8 +350,9 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> I
                 some = base[at : at + max(1, 100_000 // len(x)), None]
                 p, q = (some + x).ravel(), (some + y).ravel()
                 ok = (component[p] != component[q]) & (100 * n[p] >= percent * n[q])
+                ok &= np.minimum(rest_of[p], rest_of[q]) >= needed(n[p], n[q], percent)
                 p, q = p[ok], q[ok]
-                over = np.minimum(points[p], points[q]).sum(axis=1) - needed(n[p], n[q], percent)
+                over = np.minimum(points[p], points[q]).sum(axis=1, dtype=np.int64) - needed(n[p], n[q], percent)
                 ok = over >= 0
                 p, q = _most(p[ok], q[ok], over[ok] / n[p[ok]], best)
                 left.append(p)
@@ -348,7 +360,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> I
         for s, m in zip(starts[~small], sizes[~small], strict=True):
             parts = part[s : s + m]
             split = parts if parts.min() != parts.max() else None
-            for p, q in page_pairs(n[s : s + m], points[s : s + m], percent, component[s : s + m], split, best):
+            for p, q in page_pairs(n[s : s + m], points[s : s + m], percent, component[s : s + m], split, best, rest_of[s : s + m]):
                 left.append(p + s)
                 right.append(q + s)
                 if sum(map(len, left)) > 500_000:
@@ -377,7 +389,7 @@ def _grouped(rows: DataFrame, counts: DataFrame) -> DataFrame:
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = F.when(F.col("parts") == 1, F.col("item")).otherwise(F.xxhash64("item", F.least("part", "other"), F.greatest("part", "other")))
-    return rows.select(key.alias("group"), "node", "part")
+    return rows.select(key.alias("group"), "node", "part", "pos")
 
 
 def _marked(nodes: DataFrame, joined: DataFrame) -> DataFrame:
@@ -393,7 +405,7 @@ def _may_link(meeting: DataFrame, marked: DataFrame, percent: int, best: int) ->
     mixed_groups = known.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("group")
     rows = meeting.join(mixed_groups, "group", "left_semi").join(facts, "node")
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group", "n", "node")
-    rows = rows.select("group", "node", "n", "component", "part", "point")
+    rows = rows.select("group", "node", "n", "component", "part", "pos", "point")
     return rows.mapInArrow(lambda it: _candidates(it, percent, best), PAIRS).distinct()
 
 
