@@ -104,7 +104,7 @@ def chunk_manifest(t):
     )
 
 
-shared("referenced_ids", "SET-04", "JOIN-27", "SNK-09", sql="SELECT doc_id FROM documents WHERE doc_id % 3 = 0 UNION SELECT doc_id FROM labels UNION SELECT item_id AS doc_id FROM benchmark")
+shared("referenced_ids", "SET-04", "JOIN-27", "SNK-09", sql="SELECT doc_id FROM documents UNION SELECT doc_id FROM labels UNION SELECT item_id AS doc_id FROM benchmark")
 shared("unreferenced_documents", "JOIN-27", "STM-18", sql="SELECT d.doc_id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL")
 shared("nullable_owner_memory", "JOIN-06", "JOIN-26", sql="SELECT b.item_id, d.doc_id AS owner FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id AND b.item_id % 2 = 0 WHERE d.doc_id IS NULL OR NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)")
 shared("bijection_failures", "JOIN-23", "SET-03", sql="SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NULL AS no_document, l.doc_id IS NULL AS no_label FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")

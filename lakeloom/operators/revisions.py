@@ -64,17 +64,16 @@ def review_status(t):
 
 @query(
     "revision_diff", "JOIN-18", "JOIN-19", "VER-01", "JOIN-28",
-    oracle="""WITH base AS (SELECT doc_id, sha256(text) AS sha, source, length(text) AS n FROM documents),
-a AS (SELECT * FROM base WHERE doc_id % 2 = 0), b AS (SELECT doc_id, sha, source, n FROM base WHERE doc_id % 3 = 0),
+    oracle="""WITH a AS (SELECT doc_id, sha256(text) AS sha, source FROM documents), b AS (SELECT doc_id, sha256(regexp_replace(text, '[0-9]', '', 'g')) AS sha, source FROM documents),
 au AS (SELECT * FROM a QUALIFY count(*) OVER (PARTITION BY sha) = 1), bu AS (SELECT * FROM b QUALIFY count(*) OVER (PARTITION BY sha) = 1)
 SELECT coalesce(au.doc_id, -1) AS before_id, coalesce(bu.doc_id, -1) AS after_id,
 CASE WHEN au.doc_id IS NULL THEN 'added' WHEN bu.doc_id IS NULL THEN 'removed' WHEN au.doc_id = bu.doc_id THEN 'exact' ELSE 'moved' END AS kind, au.source IS DISTINCT FROM bu.source AS context_changed FROM au FULL JOIN bu ON au.sha = bu.sha""",
 )
 def revision_diff(t):
-    """Blocks of two revisions matched by content that is unique on either side."""
-    base = t("documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "source")
+    """All texts and their revision without digits, matched by content that is unique on either side."""
+    sha = lambda x: t("documents").select("doc_id", F.sha2(x.cast("binary"), 256).alias("sha"), "source")
     once = lambda d: d.withColumn("c", F.count("*").over(Window.partitionBy("sha"))).filter("c = 1").drop("c")
-    a, b = once(base.filter("doc_id % 2 = 0")).alias("a"), once(base.filter("doc_id % 3 = 0")).alias("b")
+    a, b = once(sha(F.col("text"))).alias("a"), once(sha(F.regexp_replace("text", "[0-9]", ""))).alias("b")
     kind = F.when(F.col("a.doc_id").isNull(), "added").when(F.col("b.doc_id").isNull(), "removed").when(F.col("a.doc_id") == F.col("b.doc_id"), "exact").otherwise("moved")
     rows = a.join(b, F.col("a.sha") == F.col("b.sha"), "full")
     return rows.select(F.coalesce("a.doc_id", F.lit(-1)).alias("before_id"), F.coalesce("b.doc_id", F.lit(-1)).alias("after_id"), kind.alias("kind"), (~F.col("a.source").eqNullSafe(F.col("b.source"))).alias("context_changed"))
@@ -86,4 +85,4 @@ shared("index_refresh", "SNK-06", "VER-05", sql="SELECT doc_id, CASE WHEN lang =
 shared("issue_resolution", "VER-14", sql="SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 shared("unit_chunks", "TRN-01", "TRN-02", "WIN-08", "SRT-04", sql="SELECT doc_id, n_chars, (n_chars + 999) / 1000 >= 2 AS split, greatest(1, CAST(ceil(n_chars / 1000.0) AS BIGINT)) AS units, substr(text, 1001, 20) AS second_unit FROM documents")
 shared("priority_truncation", "SRT-07", "SRT-06", sql="SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, turn) AS n FROM conversations) x WHERE n <= 3")
-shared("set_differences", "SET-02", "SET-06", sql="SELECT source, lang FROM documents WHERE doc_id % 2 = 0 EXCEPT SELECT source, lang FROM documents WHERE doc_id % 2 = 1 AND n_chars > 4000")
+shared("set_differences", "SET-02", "SET-06", sql="SELECT source, lang FROM documents EXCEPT SELECT source, lang FROM documents WHERE n_chars > 4000")

@@ -55,13 +55,13 @@ def repetition_flags(t):
 
 @query(
     "phrase_terms", "AGG-12", "SRT-06", "TRN-05",
-    oracle="""WITH w AS (SELECT doc_id, unnest(range(len(x))) AS pos, x FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z-]+') AS x FROM documents WHERE doc_id % 4 = 0)),
+    oracle="""WITH w AS (SELECT doc_id, unnest(range(len(x))) AS pos, x FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z-]+') AS x FROM documents)),
 p AS (SELECT doc_id, pos, lower(x[pos + 1] || ' ' || x[pos + 2]) AS term FROM w WHERE pos + 2 <= len(x)),
 g AS (SELECT doc_id, term, count(*) AS n, min(pos) AS first_at FROM p GROUP BY doc_id, term HAVING count(*) >= 2)
 SELECT doc_id, term, n, first_at FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) <= 5""",
 )
 def phrase_terms(t):
-    x = t("documents").filter("doc_id % 4 = 0").select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z-]+"), 0).alias("x")).filter(F.size("x") >= 2)
+    x = t("documents").select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z-]+"), 0).alias("x")).filter(F.size("x") >= 2)
     p = x.select("doc_id", F.posexplode(F.zip_with(F.slice("x", F.lit(1), F.size("x") - 1), F.slice("x", F.lit(2), F.size("x") - 1), lambda a, b: F.lower(F.concat(a, F.lit(" "), b)))).alias("at", "term"))
     g = p.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("at").cast("long").alias("first_at")).filter("n >= 2")
     best = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "term")
@@ -88,9 +88,9 @@ def term_impact(t):
     return t("documents").select("doc_id", flat.alias("flat")).select(F.explode(hits).alias("term"), "doc_id")
 
 
-@query("character_multiset", "AGG-10", oracle="WITH c AS (SELECT lang, unnest(string_split(regexp_replace(lower(text), '[^a-z]', '', 'g'), '')) AS letter FROM documents WHERE doc_id % 10 = 0) SELECT lang, letter, count(*) AS n FROM c WHERE letter <> '' GROUP BY lang, letter")
+@query("character_multiset", "AGG-10", oracle="WITH c AS (SELECT lang, unnest(string_split(regexp_replace(lower(text), '[^a-z]', '', 'g'), '')) AS letter FROM documents) SELECT lang, letter, count(*) AS n FROM c WHERE letter <> '' GROUP BY lang, letter")
 def character_multiset(t):
-    c = t("documents").filter("doc_id % 10 = 0").select("lang", F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "")).alias("letter"))
+    c = t("documents").select("lang", F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "")).alias("letter"))
     return c.filter("letter <> ''").groupBy("lang", "letter").agg(F.count("*").alias("n"))
 
 
