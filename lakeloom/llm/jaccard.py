@@ -410,7 +410,12 @@ def _may_link(meeting: DataFrame, marked: DataFrame, percent: int, best: int) ->
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, k1, k2, n_shingles, component_id)`` of every document."""
+    """``(doc_id, k1, k2, n_shingles, component_id, component)`` of every document.
+
+    ``component_id`` is a name, which unlinked components can share (ids may repeat
+    or be null); ``component`` is the least node hash of the component itself, null
+    without shingles.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     k1, k2 = row_keys()
     texts = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), text_bytes().alias("text"))
@@ -450,10 +455,10 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     names = reps.select("node", "least").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = names.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = names.select("node", "component").join(least, "component").select("node", "component_id")
+    named = names.select("node", "component").join(least, "component").select("node", "component_id", "component")
     out = rows.withColumnRenamed("n", "n_shingles")
-    full = out.filter("n_shingles > 0").join(named, "node").select("doc_id", "k1", "k2", "n_shingles", "component_id")
-    empty = out.filter("n_shingles = 0").select("doc_id", "k1", "k2", "n_shingles", F.col("doc_id").alias("component_id"))
+    full = out.filter("n_shingles > 0").join(named, "node").select("doc_id", "k1", "k2", "n_shingles", "component_id", "component")
+    empty = out.filter("n_shingles = 0").select("doc_id", "k1", "k2", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     return full.union(empty)
 
 
@@ -465,9 +470,8 @@ def distinct_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     """
     k1, k2 = row_keys()
     found = staged(link_components(docs, width, percent), "components")
-    keep = found.filter("n_shingles > 0").groupBy(F.coalesce("component_id", F.lit(-(2**63))).alias("c"), F.col("component_id").isNull().alias("none"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    keep = keep.agg(F.min(first).alias("r")).select("r.k1", "r.k2")
+    keep = found.filter("n_shingles > 0").groupBy("component").agg(F.min(first).alias("r")).select("r.k1", "r.k2")
     d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = d.select("row", k1.alias("k1"), k2.alias("k2"))
     kept = keyed.join(keep.union(found.filter("n_shingles = 0").select("k1", "k2").distinct()), ["k1", "k2"], "left_semi")

@@ -130,6 +130,14 @@ def test_one_document_of_each_group_stays(spark):
     assert sum(not sets(r["text"], 4) for r in kept.collect()) == sum(not sets(r[1], 4) for r in data)
 
 
+def test_components_that_share_a_name_stay_apart(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    data = [(i, text(w), None, None, None) for i, w in [(None, "a"), (None, "b"), (None, "b"), (7, "c"), (7, "d"), (8, "d"), (None, "e"), (9, "e")]]
+    kept = jaccard.distinct_documents(documents(spark, data), 4, 85).collect()
+    want = [(7, text("c")), (7, text("d")), (9, text("e")), (None, text("a")), (None, text("b"))]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted((str(i), x) for i, x in want)
+
+
 def test_query(spark, small):
     data = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     out = jaccard.op5_jaccard_components(spark, small)
