@@ -113,27 +113,43 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-def rank_memory(memory: DataFrame, queries: DataFrame, k: int, least: float = 0.35) -> DataFrame:
-    """Items that contain a query (casefolded) or reach ``least``; the k best by ratio, id.
+def difference(query: str, text: str) -> str:
+    """The ndiff report of two texts as one line each; empty if they are equal."""
+    return "\n".join(difflib.ndiff([query], [text])) if query != text else ""
 
-    The queries are a bounded set; each partition of the memory keeps its k best.
+
+def rank_memory(memory: DataFrame, queries: DataFrame, least: float = 0.35) -> DataFrame:
+    """All other items that contain a query (casefolded) or reach ``least``, by ratio, id.
+
+    An empty query selects every item, without a ratio.  Pairs come from a cross
+    join and stream through the kernel; neither side is gathered in Python.
     """
-    asked = [(r["query_id"], r["text"]) for r in queries.orderBy("query_id").limit(1000).collect()]
 
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher, last = difflib.SequenceMatcher(None, autojunk=False), None
         for f in frames:
             rows = []
-            for q, text in asked:
-                got = [(round(ratio(text, m), 6), i) for i, m in zip(f["item_id"], f["text"], strict=True) if i != q and m is not None]
-                got = [(r, i) for r, i in got if r >= least]
-                rows += [(q, i, r) for r, i in sorted(got, key=lambda x: (-x[0], x[1]))[:k]]
-            yield pd.DataFrame(rows, columns=["query_id", "item_id", "similarity"])
+            for q, query, i, text in zip(f["query_id"], f["query"], f["item_id"], f["text"], strict=True):
+                if not query:
+                    rows.append((q, i, None, None))
+                    continue
+                if text != last:  # the matcher keeps what it knows of its second text
+                    matcher.set_seq2(text)
+                    last = text
+                matcher.set_seq1(query)
+                similarity = matcher.ratio()
+                if similarity >= least or query.casefold() in text.casefold():
+                    rows.append((q, i, similarity, difference(query, text)))
+            yield pd.DataFrame(rows, columns=["query_id", "item_id", "similarity", "difference"])
 
     from pyspark.sql import Window
 
-    hits = memory.select("item_id", "text").mapInPandas(best, "query_id long, item_id long, similarity double")
+    parts = int(memory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    items = memory.filter("text IS NOT NULL").select("item_id", "text").repartition(parts, "item_id")
+    pairs = items.crossJoin(queries.select("query_id", F.col("text").alias("query"))).filter("item_id <> query_id")
+    found = pairs.select("query_id", "query", "item_id", "text").mapInPandas(hits, "query_id long, item_id long, similarity double, difference string")
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "item_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order))
 
 
 # -- structured text -------------------------------------------------------------------------

@@ -135,9 +135,8 @@ def masked_text(t):
 
 @query("similar_memory", "SRT-09", "STR-41", "FN-20")
 def similar_memory(t):
-    """Reviewed items ranked against each other's first sentence; similarity needs Python."""
-    q = t("benchmark").filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "text")
-    return X.rank_memory(t("benchmark"), q, k=5)
+    """Every reviewed item asks all others; similarity and the diff report need Python."""
+    return X.rank_memory(t("benchmark"), t("benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
 @query("salvaged_json", "SRC-07", "SRC-08", "FLT-20")

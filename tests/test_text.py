@@ -45,3 +45,24 @@ def test_inline_tokens():
 
 def test_core_keeps_letters_only():
     assert X.core("Ünïted ﬁle №5") == "unitedfileno5"
+
+
+def test_memory_keeps_every_hit(spark):
+    short = "A Short Query"
+    texts = ["intro " * 40 + short.upper() + " outro" * 40, *[f"{short} {i}" for i in range(7)], "0123456789" * 3]
+    memory = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    asked = spark.createDataFrame([(1000 + i, short) for i in range(1001)], "query_id long, text string")
+    assert X.ratio(short, texts[0]) < 0.35
+    out = X.rank_memory(memory, asked).collect()
+    want = sorted(range(8), key=lambda i: (-X.ratio(short, texts[i]), i))
+    got = sorted((r["query_id"], r["rank"], r["item_id"]) for r in out)
+    assert got == [(q, n + 1, i) for q in range(1000, 2001) for n, i in enumerate(want)]
+    assert {r["difference"] for r in out if r["item_id"] == 3} == {"- A Short Query\n+ A Short Query 2\n?              ++\n"}
+
+
+def test_every_item_asks(spark, tmp_path):
+    from lakeloom import plans
+
+    spark.createDataFrame([(i, "the same words") for i in range(3, 10)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = plans.load()["similar_memory"](spark, str(tmp_path)).collect()
+    assert len(out) == 7 * 6 and {r["query_id"] for r in out} == set(range(3, 10)) and {r["difference"] for r in out} == {""}
