@@ -35,7 +35,7 @@ def fair_claim_order(t):
     pending = all_tasks.filter("flag = 'N'").withColumn("turn", F.row_number().over(turn))
     jobs = t("orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("created"))
     rows = pending.join(jobs, "job_id").join(last, "job_id", "left").withColumn("since", F.coalesce("claimed", "created"))
-    return rows.orderBy("turn", "since", "created", "job_id", "task_no").limit(500).select("job_id", "task_no", "turn")
+    return rows.orderBy("turn", "since", "created", "job_id", "task_no").select("job_id", "task_no", "turn")
 
 
 @query(
