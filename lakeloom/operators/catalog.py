@@ -107,7 +107,6 @@ def chunk_manifest(t):
 shared("referenced_ids", "SET-04", "JOIN-27", "SNK-09", sql="SELECT doc_id FROM documents UNION SELECT doc_id FROM labels UNION SELECT item_id AS doc_id FROM benchmark")
 shared("unreferenced_documents", "JOIN-27", "STM-18", sql="SELECT d.doc_id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL")
 shared("nullable_owner_memory", "JOIN-06", "JOIN-26", sql="SELECT b.item_id, d.doc_id AS owner FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id AND b.item_id % 2 = 0 WHERE d.doc_id IS NULL OR NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)")
-shared("bijection_failures", "JOIN-23", "SET-03", sql="SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NULL AS no_document, l.doc_id IS NULL AS no_label FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
 shared("unique_key_audit", "AGG-23", sql="SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 shared("language_pairs", "STR-39", sql="SELECT DISTINCT a.lang AS source, b.lang AS target FROM (SELECT DISTINCT lang FROM documents) a JOIN (SELECT DISTINCT lang FROM documents) b ON a.lang <> b.lang")
 shared("quality_summary", "AGG-06", "AGG-25", sql="SELECT d.lang, count(CASE WHEN l.quality = 0 THEN 1 END) AS errors, count(CASE WHEN l.toxic = 1 THEN 1 END) AS warnings, count(*) AS checked, CASE WHEN count(CASE WHEN l.quality = 0 THEN 1 END) > 0 THEN 'attention' ELSE 'completed' END AS state FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.lang")
@@ -123,3 +122,11 @@ def snapshot_conflicts(t):
 def latest_metadata(t):
     newest = Window.partitionBy("user_id", "event_type").orderBy(F.col("ts").desc(), F.col("event_id").desc())
     return t("events").select("user_id", "event_type", "event_id", "ts").withColumn("n", F.row_number().over(newest)).filter("n = 1").select("user_id", "event_type", "event_id")
+
+
+@query("bijection_failures", "JOIN-23", "SET-03", oracle="SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NULL AS no_document, l.doc_id IS NULL AS no_label FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
+def bijection_failures(t):
+    """Documents without a label and labels without a document, of the whole tables."""
+    d = t("documents").select("doc_id", F.lit(True).alias("d"))
+    both = d.join(t("labels").select("doc_id").distinct().withColumn("l", F.lit(True)), "doc_id", "full")
+    return both.filter("d IS NULL OR l IS NULL").select("doc_id", F.col("d").isNull().alias("no_document"), F.col("l").isNull().alias("no_label"))

@@ -12,3 +12,10 @@ def test_every_pending_task_is_claimed(spark, tmp_path):
     spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double, l_shipdate date").write.parquet(str(tmp_path / "lineitem.parquet"))
     out = plans.load()["fair_claim_order"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in out] == [(j, n, n) for n in (1, 2) for j in range(600)]
+
+
+def test_odd_documents_are_compared(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,), (3,), (4,)], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2,), (3,), (3,), (5,)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
+    out = plans.load()["bijection_failures"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, out)) == [(1, False, True), (4, False, True), (5, True, False)]
