@@ -69,7 +69,8 @@ def encoder(path: str):
 
     The merges run in tiktoken, which gives the same ids as tokenizers for a
     ByteLevel BPE (ranks are the merge order) several times faster; the tests
-    compare the two.  Special tokens' strings count as ordinary text.
+    compare the two.  The file's added tokens are recognised in a text, as
+    tokenizers does by default.
     """
     import json
 
@@ -77,15 +78,18 @@ def encoder(path: str):
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model, added = file["model"], file.get("added_tokens") or []
+    if odd := [t["content"] for t in added if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+        raise ValueError(f"added tokens that take more than their own string: {odd}")
     # ByteLevel BPE writes bytes as printable characters: the printable ones as
     # themselves, the others as code points from 256 on, in byte order.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
     merged = {a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])}
     ranks = {bytes(letters[c] for c in piece): i for piece, i in model["vocab"].items() if piece in merged or (len(piece) == 1 and piece in letters)}
-    core = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: core.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+    core = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})
+    return lambda text: core.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, sequence: int, end_id: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,16 @@ def test_ids_are_those_of_tokenizers(spark, small):
         assert packing.encoder(packing.default_vocabulary())(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_recognised():
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(packing.default_vocabulary()), packing.encoder(packing.default_vocabulary())
+    assert encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+    texts = [r[1] or "" for r in rows()] + ["<|endoftext|>", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n y", "<|endoftext", "<<|endoftext|>>  z", "don't<|ENDOFTEXT|>"]
+    for text in texts:
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def check(out, data, sequence=1024):
     encode = packing.encoder(packing.default_vocabulary())
     by_text = defaultdict(list)
