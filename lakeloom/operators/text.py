@@ -111,7 +111,7 @@ def title_overlap(t):
     # words meet in an equi-join; pairs are counted from shared words
     long = w.select("item_id", F.size("x").alias("n"), F.explode("x").alias("word"))
     pairs = long.alias("a").join(long.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.item_id") < F.col("b.item_id")))
-    return pairs.groupBy(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.col("a.n").alias("n")).agg(F.count("*").alias("same")).filter("4 * same >= n").select("a", "b", "same")
+    return pairs.groupBy(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.col("a.n").alias("n")).agg(F.count("*").alias("same")).filter("4 * same >= 3 * n").select("a", "b", "same")
 
 
 @query("canonical_digest", "FN-05", "EXT-03", "FN-24", oracle="""SELECT doc_id, sha256('{"doc_id":' || CAST(doc_id AS VARCHAR) || ',"lang":"' || lang || '","source":"' || source || '"}') AS digest, strlen(text) + 4096 <= 8192 AS fits FROM documents""")

@@ -19,3 +19,9 @@ def test_odd_documents_are_compared(spark, tmp_path):
     spark.createDataFrame([(2,), (3,), (3,), (5,)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
     out = plans.load()["bijection_failures"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, out)) == [(1, False, True), (4, False, True), (5, True, False)]
+
+
+def test_titles_match_from_three_quarters(spark, tmp_path):
+    texts = ["one two three four", "one two three five", "one two six seven", "one eight nine ten"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [tuple(r) for r in plans.load()["title_overlap"](spark, str(tmp_path)).collect()] == [(0, 1, 3)]
