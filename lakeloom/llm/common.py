@@ -8,9 +8,11 @@ is absent (tests, local shells).
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,13 +22,20 @@ from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
+#: rows of staged tables are wide: so many go to a Python worker at once
+ARROW_ROWS = 2500
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share for intermediate tables."""
+    """The folder that driver and executors share for intermediate tables.
+
+    A cluster has to name it: a folder of this machine is made only for a local master.
+    """
     for value in (spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getCheckpointDir()):
         if value:
             return value.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = f"file://{tempfile.mkdtemp(prefix='lakeloom-')}"
@@ -34,6 +43,9 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
@@ -42,10 +54,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lakeloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    rows = spark.conf.get(_ROWS)
+    try:
+        spark.conf.set(_ROWS, min(int(rows), ARROW_ROWS) if int(rows) > 0 else ARROW_ROWS)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ROWS, rows)
     _WRITTEN.append((spark, path))
-    # the write's shuffle files go once the driver's JVM has noticed that nothing refers to them
-    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
@@ -62,6 +77,8 @@ def release(*tables: DataFrame) -> None:
     for table in tables:
         _WRITTEN.remove((table.sparkSession, table.staged_path))
         _delete(table.sparkSession, table.staged_path)
+    # shuffle files behind them go once the driver's JVM has noticed that nothing refers to them
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def drop_staged() -> None:
@@ -76,6 +93,37 @@ def drop_staged() -> None:
 atexit.register(drop_staged)
 
 
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    """The C library, told to take blocks of 2 MB and more from the system and to hand them back."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD: fixed, it would grow with the blocks that are freed
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library: memory is given back as that one sees fit
+        return None
+    return libc
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for ``mapInArrow`` in a worker that does not keep memory between tasks.
+
+    Workers are used again by later tasks; what an allocator keeps for itself
+    would count against the executor as long as they live.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = _libc()
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return run
+
+
 def text_bytes(column: str | Column = "text") -> Column:
     """A text as UTF-8 bytes; null counts as empty."""
     c = F.col(column) if isinstance(column, str) else column

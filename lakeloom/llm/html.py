@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import record_batch, slices, text_bytes
+from .common import lean, record_batch, slices, text_bytes
 
 BATCH_BYTES = 8 << 20
 MAX_DEPTH = 200
@@ -298,7 +298,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, html)`` to ``(page_id, url, text, n_chars)``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_bytes("html").alias("html"))
-    return rows.mapInArrow(_extract, EXTRACTED)
+    return rows.mapInArrow(lean(_extract), EXTRACTED)
 
 
 def op7_main_text(spark, sf_dir: str) -> DataFrame:

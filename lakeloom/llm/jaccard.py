@@ -1,4 +1,4 @@
-"""Exact n-gram Jaccard join with count vectors in packed R-tree pages.
+"""Exact n-gram Jaccard join with count vectors in an R-tree.
 
 A document is the set of its word shingles (64-bit hashes).  Documents with equal
 sets are one node.  Two nodes link when their Jaccard similarity reaches the
@@ -12,10 +12,14 @@ threshold; the result is the components of these links.
    band.  What links there is merged first, so that a large group of near copies
    is never paired all with all.
 3. Exact pass: nodes of different components that share a prefix shingle meet.
-   Their shingles are hashed into ``GROUPS`` groups; the group counts are points,
-   packed by size into R-tree pages with their bounding boxes.  The overlap of two
-   points, or of two boxes, is at most the sum of the coordinate-wise minima;
-   pages and pairs that cannot reach the overlap their sizes demand are dropped.
+   Their shingles are hashed into ``GROUPS`` groups; the group counts are points.
+   The points of a meeting are bulk-loaded into an R-tree: halved again and again,
+   by size while a box spans sizes that cannot link, else by the coordinate that
+   spreads most, down to pages of ``PAGE`` points; every box keeps its lower and
+   upper corner.  Two subtrees are walked together only while their boxes allow a
+   link: the overlap is at most the sum of the coordinate-wise minima of the upper
+   corners, and what the lower corner of one exceeds the upper corner of the other
+   by is missing from it.  In pages that meet, points are bounded the same way.
    For the pairs left, the first ``FINE`` groups are cut into 2**32 finer ones each
    and the minima summed again: the longer the texts, the less the coarse groups tell.
    Each node first proposes its likeliest partners only; what they verify is
@@ -23,8 +27,12 @@ threshold; the result is the components of these links.
 4. Surviving pairs are verified on the sets themselves, recomputed from the two
    texts.
 
-A shingle shared by more than ``GROUP_ROWS`` nodes is split into parts, and every
-pair of parts is a group of its own: memory is bounded and no pair is left out.
+A shingle shared by more than ``GROUP_ROWS`` nodes is cut into tiles by size, the
+first level of a tree over all its nodes; a tile is copied to those tiles only
+whose sizes can link with its own, and every such pair of tiles is a meeting of
+its own: memory is bounded and no pair is left out.  (Among n nodes of like size
+and different components that all share their rarest shingle, every tile still
+meets every other; what they have in common decides that, not the corpus.)
 
 Defined cases: a text without words, or null, has no shingles, links with nothing
 and is its own component; fewer words than a shingle make one shingle of them
@@ -39,11 +47,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_parts, record_batch, release, slices, staged, text_bytes
+from .common import binary_parts, lean, record_batch, release, slices, staged, text_bytes
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -52,7 +60,7 @@ GROUPS = 128
 #: of these, the groups that a second bound refines
 FINE = 16
 BANDS, ROWS = 8, 3
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: a shingle is frequent if at least this share of documents has it (and LEAST_FREQUENT do)
 FREQUENT_SHARE = 1 / 2000
 LEAST_FREQUENT = 40
@@ -62,6 +70,10 @@ GROUP_ROWS = 4096
 LIKELIEST = 4
 PROPOSALS = 1
 PAGE = 32
+#: shingles of whole texts that a worker counts at a time
+COUNTED = 2_000_000
+#: pairs of a text that travel with one copy of it
+PAIRS_PER_COPY = 256
 
 SKETCH = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -106,7 +118,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         items, offsets = shingle_sets(*binary_parts(batch.column("text")), width)
         held.append(items.astype(np.int64))
         size, docs = size + len(items), docs + len(offsets) - 1
-        if size > 4_000_000:
+        if size > COUNTED:
             flush()
     flush()
     yield record_batch({"token": np.fromiter(found, np.int64, len(found)), "n": np.fromiter(found.values(), np.int64, len(found))}, TOKENS)
@@ -115,7 +127,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
     """Sorted hashes of frequent shingles; bounded, for ordering only."""
     n = texts.count()
-    counts = texts.mapInArrow(lambda it: _frequent(it, width), TOKENS).groupBy("token").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(lean(lambda it: _frequent(it, width)), TOKENS).groupBy("token").agg(F.sum("n").alias("n"))
     often = counts.filter(F.col("n") >= max(LEAST_FREQUENT, int(n * FREQUENT_SHARE)))
     rows = often.orderBy(F.col("n").desc(), "token").limit(MOST_FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64)
     return np.sort(rows.view(np.uint64))
@@ -191,7 +203,7 @@ def _longs(batches: Iterator[pa.RecordBatch], column: str, schema: T.StructType)
 
 def _unfolded(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("item", T.LongType()), T.StructField("pos", T.IntegerType())])
-    return df.select(*keep, column).mapInArrow(lambda it: _longs(it, column, schema), schema)
+    return df.select(*keep, column).mapInArrow(lean(lambda it: _longs(it, column, schema)), schema)
 
 
 def _verified(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -209,19 +221,38 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> It
         yield record_batch({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")}, PAIRS)
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs of nodes that link, by their sets.
+def _copies(pairs: DataFrame) -> DataFrame:
+    """(Staged) nodes that are in many pairs, by side, with how many copies of their facts travel."""
+    sides = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("node")) for side in "ab")))
+    often = pairs.select(sides.alias("s")).groupBy("s.side", "s.node").agg(F.ceil(F.count("*") / F.lit(PAIRS_PER_COPY)).cast("int").alias("copies"))
+    return staged(often.filter("copies > 1"), "copies")
+
+
+def _dealt(pairs: DataFrame, key: str, facts: DataFrame, copies: DataFrame) -> DataFrame:
+    """``pairs`` with the facts of their node ``key``, in as many copies as it has.
+
+    Spark broadcasts ``copies`` only while its files are under the session's threshold.
+    """
+    often, many = copies.filter(F.col("side") == key).drop("side"), F.coalesce("copies", F.lit(1))
+    other = "b" if key == "a" else "a"
+    salted = pairs.join(often.withColumnRenamed("node", key), key, "left").withColumn("salt", F.pmod(F.xxhash64(other), many).cast("int")).drop("copies")
+    copied = facts.join(often, "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("copies")
+    return salted.join(copied.withColumnRenamed("node", key), [key, "salt"]).drop("salt")
+
+
+def _verify(pairs: DataFrame, copies: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The (staged) pairs of nodes that link, by their sets.
 
     Texts travel, not sets: Spark compresses them to a fraction of the hashes.
     """
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     reps = nodes.join(wanted, "node", "left_semi").select("node", "k1", "k2").dropDuplicates(["node"])
     k1, k2 = row_keys()
-    kept = staged(docs.select(k1.alias("k1"), k2.alias("k2"), "text").join(reps, ["k1", "k2"]).select("node", text_bytes().alias("text")), "texts")
-    texts = kept.dropDuplicates(["node"])
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    links = staged(both.mapInArrow(lambda it: _verified(it, width, percent), PAIRS), "links")
-    release(kept)
+    kept = docs.select(k1.alias("k1"), k2.alias("k2"), "text").join(reps, ["k1", "k2"]).select("node", text_bytes().alias("text"))
+    texts = staged(kept.dropDuplicates(["node"]), "texts")
+    both = _dealt(_dealt(pairs, "a", texts.withColumnRenamed("text", "x"), copies), "b", texts.withColumnRenamed("text", "y"), copies)
+    links = staged(both.select("a", "b", "x", "y").mapInArrow(lean(lambda it: _verified(it, width, percent)), PAIRS), "links")
+    release(texts)
     return links
 
 
@@ -247,13 +278,13 @@ def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield record_batch({c: batch.column(c).filter(keep) for c in ("a", "b")}, PAIRS)
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, copies: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose points allow a link: texts are fetched for these only."""
     facts = nodes.select("node", "n", "point", "fine").dropDuplicates(["node"])
-    a = facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("x"), F.col("fine").alias("fx"))
-    b = facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("y"), F.col("fine").alias("fy"))
-    both = pairs.join(a, "a").join(b, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return both.select("a", "b", "na", "nb", "x", "y", "fx", "fy").mapInArrow(lambda it: _bounded(it, percent), PAIRS)
+    a = facts.select("node", F.col("n").alias("na"), F.col("point").alias("x"), F.col("fine").alias("fx"))
+    b = facts.select("node", F.col("n").alias("nb"), F.col("point").alias("y"), F.col("fine").alias("fy"))
+    both = _dealt(_dealt(pairs, "a", a, copies), "b", b, copies).filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    return both.select("a", "b", "na", "nb", "x", "y", "fx", "fy").mapInArrow(lean(lambda it: _bounded(it, percent)), PAIRS)
 
 
 def overlap_bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -261,60 +292,148 @@ def overlap_bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.minimum(p[:, None, :], q[None, :, :]).sum(axis=2, dtype=np.int64)
 
 
-def page_pairs(n: np.ndarray, points: np.ndarray, percent: int, component: np.ndarray | None = None, split: np.ndarray | None = None, best: int = 0, rest: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (sorted by size) whose points allow a link, page by page.
+class Tree:
+    """Points bulk-loaded into a binary R-tree with lower and upper corners.
+
+    ``order`` lists the rows page by page; box ``i`` holds ``order[start[i]:end[i]]`` and
+    its children are boxes ``child[i]`` and ``child[i] + 1`` (a page has none: -1).
+    """
+
+    def __init__(self, n: np.ndarray, points: np.ndarray, percent: int, page: int):
+        order = np.argsort(n, kind="stable")
+        boxes, child = [(0, len(n))], []
+        for i, (a, b) in enumerate(boxes):  # grows while it is walked
+            if b - a <= page:
+                child.append(-1)
+                continue
+            rows = order[a:b]
+            sizes = n[rows]
+            if 100 * sizes.min() < percent * sizes.max():
+                by = sizes
+            else:
+                own = points[rows]
+                by = own[:, np.argmax(own.max(axis=0) - own.min(axis=0))]
+            middle = (b - a + page) // (2 * page) * page  # whole pages on the left
+            middle = min(max(middle, page), b - a - 1)
+            order[a:b] = rows[np.argpartition(by, middle)]
+            child.append(len(boxes))
+            boxes += [(a, a + middle), (a + middle, b)]
+        self.order, self.child = order, np.array(child)
+        self.start, self.end = np.array(boxes).T
+        self.low, self.high = self.over(points)
+        self.least, self.most = self.over(n)
+
+    def over(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest value in each box."""
+        rows = values[self.order]
+        low, high = (np.empty((len(self.start), *values.shape[1:]), values.dtype) for _ in range(2))
+        pages = np.flatnonzero(self.child < 0)
+        for i in pages:
+            low[i], high[i] = rows[self.start[i] : self.end[i]].min(axis=0), rows[self.start[i] : self.end[i]].max(axis=0)
+        for i in np.flatnonzero(self.child >= 0)[::-1]:  # children come after their parent
+            c = self.child[i]
+            low[i], high[i] = np.minimum(low[c], low[c + 1]), np.maximum(high[c], high[c + 1])
+        return low, high
+
+    def may_link(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs of boxes can hold points that link."""
+        ok = 100 * np.minimum(self.most[i], self.most[j]) >= percent * np.maximum(self.least[i], self.least[j])
+        for at in range(0, len(i), 4096):
+            x, y = i[at : at + 4096], j[at : at + 4096]
+            shared = np.minimum(self.high[x], self.high[y]).sum(axis=1, dtype=np.int64)
+            ok[at : at + 4096] &= shared >= needed(self.least[x], self.least[y], percent)
+            # low - high below zero wraps round in unsigned integers: compare, then subtract
+            apart = np.maximum(self.low[x], self.high[y]) - self.high[y] + np.maximum(self.low[y], self.high[x]) - self.high[x]
+            # |A or B| - |A and B| is at most this part of |A| + |B|
+            ok[at : at + 4096] &= (100 + percent) * apart.sum(axis=1, dtype=np.int64) <= (100 - percent) * (self.most[x] + self.most[y])
+        return ok
+
+    def page_pairs(self, allowed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of pages under boxes that ``allowed`` passes all the way down, some at a time."""
+        todo = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while todo:
+            i, j = todo.pop()
+            ok = allowed(i, j)
+            i, j = i[ok], j[ok]
+            leaf = (self.child[i] < 0) & (self.child[j] < 0)
+            if leaf.any():
+                yield i[leaf], j[leaf]
+            i, j = i[~leaf], j[~leaf]
+            if not len(i):
+                continue
+            same = i == j
+            c = self.child[i[same]]
+            left, right = [c, c, c + 1], [c, c + 1, c + 1]
+            i, j = i[~same], j[~same]
+            # of two boxes the one with more points is opened
+            size = self.end - self.start
+            first = (self.child[i] >= 0) & ((self.child[j] < 0) | (size[i] >= size[j]))
+            for k in (0, 1):
+                left += [self.child[i[first]] + k, i[~first]]
+                right += [j[first], self.child[j[~first]] + k]
+            left, right = np.concatenate(left), np.concatenate(right)
+            todo += [(left[at : at + 65536], right[at : at + 65536]) for at in range(0, len(left), 65536)]
+
+
+def point_pairs(n: np.ndarray, points: np.ndarray, percent: int, component: np.ndarray | None = None, split: np.ndarray | None = None, best: int = 0, rest: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows whose points allow a link, by a tree over the points.
 
     With ``component`` only pairs of different components count, with ``split``
     only pairs of different parts, with ``rest`` only pairs that both have so many
     shingles left as they need.  ``best`` > 0 keeps for each row only so many
-    larger partners, those whose bound exceeds what is needed by most.
+    partners, those whose bound exceeds what is needed by most.
     """
-    m = len(n)
-    starts = np.arange(0, m, PAGE)
-    if not m:
+    if len(n) < 2:
         return
-    tops = np.maximum.reduceat(points, starts, axis=0)
-    low, high = (f.reduceat(component, starts) for f in (np.minimum, np.maximum)) if component is not None else (starts, starts + 1)
-    for i, a in enumerate(starts):
-        b = min(a + PAGE, m)
-        # later pages hold larger sets: a link needs percent * larger <= 100 * smaller
-        reach = int(np.searchsorted(n, 100 * n[b - 1] // percent, side="right"))
-        pages = np.arange(i, -(-reach // PAGE))
-        pages = pages[(np.minimum(low[i], low[pages]) != np.maximum(high[i], high[pages]))]
-        least = needed(n[a], n[starts[pages]], percent)
-        pages = pages[np.minimum(tops[i], tops[pages]).sum(axis=1, dtype=np.int64) >= least]
-        left, right, slack = [], [], []
-        for j in pages:
-            c, d = starts[j], min(starts[j] + PAGE, m)
-            least = needed(n[a:b, None], n[None, c:d], percent)
-            over = overlap_bound(points[a:b], points[c:d]) - least
+    tree = Tree(n, points, percent, PAGE)
+    apart = [(tree.over(x), x) for x in (component, split) if x is not None]
+    remain = tree.over(rest)[1] if rest is not None else None
+
+    def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = tree.may_link(i, j, percent)
+        for (low, high), _ in apart:  # one value in both boxes: none of their pairs count
+            ok &= np.minimum(low[i], low[j]) != np.maximum(high[i], high[j])
+        if remain is not None:
+            ok &= np.minimum(remain[i], remain[j]) >= needed(tree.least[i], tree.least[j], percent)
+        return ok
+
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for pages in tree.page_pairs(allowed):
+        for i, j in zip(*pages, strict=True):
+            p, q = tree.order[tree.start[i] : tree.end[i]], tree.order[tree.start[j] : tree.end[j]]
+            least = needed(n[p, None], n[None, q], percent)
+            over = overlap_bound(points[p], points[q]) - least
             may = over >= 0
+            may &= 100 * np.minimum(n[p, None], n[None, q]) >= percent * np.maximum(n[p, None], n[None, q])
             if rest is not None:
-                may &= np.minimum(rest[a:b, None], rest[None, c:d]) >= least
+                may &= np.minimum(rest[p, None], rest[None, q]) >= least
+            for _, value in apart:
+                may &= value[p, None] != value[None, q]
+            if i == j:
+                may &= np.arange(len(p))[:, None] < np.arange(len(q))[None, :]
             x, y = np.nonzero(may)
-            over = over[x, y]
-            x, y = x + a, y + c
-            use = x < y
-            if component is not None:
-                use &= component[x] != component[y]
-            if split is not None:
-                use &= split[x] != split[y]
-            left.append(x[use])
-            right.append(y[use])
-            slack.append(over[use] / n[x[use]])
-        if left:
-            yield _most(np.concatenate(left), np.concatenate(right), np.concatenate(slack), best)
-
-
-def _most(x: np.ndarray, y: np.ndarray, slack: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each ``x`` the ``best`` partners by ``slack`` (all, if 0)."""
+            if len(x):
+                x, y, over = p[x], q[y], over[x, y]
+                smaller = np.where((n[x] < n[y]) | (n[x] == n[y]) & (x < y), x, y)
+                held.append((smaller, x + y - smaller, over / n[smaller]))
+        if held and not best:
+            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))[:2]
+            held = []
+        elif len(held) > 256:  # the best so far: what falls out here is among no later best
+            held = [_most(*(np.concatenate(c) for c in zip(*held, strict=True)), best)]
+    if held:
+        yield _most(*(np.concatenate(c) for c in zip(*held, strict=True)), best)[:2]
+
+
+def _most(x: np.ndarray, y: np.ndarray, slack: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each ``x`` the ``best`` partners by ``slack`` (all, if 0), with their slack."""
     if not best or not len(x):
-        return x, y
-    order = np.lexsort((-slack, x))
-    x, y = x[order], y[order]
+        return x, y, slack
+    order = np.lexsort((y, -slack, x))
+    x, y, slack = x[order], y[order], slack[order]
     first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
     nth = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
-    return x[nth < best], y[nth < best]
+    return x[nth < best], y[nth < best], slack[nth < best]
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> Iterator[pa.RecordBatch]:
@@ -354,13 +473,13 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> I
                 p, q = p[ok], q[ok]
                 over = np.minimum(points[p], points[q]).sum(axis=1, dtype=np.int64) - needed(n[p], n[q], percent)
                 ok = over >= 0
-                p, q = _most(p[ok], q[ok], over[ok] / n[p[ok]], best)
+                p, q, _ = _most(p[ok], q[ok], over[ok] / n[p[ok]], best)
                 left.append(p)
                 right.append(q)
         for s, m in zip(starts[~small], sizes[~small], strict=True):
             parts = part[s : s + m]
             split = parts if parts.min() != parts.max() else None
-            for p, q in page_pairs(n[s : s + m], points[s : s + m], percent, component[s : s + m], split, best, rest_of[s : s + m]):
+            for p, q in point_pairs(n[s : s + m], points[s : s + m], percent, component[s : s + m], split, best, rest_of[s : s + m]):
                 left.append(p + s)
                 right.append(q + s)
                 if sum(map(len, left)) > 500_000:
@@ -381,15 +500,27 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> I
         yield from pairs(rest)
 
 
-def _grouped(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """One group key per shingle, or per pair of parts of a shingle with many nodes."""
-    rows = rows.join(counts, "item")
-    parts = F.ceil(F.col("holders") / F.lit(GROUP_ROWS // 2)).cast("int")
-    rows = rows.withColumn("parts", F.when(F.col("holders") > GROUP_ROWS, parts).otherwise(1))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    key = F.when(F.col("parts") == 1, F.col("item")).otherwise(F.xxhash64("item", F.least("part", "other"), F.greatest("part", "other")))
-    return rows.select(key.alias("group"), "node", "part", "pos")
+def _meetings(rows: DataFrame, counts: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """One meeting per shingle, or per pair of tiles of a shingle with many nodes (and what is staged for it)."""
+    met = staged(rows.join(counts, "item").select("item", "node", "pos", "n", "holders"), "met")
+    whole = met.filter(F.col("holders") <= GROUP_ROWS).select(F.col("item").alias("group"), "node", F.lit(0).alias("part"), "pos")
+    hot = met.filter(F.col("holders") > GROUP_ROWS).drop("holders")
+    if hot.isEmpty():
+        return whole, [met]
+    # tiles by size, from counts per size; a size with very many nodes fills several
+    tile = GROUP_ROWS // 2
+    by_size = Window.partitionBy("item").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    cells = hot.groupBy("item", "n").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(by_size), F.lit(0)))
+    cells = staged(cells.select("item", "n", F.floor(F.col("before") / tile).alias("first"), F.ceil(F.col("c") / tile).alias("tiles")), "cells")
+    spans = cells.withColumn("tile", F.explode(F.sequence("first", F.col("first") + F.col("tiles") - 1)))
+    spans = spans.groupBy("item", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    one, two = spans.alias("s"), spans.alias("t")
+    fit = (F.col("s.item") == F.col("t.item")) & (F.col("t.lo") * percent <= F.col("s.hi") * 100) & (F.col("s.lo") * percent <= F.col("t.hi") * 100)
+    visits = one.join(two, fit).select("s.item", "s.tile", F.col("t.tile").alias("other"))
+    tiled = hot.join(cells, ["item", "n"]).withColumn("tile", F.col("first") + F.pmod(F.xxhash64("node"), F.col("tiles")))
+    key = F.xxhash64("item", F.least("tile", "other"), F.greatest("tile", "other"))
+    parts = staged(tiled.join(visits, ["item", "tile"]).select(key.alias("group"), "node", F.col("tile").cast("int").alias("part"), "pos"), "tiles")
+    return whole.union(parts), [met, cells, parts]
 
 
 def _marked(nodes: DataFrame, joined: DataFrame) -> DataFrame:
@@ -406,7 +537,7 @@ def _may_link(meeting: DataFrame, marked: DataFrame, percent: int, best: int) ->
     rows = meeting.join(mixed_groups, "group", "left_semi").join(facts, "node")
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group").sortWithinPartitions("group", "n", "node")
     rows = rows.select("group", "node", "n", "component", "part", "pos", "point")
-    return rows.mapInArrow(lambda it: _candidates(it, percent, best), PAIRS).distinct()
+    return rows.mapInArrow(lean(lambda it: _candidates(it, percent, best)), PAIRS).distinct()
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -420,7 +551,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     k1, k2 = row_keys()
     texts = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), text_bytes().alias("text"))
     frequent = frequent_shingles(texts.select("text"), width)
-    sketch = staged(texts.mapInArrow(lambda it: _sketches(it, frequent, width, percent), SKETCH), "sketches")
+    sketch = staged(texts.mapInArrow(lean(lambda it: _sketches(it, frequent, width, percent)), SKETCH), "sketches")
     filled = sketch.filter("n > 0")
     reps = filled.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("r"))
     reps = reps.select("node", "least", "r.k1", "r.k2")
@@ -433,25 +564,36 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     bands = _unfolded(nodes, "bands", ["node"])
     pivots = bands.groupBy("item").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot < top").drop("top")
     star = bands.join(pivots, "item").filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    sure = _verify(staged(_possible(star, nodes, percent), "band_pairs"), nodes, docs, width, percent)
+    star = staged(star, "stars")
+    copies = _copies(star)
+    likely = staged(_possible(star, copies, nodes, percent), "band_pairs")
+    sure = _verify(likely, copies, nodes, docs, width, percent)
+    release(star, copies, likely)
     joined = staged(components(sure), "band_components")
 
     # nodes of different components that share a prefix shingle
     marked = _marked(nodes.drop("fine"), joined)
-    tokens = _unfolded(marked, "prefix", ["node", "component"])
+    tokens = _unfolded(marked, "prefix", ["node", "component", "n"])
     shared = tokens.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("holders")).filter("lo < hi").select("item", "holders")
-    meeting = staged(_grouped(tokens, shared), "meeting")
+    meeting, held = _meetings(tokens, shared, percent)
     facts = staged(nodes.select("node", "k1", "k2", "n", "point", "fine"), "facts")
     release(nodes)
     marked = _marked(facts, joined)
     # first the likeliest partners, so that what is much alike is one component...
     for _ in range(PROPOSALS):
-        likely = staged(_possible(_may_link(meeting, marked, percent, LIKELIEST), facts, percent), "likely_pairs")
-        sure = sure.union(_verify(likely, facts, docs, width, percent))
+        near = staged(_may_link(meeting, marked, percent, LIKELIEST), "likeliest")
+        copies = _copies(near)
+        likely = staged(_possible(near, copies, facts, percent), "likely_pairs")
+        sure = sure.union(_verify(likely, copies, facts, docs, width, percent))
+        release(near, copies, likely)
         marked = _marked(facts, staged(components(sure), "likely_components"))
     # ...then every pair of different components that the bounds allow
-    pairs = staged(_possible(_may_link(meeting, marked, percent, 0), facts, percent), "pairs")
-    final = components(sure.union(_verify(pairs, facts, docs, width, percent)))
+    near = staged(_may_link(meeting, marked, percent, 0), "near")
+    release(*held)
+    copies = _copies(near)
+    pairs = staged(_possible(near, copies, facts, percent), "pairs")
+    final = components(sure.union(_verify(pairs, copies, facts, docs, width, percent)))
+    release(near, copies, pairs, facts)
 
     names = reps.select("node", "least").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = names.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -476,8 +618,9 @@ def distinct_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     keyed = d.select("row", k1.alias("k1"), k2.alias("k2"))
     kept = keyed.join(keep.union(found.filter("n_shingles = 0").select("k1", "k2").distinct()), ["k1", "k2"], "left_semi")
     worded = F.col("row.text").rlike(r"[^\x20\x09-\x0D]")
-    once = kept.filter(worded).dropDuplicates(["k1", "k2"])
-    return once.union(kept.filter(~F.coalesce(worded, F.lit(False)))).select("row.*")
+    # rows of one id and text: the one whose columns hash lowest
+    once = kept.filter(worded).groupBy("k1", "k2").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return once.union(kept.filter(~F.coalesce(worded, F.lit(False))).select("row")).select("row.*")
 
 
 def op5_jaccard_components(spark, sf_dir: str) -> DataFrame:

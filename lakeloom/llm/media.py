@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import record_batch, slices, text_bytes
+from .common import lean, record_batch, slices, text_bytes
 
 WIDTH = 64
 LEVEL = 1
@@ -207,12 +207,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode_png(docs: DataFrame, level: int = LEVEL) -> DataFrame:
     """``(doc_id, text)`` to ``(doc_id, n_bytes, media)``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return rows.mapInArrow(lambda it: _encode(it, level), STORED)
+    return rows.mapInArrow(lean(lambda it: _encode(it, level)), STORED)
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """``(doc_id, n_bytes, media)`` to digests and hashes of what is read back."""
-    return media.select(*STORED.names).mapInArrow(_read, FEATURES)
+    return media.select(*STORED.names).mapInArrow(lean(_read), FEATURES)
 
 
 def op1_media_png(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_parts, record_batch, staged, text_bytes
+from .common import binary_parts, lean, record_batch, staged, text_bytes
 
 SEQUENCE = 1024
 END_ID = 2
@@ -117,7 +117,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int =
     """Tokenize ``(doc_id, text)`` and cut documents longer than a sequence."""
     path = vocabulary or default_vocabulary()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return rows.mapInArrow(lambda it: _pieces(it, path, sequence, end_id, keep_ids), PIECES)
+    return rows.mapInArrow(lean(lambda it: _pieces(it, path, sequence, end_id, keep_ids)), PIECES)
 
 
 class Plan:
@@ -258,7 +258,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, sequence: int
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = salted.withColumn("nth", F.row_number().over(order) - 1).join(bases, ["length", "salt"])
     ranked = ranked.select(*PIECES.names, (F.col("base") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(lambda it: _assign(it, plan), PACKED)
+    return ranked.mapInArrow(lean(lambda it: _assign(it, plan)), PACKED)
 
 
 def op10_pack_best_fit(spark, sf_dir: str) -> DataFrame:

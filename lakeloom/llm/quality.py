@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, slices, text_bytes
+from .common import lean, record_batch, slices, text_bytes
 from .labelled import held_out, logistic, training_texts
 from .toxicity import SCORES
 
@@ -126,7 +126,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -
 def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """One score per document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_bytes().alias("text"))
-    return rows.mapInArrow(lambda it: _scored(it, model, threshold), SCORES)
+    return rows.mapInArrow(lean(lambda it: _scored(it, model, threshold)), SCORES)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

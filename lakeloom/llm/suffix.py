@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_parts, record_batch, release, slices, staged, text_bytes
+from .common import binary_parts, lean, record_batch, release, slices, staged, text_bytes
 from .jaccard import row_keys
 
 LENGTH = 200
@@ -346,13 +346,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """
     k1, k2 = row_keys()
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), text_bytes().alias("text"))
-    found = staged(texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(_anchors, ANCHORS), "anchors")
+    found = staged(texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(lean(_anchors), ANCHORS), "anchors")
     twice = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     lists = found.join(twice, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
     # equal rows (id and text) have equal places; each of them is one occurrence
     lists = staged(lists.withColumn("places", F.array_distinct("places")), "places")
     release(found)
-    occurrences = texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(_pieces, PIECES)
+    occurrences = texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(lean(_pieces), PIECES)
     occurrences = staged(occurrences, "pieces")
     release(lists)
 
@@ -365,15 +365,15 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     wanted = contexts.join(groups, "piece").groupBy("k1", "k2").agg(F.collect_list(F.struct("piece", "c1", "c2", "times", "kinds", "start", "size")).alias("wanted"))
     wanted = staged(wanted, "wanted")
     # equal rows (id and text) give the same contexts
-    open_ = texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(_contexts, OPEN).dropDuplicates(["piece", "c1", "c2"])
+    open_ = texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(lean(_contexts), OPEN).dropDuplicates(["piece", "c1", "c2"])
     open_ = staged(open_, "open")
     release(wanted)
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = open_.filter(F.col("kinds") <= GROUP_CONTEXTS).repartition(width, "piece").sortWithinPartitions("piece", "c1", "c2")
-    marks = small.mapInArrow(_indexed, MARKS)
+    marks = small.mapInArrow(lean(_indexed), MARKS)
     # groups too large for one task: single windows, counted
     large = open_.filter(F.col("kinds") > GROUP_CONTEXTS)
-    windows = large.select("piece", "c1", "c2", "context").mapInArrow(_windows, WINDOWS)
+    windows = large.select("piece", "c1", "c2", "context").mapInArrow(lean(_windows), WINDOWS)
     again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
     single = windows.join(again, ["w1", "w2"], "left_semi").select("piece", "c1", "c2", "nth")
     partial = marks.union(single.select("piece", "c1", "c2", F.col("nth").alias("first"), F.col("nth").alias("last")))
@@ -395,7 +395,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     runs = repeated_windows(docs)
     keyed = docs.select("doc_id", text_bytes().alias("text"), k1.alias("k1"), k2.alias("k2"))
     rows = keyed.join(runs, ["k1", "k2"], "left").select("doc_id", "text", "runs")
-    return rows.mapInArrow(_cleaned, CLEANED)
+    return rows.mapInArrow(lean(_cleaned), CLEANED)
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
@@ -432,4 +432,4 @@ def cut_documents(docs: DataFrame) -> DataFrame:
                 row["n_chars"] = sizes
             yield record_batch(row, schema)
 
-    return rows.select("row", "text", "runs").mapInArrow(cut, schema)
+    return rows.select("row", "text", "runs").mapInArrow(lean(cut), schema)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import record_batch, text_bytes
+from .common import lean, record_batch, text_bytes
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -160,7 +160,7 @@ def count_pieces(docs: DataFrame, vocabulary_path: str | None = None) -> DataFra
     """Pieces and score of every whole text."""
     path = vocabulary_path or default_vocabulary()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return rows.mapInArrow(lambda it: _counted(it, path), COUNTS)
+    return rows.mapInArrow(lean(lambda it: _counted(it, path)), COUNTS)
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:

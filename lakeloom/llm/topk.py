@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import record_batch, staged
+from .common import lean, record_batch, staged
 
 SCALE = 1024
 K = 10
@@ -231,22 +231,22 @@ def rotation(sample: list, dim: int) -> np.ndarray:
 def top_inner_products(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY, scale: int = SCALE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for every row whose id is divisible by ``query_every``."""
     spark = vectors.sparkSession
-    ints = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector")).mapInArrow(lambda it: _integers(it, scale), VECTORS)
+    ints = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector")).mapInArrow(lean(lambda it: _integers(it, scale)), VECTORS)
     ints = staged(ints, "vectors")
     n = ints.count()
     # as many parts as the data needs; a part's blocks all have at most BLOCK_ROWS vectors
     parts = max(1, -(-n // ROWS_PER_PARTITION))
     ordered = ints.repartitionByRange(parts, F.col("dim"), F.col("norm").desc(), F.col("vec_id")).sortWithinPartitions(F.col("dim"), F.col("norm").desc(), F.col("vec_id"))
-    blocks = staged(ordered.mapInArrow(lambda it: _packed(it, BLOCK_ROWS), BLOCKS), "blocks")
+    blocks = staged(ordered.mapInArrow(lean(lambda it: _packed(it, BLOCK_ROWS)), BLOCKS), "blocks")
     asking = ints.filter(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id").agg(F.max(F.struct("dim", "norm", "data")).alias("v")).select("vec_id", "v.*")
     asking = asking.repartitionByRange(max(1, parts // query_every), F.col("dim"), F.col("norm").desc(), F.col("vec_id")).sortWithinPartitions(F.col("dim"), F.col("norm").desc(), F.col("vec_id"))
-    asking = asking.mapInArrow(lambda it: _packed(it, QUERY_ROWS), BLOCKS)
+    asking = asking.mapInArrow(lean(lambda it: _packed(it, QUERY_ROWS)), BLOCKS)
 
     sampled = blocks.orderBy(F.xxhash64("block")).limit(SAMPLE_BLOCKS).select("dim", "data").collect()
     bases = {d: rotation([r["data"] for r in sampled if r["dim"] == d], d) for d in {r["dim"] for r in sampled}}
     longest = blocks.filter(F.col("dim").isin([*bases])).groupBy("dim").agg(F.max_by(F.struct("ids", "data"), "longest").alias("b")).collect()
     seeds = {r["dim"]: (bytes(r["b"]["ids"]), bytes(r["b"]["data"])) for r in longest}
-    asking = staged(asking.mapInArrow(lambda it: _start(it, seeds, bases, k), BLOCKS), "queries")
+    asking = staged(asking.mapInArrow(lean(lambda it: _start(it, seeds, bases, k)), BLOCKS), "queries")
 
     # Query blocks meet block heads (one short row for 4,096 vectors) in chunks, so
     # that no task holds the heads of all blocks.
@@ -258,7 +258,7 @@ def top_inner_products(vectors: DataFrame, k: int = K, query_every: int = QUERY_
     met = blocks.withColumn("nth", F.lit(-1).cast("long")).unionByName(visits)
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     met = met.repartition(width, "block").sortWithinPartitions("block", "nth").drop("nth")
-    hits = met.mapInArrow(lambda it: _searched(it, bases, k), HITS)
+    hits = met.mapInArrow(lean(lambda it: _searched(it, bases, k)), HITS)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

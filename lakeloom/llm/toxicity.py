@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_parts, record_batch, slices, text_bytes
+from .common import binary_parts, lean, record_batch, slices, text_bytes
 from .labelled import held_out, training_texts
 
 BITS = 20
@@ -182,20 +182,21 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """One score per document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_bytes().alias("text"))
-    return rows.mapInArrow(lambda it: _scored(it, model, threshold), SCORES)
+    return rows.mapInArrow(lean(lambda it: _scored(it, model, threshold)), SCORES)
 
 
 def clean_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not toxic, columns unchanged."""
-    schema = docs.schema
-    names = docs.columns
+    schema, names = docs.schema, docs.columns
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "#text", BATCH_BYTES):
-            ok = model.scores(*binary_parts(batch.column("#text"))) < threshold
-            yield batch.select(names).filter(pa.array(ok))
+        for batch in slices(batches, "text", BATCH_BYTES):
+            ok = pa.array(model.scores(*binary_parts(batch.column("text"))) < threshold)
+            columns = batch.column("row").flatten()
+            yield record_batch({k: c.filter(ok) for k, c in zip(names, columns, strict=True)}, schema)
 
-    return docs.withColumn("#text", text_bytes()).mapInArrow(kept, schema)
+    # the row travels as one column: no name of its own can clash
+    return docs.select(F.struct("*").alias("row"), text_bytes().alias("text")).mapInArrow(lean(kept), schema)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ def sets(text, width):
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-def brute(data, width, percent):
+def roots(data, width, percent):
+    """The component of each row as the position of one of its rows, and the rows' sets."""
     s = [sets(r[1], width) for r in data]
     parent = list(range(len(s)))
 
@@ -29,11 +30,28 @@ def brute(data, width, percent):
             both = len(s[i] & s[j])
             if both and 100 * both >= percent * (len(s[i]) + len(s[j]) - both):
                 parent[find(i)] = find(j)
+    return [find(i) for i in range(len(s))], s
+
+
+def names(data, width, percent):
+    """The least id of each component (by root), null where it has none, and the above."""
+    of, s = roots(data, width, percent)
     least = {}
     for i, r in enumerate(data):
         if r[0] is not None:
-            least[find(i)] = min(least.get(find(i), r[0]), r[0])
-    return sorted((str(r[0]), len(s[i]), str(least.get(find(i)) if s[i] else r[0])) for i, r in enumerate(data))
+            least[of[i]] = min(least.get(of[i], r[0]), r[0])
+    return least, of, s
+
+
+def brute(data, width, percent):
+    least, of, s = names(data, width, percent)
+    return sorted((str(r[0]), len(s[i]), str(least.get(of[i]) if s[i] else r[0])) for i, r in enumerate(data))
+
+
+def survivors(data, width, percent):
+    """The id of the one row that stays of each component with words (unlinked components can share it)."""
+    least, of, s = names(data, width, percent)
+    return sorted(str(least.get(c)) for c in {of[i] for i in range(len(data)) if s[i]})
 
 
 def run(spark, data, width=4, percent=85):
@@ -99,7 +117,7 @@ def test_threshold_is_exact(a, b, linked):
     assert (min(a, b) >= jaccard.needed(np.int64(a), np.int64(b), 85)) == linked
 
 
-def test_page_pairs_lose_nothing():
+def test_tree_pairs_lose_nothing():
     rng = np.random.default_rng(0)
     sets_ = []
     for _ in range(40):
@@ -108,8 +126,8 @@ def test_page_pairs_lose_nothing():
     sets_.sort(key=len)
     points = np.array([np.bincount(s % 64, minlength=64) for s in sets_])
     n = np.array([len(s) for s in sets_])
-    got = {(x, y) for p, q in jaccard.page_pairs(n, points, 85) for x, y in zip(p.tolist(), q.tolist(), strict=True)}
-    few = [x for p, _ in jaccard.page_pairs(n, points, 85, best=1) for x in p.tolist()]
+    got = {(x, y) for p, q in jaccard.point_pairs(n, points, 85) for x, y in zip(p.tolist(), q.tolist(), strict=True)}
+    few = [x for p, _ in jaccard.point_pairs(n, points, 85, best=1) for x in p.tolist()]
     assert len(few) == len(set(few)) and set(few) == {x for x, _ in got}
     for i in range(len(sets_)):
         for j in range(i + 1, len(sets_)):
@@ -124,9 +142,7 @@ def test_one_document_of_each_group_stays(spark):
     docs = documents(spark, data, clash=True)
     kept = jaccard.distinct_documents(docs, 4, 85)
     assert kept.columns == docs.columns
-    want = sorted({c for _, n, c in brute(data, 4, 85) if n} - {"None"})
-    worded = sorted(str(r["doc_id"]) for r in kept.collect() if sets(r["text"], 4) and r["doc_id"] is not None)
-    assert worded == want
+    assert sorted(str(r["doc_id"]) for r in kept.collect() if sets(r["text"], 4)) == survivors(data, 4, 85)
     assert sum(not sets(r["text"], 4) for r in kept.collect()) == sum(not sets(r[1], 4) for r in data)
 
 
