@@ -2,27 +2,35 @@
 
 The text is normalised as the vocabulary's tokenizer does (a leading space,
 spaces as U+2581).  An Aho-Corasick automaton enumerates every vocabulary piece
-ending at each position; dynamic programming carries only the best score and
-the number of pieces, never the pieces.  Ties go as in the tokenizer: starts are
-tried from left to right and a later one must score strictly more, so of equal
-paths to a position the one with the longer last piece stays; a character no
-piece covers is one unknown at the least score less 10, spelled as its bytes
-where the vocabulary falls back to bytes.
+in the text; dynamic programming over start positions carries only the best
+value, the number of pieces and their summed score, never the pieces.
+
+Ties and near ties go as in the tokenizer, which adds in single precision:
+
+* starts are tried from left to right, and a later one must reach strictly more
+  (after rounding) to replace what an end position has;
+* where the best value of a start is further than ``LIMIT`` from 0, it is taken off
+  every later position that has a value already, and the start goes on from 0;
+* a character that no piece covers alone is one unknown at the least score less
+  10, spelled as its bytes where the vocabulary falls back to bytes; else unknowns
+  in a row are one piece.
+
+A vocabulary with scores around -1e9 (unused spaces) so rounds values of a word
+to multiples of 64, and which piece of a near tie wins hangs on the words before.
 
 No piece has a space mark after another character (checked on loading; else the
 whole text is one chunk), so a best path never spans two words: a text is cut
-at spaces and its counts are sums over its chunks.  Chunk results are kept in a
-bounded cache.  Scores of the public vocabulary are whole numbers, summed in
-double precision.
+at spaces, and only the value at the cut passes from chunk to chunk.  Results of
+chunks are kept in a bounded cache by all that can change them (see ``Chunks``).
 
 Defined cases: a null or empty text has 0 pieces and score 0; very long chunks
 are segmented whole (linear time); repeated rows give repeated results; an empty
-table gives no rows; input columns beside doc_id and text are ignored.  (A
-tokenizer that sums in single precision rounds long paths; that is not imitated.)
+table gives no rows; input columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import re
 from collections.abc import Iterator
@@ -37,6 +45,8 @@ from .common import lean, record_batch, text_bytes
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+#: a best value beyond this, up or down, is taken off what follows (a constant of the tokenizer)
+LIMIT = 100_000.0
 CACHE_CHUNKS = 800_000
 CACHED_LENGTH = 64
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -54,6 +64,15 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def single(x: float) -> float:
+    """``x`` rounded to single precision."""
+    if -16777216.0 <= x <= 16777216.0 and x == int(x):
+        return x
+    if 536870912.0 <= x < 1073741824.0:
+        return round(x * 0.015625) * 64.0  # half to even, as floats are rounded
+    return ctypes.c_float(x).value
+
+
 class Vocabulary:
     """Pieces and scores of a sentencepiece model file, read as a unigram vocabulary."""
 
@@ -67,51 +86,64 @@ class Vocabulary:
             if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))
         }
         self.byte_fallback = any(model.is_byte(i) for i in range(model.get_piece_size()))
-        self.unknown = min(self.pieces.values()) - UNKNOWN_PENALTY
+        self.unknown = single(min(self.pieces.values()) - UNKNOWN_PENALTY)
         self.automaton = ahocorasick.Automaton()
         for piece, score in self.pieces.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.singles = frozenset(p for p in self.pieces if len(p) == 1)
-        self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
+        self.words_apart = SPACE in self.pieces and not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
+        self.space = self.pieces.get(SPACE, self.unknown)
+        #: sums of whole scores near 0 are exact
+        self.whole = all(x == int(x) for x in (*self.pieces.values(), self.unknown))
+        self.longest = max(map(len, self.pieces))
+        #: the space's value is one that floats near it hold as a multiple of 64
+        self.coarse_space = self.whole and -(2.0**30) + 1e6 < self.space < -(2.0**29) - 1e6
+
+    def segment(self, text: str, value: float = 0.0) -> tuple[int, float, float, float, float, bool]:
+        """(pieces, score, value after, least and greatest value of a start, whether values were taken off)."""
+        n = len(text)
+        if not n:
+            return 0, 0.0, value, value, value, False
+        begins: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        for end, (length, score) in self.automaton.iter(text):
+            begins[end + 1 - length].append((end + 1, score))
+        values: list[float | None] = [value, *[None] * n]
+        counts, scores, strange = [0] * (n + 1), [0.0] * (n + 1), [False] * (n + 1)
+        reach, least, most, taken = 0, value, value, False
+        # between these, sums are exact and need no rounding
+        low, high = (-16777216.0, 16777216.0) if self.whole else (1.0, -1.0)
+        for at in range(n):
+            base = values[at]
+            if not -LIMIT <= base <= LIMIT:
+                for k in range(at + 1, reach + 1):
+                    if values[k] is not None:
+                        values[k] = single(values[k] - base)
+                base, taken = 0.0, True
+            else:
+                least, most = min(least, base), max(most, base)
+            alone = False
+            for end, score in begins[at]:
+                total = base + score
+                if not low <= total <= high:
+                    total = single(total)
+                old = values[end]
+                if old is None or total > old:
+                    values[end], counts[end], scores[end], strange[end] = total, counts[at] + 1, scores[at] + score, False
+                    if end > reach:
+                        reach = end
+                alone = alone or end == at + 1
+            if not alone:
+                total, end = single(base + self.unknown), at + 1
+                old = values[end]
+                if old is None or total > old:
+                    size = len(text[at].encode("utf-8", "replace")) if self.byte_fallback else int(not strange[at])
+                    values[end], counts[end], scores[end], strange[end] = total, counts[at] + size, scores[at] + self.unknown, True
+                    reach = max(reach, end)
+        return counts[n], scores[n], values[n], least, most, taken
 
     def count(self, text: str) -> tuple[int, float]:
         """(pieces, score) of the best path over normalised text."""
-        n = len(text)
-        counts = [0] * (n + 1)
-        if self.singles.issuperset(text):  # no unknown character: every position is reached
-            scores = [0.0] + [float("-inf")] * n
-            for end, (length, score) in self.automaton.iter(text):
-                # matches come by end, from the longest on, so from the leftmost start
-                start = end + 1 - length
-                total = scores[start] + score
-                if total > scores[end + 1]:
-                    scores[end + 1] = total
-                    counts[end + 1] = counts[start] + 1
-            return counts[n], scores[n]
-        scores = [0.0] * (n + 1)
-        at = 1  # the next position to be settled
-        best, pieces, single = None, 0, False
-        matches = self.automaton.iter(text)
-        match = next(matches, None)
-        while at <= n:
-            best, pieces, single = None, 0, False
-            while match is not None and match[0] == at - 1:
-                length, score = match[1]
-                single = single or length == 1
-                start = at - length
-                total = scores[start] + score
-                if best is None or total > best:
-                    best, pieces = total, counts[start] + 1
-                match = next(matches, None)
-            if not single:
-                total = scores[at - 1] + self.unknown
-                if best is None or total > best:
-                    best = total
-                    pieces = counts[at - 1] + (len(text[at - 1].encode("utf-8", "replace")) if self.byte_fallback else 1)
-            scores[at], counts[at] = best, pieces
-            at += 1
-        return counts[n], scores[n]
+        return self.segment(text)[:2]
 
 
 @functools.lru_cache(maxsize=2)
@@ -119,23 +151,72 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Chunks(dict):
-    """Chunk to pieces + score * j (sums of complex numbers are quick); emptied when full."""
+class Chunks:
+    """Results of chunks, by what they depend on; emptied when full.
+
+    Behind a space whose own value is beyond ``LIMIT`` the start goes on from 0, so
+    all that is left of the value before are the rounded values of the pieces that
+    begin with the space: these and the chunk are the key, and the result ends at
+    a value of its own.  Otherwise, with whole scores, sums near 0 are exact: while
+    nothing is taken off, a chunk adds the same to whatever it starts from.
+    """
 
     def __init__(self, vocab: Vocabulary):
-        super().__init__()
         self.vocab = vocab
+        self.known: dict[tuple, tuple] = {}
+        self.heads: dict[str, tuple[float, ...]] = {}
 
-    def __missing__(self, chunk: str) -> complex:
-        got = complex(*self.vocab.count(chunk.replace(" ", SPACE)))
+    def head(self, chunk: str) -> tuple[float, ...]:
+        """Scores of the pieces of two and more characters that the chunk begins with."""
+        pieces = self.vocab.pieces
+        found = tuple(pieces[chunk[:k]] for k in range(2, min(len(chunk), self.vocab.longest) + 1) if chunk[:k] in pieces)
         if len(chunk) <= CACHED_LENGTH:
-            if len(self) >= CACHE_CHUNKS:
-                self.clear()
-            self[chunk] = got
-        return got
+            if len(self.heads) >= CACHE_CHUNKS:
+                self.heads.clear()
+            self.heads[chunk] = found
+        return found
+
+    def key(self, chunk: str, value: float) -> tuple | None:
+        """What is left of the value before, where the start behind the space goes on from 0."""
+        first = single(value + self.vocab.space)
+        if chunk[0] != SPACE or -LIMIT <= first <= LIMIT:
+            return None
+        return (chunk, *[single(single(value + x) - first) for x in self.head(chunk)])
+
+    def count(self, text: str) -> tuple[int, float]:
+        """(pieces, score) of a normalised text, chunk by chunk."""
+        pieces, total, value = 0, 0.0, 0.0
+        known, vocab, heads = self.known, self.vocab, self.heads
+        space, coarse = vocab.space, vocab.coarse_space
+        for chunk in CHUNK.findall(text):
+            if not -LIMIT <= value <= LIMIT:
+                value = 0.0
+            if coarse and chunk in heads and chunk[1:2] != SPACE:
+                # as key() has it, in units of 64: halves to even, as floats are rounded
+                d = value - round((value + space) * 0.015625) * 64.0
+                key = (chunk, *[round((d + x) * 0.015625) for x in heads[chunk]])
+            else:
+                key = self.key(chunk, value)
+                if coarse and key is not None and chunk[1:2] != SPACE:
+                    key = (chunk, *[round(x * 0.015625) for x in key[1:]])
+            hit = known.get(key or chunk)
+            if hit is not None and (key is not None or hit[3] <= value <= hit[4]):
+                n, score, after = hit[:3]
+                value = after if key is not None else value + after
+            else:
+                n, score, after, least, most, taken = vocab.segment(chunk, value)
+                if len(chunk) <= CACHED_LENGTH and (key is not None or (vocab.whole and not taken)):
+                    if len(known) >= CACHE_CHUNKS:
+                        known.clear()
+                    # without a reset: every start has to stay within LIMIT
+                    known[key or chunk] = (n, score, after) if key is not None else (n, score, after - value, value - least - LIMIT, value - most + LIMIT)
+                value = after
+            pieces += n
+            total += score
+        return pieces, total
 
 
-CHUNK = re.compile(r" +[^ ]*")
+CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -145,14 +226,10 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         n_pieces, scores = [], []
         for value in batch.column("text"):
             text = value.as_py().decode("utf-8", "replace")
-            if not text:
-                total = 0j
-            elif vocab.words_apart:
-                total = sum(map(known.__getitem__, CHUNK.findall(" " + text)), 0j)
-            else:
-                total = complex(*vocab.count((" " + text).replace(" ", SPACE)))
-            n_pieces.append(int(total.real))
-            scores.append(total.imag)
+            text = (" " + text).replace(" ", SPACE) if text else ""
+            n, score = known.count(text) if vocab.words_apart else vocab.count(text)
+            n_pieces.append(n)
+            scores.append(score)
         yield record_batch({"doc_id": batch.column("doc_id"), "n_pieces": n_pieces, "score": scores}, COUNTS)
 
 

@@ -1,5 +1,9 @@
 import itertools
+import random
+import tempfile
 
+import numpy as np
+import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 
@@ -17,41 +21,65 @@ def tokenizer():
 
 
 def brute(text, vocab):
-    """Best (score, pieces) over all segmentations; ties as the contract has them."""
+    """Pieces of the best path, by single-precision sums over all (start, end) in the tokenizer's order."""
     n = len(text)
-    table = [(0.0, 0)] + [None] * n
-    for end in range(1, n + 1):
-        for start in range(end):
+    value, pieces = [np.float32(0)] + [None] * n, [0] * (n + 1)
+    for start in range(n):
+        if abs(value[start]) > 100_000:
+            for end in range(start + 1, n + 1):
+                value[end] = None if value[end] is None else value[end] - value[start]
+            value[start] = np.float32(0)
+        alone = text[start] in vocab.pieces
+        for end in range(start + 1, n + 1):
             piece = text[start:end]
-            if piece in vocab.pieces:
-                got = (table[start][0] + vocab.pieces[piece], table[start][1] + 1)
-            elif end - start == 1:
-                got = (table[start][0] + vocab.unknown, table[start][1] + len(piece.encode()))
-            else:
-                continue
-            if table[end] is None or got[0] > table[end][0]:
-                table[end] = got
-    return table[n][1], table[n][0]
-
-
-def test_words_agree_with_tokenizer(spark, small):
+            if piece in vocab.pieces or (end == start + 1 and not alone):
+                total = value[start] + np.float32(vocab.pieces.get(piece, vocab.unknown))
+                if value[end] is None or total > value[end]:
+                    value[end], pieces[end] = total, pieces[start] + (1 if piece in vocab.pieces else len(piece.encode()))
+    return pieces[n]
+
+
+EXTRA = ["été", "漢字", "x" * 300, "\U0001f600", "don't", "12345.678", "the the the", "  two  spaces ", "a\n\nb\tc", "Is and", "ndenen the", ""]
+
+
+def test_whole_documents_agree_with_tokenizer(spark, small):
     t, vocab = tokenizer(), token_counts.vocabulary(token_counts.default_vocabulary())
-    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()]
-    words = {w for x in texts for w in x.split(" ") if w and "\n" not in w} | {"été", "漢字", "x" * 300, "\U0001f600", "don't", "12345.678"}
-    for w in sorted(words):
-        assert vocab.count("▁" + w)[0] == len(t.encode(w)), w
-    short = [" ".join(x.replace("\n", " ").split()[:40]) for x in texts]
     known = token_counts.Chunks(vocab)
-    for x in short:
-        assert sum(known[c].real for c in token_counts.CHUNK.findall(" " + x)) == len(t.encode(x))
+    for x in EXTRA + [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()]:
+        assert known.count(("▁" + x).replace(" ", "▁") if x else "")[0] == len(t.encode(x)), x[:80]
+    assert vocab.count("▁the")[0] == 1
 
 
 def test_ties_and_unknowns():
     vocab = token_counts.vocabulary(token_counts.default_vocabulary())
-    for text in ("▁", "▁▁▁▁▁x", "▁a\nb", "é▁é", "aaaa", "▁the▁\U0001f600▁the", ""):
-        assert vocab.count(text) == brute(text, vocab)
-    for text in map("".join, itertools.product("▁ab\x01", repeat=4)):
-        assert vocab.count(text) == brute(text, vocab)
+    known = token_counts.Chunks(vocab)
+    for text in ("▁", "▁▁▁▁▁x", "▁a\nb", "é▁é", "aaaa", "▁the▁\U0001f600▁the", "", *map("".join, itertools.product("▁ab\x01", repeat=4))):
+        assert vocab.count(text)[0] == brute(text, vocab) == known.count(text)[0]
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_other_vocabularies(whole):
+    """Scores as of trained unigram models, and whole ones near the limit: cache or not, results agree with the tokenizer."""
+    rng = random.Random(4)
+    proto = sentencepiece_model_pb2.ModelProto()
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        proto.pieces.add(piece=piece, score=0, type=kind)
+    pieces = {"▁", *"abc", *("".join(rng.choices("abc", k=rng.randint(2, 4))) for _ in range(30)), *("▁" + "".join(rng.choices("abc", k=rng.randint(1, 3))) for _ in range(15))}
+    for piece in sorted(pieces):
+        proto.pieces.add(piece=piece, score=-rng.randint(1, 60_000) if whole else -rng.uniform(1, 12), type=1)
+    proto.trainer_spec.model_type = 1
+    proto.normalizer_spec.add_dummy_prefix = True
+    proto.normalizer_spec.escape_whitespaces = True
+    proto.normalizer_spec.remove_extra_whitespaces = False
+    with tempfile.NamedTemporaryFile(suffix=".model") as f:
+        f.write(proto.SerializeToString())
+        f.flush()
+        t, vocab = sentencepiece.SentencePieceProcessor(model_file=f.name), token_counts.Vocabulary(f.name)
+    known = token_counts.Chunks(vocab)
+    for _ in range(300):
+        text = " ".join("".join(rng.choices("abcd", k=rng.randint(0, 7), weights=(5, 5, 5, 1))) for _ in range(rng.randint(1, 30)))
+        got = known.count(("▁" + text).replace(" ", "▁") if text else "")[0]
+        assert got == vocab.count(("▁" + text).replace(" ", "▁") if text else "")[0] == len(t.encode(text)), text
 
 
 def test_edge_rows(spark):
