@@ -2,11 +2,20 @@
 
 ``encode_png`` turns bytes into a greyscale 8-bit PNG 64 pixels wide: the
 payload is the text's UTF-8, padded with zero bytes to a positive multiple of
-64, one byte a pixel.  ``read_png`` takes such a binary column back: it walks
-the chunks, tests each checksum, inflates the IDAT stream, undoes the five row
-filters with numpy and computes a 64-bit hash from the low frequencies of the
-picture's cosine transform.  Encoding and reading share nothing but the bytes
-of the ``media`` column.
+64, one byte a pixel.  Every row gets that of the five row filters whose
+differences are smallest in sum, as PNG writers do.  ``media_features`` takes
+such a binary column back: it walks the chunks, tests each checksum, inflates
+the IDAT stream, undoes the filters with numpy and computes a 64-bit hash from
+the low frequencies of the picture's cosine transform.  Encoding and reading
+share nothing but the bytes of the ``media`` column.
+
+Undoing a filter needs the pixels to the left and above, so pixels of equal
+row number plus column number are independent of each other, whatever their
+rows' filters: all pictures of a batch are undone together, one such diagonal at
+a time.
+
+Memory: a worker holds batches of about ``BATCH_BYTES``; a longer text comes alone
+and takes some 12 bytes for each of its own.
 
 Defined cases: a null or empty text is 64 zero bytes; very long texts are taller
 pictures (IDAT is split into chunks); repeated rows give repeated results and
@@ -28,12 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, record_batch, slices, text_bytes
+from .common import binary_parts, lean, record_batch, slices, text_bytes
 
 WIDTH = 64
 LEVEL = 1
 IDAT_BYTES = 1 << 20
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 2 << 20
+#: rows whose filters are chosen at a time
+FILTER_ROWS = 1 << 14
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SIDE, LOW = 32, 8
 
@@ -60,58 +71,86 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return b"".join((struct.pack(">I", len(data)), kind, data, struct.pack(">I", zlib.crc32(data, zlib.crc32(kind)))))
 
 
-def write_png(rows: np.ndarray, level: int = LEVEL) -> bytes:
-    """A greyscale 8-bit PNG of a (height, width) uint8 array, rows unfiltered."""
-    height, width = rows.shape
-    raw = np.zeros((height, width + 1), np.uint8)
-    raw[:, 1:] = rows
-    packed = zlib.compress(raw, level)
-    parts = [SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0))]
+def filtered(rows: np.ndarray, above: np.ndarray, bpp: int = 1) -> np.ndarray:
+    """(height, 1 + stride): each row behind the type of the filter with the least sum of differences.
+
+    ``above`` holds the row over each row (zeros over a picture's first).
+    """
+    out = np.empty((len(rows), rows.shape[1] + 1), np.uint8)
+    for at in range(0, len(rows), FILTER_ROWS):
+        x, b = (r[at : at + FILTER_ROWS].astype(np.int16) for r in (rows, above))
+        a, c = np.zeros_like(x), np.zeros_like(x)
+        a[:, bpp:], c[:, bpp:] = x[:, :-bpp], b[:, :-bpp]
+        guesses = (np.int16(0), a, b, (a + b) >> 1, _paeth(a, b, c))
+        tried = [(x - g).astype(np.uint8) for g in guesses]
+        # a difference counts as signed: 255 is -1
+        sums = np.stack([np.abs(t.view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64) for t in tried])
+        kind = np.argmin(sums, axis=0)
+        out[at : at + len(x), 0] = kind
+        for k, t in enumerate(tried):
+            out[at : at + len(x), 1:][kind == k] = t[kind == k]
+    return out
+
+
+def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of left, above and corner the one nearest to left + above - corner, the first of equals."""
+    near_a, near_b, near_c = np.abs(b - c), np.abs(a - c), np.abs(a + b - c - c)
+    return np.where((near_a <= near_b) & (near_a <= near_c), a, np.where(near_b <= near_c, b, c))
+
+
+def png_bytes(raw: np.ndarray, level: int = LEVEL) -> bytes:
+    """A greyscale 8-bit PNG of filtered rows."""
+    packed = zlib.compress(np.ascontiguousarray(raw), level)
+    parts = [SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", raw.shape[1] - 1, len(raw), 8, 0, 0, 0, 0))]
     parts += [_chunk(b"IDAT", packed[i : i + IDAT_BYTES]) for i in range(0, len(packed), IDAT_BYTES)]
     return b"".join([*parts, _chunk(b"IEND", b"")])
 
 
-def unfilter(raw: np.ndarray, bpp: int) -> np.ndarray:
-    """Undo PNG's row filters: (height, 1 + stride) bytes to (height, stride).
+def write_png(rows: np.ndarray, level: int = LEVEL) -> bytes:
+    """A greyscale 8-bit PNG of a (height, width) uint8 array."""
+    return png_bytes(filtered(rows, np.concatenate([np.zeros_like(rows[:1]), rows[:-1]])), level)
+
 
-    Runs of rows with the same vectorisable filter are undone together; Average
-    and Paeth depend on the pixel to the left and go pixel by pixel.
+def unfilter(pictures: list[np.ndarray], bpp: int) -> list[np.ndarray]:
+    """Undo PNG's row filters: (height, 1 + stride) bytes each to (height, stride), one stride for all.
+
+    Rows are ordered by their number in their picture, so those that a diagonal
+    goes through are neighbours.  Of every row only the last two pixels that are
+    done are held: they are the left one, and the row's below above and corner.
     """
-    kinds, rows = raw[:, 0], raw[:, 1:].copy()
+    heights = np.array([len(p) for p in pictures], np.int64)
+    total, width = int(heights.sum()), (pictures[0].shape[1] - 1) // bpp
+    number = np.arange(total) - np.repeat(np.cumsum(heights) - heights, heights)
+    order = np.argsort(number, kind="stable")
+    raw = np.concatenate(pictures)[order]
+    kinds = raw[:, 0]
     if kinds.max(initial=0) > 4:
         raise ValueError("unknown row filter")
-    if not kinds.any():
-        return rows
-    height, stride = rows.shape
-    starts = np.flatnonzero(np.r_[True, kinds[1:] != kinds[:-1]])
-    zero = np.zeros(stride, np.uint8)
-    for a, b in zip(starts, [*starts[1:], height], strict=True):
-        kind, up = kinds[a], rows[a - 1] if a else zero
-        if kind == 1:
-            part = rows[a:b].reshape(b - a, stride // bpp, bpp)
-            rows[a:b] = np.cumsum(part, axis=1, dtype=np.uint8).reshape(b - a, stride)
-        elif kind == 2:
-            rows[a] += up
-            rows[a:b] = np.cumsum(rows[a:b], axis=0, dtype=np.uint8)
-        elif kind >= 3:
-            for y in range(a, b):
-                above = (rows[y - 1] if y else zero).tolist()
-                line = rows[y].tolist()
-                for x in range(stride):
-                    left = line[x - bpp] if x >= bpp else 0
-                    if kind == 3:
-                        guess = (left + above[x]) >> 1
-                    else:
-                        corner = above[x - bpp] if x >= bpp else 0
-                        p = left + above[x] - corner
-                        guess = min((abs(p - left), 0, left), (abs(p - above[x]), 1, above[x]), (abs(p - corner), 2, corner))[2]
-                    line[x] = (line[x] + guess) & 255
-                rows[y] = line
-    return rows
-
-
-def read_png(data: bytes) -> np.ndarray:
-    """The samples of a greyscale, RGB or RGBA 8-bit PNG as (height, width * channels)."""
+    place = np.empty(total, np.int64)
+    place[order] = np.arange(total)
+    number = number[order]
+    up = np.where(number > 0, place[order - 1], total)  # the last one stands for no row
+    pixels = raw[:, 1:].reshape(total, width, bpp)
+    ends = np.searchsorted(number, np.arange(int(heights.max(initial=0)) + width + 1))
+    now, before = (np.zeros((total + 1, bpp), np.int16) for _ in range(2))
+    for step in range(int(heights.max(initial=0)) + width - 1):
+        lo, hi = int(ends[max(0, step - width + 1)]), int(ends[step + 1])
+        at, x = np.arange(lo, hi), step - number[lo:hi]
+        kind, above, corner = kinds[lo:hi, None], now[up[lo:hi]], before[up[lo:hi]]
+        left = now[lo:hi]
+        guess = np.where(kind == 1, left, np.where(kind == 2, above, np.where(kind == 3, (left + above) >> 1, np.where(kind == 4, _paeth(left, above, corner), 0))))
+        value = (pixels[at, x] + guess) & 255
+        # rows that ended one step ago are still above and corner of the next ones
+        old = int(ends[max(0, step - width - 1)])
+        before[old:hi] = now[old:hi]
+        now[lo:hi] = value
+        pixels[at, x] = value
+    out = pixels.reshape(total, width * bpp)[place]
+    return np.split(out, np.cumsum(heights)[:-1])
+
+
+def read_chunks(data: bytes) -> tuple[np.ndarray, int]:
+    """The filtered rows of a greyscale, RGB or RGBA 8-bit PNG, and its channels."""
     if data[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
     at, header, inflate, parts, ended = 8, None, zlib.decompressobj(), [], False
@@ -139,7 +178,16 @@ def read_png(data: bytes) -> np.ndarray:
     raw = np.frombuffer(b"".join([*parts, inflate.flush()]), np.uint8)
     if len(raw) != height * (1 + width * channels) or not inflate.eof:
         raise ValueError("wrong number of samples")
-    return unfilter(raw.reshape(height, 1 + width * channels), channels)
+    raw = raw.reshape(height, 1 + width * channels)
+    if raw[:, 0].max(initial=0) > 4:
+        raise ValueError("unknown row filter")
+    return raw, channels
+
+
+def read_png(data: bytes) -> np.ndarray:
+    """The samples of a greyscale, RGB or RGBA 8-bit PNG as (height, width * channels)."""
+    raw, channels = read_chunks(data)
+    return unfilter([raw], channels)[0]
 
 
 def _cosines() -> np.ndarray:
@@ -171,36 +219,41 @@ def perceptual_hash(rows: np.ndarray) -> bytes:
 
 def _encode(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", BATCH_BYTES):
-        media, sizes = [], []
-        for value in batch.column("text"):
-            raw = value.as_buffer()
-            n = raw.size
-            payload = np.zeros(max(1, -(-n // WIDTH)) * WIDTH, np.uint8)
-            payload[:n] = np.frombuffer(raw, np.uint8)
-            media.append(write_png(payload.reshape(-1, WIDTH), level))
-            sizes.append(n)
+        data, offsets = binary_parts(batch.column("text"))
+        sizes = np.diff(offsets)
+        heights = np.maximum(1, -(-sizes // WIDTH))
+        ends = np.cumsum(heights)
+        payload = np.zeros(int(ends[-1]) * WIDTH, np.uint8)
+        for a, b, row in zip(offsets[:-1], offsets[1:], ends - heights, strict=True):
+            payload[row * WIDTH : row * WIDTH + b - a] = data[a:b]
+        rows = payload.reshape(-1, WIDTH)
+        above = np.zeros_like(rows)
+        above[1:] = rows[:-1]
+        above[(ends - heights)] = 0
+        media = [png_bytes(raw, level) for raw in np.split(filtered(rows, above), ends[:-1])]
         yield record_batch({"doc_id": batch.column("doc_id"), "n_bytes": sizes, "media": media}, STORED)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "media", BATCH_BYTES):
-        out: dict[str, list] = {f.name: [] for f in FEATURES if f.name not in ("doc_id", "n_bytes")}
+    for batch in slices(batches, "media", BATCH_BYTES // 2):
+        found: list[dict] = []
+        together: dict[tuple[int, int], list[tuple[dict, np.ndarray]]] = {}
         for value in batch.column("media"):
-            data, row = value.as_py(), dict.fromkeys(out)
+            data, row = value.as_py(), {}
+            found.append(row)
             try:
                 if data is None:
                     raise ValueError("no media")
-                samples = read_png(data)
-                payload = samples.reshape(-1)
-                mark = perceptual_hash(samples)
-                row |= {
-                    "payload_bytes": payload.size, "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]),
-                    "media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest(), "feature": mark.hex(), "phash": mark,
-                }
+                raw, channels = read_chunks(data)
+                row |= {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
+                together.setdefault((raw.shape[1], channels), []).append((row, raw))
             except (ValueError, zlib.error, struct.error) as e:
                 row["error"] = str(e)
-            for k, v in row.items():
-                out[k].append(v)
+        for (_, channels), pictures in together.items():
+            for (row, _), samples in zip(pictures, unfilter([raw for _, raw in pictures], channels), strict=True):
+                payload, mark = np.ascontiguousarray(samples).reshape(-1), perceptual_hash(samples)
+                row |= {"payload_bytes": payload.size, "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "feature": mark.hex(), "phash": mark}
+        out = {f.name: [row.get(f.name) for row in found] for f in FEATURES if f.name not in ("doc_id", "n_bytes")}
         yield record_batch(out | {c: batch.column(c) for c in ("doc_id", "n_bytes")}, FEATURES)
 
 

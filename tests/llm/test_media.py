@@ -28,10 +28,34 @@ def filtered(rows, kinds, bpp=1):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 4), min_size=1, max_size=9), st.sampled_from([1, 3]), st.integers(0, 2**32 - 1))
-def test_all_filters_are_undone(kinds, bpp, seed):
-    rows = np.random.default_rng(seed).integers(0, 256, (len(kinds), 4 * bpp), np.uint8)
-    assert (media.unfilter(filtered(rows, kinds, bpp), bpp) == rows).all()
+@given(st.lists(st.lists(st.integers(0, 4), min_size=1, max_size=9), min_size=1, max_size=4), st.sampled_from([1, 3]), st.integers(0, 2**32 - 1))
+def test_all_filters_are_undone(pictures, bpp, seed):
+    rng = np.random.default_rng(seed)
+    rows = [rng.integers(0, 256, (len(kinds), 4 * bpp), np.uint8) for kinds in pictures]
+    got = media.unfilter([filtered(r, k, bpp) for r, k in zip(rows, pictures, strict=True)], bpp)
+    assert all((a == b).all() for a, b in zip(got, rows, strict=True))
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(1, 12), st.integers(0, 2**32 - 1))
+def test_rows_are_filtered_as_the_format_says(height, seed):
+    rng = np.random.default_rng(seed)
+    rows = np.cumsum(rng.integers(-3, 4, (height, 8)), axis=rng.integers(0, 2)).astype(np.uint8)
+    got = media.filtered(rows, np.concatenate([np.zeros_like(rows[:1]), rows[:-1]]))
+    assert (got == filtered(rows, got[:, 0].tolist())).all()
+    cost = lambda r: np.abs(r.view(np.int8).astype(int)).sum()
+    for k in range(5):
+        assert (np.apply_along_axis(cost, 1, got[:, 1:]) <= np.apply_along_axis(cost, 1, filtered(rows, [k] * height)[:, 1:])).all()
+
+
+def test_stored_bytes_are_what_is_digested(spark):
+    stored = media.encode_png(documents(spark)).collect()
+    kinds = set()
+    for r in stored:
+        kinds |= set(media.read_chunks(bytes(r["media"]))[0][:, 0].tolist())
+    assert len(kinds) >= 4  # the query's own rows need unfiltering
+    want = sorted((str(r["doc_id"]), len(r["media"]), hashlib.sha256(r["media"]).hexdigest()) for r in stored)
+    assert sorted((str(r["doc_id"]), r["media_bytes"], r["media_sha256"]) for r in media.media_features(media.encode_png(documents(spark))).collect()) == want
 
 
 def test_damage_is_noticed():

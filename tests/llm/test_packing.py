@@ -14,7 +14,6 @@ def test_ids_are_those_of_tokenizers(spark, small):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
     texts = [r[1] or "" for r in rows()] + [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     texts += ["á  x\x85y\xa0z \x1c\x1d", "don't we'll I'M", "  lead", "trail  ", "1234567890 ½ ²", "\x00\x01\x7f"]
     for text in texts:

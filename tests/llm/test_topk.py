@@ -29,7 +29,7 @@ def test_edge_vectors(spark):
     rng = np.random.default_rng(1)
     data = [(i, rng.normal(size=5).tolist()) for i in range(60)] + [(100 * i, rng.normal(size=5).tolist()) for i in range(1, 5)]
     data += [(200 + i, [0.5] * 5) for i in range(1, 40)]  # ties
-    data += [(700, None), (701, []), (702, [1.0, None, 0, 0, 0]), (800, [float("nan")] * 5), (801, [float("inf")] * 5), (None, [1.0] * 5)]
+    data += [(700, None), (701, []), (702, [1.0, None, 0.0, 0.0, 0.0]), (800, [float("nan")] * 5), (801, [float("inf")] * 5), (None, [1.0] * 5)]
     data += [(900, [1.0, 2.0]), (901, [3.0, 4.0]), (1000, [0.0] * 5), (1001, [3e7] * 5)]
     assert run(spark, data) == brute(data)
     assert run(spark, []) == set()
