@@ -7,14 +7,16 @@ judged on the input.
 Finding who could match whom (equal strings meet, whatever the size):
 
 1. Every window of ``LENGTH`` bytes has an anchor: the least-hashed ``GRAM``-byte
-   gram inside it, leftmost on ties.  Equal windows have equal anchors at equal
-   places, so only windows whose anchor gram occurs twice need a look.  About one
-   gram in 85 is an anchor.
+   gram inside it, leftmost on ties (whole 64-bit hashes are compared).  Equal
+   windows have equal anchors at equal places, so only windows whose anchor gram
+   occurs twice need a look.  About one gram in 85 is an anchor; anchors that
+   follow each other at one distance, as in a periodic text, are one row.
 2. The windows of a repeated anchor are cut into two pieces, those that hold at
    least half of their other bytes left of the gram and the rest; all windows of
    a piece share a string of 116 bytes, whose hash is the piece's group.
-3. Pieces of a group with equal text are one context.  A context that occurs twice
-   repeats whole; a group with one context needs no more.
+3. Pieces of a group with equal text are one context with a number of occurrences
+   (equal by 128 bits of hash).  A group whose only context occurs twice repeats
+   whole, and one of a single occurrence needs no more: there is nothing to index.
 
 Deciding, per group of two or more contexts, with a run-length index:
 
@@ -24,11 +26,14 @@ Deciding, per group of two or more contexts, with a run-length index:
    two neighbouring rows have the same preceding byte, the position before matches
    one byte longer, so matching statistics fall by one from a sample to the next
    (repetitive contexts have few runs).  Neighbouring rows that match over
-   ``LENGTH`` bytes or more form classes; a class of two windows repeats.
+   ``LENGTH`` bytes or more form classes; a class of two windows repeats, counting
+   a context as often as it occurs.
 
-A group of more than ``GROUP_CONTEXTS`` contexts is decided by the 128-bit hashes of
-its single windows instead, counted by Spark: exact up to hash collisions, and no
-task holds the group.
+A group of more than ``GROUP_CONTEXTS`` contexts is split on further bytes: its
+windows are halved again by how far they reach to the left, and windows of a half
+share a longer string, whose hash is their new group.  That ends at single
+windows at the latest, so no task holds more than a bounded group, and nothing is
+decided another way.
 
 Defined cases: a null or empty text, or one shorter than ``LENGTH``, loses nothing;
 repeated rows repeat whole and go whole; rows are told apart by 128 bits of their
@@ -53,11 +58,20 @@ from .jaccard import row_keys
 LENGTH = 200
 GRAM = 32
 BATCH_BYTES = 1 << 20
+#: rows that a worker gathers before it hands them on
+HELD_ROWS = 20_000
+#: occurrences of a gram that are looked up together
+ROWS_PER_COPY = 4096
 #: suffix arrays are built for about this many bytes of contexts at a time
 INDEX_BYTES = 1 << 20
-GROUP_CONTEXTS = 8192
-#: bits for the length of a run of windows (a context has fewer than 256)
-RUN_BITS = 16
+GROUP_CONTEXTS = 2048
+#: bits for the length of a run of windows
+RUN_BITS = 31
+#: anchors in one row, at most (17 bits)
+MOST_TIMES = 65_535
+#: bytes of a window beside its gram, and half of them
+FREE = LENGTH - GRAM
+HALF = FREE // 2
 
 _long, _int, _bin = T.LongType(), T.IntegerType(), T.BinaryType()
 
@@ -67,10 +81,11 @@ def _struct(**kinds: T.DataType) -> T.StructType:
 
 
 ANCHORS = _struct(h=_long, k1=_long, k2=_long, place=_long)
-PIECES = _struct(piece=_long, c1=_long, c2=_long, k1=_long, k2=_long, start=_long, size=_int)
-OPEN = _struct(piece=_long, c1=_long, c2=_long, times=_long, kinds=_long, context=_bin)
+#: a context's start and size, its gram's offset (core), the least reach to the left of its windows, and how often it follows at one step
+PIECES = _struct(piece=_long, c1=_long, c2=_long, k1=_long, k2=_long, start=_long, size=_int, core=_int, low=_int, step=_int, times=_long)
+OPEN = _struct(piece=_long, c1=_long, c2=_long, times=_long, kinds=_long, core=_int, low=_int, high=_int, context=_bin)
 MARKS = _struct(piece=_long, c1=_long, c2=_long, first=_int, last=_int)
-WINDOWS = _struct(piece=_long, c1=_long, c2=_long, w1=_long, w2=_long, nth=_int)
+HALVES = _struct(piece=_long, c1=_long, c2=_long, offset=_int, piece_=_long, c1_=_long, c2_=_long, times=_long, core=_int, low=_int, high=_int, context=_bin)
 CLEANED = _struct(doc_id=_long, n_bytes=_long, n_removed=_long, n_spans=_long, kept_sha256=T.StringType(), kept=_bin, spans=_bin)
 
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -100,15 +115,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if n < LENGTH:
         return none, none.view(np.uint64), none, none, none
     h = gram_hashes(data)
-    bits = np.uint64(max(1, int(len(h)).bit_length()))
-    low = h >> bits << bits | np.arange(len(h), dtype=np.uint64)
+    low, at = h, np.arange(len(h), dtype=np.int64)
     step = 1
-    while 2 * step <= width:
-        low = np.minimum(low[:-step], low[step:])
-        step *= 2
-    if step < width:
-        low = np.minimum(low[: step - width], low[width - step :])
-    at = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)  # anchor of the window at each start
+    while step < width:
+        by = min(step, width - step)
+        left = low[:-by] <= low[by:]  # leftmost on ties
+        low, at = np.where(left, low[:-by], low[by:]), np.where(left, at[:-by], at[by:])
+        step += by
+    del low
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
     inside = np.arange(len(at)) + LENGTH <= offsets[1:][text]
     fresh = np.ones(len(at), bool)
@@ -120,14 +134,38 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return text[first], h[at[first]], at[first], first, last
 
 
+def _stretches(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first byte, bytes, offsets) of overlapping stretches that hold all windows once."""
+    if len(data) <= 2 * BATCH_BYTES:
+        yield 0, data, offsets
+        return
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        for at in range(a, b, BATCH_BYTES):
+            to = min(b, at + BATCH_BYTES + LENGTH - 1)
+            yield at, data[at:to], np.clip(offsets, at, to) - at
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text", BATCH_BYTES):
-        data, offsets = binary_parts(batch.column("text"))
-        text, h, at, first, last = anchors(data, offsets)
-        row = pa.array(text)
-        # start in the text, anchor and last start from there
-        place = ((first - offsets[text]) << 16) | ((at - first) << 8) | (last - first)
-        yield record_batch({"h": h.view(np.int64), "k1": batch.column("k1").take(row), "k2": batch.column("k2").take(row), "place": place}, ANCHORS)
+        whole, ends = binary_parts(batch.column("text"))
+        for begin, data, offsets in _stretches(whole, ends):
+            text, h, at, first, last = anchors(data, offsets)
+            if not len(text):
+                continue
+            # anchors that follow each other at one short distance are one row
+            same = np.zeros(len(text), bool)
+            same[1:] = (text[1:] == text[:-1]) & (h[1:] == h[:-1])
+            for x in (at - first, last - first):
+                same[1:] &= x[1:] == x[:-1]
+            same &= last - first < GRAM
+            nth = np.arange(len(text)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(text))))
+            head = np.flatnonzero(nth % MOST_TIMES == 0)
+            times = np.diff(np.r_[head, len(text)])
+            text, h, at, first, last = (x[head] for x in (text, h, at, first, last))
+            row = pa.array(text)
+            # times, start in the text, anchor and last start from there
+            place = (times << 47) | ((first + begin - ends[text]) << 16) | ((at - first) << 8) | (last - first)
+            yield record_batch({"h": h.view(np.int64), "k1": batch.column("k1").take(row), "k2": batch.column("k2").take(row), "place": place}, ANCHORS)
 
 
 def _digest(*parts: bytes) -> tuple[int, int]:
@@ -135,40 +173,88 @@ def _digest(*parts: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def _key(shared: bytes, low: int, high: int) -> int:
+    """The group of windows that reach ``low`` to ``high`` bytes left of their gram."""
+    return _digest(shared, bytes((low, high)))[0]
+
+
+def _occurrences(place: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(first start, anchor, last start, step, times) of the anchors in one row.
+
+    Equal grams that overlap make the bytes under them periodic: the anchors whose
+    windows all lie there have equal contexts and come together.
+    """
+    times, first, reach, more = place >> 47, place >> 16 & (1 << 31) - 1, place >> 8 & 255, place & 255
+    step = more + 1
+    a = -(-reach // step)
+    b = ((times - 1) * step + GRAM - LENGTH - more + reach) // step
+    nth = 0
+    while nth < times:
+        many = b - a + 1 if nth == a and b > a else 1
+        at = first + nth * step
+        yield at, at + reach, at + more, step, many
+        nth += many
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts of repeated anchors, in two pieces each."""
-    half = (LENGTH - GRAM) // 2
+    out: dict[str, list] = {f.name: [] for f in PIECES}
     for batch in slices(batches, "text", BATCH_BYTES):
-        out: dict[str, list] = {f.name: [] for f in PIECES}
-        for k1, k2, value, places in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), batch.column("places").to_pylist(), strict=True):
-            text = value.as_py()
-            for place in places:
-                first = place >> 16
-                at, last = first + (place >> 8 & 255), first + (place & 255)
-                middle = min(last, at - half)  # windows up to here hold `half` bytes left of the gram
-                for a, b, shared in ((first, middle, text[at - half : at + GRAM] if middle >= first else b""), (max(first, at - half + 1), last, text[at : at + GRAM + half])):
-                    if a > b:
-                        continue
-                    context = text[a : b + LENGTH]
-                    c1, c2 = _digest(context)
-                    for k, v in (("piece", _digest(shared, b"l" if b <= at - half else b"r")[0]), ("c1", c1), ("c2", c2), ("k1", k1), ("k2", k2), ("start", a), ("size", len(context))):
-                        out[k].append(v)
-        if out["c1"]:
-            yield record_batch(out, PIECES)
+        for k1, k2, value, places in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
+            text = memoryview(value.as_buffer())
+            for place in places.values.to_numpy().tolist():
+                for first, at, last, step, times in _occurrences(place):
+                    middle = min(last, at - HALF)  # windows up to here hold HALF bytes left of the gram
+                    for a, b, low, high in ((first, middle, HALF, FREE), (max(first, at - HALF + 1), last, 0, HALF - 1)):
+                        if a > b:
+                            continue
+                        context = text[a : b + LENGTH]
+                        core = at - a
+                        c1, c2 = _digest(context, bytes((core,)))
+                        piece = _key(text[at - low : at + LENGTH - high], low, high)
+                        for k, v in zip(PIECES.names, (piece, c1, c2, k1, k2, a, len(context), core, low, step, times), strict=True):
+                            out[k].append(v)
+                    if len(out["c1"]) >= HELD_ROWS:
+                        yield record_batch(out, PIECES)
+                        out = {f.name: [] for f in PIECES}
+    if out["c1"]:
+        yield record_batch(out, PIECES)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The contexts that an index has to decide, cut from their texts."""
+    out: dict[str, list] = {f.name: [] for f in OPEN}
     for batch in slices(batches, "text", BATCH_BYTES):
-        out: dict[str, list] = {f.name: [] for f in OPEN}
-        for value, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
-            text = value.as_py()
-            for w in wanted:
-                out["context"].append(text[w["start"] : w["start"] + w["size"]])
-                for c in OPEN.names[:-1]:
+        for value, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
+            text = value.as_buffer()
+            for w in wanted.values.to_pylist():
+                w |= {"context": text[w["start"] : w["start"] + w["size"]].to_pybytes(), "high": FREE if w["low"] else HALF - 1}
+                for c in OPEN.names:
                     out[c].append(w[c])
+                if len(out["piece"]) >= HELD_ROWS:
+                    yield record_batch(out, OPEN)
+                    out = {f.name: [] for f in OPEN}
+    if out["piece"]:
+        yield record_batch(out, OPEN)
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts of a large group, each cut by how far its windows reach to the left."""
+    for batch in batches:
+        out: dict[str, list] = {f.name: [] for f in HALVES}
+        for row in batch.to_pylist():
+            context, core, low, high = (row[c] for c in ("context", "core", "low", "high"))
+            last, middle = len(context) - LENGTH, (low + high + 1) // 2
+            for a, b, lo, hi in ((0, min(last, core - middle), middle, high), (max(0, core - middle + 1), last, low, middle - 1)):
+                if a > b:
+                    continue
+                half, at = context[a : b + LENGTH], core - a
+                c1, c2 = _digest(half, bytes((at,)))
+                piece = _key(context[core - lo : core + LENGTH - hi], lo, hi)
+                for k, v in zip(HALVES.names, (row["piece"], row["c1"], row["c2"], a, piece, c1, c2, row["times"], at, lo, hi, half), strict=True):
+                    out[k].append(v)
         if out["piece"]:
-            yield record_batch(out, OPEN)
+            yield record_batch(out, HALVES)
 
 
 class RunLengthIndex:
@@ -296,20 +382,6 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield marked(held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: dict[str, list] = {f.name: [] for f in WINDOWS}
-        for piece, c1, c2, context in zip(*(batch.column(c).to_pylist() for c in ("piece", "c1", "c2", "context")), strict=True):
-            for nth in range(len(context) - LENGTH + 1):
-                w1, w2 = _digest(context[nth : nth + LENGTH])
-                for k, v in (("piece", piece), ("c1", c1), ("c2", c2), ("w1", w1), ("w2", w2), ("nth", nth)):
-                    out[k].append(v)
-            if len(out["nth"]) > 100_000:
-                yield record_batch(out, WINDOWS)
-                out = {f.name: [] for f in WINDOWS}
-        yield record_batch(out, WINDOWS)
-
-
 def _spans(runs: np.ndarray) -> np.ndarray:
     """Maximal runs of bytes that marked windows cover: (start, end) rows."""
     first = runs >> RUN_BITS
@@ -338,6 +410,29 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record_batch(out | {"doc_id": batch.column("doc_id")}, CLEANED)
 
 
+ID = ["piece", "c1", "c2"]
+
+
+def _marked(open_: DataFrame, width: int, held: list[DataFrame]) -> DataFrame:
+    """Marks of the contexts of groups with two or more, by index; large groups by halves first."""
+    small = open_.filter(F.col("kinds") <= GROUP_CONTEXTS).select(*ID, "times", "context").repartition(width, "piece").sortWithinPartitions(*ID)
+    marks = small.mapInArrow(lean(_indexed), MARKS)
+    large = open_.filter(F.col("kinds") > GROUP_CONTEXTS)
+    if large.isEmpty():
+        return marks
+    halves = staged(large.mapInArrow(lean(_halves), HALVES), "halves")
+    new = [F.col(f"{c}_").alias(c) for c in ID]
+    contexts = halves.groupBy(*new).agg(F.sum("times").alias("times"), F.first(F.struct("core", "low", "high", "context")).alias("r")).select(*ID, "times", "r.*")
+    kinds = contexts.groupBy("piece").agg(F.count("*").alias("kinds"))
+    contexts = staged(contexts.join(kinds, "piece").select(*OPEN.names), "half_contexts")
+    held += [halves, contexts]
+    whole = contexts.filter("times > 1").select(*ID, F.lit(0).alias("first"), (F.octet_length("context") - LENGTH).alias("last"))
+    found = whole.union(_marked(contexts.filter("kinds > 1"), width, held))
+    found = found.select(*(F.col(c).alias(f"{c}_") for c in ID), "first", "last")
+    back = halves.drop("context").join(found, [f"{c}_" for c in ID]).select(*ID, (F.col("first") + F.col("offset")).alias("first"), (F.col("last") + F.col("offset")).alias("last"))
+    return marks.union(back)
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """``(k1, k2, runs)``: for every row with repeated windows, where they start.
 
@@ -347,44 +442,42 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     k1, k2 = row_keys()
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), text_bytes().alias("text"))
     found = staged(texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(lean(_anchors), ANCHORS), "anchors")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    lists = found.join(twice, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
+    number = F.shiftright("place", 47)
+    twice = staged(found.groupBy("h").agg(F.sum(number).alias("n")).filter("n > 1").select("h", F.ceil(F.col("n") / ROWS_PER_COPY).cast("int").alias("copies")), "twice")
+    # a gram that occurs very often is looked up in as many copies as that takes
+    often, many = twice.filter("copies > 1"), F.coalesce("copies", F.lit(1))
+    salted = found.join(often, "h", "left").withColumn("salt", F.pmod(F.xxhash64("k1", "place"), many).cast("int"))
+    copied = twice.select("h", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    lists = salted.join(copied, ["h", "salt"], "left_semi").groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
     # equal rows (id and text) have equal places; each of them is one occurrence
     lists = staged(lists.withColumn("places", F.array_distinct("places")), "places")
-    release(found)
+    release(found, twice)
     occurrences = texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(lean(_pieces), PIECES)
     occurrences = staged(occurrences, "pieces")
     release(lists)
 
-    first = F.struct("k1", "k2", "start", "size")
-    contexts = occurrences.groupBy("piece", "c1", "c2").agg(F.count("*").alias("times"), F.min(first).alias("r"))
-    contexts = staged(contexts.select("piece", "c1", "c2", "times", "r.*"), "contexts")
+    first = F.struct("k1", "k2", "start", "size", "core", "low")
+    contexts = occurrences.groupBy(*ID).agg(F.sum("times").alias("times"), F.min(first).alias("r"))
+    contexts = staged(contexts.select(*ID, "times", "r.*"), "contexts")
     groups = contexts.groupBy("piece").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     # times > 1: the whole context repeats (its windows are all marked)
-    whole = contexts.filter("times > 1").select("piece", "c1", "c2")
-    wanted = contexts.join(groups, "piece").groupBy("k1", "k2").agg(F.collect_list(F.struct("piece", "c1", "c2", "times", "kinds", "start", "size")).alias("wanted"))
+    whole = contexts.filter("times > 1").select(*ID)
+    wanted = contexts.join(groups, "piece").groupBy("k1", "k2").agg(F.collect_list(F.struct(*ID, "times", "kinds", "start", "size", "core", "low")).alias("wanted"))
     wanted = staged(wanted, "wanted")
     # equal rows (id and text) give the same contexts
-    open_ = texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(lean(_contexts), OPEN).dropDuplicates(["piece", "c1", "c2"])
+    open_ = texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(lean(_contexts), OPEN).dropDuplicates(ID)
     open_ = staged(open_, "open")
     release(wanted)
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = open_.filter(F.col("kinds") <= GROUP_CONTEXTS).repartition(width, "piece").sortWithinPartitions("piece", "c1", "c2")
-    marks = small.mapInArrow(lean(_indexed), MARKS)
-    # groups too large for one task: single windows, counted
-    large = open_.filter(F.col("kinds") > GROUP_CONTEXTS)
-    windows = large.select("piece", "c1", "c2", "context").mapInArrow(lean(_windows), WINDOWS)
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-    single = windows.join(again, ["w1", "w2"], "left_semi").select("piece", "c1", "c2", "nth")
-    partial = marks.union(single.select("piece", "c1", "c2", F.col("nth").alias("first"), F.col("nth").alias("last")))
-    partial = partial.join(whole, ["piece", "c1", "c2"], "left_anti")
+    held: list[DataFrame] = []
+    partial = _marked(open_, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), held).join(whole, ID, "left_anti")
     marks = whole.select("*", F.lit(0).alias("first"), F.lit(None).cast("int").alias("last")).union(partial)
-    rows = occurrences.select("piece", "c1", "c2", "k1", "k2", "start", "size").join(marks, ["piece", "c1", "c2"])
-    more = F.coalesce(F.col("last"), F.col("size") - LENGTH) - F.col("first")
+    rows = occurrences.select(*ID, "k1", "k2", "start", "size", "step", "times").join(marks, ID)
+    # contexts that follow each other repeat whole, and so does what lies between them
+    more = F.coalesce(F.col("last"), F.col("size") - LENGTH) - F.col("first") + (F.col("times") - 1) * F.col("step")
     run = F.shiftleft(F.col("start") + F.col("first"), RUN_BITS) + more
     runs = staged(rows.select("k1", "k2", run.alias("run")).groupBy("k1", "k2").agg(F.collect_list("run").alias("runs")), "runs")
     # the texts are shuffled next: what led here need not be on disk beside them
-    release(occurrences, contexts, open_)
+    release(occurrences, contexts, open_, *held)
     return runs
 
 

@@ -65,12 +65,32 @@ def test_random_corpora(spark):
         assert run(spark, data) == brute(data)
 
 
-def test_large_groups_are_counted_by_window(spark, monkeypatch):
+def test_large_groups_are_split(spark, monkeypatch):
     monkeypatch.setattr(suffix, "GROUP_CONTEXTS", 2)
+    monkeypatch.setattr(suffix, "ROWS_PER_COPY", 3)
+    monkeypatch.setattr(suffix, "HELD_ROWS", 5)
+    monkeypatch.setattr(suffix, "BATCH_BYTES", 500)
     data = corpus(3, 80)
     assert run(spark, data) == brute(data)
 
 
+def test_periodic_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "MOST_TIMES", 150)
+    texts = ["a" * 200, "a" * 201, "a" * 5000, "x" + "ab" * 700 + "y", "b" * 150 + "abc" * 300, "abcdefghijklmnopqrstuvwxyz0123456789" * 20, "q" * 199, "ab" * 101, "0" * 340 + "1" + "0" * 340]
+    data = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    assert run(spark, data) == brute(data)
+    alone = [(1, "ab" * 4000, None, None, None), (2, "xyz" * 66 + "xy", None, None, None)]
+    assert run(spark, alone) == brute(alone)
+
+
+def test_a_long_periodic_text_is_one_row():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([b"a" * 3_000_000], pa.binary()), "k1": pa.array([1], pa.int64()), "k2": pa.array([2], pa.int64())})
+    rows = sum(b.num_rows for b in suffix._anchors(iter([batch])))
+    assert rows < 100
+
+
 def test_edge_rows(spark):
     assert run(spark, rows()) == brute(rows())
     assert run(spark, []) == []
