@@ -8,6 +8,14 @@ lies in links.  The best container is kept with those siblings that score near
 it; inside, menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and comments of readers are left out.
 
+What surrounds an article is known by its tag (menus, footers, asides, controls)
+or by its class, id or role.  A name whose parts are all such words or words of
+layout ("site-header", "related-posts") leaves a block out, unless it holds the
+heading or the main element of the page; a name with another word in it
+("search-results-analysis") only if the block is mostly links.  Names of inline
+elements do not matter.  A form is left out unless it holds the main text.  Lists
+inside the chosen container stay, whatever they link to.
+
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by one space in page order.  Nothing else
 is dropped or cut.
@@ -48,7 +56,7 @@ SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
 #: never part of a main text
-DROPPED = frozenset("head script style noscript template nav footer aside form button select option input textarea iframe svg math canvas object embed audio video dialog menu map xmp noembed noframes datalist".split())
+DROPPED = frozenset("head script style noscript template nav footer aside button select option input textarea iframe svg math canvas object embed audio video dialog menu map xmp noembed noframes datalist".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr caption ul option".split()
 )
@@ -62,22 +70,31 @@ ENDS_P = BLOCK - {"html", "body", "option"}
 P_SCOPE = frozenset("html body table td th caption button object article section div main blockquote li dd".split())
 
 #: words in class, id or role that mark what surrounds an article
-UNWANTED = re.compile(
+UNWANTED = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored sponsors promo promos promotion sidebar side rail menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer foot comment comments commentlist disqus respond replies reply cookie cookies consent gdpr notice notices notification notifications alert alerts newsletter subscribe subscription signup login paywall popup modal overlay share sharing social related recommend recommended recommendations widget widgets toolbar pagination pager tags skip contentinfo complementary search dialog form".split()
+)
+#: words of layout that say nothing about what a block holds
+NEUTRAL = frozenset(
+    "site page main top bottom left right box container wrapper wrap list block area section inner outer button buttons link links post posts bar item items primary secondary global mobile fixed sticky inline module panel group content text title row col column columns sub id js icon icons message messages slot unit thread field fields us more".split()
+)
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+WANTED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|rail|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|foot|comments?|commentlist|disqus|respond|replies|reply|cookies?|consent|gdpr|notice|notices|notification|alert|newsletter|subscribe|signup|login|paywall|popup|modal|overlay|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|tags|skip|contentinfo|complementary|search|dialog|form)(?:$|[\s_-]|\d)",
     re.I,
 )
 WANTED = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PARAGRAPHS = frozenset(("p", "pre", "blockquote", "td", "li", "dd", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"))
-CONTAINERS = frozenset("body article main section div td blockquote ul ol dl table tbody tr center details fieldset html header figure".split())
+CONTAINERS = frozenset("body article main section div td blockquote ul ol dl table tbody tr center details fieldset form html header figure".split())
+HEADINGS = frozenset(("h2", "h3", "h4", "h5", "h6"))
 
 
 #: what can be the main container (a list or table row is part of one)
-CANDIDATES = frozenset("html body article main section div td blockquote center details fieldset".split())
+CANDIDATES = frozenset("html body article main section div td blockquote center details fieldset form".split())
 
 
 class Node:
-    __slots__ = ("children", "depth", "drop", "links", "parent", "size", "tag", "wanted", "points")
+    __slots__ = ("children", "depth", "drop", "heads", "links", "named", "parent", "points", "prose", "size", "tag", "wanted")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
@@ -85,8 +102,23 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
         self.drop = parent.drop if parent else False
         self.wanted = False
+        #: 2: named as a surrounding, 1: perhaps, 3: a header
+        self.named = 0
         self.points = 0.0
-        self.size = self.links = 0
+        self.size = self.links = self.prose = 0
+        #: 2: the page's heading or main element is inside, 1: another heading
+        self.heads = 0
+
+
+def _called(name: str) -> int:
+    """What a class, id or role says of its block (see ``Node.named``)."""
+    parts = {p.lower() for p in PART.findall(name)}
+    unwanted = parts & UNWANTED
+    if not unwanted:
+        return 0
+    if parts - unwanted - NEUTRAL:
+        return 1
+    return 3 if unwanted == {"header"} else 2
 
 
 def _marks(node: Node, attributes: str) -> None:
@@ -95,20 +127,21 @@ def _marks(node: Node, attributes: str) -> None:
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id", "role"):
-            names.append(unescape(value))
+            names += unescape(value).split()
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN.search(value)):
             node.drop = True
     if names:
-        text = " ".join(names)
-        node.wanted = bool(WANTED.search(text))
-        if node.tag not in ("html", "body", "article", "main") and UNWANTED.search(text) and not (node.wanted and node.tag in ("div", "section") and not re.search(r"comment|ads?\b|advert|sidebar|footer|related", text, re.I)):
-            node.drop = True
+        node.wanted = bool(WANTED.search(" ".join(names)))
+        if node.tag in BLOCK and node.tag not in ("html", "body", "article", "main"):
+            called = {_called(n) for n in names}
+            node.named = next((k for k in (2, 3, 1) if k in called), 0)
 
 
 def tree(html: str) -> Node:
     """The element tree of a page; text stays in ``children`` as decoded strings."""
     root = at = Node("html", None)
     pos, n = 0, len(html)
+    flat: dict[str, int] = {}  # open elements beyond the greatest depth
 
     def add(text: str) -> None:
         if text and not at.drop:
@@ -128,6 +161,11 @@ def tree(html: str) -> Node:
         pos = m.end()
         if m[1]:
             tag = m[1].lower()
+            if flat.get(tag):
+                flat[tag] -= 1
+                if tag in BLOCK and not at.drop:
+                    at.children.append(Node("hr", at))
+                continue
             node = at
             while node is not None and node.tag != tag:
                 # an end tag of an inline element does not end blocks
@@ -173,6 +211,8 @@ def tree(html: str) -> Node:
             continue
         if node.depth < MAX_DEPTH:
             at = node
+        elif not node.drop:
+            flat[tag] = flat.get(tag, 0) + 1
     return root
 
 
@@ -184,22 +224,51 @@ def _inside(node: Node | None, tags: tuple[str, ...]) -> bool:
     return False
 
 
-def _measure(node: Node, in_link: bool = False) -> None:
-    """Text sizes with and without links, and the points that paragraphs hand up."""
+def _weigh(node: Node, in_link: bool = False) -> None:
+    """Text sizes with and without links, text of paragraphs, and what headings are inside."""
     in_link = in_link or node.tag == "a"
-    own = 0
-    commas = 0
+    node.size = node.links = node.prose = 0
+    node.heads = 2 if node.tag in ("main", "h1") or (node.tag == "article" and not node.drop) else int(node.tag in HEADINGS)
     for child in node.children:
         if isinstance(child, str):
             text = len(SPACE.sub(" ", child).strip())
-            own += text
-            commas += child.count(",") + child.count("，") + child.count("、")
             node.size += text
             node.links += text if in_link else 0
         elif not child.drop:
-            _measure(child, in_link)
+            _weigh(child, in_link)
             node.size += child.size
             node.links += child.links
+            node.prose += child.prose
+            node.heads = max(node.heads, 1 if child.named == 2 and child.tag == "article" else child.heads)
+    if node.tag == "p":
+        node.prose = node.size - node.links
+
+
+def _judge(node: Node, prose: int) -> None:
+    """Leave out forms and blocks that their names mark, but for those that hold the main text."""
+    for child in node.children:
+        if isinstance(child, str) or child.drop:
+            continue
+        if child.tag == "form":
+            child.drop = child.heads < 2 and 2 * child.prose <= prose
+        elif child.named == 1:
+            child.drop = 2 * child.links > child.size
+        elif child.named:
+            child.drop = child.heads < 2 and not (child.named == 3 and child.heads and _inside(node, ("article", "main")))
+        if not child.drop:
+            _judge(child, prose)
+
+
+def _measure(node: Node) -> None:
+    """The points that paragraphs hand up; what is left out weighs nothing."""
+    own = 0
+    commas = 0
+    for child in node.children:
+        if isinstance(child, str):
+            own += len(SPACE.sub(" ", child).strip())
+            commas += child.count(",") + child.count("，") + child.count("、")
+        elif not child.drop:
+            _measure(child)
             if child.tag not in BLOCK:
                 own += child.size
                 commas += int(child.points)
@@ -240,8 +309,8 @@ def _linky(node: Node) -> bool:
     return node.tag in ("ul", "ol", "dl", "table", "div", "section") and _density(node) > 0.6
 
 
-def _blocks(node: Node, out: list[list[str]], top: bool = False) -> None:
-    if node.drop or (not top and _linky(node)):
+def _blocks(node: Node, out: list[list[str]]) -> None:
+    if node.drop:
         return
     block = node.tag in BLOCK
     if block:
@@ -259,6 +328,9 @@ def _blocks(node: Node, out: list[list[str]], top: bool = False) -> None:
 
 def main_text(html: str) -> str:
     root = tree(html)
+    _weigh(root)
+    _judge(root, root.prose)
+    _weigh(root)
     _measure(root)
     best, top = None, 0.0
     for node in _containers(root):
@@ -283,7 +355,7 @@ def main_text(html: str) -> str:
     out: list[list[str]] = [[]]
     for node in kept:
         out.append([])
-        _blocks(node, out, top=node is best)
+        _blocks(node, out)
     texts = (" ".join("".join(parts).split()) for parts in out if parts)
     return " ".join(t for t in texts if t)
 
