@@ -1,38 +1,52 @@
 """Labelled training texts for the classifiers.
 
 A row may teach only if ``crc32(doc_id as text) mod 3`` is not 1; the others are
-held out.  Training takes a bounded sample: per class the ``per_class`` rows
-whose ids hash lowest, of texts up to ``max_bytes`` (longer ones are scored, not
-learnt from).  Only that sample reaches the driver.
+held out.  Training takes a bounded sample: of the labelled documents that are
+there, per class the first ``per_class`` rows in the order of their ids' hashes,
+as far as their whole texts together stay within the class's part of
+``TRAIN_BYTES`` (the first always does).  So no row is preferred or left out for
+its own length.  Only that sample reaches the driver.
+
+Of several texts under one id the one that hashes lowest teaches; empty and null
+texts teach as empty ones.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_bytes
 
 
+#: bytes of all training texts, half for each class
+TRAIN_BYTES = 48 << 20
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document is kept from training (a null id is)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], max_bytes: int) -> list[tuple[bytes, int]]:
+def training_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], max_bytes: int = TRAIN_BYTES) -> list[tuple[bytes, int]]:
     """Bounded, reproducible ``(text, label)`` pairs for training.
 
     Labels other than 0 and 1 are ignored; a document with both counts as 1.
     """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     marked = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("y"))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).filter(F.octet_length("text").between(1, max_bytes))
+    marked = marked.join(texts.select("doc_id"), "doc_id", "left_semi")
+    before = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     found = []
     for y, n in per_class.items():
-        chosen = marked.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        chosen = marked.filter(F.col("y") == y).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(n)
         # at most n ids: safe to broadcast whatever the table's size
-        rows = sized.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").collect()
+        rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        size = F.octet_length("text")
+        rows = rows.withColumn("before", F.coalesce(F.sum(size).over(before), F.lit(0)))
+        rows = rows.filter((F.col("before") == 0) | (F.col("before") + size <= max_bytes // len(per_class))).select("doc_id", "text").collect()
         found += [(r["doc_id"], bytes(r["text"]), y) for r in rows]
     return [(t, y) for _, t, y in sorted(found)]
 

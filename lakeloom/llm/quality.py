@@ -3,11 +3,11 @@
 One dictionary is built from good, one from bad labelled texts.  A text is
 compressed block by block with either, so that the dictionaries count all
 through a long text.  The normalised size difference (how much worse the bad
-dictionary does) says which kind of text it is like; how far it compresses at
-all shows repetition.  A logistic curve fitted on training texts that built no
-dictionary turns both into a calibrated score.
+dictionary does, by the sum of both sizes) says which kind of text it is like; a
+logistic curve over this one number, fitted on training texts that built no
+dictionary, turns it into a calibrated score.
 
-Defined cases: a null or empty text counts as difference 0 and ratio 1; whole
+Defined cases: a null or empty text counts as difference 0; whole
 texts are compressed, however long; repeated rows get equal scores; without
 labels of both classes every score is the smoothed share of good labels (0.5
 without any); an empty table gives no rows; columns beside doc_id and text never
@@ -26,16 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, record_batch, slices, text_bytes
-from .labelled import held_out, logistic, training_texts
+from .labelled import TRAIN_BYTES, held_out, logistic, training_texts
 from .toxicity import SCORES
 
-BLOCK = 2048
+BLOCK = 256
 LEVEL = 3
 DICTIONARY = 1 << 16
 THRESHOLD = 0.5
-#: training rows by class, and the longest text that is learnt from
+#: training rows by class, at most
 PER_CLASS = {0: 1500, 1: 2500}
-MAX_TRAIN_BYTES = 1 << 16
+#: bytes of a class's texts that build its dictionary: blocks at even distances of all of them
+DICTIONARY_BYTES = 8 << 20
 BATCH_BYTES = 8 << 20
 
 
@@ -46,6 +47,7 @@ def _blocks(text: bytes) -> list[bytes]:
 def _dictionary(texts: list[bytes]) -> bytes:
     """Dictionary bytes; plain text where there is too little to train on."""
     parts = [b for t in texts for b in _blocks(t)]
+    parts = parts[:: max(1, sum(map(len, parts)) // DICTIONARY_BYTES)]
     try:
         return zstandard.train_dictionary(DICTIONARY, parts).as_bytes()
     except zstandard.ZstdError:
@@ -56,10 +58,9 @@ def _dictionary(texts: list[bytes]) -> bytes:
 class Model:
     good: bytes
     bad: bytes
-    weights: np.ndarray
+    #: the curve: score = 1 / (1 + exp(-(slope * difference + bias))); without dictionaries the bias alone
+    slope: float
     bias: float
-    centre: np.ndarray
-    spread: np.ndarray
     _ready: list = field(default_factory=list, repr=False, compare=False)
 
     def _compressors(self) -> list:
@@ -73,47 +74,40 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_ready": []}
 
-    def features(self, text: bytes) -> tuple[float, float]:
-        if not text:
-            return 0.0, 1.0
+    def difference(self, text: bytes) -> float:
+        """(size by the bad dictionary - size by the good one) / their sum."""
+        if not text or not self.good:
+            return 0.0
         good, bad = self._compressors()
         blocks = _blocks(text)
         g = sum(len(good.compress(b)) for b in blocks)
         z = sum(len(bad.compress(b)) for b in blocks)
-        return (z - g) / (z + g), (z + g) / (2 * len(text))
+        return (z - g) / (z + g)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        if not len(self.weights):
-            return np.full(len(texts), 1 / (1 + np.exp(-self.bias)))
-        f = np.array([self.features(t) for t in texts]).reshape(-1, 2)
-        z = _terms((f - self.centre) / self.spread) @ self.weights + self.bias
+        z = self.slope * np.array([self.difference(t) for t in texts], float) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def _terms(f: np.ndarray) -> np.ndarray:
-    d, c = np.clip(f, -6, 6).T
-    return np.c_[d, c, d * d, c * c, d * c]
-
-
 def train(pairs: list[tuple[bytes, int]]) -> Model:
     """Fit on (text, label) pairs: even rows build the dictionaries, odd ones the curve."""
     y = np.array([label for _, label in pairs], float)
-    none = np.empty(0)
-    if len(set(y.tolist())) < 2:
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        return Model(b"", b"", none, float(np.log(share / (1 - share))), none, none)
     by = {k: [t for t, label in pairs if label == k] for k in (0, 1)}
-    build = {k: v[::2] for k, v in by.items()}
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    alone = Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
+    if not any(by[0]) or not any(by[1]):
+        return alone
+    build = {k: [t for t in v if t][::2] for k, v in by.items()}
     rest = [(t, k) for k, v in by.items() for t in (v[1::2] or v)]
-    model = Model(_dictionary(build[1]), _dictionary(build[0]), none, 0.0, none, none)
-    f = np.array([model.features(t) for t, _ in rest])
-    target = np.array([k for _, k in rest], float)
-    model.centre, model.spread = f.mean(axis=0), f.std(axis=0) + 1e-6
-    model.weights, model.bias = logistic(_terms((f - model.centre) / model.spread), target)
+    model = Model(_dictionary(build[1]), _dictionary(build[0]), 0.0, alone.bias)
+    d = np.array([model.difference(t) for t, _ in rest])
+    spread = float(d.std()) + 1e-6
+    weights, bias = logistic(((d - d.mean()) / spread)[:, None], np.array([k for _, k in rest], float))
+    model.slope, model.bias = float(weights[0]) / spread, bias - float(weights[0]) * float(d.mean()) / spread
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None, max_bytes: int = MAX_TRAIN_BYTES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None, max_bytes: int = TRAIN_BYTES) -> Model:
     return train(training_texts(docs, labels, "quality", per_class or PER_CLASS, max_bytes))
 
 

@@ -26,14 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import binary_parts, lean, record_batch, slices, text_bytes
-from .labelled import held_out, training_texts
+from .labelled import TRAIN_BYTES, held_out, training_texts
 
-BITS = 20
-GRAMS = (4, 5, 6)
+BITS = 21
+GRAMS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
-#: training rows by class, and the longest text that is learnt from
+#: training rows by class, at most
 PER_CLASS = {0: 3000, 1: 1500}
-MAX_TRAIN_BYTES = 1 << 16
 #: a gram is a feature if its likelihood-ratio statistic between the classes reaches this
 LEAST_EVIDENCE = 15.0
 BATCH_BYTES = 2 << 20
@@ -47,22 +46,22 @@ SCORES = T.StructType([
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_ODD = {2: 0x9E3779B1, 3: 0x85EBCA6B, 4: 0xC2B2AE35, 5: 0x27D4EB2F, 6: 0x165667B1}
+_ODD = {4: 0xC2B2AE35, 5: 0x27D4EB2F, 6: 0x165667B1, 7: 0x9E3779B1, 8: 0x85EBCA6B}
 
 
 def gram_hashes(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(n, hash of the n-gram that starts at each byte) over a buffer."""
+    """(n, hash of the n-gram that starts at each byte) over a buffer, n from 4 to 8."""
     b = _LOWER[data].astype(np.uint32)
     x2 = b[:-1] | (b[1:] << np.uint32(8))
     x4 = x2[:-2] | (x2[2:] << np.uint32(16))
     for n in GRAMS:
         if len(data) < n:
             continue
-        mixed = x4[: len(data) - n + 1] * np.uint32(_ODD[n])
-        if n > 4:
+        size = len(data) - n + 1
+        mixed = x4[:size] * np.uint32(_ODD[n])
+        if n > 4:  # the first four and the last four bytes
             mixed ^= mixed >> np.uint32(15)
-            tail = b[4 : len(data) - n + 5] if n == 5 else x2[4 : len(data) - n + 5]
-            mixed = (mixed + tail) * np.uint32(_ODD[n] ^ 0x5BD1E994)
+            mixed = (mixed + x4[n - 4 : n - 4 + size]) * np.uint32(_ODD[n] ^ 0x5BD1E994)
         yield n, (mixed ^ (mixed >> np.uint32(16))) * np.uint32(0x7FEB352D) >> np.uint32(32 - BITS)
 
 
@@ -97,6 +96,16 @@ class Model:
     weights: np.ndarray  # by hash; zero: not a feature
     bias: float
 
+    def __getstate__(self):
+        # features are few: only theirs travel
+        at = np.flatnonzero(self.weights)
+        return at.astype(np.int32), self.weights[at], self.bias
+
+    def __setstate__(self, state):
+        at, values, self.bias = state
+        self.weights = np.zeros(1 << BITS, np.float32)
+        self.weights[at] = values
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         doc, h = present(data, offsets, self.weights != 0)
         z = self.bias + np.bincount(doc, weights=self.weights[h], minlength=len(offsets) - 1)
@@ -149,7 +158,7 @@ def train(pairs: list[tuple[bytes, int]], steps: int = 200, l2: float = 1e-3) ->
     return Model(weights, float(bias))
 
 
-def _parts(pairs: list[tuple[bytes, int]], limit: int = 1 << 18) -> Iterator[range]:
+def _parts(pairs: list[tuple[bytes, int]], limit: int = 1 << 17) -> Iterator[range]:
     """Runs of texts of about ``limit`` bytes, so that training holds few grams at a time."""
     start = size = 0
     for i, (text, _) in enumerate(pairs):
@@ -169,7 +178,7 @@ def _evidence(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> n
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None, max_bytes: int = MAX_TRAIN_BYTES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None, max_bytes: int = TRAIN_BYTES) -> Model:
     return train(training_texts(docs, labels, "toxic", per_class or PER_CLASS, max_bytes))
 
 

@@ -3,7 +3,10 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lakeloom.llm import quality, toxicity
+from lakeloom.llm.labelled import training_texts
 from tests.llm.fixtures import documents, rows
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -57,10 +60,43 @@ def test_filter_keeps_columns(spark):
     assert out.schema.names == docs.schema.names and out.count() == docs.count()
 
 
+def test_names_of_its_own_do_not_clash(spark):
+    docs = documents(spark).withColumn("#text", F.lit("x")).withColumn("row", F.lit(1)).withColumn("text_", F.lit(2))
+    out = toxicity.clean_documents(docs, toxicity.fit(docs, spark.createDataFrame([], LABELS)))
+    assert out.schema.names == docs.schema.names and sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_training_texts(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    data = [(i, "t" * (i + 1), None, None, None) for i in ids[:20]] + [(ids[0], "", None, None, None), (ids[1], None, None, None, None)]
+    labels = spark.createDataFrame([(i, 1, k % 2) for k, i in enumerate(ids)], LABELS)
+    docs = documents(spark, data)
+    all_ = training_texts(docs, labels, "toxic", {0: 100, 1: 100})
+    assert len(all_) == 20 and {t for t, _ in all_} <= {(x[1] or "").encode() for x in data}
+    assert all_ == training_texts(docs.orderBy("n_chars").repartition(3), labels, "toxic", {0: 100, 1: 100})
+    # ids that have no document do not use up the sample's places
+    assert len(training_texts(docs, labels, "toxic", {0: 9, 1: 9})) == 18
+    few = training_texts(docs, labels, "toxic", {0: 100, 1: 100}, 100)
+    assert 2 <= len(few) < 20 and sum(len(t) for t, y in few if y == 0) <= 50
+
+
+def test_quality_is_the_curve_of_one_difference():
+    rng = np.random.default_rng(0)
+    good, bad = ([" ".join(rng.choice([f"{k}{i}" for i in range(200)], 80)).encode() for _ in range(60)] for k in ("good", "junk"))
+    model = quality.train([(t, 1) for t in good] + [(t, 0) for t in bad])
+    texts = [good[1], bad[1], b"", good[3] + bad[3]]
+    d = np.array([model.difference(t) for t in texts])
+    assert d[0] > 0 > d[1] and d[2] == 0 and model.slope > 0
+    assert np.allclose(model.scores(texts), 1 / (1 + np.exp(-(model.slope * d + model.bias))))
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
-    for query, label, least in ((toxicity.op8_toxicity, "toxic", 0.95), (quality.op9_quality, "quality", 0.97)):
-        out = [r for r in query(spark, d).collect() if r["held_out"] and r["doc_id"] in labels]
-        assert len(out) > 1000
-        assert np.mean([r["predicted"] == labels[r["doc_id"]][label] for r in out]) >= least
+    out = [r for r in quality.op9_quality(spark, d).collect() if r["held_out"] and r["doc_id"] in labels]
+    assert len(out) > 1000
+    assert np.mean([r["predicted"] == labels[r["doc_id"]]["quality"] for r in out]) >= 0.97
+
+    out = [(r["predicted"], labels[r["doc_id"]]["toxic"]) for r in toxicity.op8_toxicity(spark, d).collect() if r["held_out"] and r["doc_id"] in labels]
+    assert np.mean([p for p, y in out if y]) >= 0.9  # recall
+    assert np.mean([p for p, y in out if not y]) <= 0.01  # false alarms
