@@ -102,7 +102,7 @@ def _packed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 
     def block() -> pa.RecordBatch:
         ids = np.array([h[0] for h in held], np.int64)
-        return record_batch({"block": [base + number], "dim": [dim], "longest": [max(h[1] for h in held)], "ids": [ids.tobytes()], "data": [b"".join(h[2] for h in held)], "kth": [None]}, BLOCKS)
+        return record_batch({"block": [base + number], "dim": [dim], "longest": [max(h[1] for h in held)], "ids": [ids.tobytes()], "data": [_narrow(b"".join(h[2] for h in held))], "kth": [None]}, BLOCKS)
 
     for batch in batches:
         for vec_id, d, norm, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -126,12 +126,25 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(full, -(2**63), 2**63 - 1).astype(np.int64)
 
 
+def _ints(data: bytes, rows: int, dim: int) -> np.ndarray:
+    """Packed vectors as 64-bit integers (stored as 32 bits where all of a block fit)."""
+    kind = np.int32 if len(data) == 4 * rows * dim else np.int64
+    return np.frombuffer(data, kind).reshape(-1, dim).astype(np.int64)
+
+
+def _narrow(data: bytes) -> bytes:
+    """64-bit integers as 32-bit ones, if all of them fit."""
+    x = np.frombuffer(data, np.int64)
+    small = x.astype(np.int32)
+    return small.tobytes() if (small == x).all() else data
+
+
 class Block:
     """One block of candidates, rotated."""
 
     def __init__(self, ids: bytes, data: bytes, dim: int, basis: np.ndarray | None):
         self.ids = np.frombuffer(ids, np.int64)
-        self.ints = np.frombuffer(data, np.int64).reshape(-1, dim)
+        self.ints = _ints(data, len(self.ids), dim)
         real = self.ints.astype(np.float64)
         self.basis = np.eye(dim) if basis is None else basis
         self.head = max(1, dim // 4)
@@ -188,10 +201,10 @@ def _start(batches: Iterator[pa.RecordBatch], seeds: dict[int, tuple], bases: di
             if dim in seeds:
                 if dim not in ready:
                     ready[dim] = Block(*seeds[dim], dim, bases.get(dim))
-                for r, hits in ready[dim].search(ids, np.frombuffer(row["data"], np.int64).reshape(-1, dim), kth, k):
+                for r, hits in ready[dim].search(ids, _ints(row["data"], len(ids), dim), kth, k):
                     if len(hits) == k:
                         kth[r] = hits[-1][0]
-            queries = np.frombuffer(row["data"], np.int64).reshape(-1, dim).astype(np.float64)
+            queries = _ints(row["data"], len(ids), dim).astype(np.float64)
             norm = np.sqrt(np.square(queries).sum(axis=1))
             # candidates shorter than this are out of reach for every query here
             need = np.where(np.isinf(kth), -np.inf, (kth - 1) / np.maximum(norm, 1e-9) * (1 - 1e-9))
@@ -209,7 +222,7 @@ def _searched(batches: Iterator[pa.RecordBatch], bases: dict[int, np.ndarray], k
             if at != row["block"]:
                 raise ValueError("a block of queries came without its candidates")
             ids = np.frombuffer(row["ids"], np.int64)
-            queries = np.frombuffer(row["data"], np.int64).reshape(-1, row["dim"])
+            queries = _ints(row["data"], len(ids), row["dim"])
             out: dict[str, list] = {f.name: [] for f in HITS}
             for r, hits in held.search(ids, queries, np.frombuffer(row["kth"], np.float64), k):
                 out["query_id"] += [int(ids[r])] * len(hits)
@@ -223,7 +236,7 @@ def rotation(sample: list, dim: int) -> np.ndarray:
     """Right singular vectors of the sampled vectors, strongest first."""
     gram = np.zeros((dim, dim))
     for data in sample:
-        x = np.frombuffer(data, np.int64).reshape(-1, dim).astype(np.float64)
+        x = data.astype(np.float64)
         gram += x.T @ x
     return np.linalg.eigh(gram / max(1.0, np.abs(gram).max()))[1][:, ::-1].copy()
 
@@ -242,8 +255,8 @@ def top_inner_products(vectors: DataFrame, k: int = K, query_every: int = QUERY_
     asking = asking.repartitionByRange(max(1, parts // query_every), F.col("dim"), F.col("norm").desc(), F.col("vec_id")).sortWithinPartitions(F.col("dim"), F.col("norm").desc(), F.col("vec_id"))
     asking = asking.mapInArrow(lean(lambda it: _packed(it, QUERY_ROWS)), BLOCKS)
 
-    sampled = blocks.orderBy(F.xxhash64("block")).limit(SAMPLE_BLOCKS).select("dim", "data").collect()
-    bases = {d: rotation([r["data"] for r in sampled if r["dim"] == d], d) for d in {r["dim"] for r in sampled}}
+    sampled = blocks.orderBy(F.xxhash64("block")).limit(SAMPLE_BLOCKS).select("dim", "ids", "data").collect()
+    bases = {d: rotation([_ints(r["data"], len(r["ids"]) // 8, d) for r in sampled if r["dim"] == d], d) for d in {r["dim"] for r in sampled}}
     longest = blocks.filter(F.col("dim").isin([*bases])).groupBy("dim").agg(F.max_by(F.struct("ids", "data"), "longest").alias("b")).collect()
     seeds = {r["dim"]: (bytes(r["b"]["ids"]), bytes(r["b"]["data"])) for r in longest}
     asking = staged(asking.mapInArrow(lean(lambda it: _start(it, seeds, bases, k)), BLOCKS), "queries")
