@@ -27,7 +27,7 @@ threshold; the result is the components of these links.
 4. Surviving pairs are verified on the sets themselves, recomputed from the two
    texts.
 
-A shingle shared by more than ``GROUP_ROWS`` nodes is cut into tiles by size, the
+A meeting of more than ``GROUP_ROWS`` nodes is cut into tiles by size, the
 first level of a tree over all its nodes; a tile is copied to those tiles only
 whose sizes can link with its own, and every such pair of tiles is a meeting of
 its own: memory is bounded and no pair is left out.  (Among n nodes of like size
@@ -501,12 +501,23 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> I
 
 
 def _meetings(rows: DataFrame, counts: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """One meeting per shingle, or per pair of tiles of a shingle with many nodes (and what is staged for it)."""
-    met = staged(rows.join(counts, "item").select("item", "node", "pos", "n", "holders"), "met")
-    whole = met.filter(F.col("holders") <= GROUP_ROWS).select(F.col("item").alias("group"), "node", F.lit(0).alias("part"), "pos")
-    hot = met.filter(F.col("holders") > GROUP_ROWS).drop("holders")
+    """One meeting per set of nodes that share a shingle, or per pair of tiles of it where it is large.
+
+    Shingles of one passage mostly have the same nodes: they are one meeting, in
+    which a node has the place of the first of them, so that pairs meet once for a
+    passage.  (Meetings are told apart by 64 bits; should two agree, their nodes
+    meet in one, which loses nothing.)  Returns what is staged for it, too.
+    """
+    met = staged(rows.join(counts, "item").select("item", "node", "pos", "n"), "met")
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))) for k in (1, 2)]
+    sets = met.groupBy("item").agg(F.xxhash64(*same, F.count("*")).alias("set"), F.count("*").alias("holders"))
+    joint = met.join(sets, "item").groupBy(F.col("set").alias("item"), "node").agg(F.min("pos").alias("pos"), F.min("n").alias("n"), F.max("holders").alias("holders"))
+    joint = staged(joint, "joint")
+    release(met)
+    whole = joint.filter(F.col("holders") <= GROUP_ROWS).select(F.col("item").alias("group"), "node", F.lit(0).alias("part"), "pos")
+    hot = joint.filter(F.col("holders") > GROUP_ROWS).drop("holders")
     if hot.isEmpty():
-        return whole, [met]
+        return whole, [joint]
     # tiles by size, from counts per size; a size with very many nodes fills several
     tile = GROUP_ROWS // 2
     by_size = Window.partitionBy("item").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
@@ -520,7 +531,7 @@ def _meetings(rows: DataFrame, counts: DataFrame, percent: int) -> tuple[DataFra
     tiled = hot.join(cells, ["item", "n"]).withColumn("tile", F.col("first") + F.pmod(F.xxhash64("node"), F.col("tiles")))
     key = F.xxhash64("item", F.least("tile", "other"), F.greatest("tile", "other"))
     parts = staged(tiled.join(visits, ["item", "tile"]).select(key.alias("group"), "node", F.col("tile").cast("int").alias("part"), "pos"), "tiles")
-    return whole.union(parts), [met, cells, parts]
+    return whole.union(parts), [joint, cells, parts]
 
 
 def _marked(nodes: DataFrame, joined: DataFrame) -> DataFrame:
@@ -574,7 +585,7 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     # nodes of different components that share a prefix shingle
     marked = _marked(nodes.drop("fine"), joined)
     tokens = _unfolded(marked, "prefix", ["node", "component", "n"])
-    shared = tokens.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("holders")).filter("lo < hi").select("item", "holders")
+    shared = tokens.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("item")
     meeting, held = _meetings(tokens, shared, percent)
     facts = staged(nodes.select("node", "k1", "k2", "n", "point", "fine"), "facts")
     release(nodes)
