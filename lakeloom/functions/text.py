@@ -6,6 +6,7 @@ import difflib
 import json
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from decimal import Decimal
 from html.parser import HTMLParser
@@ -25,44 +26,59 @@ def comparison(column: str) -> Column:
 # -- numbers ---------------------------------------------------------------------------------
 
 # fixed values: powers of ten of scale words
-SCALES = {"thousand": 3, "million": 6, "billion": 9, "trillion": 12, "万": 4, "亿": 8, "万亿": 12}
+SCALES = {
+    "thousand": 3, "million": 6, "billion": 9, "trillion": 12,
+    "万": 4, "十万": 5, "百万": 6, "千万": 7, "亿": 8, "十亿": 9, "万亿": 12,
+    "萬": 4, "十萬": 5, "百萬": 6, "千萬": 7, "億": 8, "十億": 9, "萬億": 12,
+}
+#: a letter counts as a scale only before what models are measured in
+LETTERS = {"b": 9, "m": 6}
+BLANK = "[ \t\u00a0\u202f]"
+_DIGITS = r"[+\-−]?(?:\d{1,3}(?:,\d{3})+(?!\d)|\d+)"
+_WORDS = "|".join(sorted(SCALES, key=len, reverse=True))
 NUMBER = re.compile(
-    r"(?<![\w.])[-−]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-+]?\d{1,9})?(?![\d])"
-    r"(?:\s*(?:(thousand|million|billion|trillion)\b|(万亿|万|亿)))?(\s?%)?",
-    re.I,
+    rf"(?<![A-Za-z0-9_])({_DIGITS}(?:\.\d+|{BLANK}+\.{BLANK}+\d+)?(?:[eE][+\-]?\d+)?)"
+    rf"(?:{BLANK}*({_WORDS}|[BM](?=\s+(?:parameter|model)s?\b))(?![A-Za-z]))?{BLANK}*(%)?",
+    re.I | re.A,
 )
+#: full-width digits and signs; the rest of a text stays as it is
+FOLDED = {0xFF10 + i: 0x30 + i for i in range(10)} | {ord(a): ord(b) for a, b in zip("．％＋－", ".%+-", strict=True)}
+#: the leading digit's power of ten within which a number is written out
+WRITTEN_OUT = range(-20, 31)
 
 
 def canonical(literal: str, scale: int = 0) -> str:
-    """An exact decimal as a string: no trailing zeros, an exponent only where digits would run long."""
-    text = unicodedata.normalize("NFKC", literal).replace(",", "").replace("−", "-")
-    mantissa, _, exponent = text.lower().partition("e")
-    power = int(exponent or 0) + scale
-    d = Decimal(mantissa)
-    sign, digits, exp = d.as_tuple()
-    value = int("".join(map(str, digits)))
-    if not value:
+    """An exact decimal as a string: no trailing zeros, an exponent only where digits would run long.
+
+    An exponent of more than six digits is not computed with: the literal itself stands for it.
+    """
+    plain = re.sub(BLANK, "", literal.translate(FOLDED)).replace(",", "").replace("−", "-").lower()
+    mantissa, _, exponent = plain.partition("e")
+    if len(exponent.strip("+-")) > 6:
+        return f"literal:{plain}*1e{scale}"
+    sign, digits, power = Decimal(mantissa).as_tuple()
+    text = "".join(map(str, digits)).lstrip("0")
+    if not text:
         return "0"
-    power += exp
-    while value % 10 == 0:
-        value, power = value // 10, power + 1
-    s = str(value)
-    if -20 <= power < 0:
-        s = s.rjust(1 - power, "0")
-        s = f"{s[:power]}.{s[power:]}"
-    elif 0 <= power <= 30:
-        s += "0" * power
+    power += int(exponent or 0) + scale + len(text) - len(text.rstrip("0"))
+    text = text.rstrip("0")
+    lead = power + len(text) - 1
+    if lead not in WRITTEN_OUT:
+        out = f"{text[0]}.{text[1:]}".rstrip(".") + f"e{lead}"
+    elif power >= 0:
+        out = text + "0" * power
+    elif lead >= 0:
+        out = f"{text[:power]}.{text[power:]}"
     else:
-        s = f"{s}e{power}"
-    return ("-" if sign else "") + s
+        out = "0." + "0" * (-lead - 1) + text
+    return ("-" if sign else "") + out
 
 
 def numbers(text: str | None) -> list[dict]:
     out = []
-    for m in NUMBER.finditer(unicodedata.normalize("NFKC", text or "")):
-        word = (m[1] or m[2] or "").lower()
-        bare = re.match(r"[-−]?[\d,]+(?:\.\d+)?(?:[eE][-+]?\d+)?", m[0])[0]
-        out.append({"literal": m[0].strip(), "value": canonical(bare, SCALES.get(word, 0)) + ("%" if m[3] else "")})
+    for m in NUMBER.finditer((text or "").translate(FOLDED)):
+        word = (m[2] or "").lower()
+        out.append({"literal": text[m.start() : m.end()].strip(), "value": canonical(m[1], SCALES.get(word, LETTERS.get(word, 0))) + ("%" if m[3] else "")})
     return out
 
 
@@ -74,6 +90,38 @@ def number_udf():
     return f
 
 
+# -- phrases ---------------------------------------------------------------------------------
+
+SEGMENT, WORD = re.compile(r"[^A-Za-z \t-]+"), re.compile(r"[a-z][a-z-]{1,35}")
+
+
+def phrases(frames: Iterator[pd.DataFrame], stop: list[str], most: int) -> Iterator[pd.DataFrame]:
+    """Repeated phrases of two and three words of each ``(doc_id, text)``, the most frequent ones."""
+    stopped = frozenset(stop)
+    good: dict[str, bool] = {}
+    for f in frames:
+        rows = []
+        for doc_id, text in zip(f["doc_id"], f["text"], strict=True):
+            seen: Counter[str] = Counter()
+            for segment in SEGMENT.split(text or ""):
+                words = segment.lower().split()
+                for w in words:
+                    if w not in good:
+                        if len(good) > 500_000:
+                            good.clear()
+                        good[w] = w not in stopped and WORD.fullmatch(w) is not None
+                ok = [good.get(w, False) for w in words]
+                for k in range(len(words) - 1):
+                    if ok[k] and ok[k + 1]:
+                        two = f"{words[k]} {words[k + 1]}"
+                        seen[two] += 1
+                        if k + 2 < len(words) and ok[k + 2]:
+                            seen[f"{two} {words[k + 2]}"] += 1
+            best = sorted(((-n, term) for term, n in seen.items() if n >= 2))[:most]
+            rows += [(doc_id, term, -n) for n, term in best]
+        yield pd.DataFrame(rows, columns=["doc_id", "term", "n"])
+
+
 # -- protected atoms -------------------------------------------------------------------------
 
 ATOM = re.compile(r"https?://\S+|\$[^$\n]+\$|`[^`\n]+`|[\w.+-]+@[\w.-]+\.\w+|\d[\d,.]*")

@@ -46,7 +46,7 @@ shared("visible_selection", "FLT-22", sql="SELECT d.doc_id, l.quality FROM docum
 
 
 @query(
-    "operation_of_event", "FLT-05", "FNC-13", "FN-13",
+    "operation_of_event", "FLT-05", "FN-13", "FN-13",
     oracle="SELECT event_id, coalesce(json_extract_string(props, '$.operation'), json_extract_string(props, '$.k'), event_type) AS operation FROM events",
 )
 def operation_of_event(t):
@@ -124,7 +124,7 @@ def latest_metadata(t):
     return t("events").select("user_id", "event_type", "event_id", "ts").withColumn("n", F.row_number().over(newest)).filter("n = 1").select("user_id", "event_type", "event_id")
 
 
-@query("bijection_failures", "JOIN-23", "SET-03", oracle="SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NULL AS no_document, l.doc_id IS NULL AS no_label FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
+@query("bijection_failures", "JOIN-23", "SET-03", oracle="SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NULL AS no_document, l.doc_id IS NULL AS no_label FROM (SELECT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
 def bijection_failures(t):
     """Documents without a label and labels without a document, of the whole tables."""
     d = t("documents").select("doc_id", F.lit(True).alias("d"))

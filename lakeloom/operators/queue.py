@@ -25,7 +25,7 @@ def finished_visible_jobs(t):
     oracle=f"""WITH {TASKS_SQL}, last AS (SELECT job_id, max(due) AS claimed FROM tasks WHERE flag <> 'N' GROUP BY job_id),
 p AS (SELECT t.job_id, t.task_no, row_number() OVER (PARTITION BY t.job_id ORDER BY t.task_no) AS turn, coalesce(l.claimed, o.o_orderdate) AS since, o.o_orderdate AS created
 FROM tasks t JOIN orders o ON o.o_orderkey = t.job_id LEFT JOIN last l ON l.job_id = t.job_id WHERE t.flag = 'N')
-SELECT job_id, task_no, turn FROM p ORDER BY turn, since, created, job_id, task_no LIMIT 500""",
+SELECT job_id, task_no, turn FROM p ORDER BY turn, since, created, job_id, task_no""",
 )
 def fair_claim_order(t):
     """Pending tasks round robin over jobs, the job claimed longest ago first."""

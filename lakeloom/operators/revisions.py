@@ -81,8 +81,24 @@ def revision_diff(t):
 
 shared("document_history", "VER-12", sql="SELECT doc_id AS id, 'source' AS kind, 0 AS at FROM documents UNION ALL SELECT item_id AS id, 'memory' AS kind, 1 AS at FROM benchmark UNION ALL SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'review' ELSE 'issue' END AS kind, 2 AS at FROM labels")
 shared("tombstone_cascade", "STM-18", "SET-04", "VER-18", sql="SELECT d.lang, count(*) AS documents, count(CASE WHEN l.doc_id IS NOT NULL THEN 1 END) AS tombstoned, CAST(sum(CASE WHEN l.doc_id IS NULL THEN d.n_chars ELSE 0 END) AS BIGINT) AS kept_chars FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) l ON l.doc_id = d.doc_id GROUP BY d.lang")
-shared("index_refresh", "SNK-06", "VER-05", sql="SELECT doc_id, CASE WHEN lang = 'en' THEN 'same_language' ELSE 'translated' END AS reason, CASE WHEN lang = 'en' THEN substr(text, 1, 60) ELSE concat('[', lang, '] ', substr(text, 1, 60)) END AS target FROM documents")
-shared("issue_resolution", "VER-14", sql="SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
-shared("unit_chunks", "TRN-01", "TRN-02", "WIN-08", "SRT-04", sql="SELECT doc_id, n_chars, (n_chars + 999) / 1000 >= 2 AS split, greatest(1, CAST(ceil(n_chars / 1000.0) AS BIGINT)) AS units, substr(text, 1001, 20) AS second_unit FROM documents")
 shared("priority_truncation", "SRT-07", "SRT-06", sql="SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, turn) AS n FROM conversations) x WHERE n <= 3")
 shared("set_differences", "SET-02", "SET-06", sql="SELECT source, lang FROM documents EXCEPT SELECT source, lang FROM documents WHERE n_chars > 4000")
+
+
+@query("issue_resolution", "VER-14", oracle="SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def issue_resolution(t):
+    """Quotes and the documents that hold them.
+
+    A document that holds a quote holds its second to fourth words in a row, so the
+    two meet on these; quotes of fewer than five words have no such three and are
+    looked for one by one.
+    """
+    quotes, docs = t("benchmark").select("item_id", F.col("text").alias("quote")), t("documents").select("doc_id", "text")
+    words = F.split("quote", " ")
+    key = lambda x, i: F.xxhash64(F.element_at(x, i), F.element_at(x, i + 1), F.element_at(x, i + 2))
+    keyed = quotes.filter(F.size(words) >= 5).withColumn("key", key(words, F.lit(2)))
+    keys = docs.withColumn("w", F.split("text", " ")).filter("size(w) >= 3").select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: key(F.col("w"), i)))).alias("key"))
+    met = keys.join(keyed.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    found = met.join(docs, "doc_id").join(quotes, "item_id").filter(F.contains("text", "quote")).select("item_id", "doc_id")
+    short = quotes.filter(F.size(words) < 5)
+    return found.union(short.join(docs, F.contains("text", "quote")).select("item_id", "doc_id"))

@@ -9,7 +9,12 @@ from ..functions import text as X
 from ..plans.registry import query
 from ..sources.views import BLOCKS_SQL, blocks
 
+# fixed values: words of negation, condition and degree
 RISK = "not|never|unless|only|without|less|greater|must|cannot|except"
+RISK_ZH = "不|仅|除非|只有|未"
+# fixed values: words that no phrase holds
+STOP = "a an the and or of to in on for with by from as is are be we our this that these those each it its into using use used has have not".split()
+MOST_TERMS = 48
 
 
 @query("comparison_text", "STR-01", "STR-02", "STR-03", oracle=r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(replace(replace(replace(text, 'ﬁ', 'fi'), 'ﬂ', 'fl'), chr(173), ''), '(\p{L})-\n(\p{L})', '\1\2', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) AS sha FROM documents")
@@ -32,9 +37,9 @@ def number_multiset_diff(t):
     return x.groupBy("pair", "number").agg(F.sum("src").alias("source"), F.sum(1 - F.col("src")).alias("target")).filter("source <> target")
 
 
-@query("semantic_risk", "STR-17", "STR-18", oracle=rf"SELECT doc_id, len(regexp_extract_all(lower(text), '(^|[^a-z])({RISK})($|[^a-z])')) > 0 AS risky FROM documents")
+@query("semantic_risk", "STR-17", oracle=rf"SELECT doc_id, len(regexp_extract_all(lower(text), '(^|[^a-z])({RISK})($|[^a-z])|{RISK_ZH}')) > 0 AS risky FROM documents")
 def semantic_risk(t):
-    return t("documents").select("doc_id", F.lower("text").rlike(rf"(^|[^a-z])({RISK})($|[^a-z])").alias("risky"))
+    return t("documents").select("doc_id", F.lower("text").rlike(rf"(^|[^a-z])({RISK})($|[^a-z])|{RISK_ZH}").alias("risky"))
 
 
 @query("identifier_lines", "STR-19", "STR-22", oracle=rf"""WITH {BLOCKS_SQL} SELECT doc_id, ord, CASE WHEN regexp_matches(text, '^\s*(https?://)\S+\s*$') THEN 'url' WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[a-z]{{2,}}') THEN 'email' WHEN regexp_matches(text, '^[0-9 .,%-]+$') THEN 'numeric' WHEN regexp_matches(text, '^[A-Z]{{1,4}}-?[0-9]+$') THEN 'identifier' END AS reason
@@ -45,27 +50,34 @@ def identifier_lines(t):
     return blocks(t("documents")).filter(F.length("text").between(1, 1000)).select("doc_id", "ord", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
-@query("repetition_flags", "AGG-11", oracle=rf"""WITH {BLOCKS_SQL}, f AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[\n.!?]+')) AS piece FROM documents), g AS (SELECT doc_id, trim(piece, ' ') AS piece, count(*) AS n FROM f WHERE length(trim(piece, ' ')) >= 20 GROUP BY doc_id, trim(piece, ' '))
-SELECT doc_id, max(n) AS most, count(*) AS pieces FROM g WHERE n >= 2 GROUP BY doc_id""")
+@query("repetition_flags", "AGG-11", oracle=r"""WITH f AS (SELECT doc_id, source, trim(unnest(regexp_split_to_array(text, '[\n.!?]+')), ' ') AS piece FROM documents), g AS (SELECT doc_id, source, piece, count(*) AS n FROM f WHERE length(piece) >= 20 GROUP BY doc_id, source, piece),
+s AS (SELECT source, piece, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY source, piece HAVING sum(n) >= 8)
+SELECT 'document' AS scope, CAST(doc_id AS VARCHAR) AS key, max(n) AS most, count(*) AS pieces FROM g WHERE n >= 8 GROUP BY doc_id UNION ALL SELECT 'source' AS scope, source AS key, max(n) AS most, count(*) AS pieces FROM s GROUP BY source""")
 def repetition_flags(t):
-    f = t("documents").select("doc_id", F.explode(F.split("text", r"[\n.!?]+")).alias("piece")).withColumn("piece", F.trim("piece"))
-    g = f.filter(F.length("piece") >= 20).groupBy("doc_id", "piece").agg(F.count("*").alias("n")).filter("n >= 2")
-    return g.groupBy("doc_id").agg(F.max("n").alias("most"), F.count("*").alias("pieces"))
+    """Fragments of 20 characters and more that occur eight times in a document, or over a source's documents."""
+    f = t("documents").select("doc_id", "source", F.explode(F.split("text", r"[\n.!?]+")).alias("piece")).withColumn("piece", F.trim("piece")).filter("length(piece) >= 20")
+    in_document = f.groupBy("doc_id", "piece").agg(F.count("*").alias("n")).filter("n >= 8").select(F.lit("document").alias("scope"), F.col("doc_id").cast("string").alias("key"), "n")
+    in_source = f.groupBy("source", "piece").agg(F.count("*").alias("n")).filter("n >= 8").select(F.lit("source").alias("scope"), F.col("source").alias("key"), "n")
+    return in_document.union(in_source).groupBy("scope", "key").agg(F.max("n").alias("most"), F.count("*").alias("pieces"))
 
 
 @query(
-    "phrase_terms", "AGG-12", "SRT-06", "TRN-05",
-    oracle="""WITH w AS (SELECT doc_id, unnest(range(len(x))) AS pos, x FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z-]+') AS x FROM documents)),
-p AS (SELECT doc_id, pos, lower(x[pos + 1] || ' ' || x[pos + 2]) AS term FROM w WHERE pos + 2 <= len(x)),
-g AS (SELECT doc_id, term, count(*) AS n, min(pos) AS first_at FROM p GROUP BY doc_id, term HAVING count(*) >= 2)
-SELECT doc_id, term, n, first_at FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) <= 5""",
+    "phrase_terms", "AGG-12", "SRT-06",
+    oracle=rf"""WITH seg AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z \t-]+')) AS s FROM documents),
+x AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(s), '[ \t]+'), lambda w: w <> '') AS x FROM seg),
+w AS (SELECT doc_id, list_transform(x, lambda w: CASE WHEN regexp_full_match(w, '[a-z][a-z-]{{1,35}}') AND w NOT IN ({", ".join(f"'{w}'" for w in STOP)}) THEN w END) AS x FROM x WHERE len(x) > 1),
+i AS (SELECT doc_id, x, unnest(range(1, len(x))) AS i FROM w),
+p AS (SELECT doc_id, x[i] || ' ' || x[i + 1] AS term FROM i UNION ALL SELECT doc_id, x[i] || ' ' || x[i + 1] || ' ' || x[i + 2] AS term FROM i WHERE i + 2 <= len(x)),
+g AS (SELECT doc_id, term, count(*) AS n FROM p WHERE term IS NOT NULL GROUP BY doc_id, term HAVING count(*) >= 2)
+SELECT doc_id, term, n FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) <= {MOST_TERMS}""",
 )
 def phrase_terms(t):
-    x = t("documents").select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z-]+"), 0).alias("x")).filter(F.size("x") >= 2)
-    p = x.select("doc_id", F.posexplode(F.zip_with(F.slice("x", F.lit(1), F.size("x") - 1), F.slice("x", F.lit(2), F.size("x") - 1), lambda a, b: F.lower(F.concat(a, F.lit(" "), b)))).alias("at", "term"))
-    g = p.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("at").cast("long").alias("first_at")).filter("n >= 2")
-    best = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "term")
-    return g.withColumn("r", F.row_number().over(best)).filter("r <= 5").drop("r")
+    """Phrases of two and three words that a document repeats: counted inside its row, no shuffle.
+
+    Words stand side by side in one sentence (anything but letters, hyphens and
+    blanks ends it) and none is a stop word; the 48 most frequent are the report.
+    """
+    return t("documents").select("doc_id", "text").mapInPandas(lambda it: X.phrases(it, STOP, MOST_TERMS), "doc_id long, term string, n long")
 
 
 @query(
@@ -94,24 +106,38 @@ def character_multiset(t):
     return c.filter("letter <> ''").groupBy("lang", "letter").agg(F.count("*").alias("n"))
 
 
-@query("page_headings", "STR-24", "STR-26", "STR-29", "WIN-06", oracle=r"SELECT page_id, regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '^[0-9.]+\s*', '') AS heading, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<a ')) AS links, length(regexp_extract(html, '<title>([^<]*)</title>', 1)) BETWEEN 4 AND 300 AS valid_title FROM pages")
+@query("page_headings", "STR-24", "STR-26", "STR-29", oracle=r"SELECT page_id, regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '^[0-9.]+\s*', '') AS heading, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<a ')) AS links, length(regexp_extract(html, '<title>([^<]*)</title>', 1)) BETWEEN 4 AND 300 AS valid_title FROM pages")
 def page_headings(t):
     n = lambda p: F.size(F.regexp_extract_all("html", F.lit(p), 0)).cast("long")
     return t("pages").select("page_id", F.regexp_replace(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), r"^[0-9.]+\s*", "").alias("heading"), n("<p>").alias("paragraphs"), n("<a ").alias("links"), F.length(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).between(4, 300).alias("valid_title"))
 
 
-@query("fenced_turns", "STR-25", "STR-42", oracle="SELECT conv_id, turn, regexp_replace(text, '^```[a-z]*\\n|\\n```$', '', 'g') AS body, len(string_split(text, chr(10))) AS lines FROM conversations")
+# assistants' turns as they would come from a model: in a fence
+FENCED_SQL = "CASE WHEN role = 'assistant' THEN concat('```text', chr(10), text, chr(10), '```') ELSE text END"
+
+
+@query("fenced_turns", "STR-25", oracle=rf"SELECT conv_id, turn, regexp_replace(body, '^```[a-z]*\n|\n```$', '', 'g') AS body, len(string_split(body, chr(10))) AS lines FROM (SELECT conv_id, turn, {FENCED_SQL} AS body FROM conversations) c")
 def fenced_turns(t):
-    return t("conversations").select("conv_id", "turn", F.regexp_replace("text", "^```[a-z]*\\\\n|\\\\n```$", "").alias("body"), F.size(F.split("text", "\n")).cast("long").alias("lines"))
+    body = F.expr(FENCED_SQL)
+    return t("conversations").select("conv_id", "turn", F.regexp_replace(body, r"^```[a-z]*\n|\n```$", "").alias("body"), F.size(F.split(body, "\n")).cast("long").alias("lines"))
 
 
-@query("title_overlap", "STR-28", "STR-27", oracle="WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.x, b.x)) AS same FROM w a JOIN w b ON a.item_id < b.item_id WHERE 4 * len(list_intersect(a.x, b.x)) >= len(a.x)")
+@query("title_overlap", "STR-28", "STR-27", oracle="WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS x FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.x, b.x)) AS same FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(list_intersect(a.x, b.x)) > 0 AND 4 * len(list_intersect(a.x, b.x)) >= 3 * len(a.x)")
 def title_overlap(t):
-    w = t("benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("x"))
-    # words meet in an equi-join; pairs are counted from shared words
-    long = w.select("item_id", F.size("x").alias("n"), F.explode("x").alias("word"))
-    pairs = long.alias("a").join(long.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.item_id") < F.col("b.item_id")))
-    return pairs.groupBy(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.col("a.n").alias("n")).agg(F.count("*").alias("same")).filter("4 * same >= 3 * n").select("a", "b", "same")
+    """Titles that hold three quarters of the words of one before.
+
+    Of a title's words, rarest first, at least one of the first quarter and one
+    more is in any such match; only these words look for partners.
+    """
+    w = t("benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("x")).filter("size(x) > 0")
+    words = w.select("item_id", F.explode("x").alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("df"))
+    ranked = words.join(often, "word").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("r"))
+    rare = ranked.select(F.col("item_id").alias("a"), F.explode(F.expr("slice(r, 1, size(r) - cast(ceil(0.75 * size(r)) as int) + 1)")).alias("r")).select("a", F.col("r.word").alias("word"))
+    pairs = rare.join(words.withColumnRenamed("item_id", "b"), "word").filter("a < b").select("a", "b").distinct()
+    both = pairs.join(w.select(F.col("item_id").alias("a"), F.col("x").alias("xa")), "a").join(w.select(F.col("item_id").alias("b"), F.col("x").alias("xb")), "b")
+    same = F.size(F.array_intersect("xa", "xb"))
+    return both.filter(4 * same >= 3 * F.size("xa")).select("a", "b", same.cast("long").alias("same"))
 
 
 @query("canonical_digest", "FN-05", "EXT-03", "FN-24", oracle="""SELECT doc_id, sha256('{"doc_id":' || CAST(doc_id AS VARCHAR) || ',"lang":"' || lang || '","source":"' || source || '"}') AS digest, strlen(text) + 4096 <= 8192 AS fits FROM documents""")
@@ -128,7 +154,7 @@ def canonical_numbers(t):
     return t("documents").select("doc_id", F.explode(X.number_udf()("text")).alias("n")).select("doc_id", "n.literal", "n.value")
 
 
-@query("masked_text", "STR-37", "TRN-03", "EXT-01", "EXT-02")
+@query("masked_text", "STR-37", "TRN-03")
 def masked_text(t):
     return t("documents").select("doc_id", X.mask_udf()("text").alias("m")).select("doc_id", "m.masked", "m.atoms")
 
@@ -165,7 +191,13 @@ def nfkc_core(t):
     return t("documents").select("doc_id", F.sha2(X.core_udf()("text").cast("binary"), 256).alias("core"))
 
 
-@query("packed_context", "FN-16", "TRN-06")
+@query(
+    "packed_context", "FN-16", "TRN-06",
+    oracle="""WITH l AS (SELECT conv_id, list({'size': CAST(strlen(text) AS BIGINT), 'used': CAST(0 AS BIGINT), 'kept': CAST(0 AS BIGINT), 'omitted': CAST(0 AS BIGINT)} ORDER BY turn) AS l FROM conversations GROUP BY conv_id),
+r AS (SELECT conv_id, list_reduce(list_prepend({'size': CAST(0 AS BIGINT), 'used': CAST(0 AS BIGINT), 'kept': CAST(0 AS BIGINT), 'omitted': CAST(0 AS BIGINT)}, l), lambda a, x: CASE WHEN a.used + x.size <= 3200
+THEN {'size': a.size, 'used': a.used + x.size, 'kept': a.kept + 1, 'omitted': a.omitted} ELSE {'size': a.size, 'used': a.used, 'kept': a.kept, 'omitted': a.omitted + 1} END) AS r FROM l)
+SELECT conv_id, r.used AS used, r.kept AS kept, r.omitted AS omitted FROM r""",
+)
 def packed_context(t):
     """Greedy packing of a conversation's turns under a byte budget, skipping what does not fit."""
     turns = F.array_sort(F.collect_list(F.struct("turn", F.octet_length("text").cast("long").alias("size"))))

@@ -9,14 +9,15 @@ from lakeloom.functions import text as X
 
 @pytest.mark.parametrize(
     "literal, scale, value",
-    [("1,200", 0, "1200"), ("0.50", 0, "0.5"), ("3", 6, "3000000"), ("1.5e3", 0, "1500"), ("１２", 0, "12"), ("-0", 0, "0"), ("2.50", 3, "2500"), ("1e40", 0, "1e40"), ("0.001", 0, "0.001"), ("−7", 0, "-7")],
+    [("1,200", 0, "1200"), ("0.50", 0, "0.5"), ("3", 6, "3000000"), ("1.5e3", 0, "1500"), ("１２", 0, "12"), ("-0", 0, "0"), ("2.50", 3, "2500"), ("1e40", 0, "1e40"), ("0.001", 0, "0.001"), ("−7", 0, "-7"), ("12e30", 0, "1.2e31"), ("12e29", 0, "12" + "0" * 29), ("1e-21", 0, "1e-21"), ("1.5e-20", 0, "0." + "0" * 19 + "15"), ("3e1234567", 2, "literal:3e1234567*1e2")],
 )
 def test_canonical(literal, scale, value):
     assert X.canonical(literal, scale) == value
 
 
 def test_numbers():
-    assert [n["value"] for n in X.numbers("1.2 million of 3,000 (45%) v2 x1.5y 3 万")] == ["1200000", "3000", "45%", "30000"]
+    assert [n["value"] for n in X.numbers("1.2 million of 3,000 (45%) v2 x1.5y 3 万")] == ["1200000", "3000", "45%", "5", "30000"]
+    assert [n["value"] for n in X.numbers("½ of 2.5B parameters, 3 . 5 kg, 7B, 2 十億, ３．５％ and x9")] == ["2500000000", "3.5", "7", "2000000000", "3.5%"]
 
 
 @given(st.text("ab1,.$`{}_@/: \n", max_size=60))

@@ -25,3 +25,12 @@ def test_titles_match_from_three_quarters(spark, tmp_path):
     texts = ["one two three four", "one two three five", "one two six seven", "one eight nine ten"]
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert [tuple(r) for r in plans.load()["title_overlap"](spark, str(tmp_path)).collect()] == [(0, 1, 3)]
+
+
+def test_quotes_are_found_wherever_they_stand(spark, tmp_path):
+    texts = ["before it all one two three four five six after", "xone two three four fivex", "one two three", "none", "a short one"]
+    quotes = ["one two three four five", "one two", "three four five six seven", "", "e two three four f"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = {tuple(r) for r in plans.load()["issue_resolution"](spark, str(tmp_path)).collect()}
+    assert out == {(i, d) for i, q in enumerate(quotes) for d, x in enumerate(texts) if q in x}
