@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import re
 from collections.abc import Iterator
 
@@ -48,6 +49,9 @@ UNKNOWN_PENALTY = 10.0
 #: a best value beyond this, up or down, is taken off what follows (a constant of the tokenizer)
 LIMIT = 100_000.0
 CACHE_CHUNKS = 800_000
+#: bits of a count beside its score
+BITS = 32
+MASK = (1 << BITS) - 1
 CACHED_LENGTH = 64
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 
@@ -89,8 +93,10 @@ class Vocabulary:
         self.unknown = single(min(self.pieces.values()) - UNKNOWN_PENALTY)
         self.automaton = ahocorasick.Automaton()
         for piece, score in self.pieces.items():
-            self.automaton.add_word(piece, (len(piece), score))
+            # score and count in one integer, for whole scores
+            self.automaton.add_word(piece, (len(piece), score, (int(-score) << BITS) + 1))
         self.automaton.make_automaton()
+        self.singles = frozenset(p for p in self.pieces if len(p) == 1)
         self.words_apart = SPACE in self.pieces and not any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.space = self.pieces.get(SPACE, self.unknown)
         #: sums of whole scores near 0 are exact
@@ -105,7 +111,7 @@ class Vocabulary:
         if not n:
             return 0, 0.0, value, value, value, False
         begins: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, (length, score) in self.automaton.iter(text):
+        for end, (length, score, _) in self.automaton.iter(text):
             begins[end + 1 - length].append((end + 1, score))
         values: list[float | None] = [value, *[None] * n]
         counts, scores, strange = [0] * (n + 1), [0.0] * (n + 1), [False] * (n + 1)
@@ -141,6 +147,56 @@ class Vocabulary:
                     reach = max(reach, end)
         return counts[n], scores[n], values[n], least, most, taken
 
+    def chunk(self, text: str, value: float) -> tuple[int, float, float, tuple[float, ...]]:
+        """(pieces, score, value after) as ``segment`` has them, for whole scores and bytes for unknowns.
+
+        Also the scores of the pieces of two and more characters that the text begins with.
+        """
+        n = len(text)
+        begins: list[list | None] = [None] * n
+        for end, (length, score, both) in self.automaton.iter(text):
+            at = end + 1 - length
+            if begins[at] is None:
+                begins[at] = [(end + 1, score, both)]
+            else:
+                begins[at].append((end + 1, score, both))
+        values: list[float | None] = [value, *[None] * n]
+        carried = [0] * (n + 1)
+        reach, singles, unknown = 0, self.singles, self.unknown
+        for at in range(n):
+            base = values[at]
+            if not -LIMIT <= base <= LIMIT:
+                for k in range(at + 1, reach + 1):
+                    x = values[k]
+                    if x is not None:
+                        x -= base
+                        if not -16777216.0 <= x <= 16777216.0:
+                            x = round(x * 0.015625) * 64.0 if 536870912.0 <= x < 1073741824.0 or -1073741824.0 < x <= -536870912.0 else single(x)
+                        values[k] = x
+                base = 0.0
+            so_far, found = carried[at], begins[at]
+            if found is not None:
+                for end, score, both in found:
+                    total = base + score
+                    if total < -16777216.0:
+                        total = round(total * 0.015625) * 64.0 if -1073741824.0 < total <= -536870912.0 else single(total)
+                    old = values[end]
+                    if old is None or total > old:
+                        values[end] = total
+                        carried[end] = so_far + both
+                end = found[-1][0]  # pieces of one start come by their ends
+                if end > reach:
+                    reach = end
+            if text[at] not in singles:
+                total, end = single(base + unknown), at + 1
+                if values[end] is None or total > values[end]:
+                    values[end] = total
+                    carried[end] = so_far + (int(-unknown) << BITS) + len(text[at].encode("utf-8", "replace"))
+                    if end > reach:
+                        reach = end
+        head = tuple([score for end, score, _ in begins[0] if end > 1]) if begins[0] else ()
+        return carried[n] & MASK, -float(carried[n] >> BITS), values[n], head
+
     def count(self, text: str) -> tuple[int, float]:
         """(pieces, score) of the best path over normalised text."""
         return self.segment(text)[:2]
@@ -165,6 +221,32 @@ class Chunks:
         self.vocab = vocab
         self.known: dict[tuple, tuple] = {}
         self.heads: dict[str, tuple[float, ...]] = {}
+        #: near such a space, values matter by what they are off a multiple of 64 (one table each)
+        self.quick = vocab.coarse_space and vocab.byte_fallback and vocab.words_apart
+        self.off = [v - 64 * round(v / 64) + 32 for v in range(128)]
+        self.tables: list[dict[str, tuple[int, float, int]]] = [{} for _ in range(65)]
+        self.held = 0
+
+    def missing(self, chunk: str, value: int, table: dict) -> tuple[int, float, int]:
+        """What ``tables`` does not hold: by what is left of the value, else anew."""
+        d = value - round((value + self.vocab.space) * 0.015625) * 64.0
+        head = self.heads.get(chunk)
+        if head is not None:
+            hit = self.known.get((chunk, *[round((d + x) * 0.015625) for x in head]))
+            if hit is not None:
+                table[chunk] = hit
+                self.held += 1
+                return hit
+        n, score, after, head = self.vocab.chunk(chunk, float(value))
+        hit = (n, score, int(after) if -LIMIT <= after <= LIMIT else 0)
+        if len(chunk) <= CACHED_LENGTH and chunk[1:2] != SPACE:
+            if len(self.known) + self.held >= CACHE_CHUNKS:
+                self.held = 0
+                for t in (self.known, self.heads, *self.tables):
+                    t.clear()
+            self.heads[chunk] = head
+            self.known[(chunk, *[round((d + x) * 0.015625) for x in head])] = hit
+        return hit
 
     def head(self, chunk: str) -> tuple[float, ...]:
         """Scores of the pieces of two and more characters that the chunk begins with."""
@@ -185,6 +267,15 @@ class Chunks:
 
     def count(self, text: str) -> tuple[int, float]:
         """(pieces, score) of a normalised text, chunk by chunk."""
+        if self.quick and text[:1] == SPACE:
+            pieces, total, value = 0, 0.0, 0
+            tables, off, missing = self.tables, self.off, self.missing
+            for chunk in CHUNK.findall(text):
+                table = tables[off[value & 127]]
+                n, score, value = table.get(chunk) or missing(chunk, value, table)
+                pieces += n
+                total += score
+            return pieces, total
         pieces, total, value = 0, 0.0, 0.0
         known, vocab, heads = self.known, self.vocab, self.heads
         space, coarse = vocab.space, vocab.coarse_space
@@ -222,6 +313,15 @@ CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(path)
     known = Chunks(vocab)
+    # the cache is a million small tuples without cycles: looking for cycles in them is the dearest step
+    gc.disable()
+    try:
+        yield from _batches(batches, vocab, known)
+    finally:
+        gc.enable()
+
+
+def _batches(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, known: Chunks) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_pieces, scores = [], []
         for value in batch.column("text"):
