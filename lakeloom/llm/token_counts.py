@@ -48,7 +48,9 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: a best value beyond this, up or down, is taken off what follows (a constant of the tokenizer)
 LIMIT = 100_000.0
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 900_000
+#: entries of the tables in front of that cache, which are quick to fill again
+QUICK_CHUNKS = 400_000
 #: bits of a count beside its score
 BITS = 32
 MASK = (1 << BITS) - 1
@@ -234,16 +236,19 @@ class Chunks:
         if head is not None:
             hit = self.known.get((chunk, *[round((d + x) * 0.015625) for x in head]))
             if hit is not None:
+                if self.held >= QUICK_CHUNKS:
+                    self.held = 0
+                    for t in self.tables:
+                        t.clear()
                 table[chunk] = hit
                 self.held += 1
                 return hit
         n, score, after, head = self.vocab.chunk(chunk, float(value))
         hit = (n, score, int(after) if -LIMIT <= after <= LIMIT else 0)
         if len(chunk) <= CACHED_LENGTH and chunk[1:2] != SPACE:
-            if len(self.known) + self.held >= CACHE_CHUNKS:
-                self.held = 0
-                for t in (self.known, self.heads, *self.tables):
-                    t.clear()
+            if len(self.known) >= CACHE_CHUNKS:
+                self.known.clear()
+                self.heads.clear()
             self.heads[chunk] = head
             self.known[(chunk, *[round((d + x) * 0.015625) for x in head])] = hit
         return hit
