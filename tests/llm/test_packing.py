@@ -90,7 +90,9 @@ def test_plan_places_every_rank_once(spec):
             at += length
         assert at <= 40
     total = int((np.arange(41) * counts).sum())
-    assert len(fill) <= 11 / 9 * -(-total // 40) + 3
+    # no two lengths over half a sequence share one, so the best packing has at least as many
+    least = max(-(-total // 40), int(counts[21:].sum()))
+    assert len(fill) <= 11 / 9 * least + 3
 
 
 @pytest.mark.parametrize("lengths, sequences", [([600, 424], 1), ([500, 300, 224], 1), ([400, 300, 200, 124], 1), ([512] * 6, 3), ([700, 700, 324], 2)])
