@@ -20,7 +20,8 @@ to multiples of 64, and which piece of a near tie wins hangs on the words before
 
 No piece has a space mark after another character (checked on loading; else the
 whole text is one chunk), so a best path never spans two words: a text is cut
-at spaces, and only the value at the cut passes from chunk to chunk.  Results of
+at spaces, and only the value at the cut passes from chunk to chunk.  (Characters
+that are no piece of their own cut it, too: no longer piece has them.)  Results of
 chunks are kept in a bounded cache by all that can change them (see ``Chunks``).
 
 Defined cases: a null or empty text has 0 pieces and score 0; very long chunks
@@ -54,6 +55,8 @@ QUICK_CHUNKS = 400_000
 #: bits of a count beside its score
 BITS = 32
 MASK = (1 << BITS) - 1
+#: less than any sum; a count with no rounding, 12 bits of count below 128 and what rounding added
+WORST, ROUNDED = -(1 << 60), 128 << 12
 CACHED_LENGTH = 64
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 
@@ -106,6 +109,21 @@ class Vocabulary:
         self.longest = max(map(len, self.pieces))
         #: the space's value is one that floats near it hold as a multiple of 64
         self.coarse_space = self.whole and -(2.0**30) + 1e6 < self.space < -(2.0**29) - 1e6
+        #: for ``word``: what no path over single characters is worse than, by far
+        near = {p: int(x) for p, x in self.pieces.items() if self.coarse_space and x >= -LIMIT}
+        self.near_heads = {p: x for p, x in near.items() if p[0] == SPACE and len(p) > 1}
+        self.begun = frozenset(p[:k] for p in self.near_heads for k in range(3, len(p) + 1))
+        self.near_singles = frozenset(p for p in near if len(p) == 1 and p != SPACE)
+        self.inner = ahocorasick.Automaton()
+        for piece, score in near.items():
+            if piece[0] != SPACE:
+                self.inner.add_word(piece, (len(piece) - 1, score))
+        if self.near_singles:
+            self.inner.make_automaton()
+        #: words of such characters, and others, which no piece joins to them
+        known = "".join(map(re.escape, sorted(self.near_singles)))
+        apart = self.near_singles and all(self.near_singles.issuperset(p.lstrip(SPACE)) for p in self.pieces if len(p) > 1)
+        self.words = re.compile(f"{SPACE}+[{known}]*|[{known}]+|[^{known}{SPACE}]+") if apart else None
 
     def segment(self, text: str, value: float = 0.0) -> tuple[int, float, float, float, float, bool]:
         """(pieces, score, value after, least and greatest value of a start, whether values were taken off)."""
@@ -199,6 +217,57 @@ class Vocabulary:
         head = tuple([score for end, score, _ in begins[0] if end > 1]) if begins[0] else ()
         return carried[n] & MASK, -float(carried[n] >> BITS), values[n], head
 
+    def word(self, text: str, value: int) -> tuple[int, float, int, tuple[int, ...]] | None:
+        """As ``chunk``, in whole numbers, for known characters, alone or behind a space near -1e9.
+
+        Every position from the second on is reached by a piece that begins with the
+        space, which is worth some 1e9 more than the space alone: what starts behind
+        the space never wins, and sums count from the second position on.  All that
+        rounding changes are the values of the pieces that begin with the space, against
+        each other; what is taken off later changes no comparison.  None if this does
+        not hold.  Without a space the value before has to be 0.
+        """
+        n = len(text)
+        if text[0] != SPACE:
+            if n > 4095 or text[0] not in self.near_singles:
+                return None
+            values, counts = [WORST] * (n + 1), [0] * (n + 1)
+            values[0], counts[0], second, start, head = 0, ROUNDED, 0, 0, ()
+        else:
+            heads = self.near_heads
+            second = heads.get(text[:2])
+            if second is None or n < 3 or n > 4095:
+                return None
+            values, counts = [WORST] * (n + 1), [0] * (n + 1)
+            values[2], counts[2], start, head = 0, ROUNDED + 1, 2, (second,)
+            first = value - 64 * round((value + self.space) * 0.015625)
+            zero, begun = round((first + second) * 0.015625), self.begun
+            for end in range(3, n + 1):
+                begin = text[:end]
+                if begin not in begun:
+                    break
+                score = heads.get(begin)
+                if score is not None:
+                    head += (score,)
+                    values[end] = x = 64 * (round((first + score) * 0.015625) - zero)
+                    # the count and what rounding has added to the sum of scores
+                    counts[end] = ((x - score + second + 128) << 12) + 1
+        for last, (more, score) in self.inner.iter(text, start):
+            at = last - more
+            total = values[at] + score
+            last += 1
+            if total > values[last]:
+                values[last] = total
+                counts[last] = counts[at] + 1
+        after = total = values[n]
+        if min(values[start:]) < -LIMIT:
+            taken = 0
+            for x in values[start:n]:
+                if not -LIMIT <= x - taken <= LIMIT:
+                    taken = x
+            after = total - taken
+        return counts[n] & 4095, float(total + second - (counts[n] >> 12) + 128), after, head if len(head) > 1 else ()
+
     def count(self, text: str) -> tuple[int, float]:
         """(pieces, score) of the best path over normalised text."""
         return self.segment(text)[:2]
@@ -224,35 +293,51 @@ class Chunks:
         self.known: dict[tuple, tuple] = {}
         self.heads: dict[str, tuple[float, ...]] = {}
         #: near such a space, values matter by what they are off a multiple of 64 (one table each)
-        self.quick = vocab.coarse_space and vocab.byte_fallback and vocab.words_apart
+        self.quick = vocab.coarse_space and vocab.byte_fallback and vocab.words_apart and vocab.words is not None
         self.off = [v - 64 * round(v / 64) + 32 for v in range(128)]
         self.tables: list[dict[str, tuple[int, float, int]]] = [{} for _ in range(65)]
         self.held = 0
 
     def missing(self, chunk: str, value: int, table: dict) -> tuple[int, float, int]:
         """What ``tables`` does not hold: by what is left of the value, else anew."""
-        d = value - round((value + self.vocab.space) * 0.015625) * 64.0
-        head = self.heads.get(chunk)
-        if head is not None:
-            hit = self.known.get((chunk, *[round((d + x) * 0.015625) for x in head]))
-            if hit is not None:
-                if self.held >= QUICK_CHUNKS:
-                    self.held = 0
-                    for t in self.tables:
-                        t.clear()
-                table[chunk] = hit
-                self.held += 1
-                return hit
-        n, score, after, head = self.vocab.chunk(chunk, float(value))
+        known = self.known
+        hit = known.get(chunk)
+        if hit is None:
+            head = self.heads.get(chunk)
+            if head is not None:
+                hit = known.get(self.variant(chunk, value, head))
+        if hit is not None:
+            if self.held >= QUICK_CHUNKS:
+                self.held = 0
+                for t in self.tables:
+                    t.clear()
+            table[chunk] = hit
+            self.held += 1
+            return hit
+        found = self.vocab.word(chunk, value)
+        if found is None:
+            n, score, after, head = self.vocab.chunk(chunk, float(value))
+            head = (0, *head) if head else ()
+        else:
+            n, score, after, head = found
         hit = (n, score, int(after) if -LIMIT <= after <= LIMIT else 0)
         if len(chunk) <= CACHED_LENGTH and chunk[1:2] != SPACE:
-            if len(self.known) >= CACHE_CHUNKS:
-                self.known.clear()
+            if len(known) >= CACHE_CHUNKS:
+                known.clear()
                 self.heads.clear()
-            self.heads[chunk] = head
-            self.known[(chunk, *[round((d + x) * 0.015625) for x in head])] = hit
+            if head:
+                self.heads[chunk] = head
+                known[self.variant(chunk, value, head)] = hit
+            else:
+                known[chunk] = hit
         return hit
 
+    def variant(self, chunk: str, value: int, head: tuple[float, ...]) -> tuple:
+        """The chunk and how the values of its ``head`` are rounded against the first (0 stays 0)."""
+        d = value - round((value + self.vocab.space) * 0.015625) * 64
+        least = round((d + head[0]) * 0.015625)
+        return (chunk, *[round((d + x) * 0.015625) - least for x in head[1:]])
+
     def head(self, chunk: str) -> tuple[float, ...]:
         """Scores of the pieces of two and more characters that the chunk begins with."""
         pieces = self.vocab.pieces
@@ -275,7 +360,7 @@ class Chunks:
         if self.quick and text[:1] == SPACE:
             pieces, total, value = 0, 0.0, 0
             tables, off, missing = self.tables, self.off, self.missing
-            for chunk in CHUNK.findall(text):
+            for chunk in self.vocab.words.findall(text):
                 table = tables[off[value & 127]]
                 n, score, value = table.get(chunk) or missing(chunk, value, table)
                 pieces += n
