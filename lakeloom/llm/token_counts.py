@@ -49,7 +49,7 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: a best value beyond this, up or down, is taken off what follows (a constant of the tokenizer)
 LIMIT = 100_000.0
-CACHE_CHUNKS = 900_000
+CACHE_CHUNKS = 600_000
 #: entries of the tables in front of that cache, which are quick to fill again
 QUICK_CHUNKS = 400_000
 #: bits of a count beside its score
@@ -357,7 +357,9 @@ class Chunks:
 
     def count(self, text: str) -> tuple[int, float]:
         """(pieces, score) of a normalised text, chunk by chunk."""
-        if self.quick and text[:1] == SPACE:
+        if self.quick:
+            if text[:1] != SPACE:  # no normalised text
+                return self.vocab.count(text)
             pieces, total, value = 0, 0.0, 0
             tables, off, missing = self.tables, self.off, self.missing
             for chunk in self.vocab.words.findall(text):
@@ -397,16 +399,21 @@ class Chunks:
         return pieces, total
 
 
+@functools.lru_cache(maxsize=1)
+def chunks(path: str) -> Chunks:
+    """The results that a worker has, kept for its later tasks."""
+    return Chunks(vocabulary(path))
+
+
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    vocab = vocabulary(path)
-    known = Chunks(vocab)
+    known = chunks(path)
     # the cache is a million small tuples without cycles: looking for cycles in them is the dearest step
     gc.disable()
     try:
-        yield from _batches(batches, vocab, known)
+        yield from _batches(batches, known.vocab, known)
     finally:
         gc.enable()
 
