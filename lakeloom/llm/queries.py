@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import html, jaccard, media, mixing, packing, quality, suffix, token_counts, topk, toxicity
+from . import balls, chat, html, jaccard, media, mixing, packing, quality, repair, suffix, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_media_png": media.op1_media_png,
@@ -13,9 +13,14 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality": quality.op9_quality,
     "op10_pack_best_fit": packing.op10_pack_best_fit,
+    "op11_chat_masks": chat.op11_chat_masks,
+    "op12_conversation_repair": repair.op12_conversation_repair,
+    "op13_ball_tree_clusters": balls.op13_ball_tree_clusters,
 }
 
 ORACLES = {
     "op2_top_inner_products": topk.ORACLE_SQL,
     "op6_mix_sources": mixing.ORACLE_SQL,
+    "op11_chat_masks": chat.ORACLE_SQL,
+    "op13_ball_tree_clusters": balls.ORACLE_SQL,
 }
