@@ -63,11 +63,6 @@ derived(
     "footnote_index", "JOIN-21",
     sql="SELECT n.page, n.id AS note, m.id AS marker FROM {layout} n JOIN {regions} m ON m.page = n.page AND m.id % 10 = n.id % 10 AND m.id < n.id WHERE n.kind = 'caption' AND 1 = (SELECT count(*) FROM {layout} o WHERE o.page = n.page AND o.kind = 'caption' AND o.id % 10 = n.id % 10)",
 )
-derived(
-    "job_family_tree", "JOIN-07", "JOIN-08", "SET-01", "WIN-17", "SRT-12",
-    sql="""WITH RECURSIVE f AS (SELECT id AS root, id, 0 AS depth FROM {jobs} WHERE parent IS NULL OR stage = 'publish' UNION ALL SELECT f.root, j.id, f.depth + 1 AS depth FROM f JOIN {jobs} j ON j.parent = f.id WHERE j.stage <> 'publish' AND j.parent IS NOT NULL AND f.depth < 50)
-SELECT root, id, depth FROM f""",
-)
 derived(
     "glossary_override", "JOIN-16", "SET-05",
     sql="SELECT DISTINCT lower(term) AS term, target, scope FROM {glossary} g WHERE scope = 'doc' OR NOT EXISTS (SELECT 1 FROM {glossary} d WHERE d.scope = 'doc' AND lower(d.term) = lower(g.term))",

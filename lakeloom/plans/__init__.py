@@ -3,7 +3,7 @@
 
 def load() -> dict:
     """All registered queries by name."""
-    from ..operators import catalog, extensions, layout, checks, queue, revisions, text  # noqa: F401
+    from ..operators import catalog, checks, extensions, families, layout, queue, revisions, text  # noqa: F401
     from .registry import REGISTRY
 
     return REGISTRY
