@@ -25,61 +25,130 @@ def comparison(column: str) -> Column:
 
 # -- numbers ---------------------------------------------------------------------------------
 
-# fixed values: powers of ten of scale words
+# fixed values: powers of ten of scale words; one letter counts only before what models are measured in
 SCALES = {
-    "thousand": 3, "million": 6, "billion": 9, "trillion": 12,
+    "thousand": 3, "million": 6, "billion": 9, "trillion": 12, "b": 9, "m": 6,
     "万": 4, "十万": 5, "百万": 6, "千万": 7, "亿": 8, "十亿": 9, "万亿": 12,
     "萬": 4, "十萬": 5, "百萬": 6, "千萬": 7, "億": 8, "十億": 9, "萬億": 12,
 }
-#: a letter counts as a scale only before what models are measured in
-LETTERS = {"b": 9, "m": 6}
-BLANK = "[ \t\u00a0\u202f]"
-_DIGITS = r"[+\-−]?(?:\d{1,3}(?:,\d{3})+(?!\d)|\d+)"
-_WORDS = "|".join(sorted(SCALES, key=len, reverse=True))
-NUMBER = re.compile(
-    rf"(?<![A-Za-z0-9_])({_DIGITS}(?:\.\d+|{BLANK}+\.{BLANK}+\d+)?(?:[eE][+\-]?\d+)?)"
-    rf"(?:{BLANK}*({_WORDS}|[BM](?=\s+(?:parameter|model)s?\b))(?![A-Za-z]))?{BLANK}*(%)?",
-    re.I | re.A,
-)
-#: full-width digits and signs; the rest of a text stays as it is
-FOLDED = {0xFF10 + i: 0x30 + i for i in range(10)} | {ord(a): ord(b) for a, b in zip("．％＋－", ".%+-", strict=True)}
-#: the leading digit's power of ten within which a number is written out
-WRITTEN_OUT = range(-20, 31)
+# fixed values: full-width digits and signs that count as their ASCII forms
+NARROW = str.maketrans("０１２３４５６７８９．％＋－", "0123456789.%+-")
+# fixed values: the leading digit's powers of ten within which a number is written out
+LEAST_LEAD, MOST_LEAD = -20, 30
+_RUN = re.compile("[0-9]+")
+_WORD = re.compile("[A-Za-z0-9_]")
+_MEASURED = re.compile(r"\s+(?:parameter|model)s?\b", re.I)
+_LONGEST_SCALE = max(map(len, SCALES))
 
 
-def canonical(literal: str, scale: int = 0) -> str:
-    """An exact decimal as a string: no trailing zeros, an exponent only where digits would run long.
+class Number:
+    """One number read from a text: where it stands, its parts, and what multiplies it.
 
-    An exponent of more than six digits is not computed with: the literal itself stands for it.
+    It is read forwards from a run of digits, each part only if the whole part is there.
     """
-    plain = re.sub(BLANK, "", literal.translate(FOLDED)).replace(",", "").replace("−", "-").lower()
-    mantissa, _, exponent = plain.partition("e")
-    if len(exponent.strip("+-")) > 6:
-        return f"literal:{plain}*1e{scale}"
-    sign, digits, power = Decimal(mantissa).as_tuple()
-    text = "".join(map(str, digits)).lstrip("0")
-    if not text:
-        return "0"
-    power += int(exponent or 0) + scale + len(text) - len(text.rstrip("0"))
-    text = text.rstrip("0")
-    lead = power + len(text) - 1
-    if lead not in WRITTEN_OUT:
-        out = f"{text[0]}.{text[1:]}".rstrip(".") + f"e{lead}"
-    elif power >= 0:
-        out = text + "0" * power
-    elif lead >= 0:
-        out = f"{text[:power]}.{text[power:]}"
-    else:
-        out = "0." + "0" * (-lead - 1) + text
-    return ("-" if sign else "") + out
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text, self.start, self.end = text, start, end
+        self.sign, self.whole, self.fraction, self.exponent = "", text[start:end], "", ""
+        self.power, self.percent = 0, False
+
+    def _digits(self, at: int) -> str:
+        run = _RUN.match(self.text, at)
+        return run[0] if run else ""
+
+    def _blank(self, at: int) -> int:
+        while self.text[at : at + 1] in (" ", "\t", "\u00a0", "\u202f"):
+            at += 1
+        return at
+
+    def read(self, signed: bool) -> Number:
+        if signed:
+            self.start -= 1
+            self.sign = self.text[self.start].replace("−", "-")
+        # groups of exactly three digits behind commas, if at most three stand before the first
+        while len(self.whole) <= 3 or "," in self.text[self.start : self.end]:
+            group = self._digits(self.end + 1) if self.text[self.end : self.end + 1] == "," else ""
+            if len(group) != 3:
+                break
+            self.whole += group
+            self.end += 4
+        for dot in (self.end, self._blank(self.end)):  # close, or with blanks on both sides
+            if self.text[dot : dot + 1] != ".":
+                continue
+            after = self._blank(dot + 1)
+            if (dot == self.end) == (after == dot + 1) and (digits := self._digits(after)):
+                self.fraction, self.end = digits, after + len(digits)
+                break
+        if self.text[self.end : self.end + 1] in ("e", "E"):
+            signed = self.text[self.end + 1 : self.end + 2] in ("+", "-")
+            if digits := self._digits(self.end + 1 + signed):
+                stop = self.end + 1 + signed + len(digits)
+                self.exponent, self.end = self.text[self.end + 1 : stop], stop
+        self._scale(self._blank(self.end))
+        at = self._blank(self.end)
+        if self.text[at : at + 1] == "%":
+            self.percent, self.end = True, at + 1
+        return self
+
+    def _scale(self, at: int) -> None:
+        for size in range(_LONGEST_SCALE, 0, -1):
+            word, stop = self.text[at : at + size].lower(), at + size
+            if word not in SCALES or re.match("[A-Za-z]", self.text[stop : stop + 1]):
+                continue
+            if word not in ("b", "m") or _MEASURED.match(self.text, stop):
+                self.power, self.end = SCALES[word], stop
+                return
+
+    def value(self) -> str:
+        """The exact value: no zeros that say nothing, an exponent only where digits would run long.
+
+        An exponent of more than six digits is not computed with; the literal stands for it.
+        """
+        if len(self.exponent.lstrip("+-")) > 6:
+            fraction = f".{self.fraction}" if self.fraction else ""
+            return f"literal:{self.sign}{self.whole}{fraction}e{self.exponent}*1e{self.power}"
+        digits = self.whole + self.fraction
+        point = len(self.whole) + int(self.exponent or 0) + self.power  # digits before the decimal point
+        shown = digits.lstrip("0")
+        point -= len(digits) - len(shown)
+        shown = shown.rstrip("0")
+        if not shown:
+            return "0"
+        if not LEAST_LEAD <= point - 1 <= MOST_LEAD:
+            out = shown[0] + ("." + shown[1:] if shown[1:] else "") + f"e{point - 1}"
+        elif point <= 0:
+            out = "0." + "0" * -point + shown
+        else:
+            out = shown[:point].ljust(point, "0") + ("." + shown[point:] if shown[point:] else "")
+        return f"-{out}" if self.sign == "-" else out
+
+
+def scan_numbers(text: str) -> Iterator[Number]:
+    """Numbers from left to right; digits inside or right behind a word are none."""
+    at = 0
+    while run := _RUN.search(text, at):
+        first = run.start()
+        signed = first > at and text[first - 1] in "+-−" and not (first > 1 and _WORD.match(text, first - 2))
+        if first and not signed and _WORD.match(text, first - 1):
+            at = run.end()
+            continue
+        number = Number(text, *run.span()).read(signed)
+        yield number
+        at = number.end
+
+
+def canonical(literal: str, scale: int = 0) -> str:
+    """The exact value of one number's literal, times ten to the ``scale``."""
+    text = literal.translate(NARROW)
+    run = _RUN.search(text)
+    number = Number(text, *run.span()).read(run.start() > 0)
+    number.power = scale
+    return number.value()
 
 
 def numbers(text: str | None) -> list[dict]:
-    out = []
-    for m in NUMBER.finditer((text or "").translate(FOLDED)):
-        word = (m[2] or "").lower()
-        out.append({"literal": text[m.start() : m.end()].strip(), "value": canonical(m[1], SCALES.get(word, LETTERS.get(word, 0))) + ("%" if m[3] else "")})
-    return out
+    narrow = (text or "").translate(NARROW)
+    return [{"literal": text[n.start : n.end].strip(), "value": n.value() + "%" * n.percent} for n in scan_numbers(narrow)]
 
 
 def number_udf():

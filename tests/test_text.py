@@ -20,6 +20,23 @@ def test_numbers():
     assert [n["value"] for n in X.numbers("½ of 2.5B parameters, 3 . 5 kg, 7B, 2 十億, ３．５％ and x9")] == ["2500000000", "3.5", "7", "2000000000", "3.5%"]
 
 
+@pytest.mark.parametrize(
+    "text, values",
+    [("1,2345 12,345,6789 1234,567", ["1", "2345", "12345", "6789", "1234", "567"]), ("3-5, 5%-3 and a-7", ["3", "5", "5%", "-3", "7"]), ("1. 5 2 .5 2 . 5 3.4.5", ["1", "5", "2", "5", "2.5", "3.4", "5"]),
+     ("2e5x 2e 1e+3% +4", ["200000", "2", "1000%", "4"]), ("7 millions 7 million. 7m 7 b models 8 十万x 9十万", ["7", "7000000", "7", "7000000000", "8", "900000"]), ("a1 _2 é3 12abc34", ["3", "12"]), ("", []), ("+3e1234567 %", ["literal:+3e1234567*1e0%"])],
+)
+def test_number_rules(text, values):
+    assert [n["value"] for n in X.numbers(text)] == values
+
+
+@given(st.decimals(allow_nan=False, allow_infinity=False, places=6), st.integers(0, 12))
+def test_canonical_is_exact(x, scale):
+    from fractions import Fraction
+
+    value = X.canonical(f"{x:f}", scale)
+    assert Fraction(value) == Fraction(x) * 10**scale and X.canonical(value) == value
+
+
 @given(st.text("ab1,.$`{}_@/: \n", max_size=60))
 def test_mask_round_trip(text):
     m = X.mask(text)
