@@ -4,34 +4,6 @@ from __future__ import annotations
 
 from ..plans.derived import derived
 
-#: area that region r and block b share, and the region's own
-SHARED = "greatest(0.0, least(r.x1, b.x1) - greatest(r.x0, b.x0)) * greatest(0.0, least(r.y1, b.y1) - greatest(r.y0, b.y0))"
-AREA = "((r.x1 - r.x0) * (r.y1 - r.y0))"
-
-derived(
-    "region_owner", "JOIN-09", "FN-01", "FN-18",
-    sql=f"SELECT r.page, r.id, b.id AS block, b.kind FROM {{regions}} r JOIN {{layout}} b ON r.page = b.page AND r.y0 <= b.y1 AND b.y0 <= r.y1 WHERE r.x0 <= r.x1 AND r.y0 <= r.y1 AND {SHARED} >= 0.6 * {AREA}",
-)
-derived(
-    "coverage_report", "JOIN-10", "AGG-18",
-    sql=f"""SELECT page, count(*) AS regions, count(CASE WHEN state = 'covered' THEN 1 END) AS covered, count(CASE WHEN state = 'decoration' THEN 1 END) AS decoration, count(CASE WHEN state = 'image' THEN 1 END) AS image, count(CASE WHEN state = 'unresolved' THEN 1 END) AS unresolved
-FROM (SELECT r.page, r.id, CASE WHEN bool_or(coalesce(contains(b.text, r.text), false)) THEN 'covered' WHEN count(b.id) = 0 AND max(length(r.text)) < 4 THEN 'decoration' WHEN bool_or(coalesce(b.kind = 'figure', false)) AND max({AREA}) < 0.65 * 600.0 * 800.0 THEN 'image' ELSE 'unresolved' END AS state
-FROM {{regions}} r LEFT JOIN {{layout}} b ON r.page = b.page AND r.y0 <= b.y1 AND b.y0 <= r.y1 AND {SHARED} >= 0.6 * {AREA} GROUP BY r.page, r.id) s GROUP BY page""",
-)
-derived(
-    "unsupported_blocks", "JOIN-11",
-    sql=f"SELECT b.page, b.id, b.kind FROM {{layout}} b WHERE NOT EXISTS (SELECT 1 FROM {{regions}} r WHERE r.page = b.page AND r.y0 <= b.y1 AND b.y0 <= r.y1 AND {SHARED} >= 0.6 * {AREA} AND contains(r.text, b.text))",
-)
-derived(
-    "partial_graphics", "JOIN-14",
-    sql=f"SELECT b.page, b.id, bool_or({SHARED} >= 0.9 * {AREA}) AND bool_or({SHARED} >= 0.05 * {AREA} AND {SHARED} < 0.9 * {AREA}) AS ambiguous FROM {{layout}} b JOIN {{regions}} r ON r.page = b.page AND r.y0 <= b.y1 AND b.y0 <= r.y1 WHERE b.kind = 'figure' GROUP BY b.page, b.id",
-)
-derived(
-    "caption_owner", "JOIN-13",
-    sql="""SELECT page, id, owner FROM (SELECT c.page, c.id, f.id AS owner, rank() OVER (PARTITION BY c.page, c.id ORDER BY abs(c.y0 - f.y1)) AS near, count(*) OVER (PARTITION BY c.page, c.id, abs(c.y0 - f.y1)) AS alike
-FROM {layout} c JOIN {layout} f ON f.page = c.page AND f.kind = 'figure' WHERE c.kind = 'caption') x WHERE near = 1 AND alike = 1""",
-)
-derived("order_conflicts", "JOIN-12", sql="SELECT a.page, a.id AS a, b.id AS b FROM {layout} a JOIN {layout} b ON a.page = b.page AND a.id < b.id AND a.kind = 'paragraph' AND b.kind = 'paragraph' WHERE least(a.x1, b.x1) > greatest(a.x0, b.x0) AND a.y0 > b.y0")
 derived(
     "reading_order", "SRT-10", "LAY-13",
     sql="""SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY band, col, y0, x0, id) AS pos FROM (SELECT page, id, x0, y0, col, sum(CASE WHEN col = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y0, col, id ROWS UNBOUNDED PRECEDING) AS band

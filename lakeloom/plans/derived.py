@@ -22,20 +22,31 @@ _UNNESTED = {
         "numbers_of AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS number FROM documents)",
         lambda t: t("documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), 0)).alias("number")),
     ),
+    "chars": (
+        "chars AS (SELECT page, id, x0, y0, x1, y1, length(text) AS n, unnest(range(length(text))) AS i, unnest(string_split(text, '')) AS ch FROM regions WHERE id < 100000)",
+        lambda t: frame(t, "regions").filter("id < 100000").select("page", "id", "x0", "y0", "x1", "y1", F.length("text").alias("n"), F.posexplode(F.split("text", "")).alias("i", "ch")),
+    ),
     "slots": (
         "slots AS (SELECT table_id, id, r0, c0, rs, cs, r0 + dr AS r, c0 + unnest(range(cs)) AS c FROM (SELECT *, unnest(range(rs)) AS dr FROM cells) x)",
         lambda t: frame(t, "cells").withColumn("r", F.explode(F.expr("sequence(r0, r0 + rs - 1)"))).withColumn("c", F.explode(F.expr("sequence(c0, c0 + cs - 1)"))),
     ),
 }
-_NEEDS = {"slots": ("cells",)}
+_NEEDS = {"slots": ("cells",), "chars": ("regions",)}
 
+#: letters that glyphs draw in two, the letter and the accent
+ACCENTED, LETTERS, ACCENTS = "éèêâôûîëïüöäñ", "eeeaouieiuoan", "´`^^^^^¨¨¨¨¨~"
 #: derived tables; every line of a document is a region of the page that the document is, and a number in its margin is one more
 VIEWS = {
     "regions": """SELECT doc_id AS page, CAST(ord AS BIGINT) AS id, text, CASE WHEN ord % 7 = 0 THEN 40.0 ELSE 40.0 + 260.0 * (ord % 2) END AS x0, floor(ord / 2.0) * 30.0 AS y0,
 CASE WHEN ord % 7 = 0 THEN 560.0 ELSE 40.0 + 260.0 * (ord % 2) + least(250.0, 5.0 * length(text) + 10.0) END AS x1, floor(ord / 2.0) * 30.0 + 8.0 + length(text) % 17 AS y1 FROM {blocks} WHERE text <> ''
 UNION ALL SELECT doc_id AS page, 100000 AS id, CAST(doc_id % 1000 AS STRING) AS text, 290.0 AS x0, 770.0 AS y0, 310.0 AS x1, 782.0 AS y1 FROM {documents}""",
-    "layout": """SELECT page, id, CASE WHEN id % 7 = 0 THEN 'heading' WHEN id % 11 = 5 THEN 'figure' WHEN id % 11 = 6 THEN 'caption' ELSE 'paragraph' END AS kind, CASE WHEN id % 7 = 0 THEN 1 + CAST(floor(id / 7.0) AS BIGINT) % 3 END AS level,
-CASE WHEN id % 5 = 3 THEN replace(text, 'e', '') ELSE text END AS text, x0 - 2.0 - CASE WHEN id % 11 = 5 THEN 60.0 ELSE 0.0 END AS x0, y0 - 1.0 - CASE WHEN id % 12 = 10 THEN 75.0 ELSE 0.0 END AS y0, x1 + 2.0 - CASE WHEN id % 13 = 4 THEN 0.5 * (x1 - x0) ELSE 0.0 END AS x1, y1 + id % 3 + CASE WHEN id % 11 = 5 THEN 25.0 ELSE 0.0 END - CASE WHEN id % 12 = 10 THEN 75.0 ELSE 0.0 END AS y1 FROM {regions} WHERE id % 29 <> 17 AND id < 100000""",
+    "layout": """SELECT page, id, CASE WHEN id % 7 = 0 THEN 'heading' WHEN id % 22 = 5 THEN 'table' WHEN id % 11 = 5 THEN 'figure' WHEN id % 11 = 6 THEN 'caption' ELSE 'paragraph' END AS kind, CASE WHEN id % 7 = 0 THEN 1 + CAST(floor(id / 7.0) AS BIGINT) % 3 END AS level, CASE WHEN id % 22 = 6 THEN 'table' ELSE 'figure' END AS owner_kind,
+CASE WHEN id % 5 = 3 THEN replace(text, 'e', '') ELSE text END AS text, x0 - 2.0 - CASE WHEN id % 11 = 5 THEN 60.0 WHEN id % 11 = 6 THEN 260.0 - 520.0 * ((id + 1) % 2) ELSE 0.0 END AS x0, y0 - 1.0 - CASE WHEN id % 12 = 10 THEN 75.0 WHEN id % 11 = 6 THEN -40.0 ELSE 0.0 END AS y0,
+x1 + 2.0 - CASE WHEN id % 13 = 4 THEN 0.5 * (x1 - x0) WHEN id % 11 = 6 THEN 260.0 - 520.0 * ((id + 1) % 2) ELSE 0.0 END AS x1, y1 + id % 3 + CASE WHEN id % 11 = 5 THEN 25.0 WHEN id % 11 = 6 THEN 40.0 ELSE 0.0 END - CASE WHEN id % 12 = 10 THEN 75.0 ELSE 0.0 END AS y1 FROM {regions} WHERE id % 29 <> 17 AND id < 100000""",
+    "graphics": "SELECT page, id, x0 + 1.0 AS x0, y0 + 1.0 AS y0, x1 - 1.0 AS x1, y1 - 1.0 AS y1 FROM {layout} WHERE kind = 'figure'",
+    "drawn": "SELECT page, id, kind, x0, y0, x1, y1 FROM {layout} UNION ALL SELECT page, id + 200000 AS id, kind, x0 + 3.0 AS x0, y0 + 3.0 AS y0, x0 + (x1 - x0) / (2 + id % 5) AS x1, y1 - 3.0 AS y1 FROM {layout} WHERE kind = 'figure' AND page % 3 = 1",
+    "glyphs": f"""SELECT page, (id * 100000 + i) * 2 AS idx, translate(ch, '{ACCENTED}', '{LETTERS}') AS ch, x0 + (x1 - x0) / n * (i + 0.1) AS x0, y0 + 2.0 AS y0, x0 + (x1 - x0) / n * (i + 0.9) AS x1, y1 - 1.0 AS y1 FROM {{chars}}
+UNION ALL SELECT page, (id * 100000 + i) * 2 + 1 AS idx, translate(ch, '{ACCENTED}', '{ACCENTS}') AS ch, x0 + (x1 - x0) / n * (i + 0.1) AS x0, y0 - 1.0 AS y0, x0 + (x1 - x0) / n * (i + 0.9) AS x1, y0 + 3.0 AS y1 FROM {{chars}} WHERE instr('{ACCENTED}', ch) > 0""",
     "cells": "SELECT l_orderkey AS table_id, l_partkey * 10 + l_linenumber AS id, CAST(l_linenumber - 1 AS BIGINT) AS r0, CAST(l_suppkey % 2 AS BIGINT) AS c0, CAST(1 + CASE WHEN l_quantity > 45 THEN 1 ELSE 0 END AS BIGINT) AS rs, CAST(2 - l_suppkey % 2 AS BIGINT) AS cs FROM {lineitem}",
     "jobs": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(floor(o_orderkey / 4.0) AS BIGINT) END AS parent, CASE WHEN o_orderstatus = 'P' THEN 'publish' ELSE 'unit' END AS stage FROM {orders}",
     "glossary": "SELECT CASE WHEN p_partkey % 3 = 0 THEN 'doc' ELSE 'global' END AS scope, p_type AS term, p_brand AS target, CASE p_size % 3 WHEN 0 THEN 'must' WHEN 1 THEN 'preferred' ELSE 'forbidden' END AS mode FROM {part}",

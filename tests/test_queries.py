@@ -61,13 +61,6 @@ def test_operators_take_any_tables(spark):
     """Operators run on DataFrames of the columns they name, not only on the derived tables."""
     from lakeloom.plans.derived import OPERATORS, run
 
-    box = "page long, id long, kind string, level long, text string, x0 double, y0 double, x1 double, y1 double"
-    regions = spark.createDataFrame([(1, 1, None, None, "all of it", 0.0, 0.0, 10.0, 10.0), (1, 2, None, None, "x", 0.0, 6.0, 10.0, 16.0), (1, 3, None, None, "abcd", 50.0, 50.0, 60.0, 60.0)], box)
-    layout = spark.createDataFrame([(1, 7, "paragraph", None, "all of it", 0.0, 0.0, 10.0, 12.0)], box)
-    owners = run(spark, OPERATORS["region_owner"], regions=regions, layout=layout).collect()
-    assert sorted((r["id"], r["block"]) for r in owners) == [(1, 7), (2, 7)]  # the second by exactly .6
-    report = run(spark, OPERATORS["coverage_report"], regions=regions, layout=layout).first()
-    assert (report["regions"], report["covered"], report["unresolved"]) == (3, 1, 2)
     cells = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 4, 1)], "table_id long, r0 long, rs long")
     assert [(r["r0"], r["before"]) for r in run(spark, OPERATORS["row_group_gaps"], cells=cells).collect()] == [(4, 3)]
 
