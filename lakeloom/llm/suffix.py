@@ -36,8 +36,8 @@ windows at the latest, so no task holds more than a bounded group, and nothing i
 decided another way.
 
 Defined cases: a null or empty text, or one shorter than ``LENGTH``, loses nothing;
-repeated rows repeat whole and go whole; rows are told apart by 128 bits of their
-id and text; texts are any bytes; an empty table gives no rows; columns beside
+equal texts repeat whole and go whole, and one of them with their number is what
+the steps work on; texts are told apart by 128 bits; texts are any bytes; an empty table gives no rows; columns beside
 doc_id and text do not matter, whatever their names.
 """
 
@@ -48,12 +48,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import binary_parts, lean, record_batch, release, slices, staged, text_bytes
-from .jaccard import row_keys
 
 LENGTH = 200
 GRAM = 32
@@ -82,7 +81,7 @@ def _struct(**kinds: T.DataType) -> T.StructType:
 
 ANCHORS = _struct(h=_long, k1=_long, k2=_long, place=_long)
 #: a context's start and size, its gram's offset (core), the least reach to the left of its windows, and how often it follows at one step
-PIECES = _struct(piece=_long, c1=_long, c2=_long, k1=_long, k2=_long, start=_long, size=_int, core=_int, low=_int, step=_int, times=_long)
+PIECES = _struct(piece=_long, c1=_long, c2=_long, k1=_long, k2=_long, start=_long, size=_int, core=_int, low=_int, step=_int, times=_long, copies=_long)
 OPEN = _struct(piece=_long, c1=_long, c2=_long, times=_long, kinds=_long, core=_int, low=_int, high=_int, context=_bin)
 MARKS = _struct(piece=_long, c1=_long, c2=_long, first=_int, last=_int)
 HALVES = _struct(piece=_long, c1=_long, c2=_long, offset=_int, piece_=_long, c1_=_long, c2_=_long, times=_long, core=_int, low=_int, high=_int, context=_bin)
@@ -200,7 +199,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts of repeated anchors, in two pieces each."""
     out: dict[str, list] = {f.name: [] for f in PIECES}
     for batch in slices(batches, "text", BATCH_BYTES):
-        for k1, k2, value, places in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
+        keys = (batch.column(c).to_pylist() for c in ("k1", "k2", "copies"))
+        for k1, k2, copies, value, places in zip(*keys, batch.column("text"), batch.column("places"), strict=True):
             text = memoryview(value.as_buffer())
             for place in places.values.to_numpy().tolist():
                 for first, at, last, step, times in _occurrences(place):
@@ -212,7 +212,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         core = at - a
                         c1, c2 = _digest(context, bytes((core,)))
                         piece = _key(text[at - low : at + LENGTH - high], low, high)
-                        for k, v in zip(PIECES.names, (piece, c1, c2, k1, k2, a, len(context), core, low, step, times), strict=True):
+                        for k, v in zip(PIECES.names, (piece, c1, c2, k1, k2, a, len(context), core, low, step, times, copies), strict=True):
                             out[k].append(v)
                     if len(out["c1"]) >= HELD_ROWS:
                         yield record_batch(out, PIECES)
@@ -433,13 +433,18 @@ def _marked(open_: DataFrame, width: int, held: list[DataFrame]) -> DataFrame:
     return marks.union(back)
 
 
+def text_keys() -> tuple[Column, Column]:
+    """128 bits that identify a text."""
+    return F.xxhash64("text", F.lit(1)), F.xxhash64(F.lit(2), "text")
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """``(k1, k2, runs)``: for every row with repeated windows, where they start.
+    """``(k1, k2, runs)``: for every different text with repeated windows, where they start.
 
     A run is ``first << RUN_BITS | length - 1``: so many windows of LENGTH bytes that
     occur twice or more in the corpus start from ``first`` on.
     """
-    k1, k2 = row_keys()
+    k1, k2 = text_keys()
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), text_bytes().alias("text"))
     found = staged(texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(lean(_anchors), ANCHORS), "anchors")
     number = F.shiftright("place", 47)
@@ -448,26 +453,26 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     often, many = twice.filter("copies > 1"), F.coalesce("copies", F.lit(1))
     salted = found.join(often, "h", "left").withColumn("salt", F.pmod(F.xxhash64("k1", "place"), many).cast("int"))
     copied = twice.select("h", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
-    lists = salted.join(copied, ["h", "salt"], "left_semi").groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
-    # equal rows (id and text) have equal places; each of them is one occurrence
-    lists = staged(lists.withColumn("places", F.array_distinct("places")), "places")
+    # equal texts have equal places: a set holds those of one text, in every task and in all
+    lists = salted.join(copied, ["h", "salt"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
+    lists = staged(lists, "places")
     release(found, twice)
-    occurrences = texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "places").mapInArrow(lean(_pieces), PIECES)
-    occurrences = staged(occurrences, "pieces")
+    # one row for equal texts, with their number; each of them is one occurrence
+    distinct = texts.join(lists.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    distinct = staged(distinct.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "copies", "places"), "texts")
     release(lists)
+    occurrences = staged(distinct.mapInArrow(lean(_pieces), PIECES), "pieces")
 
     first = F.struct("k1", "k2", "start", "size", "core", "low")
-    contexts = occurrences.groupBy(*ID).agg(F.sum("times").alias("times"), F.min(first).alias("r"))
+    contexts = occurrences.groupBy(*ID).agg(F.sum(F.col("times") * F.col("copies")).alias("times"), F.min(first).alias("r"))
     contexts = staged(contexts.select(*ID, "times", "r.*"), "contexts")
     groups = contexts.groupBy("piece").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     # times > 1: the whole context repeats (its windows are all marked)
     whole = contexts.filter("times > 1").select(*ID)
     wanted = contexts.join(groups, "piece").groupBy("k1", "k2").agg(F.collect_list(F.struct(*ID, "times", "kinds", "start", "size", "core", "low")).alias("wanted"))
-    wanted = staged(wanted, "wanted")
-    # equal rows (id and text) give the same contexts
-    open_ = texts.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(lean(_contexts), OPEN).dropDuplicates(ID)
-    open_ = staged(open_, "open")
-    release(wanted)
+    # a context is cut from one text
+    open_ = staged(distinct.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(lean(_contexts), OPEN), "open")
+    release(distinct)
     held: list[DataFrame] = []
     partial = _marked(open_, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), held).join(whole, ID, "left_anti")
     marks = whole.select("*", F.lit(0).alias("first"), F.lit(None).cast("int").alias("last")).union(partial)
@@ -484,7 +489,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row: counts, digest, remaining bytes and removed spans (int64 pairs)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    k1, k2 = row_keys()
+    k1, k2 = text_keys()
     runs = repeated_windows(docs)
     keyed = docs.select("doc_id", text_bytes().alias("text"), k1.alias("k1"), k2.alias("k2"))
     rows = keyed.join(runs, ["k1", "k2"], "left").select("doc_id", "text", "runs")
@@ -506,7 +511,7 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     """
     schema, names = docs.schema, docs.columns
     d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    k1, k2 = row_keys()
+    k1, k2 = text_keys()
     runs = repeated_windows(d.select("doc_id", "text"))
     rows = d.select("row", text_bytes().alias("text"), k1.alias("k1"), k2.alias("k2")).join(runs, ["k1", "k2"], "left")
 

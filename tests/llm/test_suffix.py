@@ -135,3 +135,16 @@ def test_query(spark, small):
     out = suffix.op3_suffix_dedup(spark, small)
     assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert sorted((str(r[0]), *r[1:]) for r in out.collect()) == brute(data)
+
+
+def test_thousands_of_equal_rows(spark):
+    """Equal rows are one text with a number, whatever their ids."""
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(4500))
+    data = [(n % 5, long, None, None, None) for n in range(2000)] + [(9, long[500:900] + "x" * 150, None, None, None), (10, "y" * 150 + long[:199], None, None, None)]
+    df = documents(spark, data)
+    (row,) = suffix.repeated_windows(df.filter("doc_id < 9")).collect()
+    assert len(row["runs"]) < 10_000
+    out = {tuple(r) for r in suffix.remove_repeats(df).select("doc_id", "n_bytes", "n_removed").collect()}
+    n = len(long)
+    assert out == {*((i, n, n) for i in range(5)), (9, 550, 400), (10, 349, 0)}
