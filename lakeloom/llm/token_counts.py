@@ -58,7 +58,8 @@ MASK = (1 << BITS) - 1
 #: less than any sum; a count with no rounding, 12 bits of count below 128 and what rounding added
 WORST, ROUNDED = -(1 << 60), 128 << 12
 CACHED_LENGTH = 64
-NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
+#: words of more characters go through a window of positions
+LONG = 4095
 
 COUNTS = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -130,42 +131,51 @@ class Vocabulary:
         n = len(text)
         if not n:
             return 0, 0.0, value, value, value, False
-        begins: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, (length, score, _) in self.automaton.iter(text):
-            begins[end + 1 - length].append((end + 1, score))
-        values: list[float | None] = [value, *[None] * n]
-        counts, scores, strange = [0] * (n + 1), [0.0] * (n + 1), [False] * (n + 1)
+        # no piece is longer than ``longest``: what lies further back or ahead is never read, so
+        # positions share slots and memory does not grow with the text
+        longest, width = self.longest, self.longest + 1
+        matches = self.automaton.iter(text)
+        match = next(matches, None)
+        begins: list[list[tuple[int, float]]] = [[] for _ in range(width)]
+        values: list[float | None] = [value, *[None] * longest]
+        counts, scores, strange = [0] * width, [0.0] * width, [False] * width
         reach, least, most, taken = 0, value, value, False
         # between these, sums are exact and need no rounding
         low, high = (-16777216.0, 16777216.0) if self.whole else (1.0, -1.0)
         for at in range(n):
-            base = values[at]
+            while match is not None and match[0] < at + longest:
+                begins[(match[0] + 1 - match[1][0]) % width].append((match[0] + 1, match[1][1]))
+                match = next(matches, None)
+            slot = at % width
+            base, before, so_far = values[slot], counts[slot], scores[slot]
             if not -LIMIT <= base <= LIMIT:
                 for k in range(at + 1, reach + 1):
-                    if values[k] is not None:
-                        values[k] = single(values[k] - base)
+                    if values[k % width] is not None:
+                        values[k % width] = single(values[k % width] - base)
                 base, taken = 0.0, True
             else:
                 least, most = min(least, base), max(most, base)
-            alone = False
-            for end, score in begins[at]:
-                total = base + score
+            values[slot], alone = None, False
+            for end, score in begins[slot]:
+                total, to = base + score, end % width
                 if not low <= total <= high:
                     total = single(total)
-                old = values[end]
+                old = values[to]
                 if old is None or total > old:
-                    values[end], counts[end], scores[end], strange[end] = total, counts[at] + 1, scores[at] + score, False
+                    values[to], counts[to], scores[to], strange[to] = total, before + 1, so_far + score, False
                     if end > reach:
                         reach = end
                 alone = alone or end == at + 1
+            begins[slot].clear()
             if not alone:
-                total, end = single(base + self.unknown), at + 1
-                old = values[end]
+                total, to = single(base + self.unknown), (at + 1) % width
+                old = values[to]
                 if old is None or total > old:
-                    size = len(text[at].encode("utf-8", "replace")) if self.byte_fallback else int(not strange[at])
-                    values[end], counts[end], scores[end], strange[end] = total, counts[at] + size, scores[at] + self.unknown, True
-                    reach = max(reach, end)
-        return counts[n], scores[n], values[n], least, most, taken
+                    size = len(text[at].encode("utf-8", "replace")) if self.byte_fallback else int(not strange[slot])
+                    values[to], counts[to], scores[to], strange[to] = total, before + size, so_far + self.unknown, True
+                    reach = max(reach, at + 1)
+        end = n % width
+        return counts[end], scores[end], values[end], least, most, taken
 
     def chunk(self, text: str, value: float) -> tuple[int, float, float, tuple[float, ...]]:
         """(pieces, score, value after) as ``segment`` has them, for whole scores and bytes for unknowns.
@@ -229,14 +239,14 @@ class Vocabulary:
         """
         n = len(text)
         if text[0] != SPACE:
-            if n > 4095 or text[0] not in self.near_singles:
+            if n > LONG or text[0] not in self.near_singles:
                 return None
             values, counts = [WORST] * (n + 1), [0] * (n + 1)
             values[0], counts[0], second, start, head = 0, ROUNDED, 0, 0, ()
         else:
             heads = self.near_heads
             second = heads.get(text[:2])
-            if second is None or n < 3 or n > 4095:
+            if second is None or n < 3 or n > LONG:
                 return None
             values, counts = [WORST] * (n + 1), [0] * (n + 1)
             values[2], counts[2], start, head = 0, ROUNDED + 1, 2, (second,)
@@ -314,6 +324,9 @@ class Chunks:
             table[chunk] = hit
             self.held += 1
             return hit
+        if len(chunk) > LONG:  # one path whose memory the word's length does not matter to
+            n, score, after, *_ = self.vocab.segment(chunk, float(value))
+            return n, score, int(after) if -LIMIT <= after <= LIMIT else 0
         found = self.vocab.word(chunk, value)
         if found is None:
             n, score, after, head = self.vocab.chunk(chunk, float(value))

@@ -97,3 +97,30 @@ def test_query(spark, small):
     assert len(out) == len(docs)
     for r in out[:40]:
         assert (r["n_pieces"], r["score"]) == vocab.count(("▁" + docs[r["doc_id"]]).replace(" ", "▁"))
+
+
+def test_memory_does_not_grow_with_a_word():
+    import random
+    import tracemalloc
+
+    vocab = token_counts.vocabulary(token_counts.default_vocabulary())
+    rng = random.Random(3)
+    word = token_counts.SPACE + "".join(rng.choices("abcdefghijklmnopqrstuvwxyzéß", k=400_000))
+    known = token_counts.Chunks(vocab)
+    known.count(word[:5000])
+    tracemalloc.start()
+    n, _ = known.count(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 50_000 and peak < 8_000_000  # the word itself and its copies, no list over positions
+
+
+def test_long_words_as_the_tokenizer_has_them():
+    import random
+
+    rng = random.Random(4)
+    vocab = token_counts.vocabulary(token_counts.default_vocabulary())
+    for size in (4090, 4095, 4096, 9000):
+        word = token_counts.SPACE + "".join(rng.choices("etaoinshrdlu\u4e00", k=size))
+        pieces, score, after, _ = vocab.chunk(word, 0.0)
+        assert vocab.segment(word)[:3] == (pieces, score, after)
