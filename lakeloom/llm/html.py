@@ -56,7 +56,7 @@ SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
 #: never part of a main text
-DROPPED = frozenset("head script style noscript template nav footer aside button select option input textarea iframe svg math canvas object embed audio video dialog menu map xmp noembed noframes datalist".split())
+DROPPED = frozenset("head script style noscript template nav footer aside button select option input textarea iframe svg annotation annotation-xml canvas embed audio video dialog menu map xmp noembed noframes datalist".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr caption ul option".split()
 )
@@ -78,10 +78,6 @@ NEUTRAL = frozenset(
     "site page main top bottom left right box container wrapper wrap list block area section inner outer button buttons link links post posts bar item items primary secondary global mobile fixed sticky inline module panel group content text title row col column columns sub id js icon icons message messages slot unit thread field fields us more".split()
 )
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-WANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|rail|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|foot|comments?|commentlist|disqus|respond|replies|reply|cookies?|consent|gdpr|notice|notices|notification|alert|newsletter|subscribe|signup|login|paywall|popup|modal|overlay|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|tags|skip|contentinfo|complementary|search|dialog|form)(?:$|[\s_-]|\d)",
-    re.I,
-)
 WANTED = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PARAGRAPHS = frozenset(("p", "pre", "blockquote", "td", "li", "dd", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6"))

@@ -74,3 +74,14 @@ def test_query(spark, small):
         inner = re.search(r"<article>(.*)</article>", pages[r["page_id"]], re.S)[1]
         want = " ".join(unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h1|br)>", " ", inner))).split())
         assert r["text"] == want and r["n_chars"] == len(want)
+
+
+def test_formulas_and_fallbacks_stay():
+    page = "<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>mc</mi><annotation encoding='tex'>E=mc</annotation></math> always, as the long second half of this sentence says.</p><object data='x'><p>What the picture shows, told in words.</p></object></article>"
+    assert html.main_text(page) == "Energy is E=mc always, as the long second half of this sentence says. What the picture shows, told in words."
+
+
+def test_page_without_article():
+    text = "A sentence with some length, a comma, and nothing else that matters here at all."
+    page = f"<body><div id='top'><a href='/'>Home</a> <a href='/b'>B</a></div><div class='x'><p>{text}</p><p>{text}</p><p>{text}</p></div><div><a href='/c'>C</a></div></body>"
+    assert html.main_text(page) == " ".join([text] * 3)
