@@ -14,7 +14,7 @@ texts teach as empty ones.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_bytes
@@ -32,22 +32,26 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], max_bytes: int = TRAIN_BYTES) -> list[tuple[bytes, int]]:
     """Bounded, reproducible ``(text, label)`` pairs for training.
 
-    Labels other than 0 and 1 are ignored; a document with both counts as 1.
+    Labels other than 0 and 1 are ignored; a document with both counts as 1.  Of a
+    class's ``per_class`` documents (by hash) those are taken, in order, that still
+    fit its share of ``max_bytes``; a text larger than the share is never one.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     marked = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("y"))
     marked = marked.join(texts.select("doc_id"), "doc_id", "left_semi")
-    before = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     found = []
     for y, n in per_class.items():
         chosen = marked.filter(F.col("y") == y).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(n)
         # at most n ids: safe to broadcast whatever the table's size
         rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-        size = F.octet_length("text")
-        rows = rows.withColumn("before", F.coalesce(F.sum(size).over(before), F.lit(0)))
-        rows = rows.filter((F.col("before") == 0) | (F.col("before") + size <= max_bytes // len(per_class))).select("doc_id", "text").collect()
-        found += [(r["doc_id"], bytes(r["text"]), y) for r in rows]
+        taken, left = [], max_bytes // len(per_class)
+        for r in sorted(rows.select("h", "doc_id", F.octet_length("text").alias("size")).collect()):
+            if r["size"] <= left:  # a text that does not fit is left out and counts nothing
+                taken.append((r["doc_id"],))
+                left -= r["size"]
+        wanted = docs.sparkSession.createDataFrame(taken, "doc_id long")
+        found += [(r["doc_id"], bytes(r["text"]), y) for r in rows.join(F.broadcast(wanted), "doc_id").select("doc_id", "text").collect()]
     return [(t, y) for _, t, y in sorted(found)]
 
 

@@ -100,3 +100,15 @@ def test_held_out_accuracy(spark):
     out = [(r["predicted"], labels[r["doc_id"]]["toxic"]) for r in toxicity.op8_toxicity(spark, d).collect() if r["held_out"] and r["doc_id"] in labels]
     assert np.mean([p for p, y in out if y]) >= 0.9  # recall
     assert np.mean([p for p, y in out if not y]) <= 0.01  # false alarms
+
+
+def test_a_huge_training_text_shuts_out_no_other(spark):
+    from lakeloom.llm.labelled import training_texts
+
+    n = 60
+    docs = spark.createDataFrame([(i, "x" * (5000 if i % 10 == 0 else 40)) for i in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
+    every = training_texts(docs, labels, "toxic", {0: 100, 1: 100}, 1 << 20)
+    some = training_texts(docs, labels, "toxic", {0: 100, 1: 100}, 2 * 2000)
+    assert {t for t, _ in some} == {b"x" * 40} and len(some) == sum(len(t) == 40 for t, _ in every)
+    assert training_texts(docs, labels, "toxic", {0: 100, 1: 100}, 2) == []
