@@ -470,9 +470,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     # times > 1: the whole context repeats (its windows are all marked)
     whole = contexts.filter("times > 1").select(*ID)
     wanted = contexts.join(groups, "piece").groupBy("k1", "k2").agg(F.collect_list(F.struct(*ID, "times", "kinds", "start", "size", "core", "low")).alias("wanted"))
+    wanted = staged(wanted, "wanted")
     # a context is cut from one text
     open_ = staged(distinct.join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(lean(_contexts), OPEN), "open")
-    release(distinct)
+    release(distinct, wanted)
     held: list[DataFrame] = []
     partial = _marked(open_, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), held).join(whole, ID, "left_anti")
     marks = whole.select("*", F.lit(0).alias("first"), F.lit(None).cast("int").alias("last")).union(partial)
