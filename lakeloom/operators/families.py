@@ -47,7 +47,7 @@ def _climbed(nodes: DataFrame) -> DataFrame:
         state, reach, before = now, 2 * reach, left
 
 
-def _shifts(children: DataFrame) -> DataFrame:
+def shifts(children: DataFrame) -> DataFrame:
     """``(id, parent, size)`` to ``(id, shift)``: one, and the sizes of the siblings of smaller id."""
     ranged = children.repartitionByRange("parent", "id").withColumn("range", F.spark_partition_id())
     ranged = staged(ranged, "siblings")
@@ -67,7 +67,7 @@ def forest(nodes: DataFrame) -> DataFrame:
     """
     climbed = _climbed(nodes).filter("root IS NOT NULL").drop("jump")
     children = climbed.filter("depth > 0").join(nodes, "id").select("id", "parent", "size")
-    state = children.select("id", "parent").join(_shifts(children), "id").select("id", F.col("parent").alias("jump"), F.col("shift").alias("pos"))
+    state = children.select("id", "parent").join(shifts(children), "id").select("id", F.col("parent").alias("jump"), F.col("shift").alias("pos"))
     state = staged(state.union(climbed.filter("depth = 0").select("id", F.lit(None).cast("long"), F.lit(0).cast("long"))), "places")
     while not state.filter("jump IS NOT NULL").isEmpty():
         above = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("pos").alias("more"))

@@ -26,10 +26,6 @@ FROM {layout} WHERE kind = 'heading' WINDOW w AS (PARTITION BY page ORDER BY id
 derived("page_title", "AGG-16", sql="SELECT r.page, min(r.id) AS id, max(m.height) AS height FROM {regions} r JOIN (SELECT page, median(y1 - y0) AS height FROM {regions} GROUP BY page) m ON m.page = r.page WHERE r.y1 - r.y0 >= 1.2 * m.height AND r.y0 < 400 GROUP BY r.page")
 derived("coordinate_flip", "FN-02", sql="SELECT page, id, x0, 800.0 - y1 AS top, x1, 800.0 - y0 AS bottom, (x0 >= 0 AND x0 <= x1 AND x1 <= 600 AND y0 <= y1 AND y1 <= 800) AS valid, 1000.0 * x0 / 600.0 AS unit_x0 FROM {layout}")
 derived("page_furniture", "FLT-16", sql="SELECT page, id FROM {regions} WHERE (y0 < 40 OR y1 > 760) AND length(text) <= 4 AND TRY_CAST(text AS BIGINT) IS NOT NULL")
-derived(
-    "grid_cover", "FN-03",
-    sql="SELECT s.table_id, count(*) = max(t.rows_) * 2 AND count(DISTINCT s.r * 1000 + s.c) = max(t.rows_) * 2 AND max(s.c) < 2 AS complete FROM {slots} s JOIN (SELECT table_id, max(r0 + rs) AS rows_ FROM {cells} GROUP BY table_id) t ON t.table_id = s.table_id GROUP BY s.table_id",
-)
 derived("row_group_gaps", "FN-04", sql="SELECT table_id, r0, before FROM (SELECT table_id, r0, lag(ends) OVER (PARTITION BY table_id ORDER BY r0) AS before FROM (SELECT table_id, r0, max(r0 + rs) AS ends FROM {cells} GROUP BY table_id, r0) g) h WHERE before <> r0")
 derived(
     "footnote_index", "JOIN-21",

@@ -3,7 +3,7 @@
 
 def load() -> dict:
     """All registered queries by name."""
-    from ..operators import catalog, checks, extensions, families, layout, queue, revisions, spatial, text  # noqa: F401
+    from ..operators import bibliography, catalog, checks, concepts, extensions, families, layout, order, queue, revisions, scripts, spatial, tables, text  # noqa: F401
     from .registry import REGISTRY
 
     return REGISTRY

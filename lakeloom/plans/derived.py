@@ -47,6 +47,22 @@ x1 + 2.0 - CASE WHEN id % 13 = 4 THEN 0.5 * (x1 - x0) WHEN id % 11 = 6 THEN 260.
     "drawn": "SELECT page, id, kind, x0, y0, x1, y1 FROM {layout} UNION ALL SELECT page, id + 200000 AS id, kind, x0 + 3.0 AS x0, y0 + 3.0 AS y0, x0 + (x1 - x0) / (2 + id % 5) AS x1, y1 - 3.0 AS y1 FROM {layout} WHERE kind = 'figure' AND page % 3 = 1",
     "glyphs": f"""SELECT page, (id * 100000 + i) * 2 AS idx, translate(ch, '{ACCENTED}', '{LETTERS}') AS ch, x0 + (x1 - x0) / n * (i + 0.1) AS x0, y0 + 2.0 AS y0, x0 + (x1 - x0) / n * (i + 0.9) AS x1, y1 - 1.0 AS y1 FROM {{chars}}
 UNION ALL SELECT page, (id * 100000 + i) * 2 + 1 AS idx, translate(ch, '{ACCENTED}', '{ACCENTS}') AS ch, x0 + (x1 - x0) / n * (i + 0.1) AS x0, y0 - 1.0 AS y0, x0 + (x1 - x0) / n * (i + 0.9) AS x1, y0 + 3.0 AS y1 FROM {{chars}} WHERE instr('{ACCENTED}', ch) > 0""",
+    # forty parts are a document, ten of them a section
+    "papers": """SELECT CAST(floor(p_partkey / 40.0) AS BIGINT) AS doc, CAST(p_partkey AS BIGINT) AS block, CASE WHEN p_partkey % 40 >= 10 THEN CAST(floor(p_partkey / 10.0) AS BIGINT) END AS scope,
+concat('The ', lower(p_type), ' ', p_name, ' (', substring(p_type, 1, 1), upper(substring(split_part(p_name, ' ', 1), 1, 1)), upper(substring(split_part(p_name, ' ', 2), 1, 1)), CASE WHEN p_size % 7 = 0 THEN 's' ELSE '' END, ') comes in a ', lower(p_name), ' box. ',
+CASE WHEN p_size % 4 = 0 THEN concat('A ', lower(p_name), ' refers to packing! ') ELSE '' END, CASE WHEN p_size % 6 = 1 THEN concat('We define ', lower(p_brand), ' as a label; see ', lower(p_type), '.') ELSE '' END) AS text FROM {part}""",
+    # a customer's orders are the entries of a paper, the orders' items cite them
+    "entries": """SELECT CAST(o_custkey AS BIGINT) AS doc, CAST(o_orderkey AS BIGINT) AS id, concat('[', row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END, '] N', translate(CAST(o_orderkey % 50 AS STRING), '0123456789', 'abcdefghij'),
+', J., Smith, A. (', year(o_orderdate), '). A title', CASE WHEN o_orderkey % 11 = 0 THEN ' of 1899 and 1999' ELSE '' END, '.') AS text FROM {orders}""",
+    "mentions": """SELECT CAST(o.o_custkey AS BIGINT) AS doc, s.doc * 100 + s.r AS id, CASE s.r % 4 WHEN 0 THEN concat('As in [', 1 + s.pick % 5, ', ', 2 + s.pick % 5, '–', 4 + s.pick % 7, '] and [', s.pick % 9, '].')
+WHEN 1 THEN concat('(N', translate(CAST(o.o_orderkey % 50 AS STRING), '0123456789', 'abcdefghij'), ', ', year(o.o_orderdate), ') and [ 1 ]') WHEN 2 THEN concat('See (N', translate(CAST(o.o_orderkey % 50 AS STRING), '0123456789', 'abcdefghij'), ' & Smith, ', year(o.o_orderdate), '; ', year(o.o_orderdate) - 1, ').')
+ELSE concat('[9-3], (N', translate(CAST(o.o_orderkey % 50 AS STRING), '0123456789', 'abcdefghij'), ' et al., ', year(o.o_orderdate), ')') END AS text FROM {sheets} s JOIN {orders} o ON o.o_orderkey = s.doc""",
+    # lines whose translations slip into other scripts
+    "units": """SELECT doc_id * 100000 + ord AS id, CASE WHEN ord % 4 = 1 THEN translate(text, 'eu', '가나') ELSE text END AS source, CASE ord % 5 WHEN 1 THEN translate(text, 'eu', '가나') WHEN 3 THEN translate(text, 'aio', 'アイー') ELSE text END AS target,
+CASE doc_id % 6 WHEN 0 THEN 'ja' WHEN 1 THEN 'ko' WHEN 2 THEN 'zh-Hang' WHEN 3 THEN 'ja-Latn' WHEN 4 THEN 'en-x-Jpan' ELSE 'de' END AS locale FROM {blocks} WHERE text <> ''""",
+    "unit_literals": "SELECT doc_id * 100000 + ord AS id, translate(split_part(text, ' ', 1), 'aio', 'アイー') AS literal FROM {blocks} WHERE text <> ''",
+    "sheets": """SELECT CAST(l_orderkey AS BIGINT) AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS r, count(*) OVER (PARTITION BY l_orderkey) AS n, CAST(l_linenumber AS STRING) AS line,
+CAST(CAST(l_quantity AS BIGINT) AS STRING) AS q, l_returnflag AS flag, l_orderkey % 5 AS kind, CAST(l_quantity AS BIGINT) AS pick FROM {lineitem}""",
     "cells": "SELECT l_orderkey AS table_id, l_partkey * 10 + l_linenumber AS id, CAST(l_linenumber - 1 AS BIGINT) AS r0, CAST(l_suppkey % 2 AS BIGINT) AS c0, CAST(1 + CASE WHEN l_quantity > 45 THEN 1 ELSE 0 END AS BIGINT) AS rs, CAST(2 - l_suppkey % 2 AS BIGINT) AS cs FROM {lineitem}",
     "jobs": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(floor(o_orderkey / 4.0) AS BIGINT) END AS parent, CASE WHEN o_orderstatus = 'P' THEN 'publish' ELSE 'unit' END AS stage FROM {orders}",
     "glossary": "SELECT CASE WHEN p_partkey % 3 = 0 THEN 'doc' ELSE 'global' END AS scope, p_type AS term, p_brand AS target, CASE p_size % 3 WHEN 0 THEN 'must' WHEN 1 THEN 'preferred' ELSE 'forbidden' END AS mode FROM {part}",
