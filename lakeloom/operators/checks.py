@@ -9,12 +9,12 @@ from ..plans.registry import query
 
 derived(
     "source_violations", "VAL-01",
-    sql="""WITH l AS (SELECT page, id, kind, x0, y0, x1, y1, text, CASE WHEN id % 13 = 3 THEN id - 1 ELSE max(CASE WHEN kind = 'heading' THEN id END) OVER (PARTITION BY page ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent FROM {layout})
+    sql="""WITH l AS (SELECT * FROM {tree})
 SELECT page, id, 'bbox_outside_page' AS rule FROM l WHERE x0 < 0 OR x1 > 600 OR y0 < 0 OR y1 > 800 OR x0 > x1 OR y0 > y1
 UNION ALL SELECT l.page, l.id, 'parent_not_heading' AS rule FROM l JOIN l p ON p.page = l.page AND p.id = l.parent WHERE p.kind <> 'heading'
 UNION ALL SELECT l.page, l.id, 'parent_missing' AS rule FROM l LEFT JOIN l p ON p.page = l.page AND p.id = l.parent WHERE l.parent IS NOT NULL AND p.id IS NULL
 UNION ALL SELECT page, id, 'duplicate_id' AS rule FROM l GROUP BY page, id HAVING count(*) > 1
-UNION ALL SELECT l.page, l.id, 'caption_without_owner' AS rule FROM l LEFT JOIN l f ON f.page = l.page AND f.id = l.id - 1 AND f.kind = 'figure' WHERE l.kind = 'caption' AND f.id IS NULL
+UNION ALL SELECT l.page, l.id, 'caption_without_owner' AS rule FROM l LEFT JOIN l f ON f.page = l.page AND f.id = l.owner AND f.kind IN ('figure', 'table') WHERE l.kind = 'caption' AND f.id IS NULL
 UNION ALL SELECT page, id, 'text_too_long' AS rule FROM l WHERE length(text) > 10000
 UNION ALL SELECT page, min(id) AS id, 'no_title' AS rule FROM l GROUP BY page HAVING count(CASE WHEN kind = 'heading' THEN 1 END) = 0""",
 )
@@ -28,7 +28,7 @@ FROM b JOIN {results} r ON r.doc_id = b.doc_id AND r.id = b.id WHERE r.source_ha
 derived(
     "retained_blocks", "VAL-03",
     sql="""SELECT page, id, CASE WHEN kind = 'figure' THEN 'original_figure' WHEN TRY_CAST(text AS DOUBLE) IS NOT NULL THEN 'numeric_cell' WHEN text LIKE 'http%' AND text NOT LIKE '% %' THEN 'identifier' WHEN references_ THEN 'original_reference' END AS reason
-FROM (SELECT *, coalesce(max(CASE WHEN kind = 'heading' THEN id END) OVER (PARTITION BY page ORDER BY id ROWS UNBOUNDED PRECEDING) % 5 = 4, false) AS references_ FROM {layout}) s WHERE kind = 'figure' OR TRY_CAST(text AS DOUBLE) IS NOT NULL OR (text LIKE 'http%' AND text NOT LIKE '% %') OR references_""",
+FROM (SELECT b.*, coalesce(h.section = 'references', false) AS references_ FROM (SELECT page, id, kind, text, max(CASE WHEN kind = 'heading' THEN id END) OVER (PARTITION BY page ORDER BY id ROWS UNBOUNDED PRECEDING) AS head FROM {tree}) b LEFT JOIN {tree} h ON h.page = b.page AND h.id = b.head) s WHERE kind = 'figure' OR TRY_CAST(text AS DOUBLE) IS NOT NULL OR (text LIKE 'http%' AND text NOT LIKE '% %') OR references_""",
 )
 derived(
     "output_violations", "VAL-04",
@@ -64,7 +64,7 @@ derived(
 )
 derived(
     "issue_groups", "AGG-07",
-    sql="""WITH raw AS (SELECT r.page, r.id, r.x0, r.y0, r.x1, r.y1, CASE WHEN p.page IS NULL THEN 'page_missing' WHEN r.id % 4 = 0 THEN 'duplicate' ELSE 'coverage' END AS category FROM {regions} r LEFT JOIN (SELECT DISTINCT page FROM {layout} WHERE id > 0) p ON p.page = r.page
+    sql="""WITH raw AS (SELECT r.page, r.id, r.x0, r.y0, r.x1, r.y1, CASE WHEN p.page IS NULL THEN 'page_missing' WHEN d.page IS NOT NULL THEN 'duplicate' ELSE 'coverage' END AS category FROM {regions} r LEFT JOIN (SELECT page, text FROM {regions} GROUP BY page, text HAVING count(*) > 1) d ON d.page = r.page AND d.text = r.text LEFT JOIN (SELECT DISTINCT page FROM {layout} WHERE id > 0) p ON p.page = r.page
 WHERE p.page IS NULL OR NOT EXISTS (SELECT 1 FROM {layout} b WHERE b.page = r.page AND b.id = r.id AND b.text = r.text)),
 cut AS (SELECT *, CASE WHEN category = 'page_missing' THEN 0 WHEN y0 <= max(y1) OVER w + 12 AND greatest(0.0, least(x1, lag(x1) OVER v) - greatest(x0, lag(x0) OVER v)) >= 0.6 * greatest(1.0, least(x1 - x0, lag(x1 - x0) OVER v)) THEN 0 ELSE 1 END AS fresh FROM raw
 WINDOW w AS (PARTITION BY page, category ORDER BY y0, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY page, category ORDER BY y0, id)),

@@ -43,6 +43,16 @@ UNION ALL SELECT doc_id AS page, 100000 AS id, CAST(doc_id % 1000 AS STRING) AS
     "layout": """SELECT page, id, CASE WHEN id % 7 = 0 THEN 'heading' WHEN id % 22 = 5 THEN 'table' WHEN id % 11 = 5 THEN 'figure' WHEN id % 11 = 6 THEN 'caption' ELSE 'paragraph' END AS kind, CASE WHEN id % 7 = 0 THEN 1 + CAST(floor(id / 7.0) AS BIGINT) % 3 END AS level, CASE WHEN id % 22 = 6 THEN 'table' ELSE 'figure' END AS owner_kind,
 CASE WHEN id % 5 = 3 THEN replace(text, 'e', '') ELSE text END AS text, x0 - 2.0 - CASE WHEN id % 11 = 5 THEN 60.0 WHEN id % 11 = 6 THEN 260.0 - 520.0 * ((id + 1) % 2) ELSE 0.0 END AS x0, y0 - 1.0 - CASE WHEN id % 12 = 10 THEN 75.0 WHEN id % 11 = 6 THEN -40.0 ELSE 0.0 END AS y0,
 x1 + 2.0 - CASE WHEN id % 13 = 4 THEN 0.5 * (x1 - x0) WHEN id % 11 = 6 THEN 260.0 - 520.0 * ((id + 1) % 2) ELSE 0.0 END AS x1, y1 + id % 3 + CASE WHEN id % 11 = 5 THEN 25.0 WHEN id % 11 = 6 THEN 40.0 ELSE 0.0 END - CASE WHEN id % 12 = 10 THEN 75.0 ELSE 0.0 END AS y1 FROM {regions} WHERE id % 29 <> 17 AND id < 100000""",
+    # the layout as a tree: a block hangs on the heading before it (some on the block before), a caption on its figure
+    "tree": """SELECT *, CASE WHEN id % 13 = 3 THEN id - 1 ELSE max(CASE WHEN kind = 'heading' THEN id END) OVER (PARTITION BY page ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent, CASE WHEN kind = 'caption' THEN id - 1 END AS owner,
+CASE WHEN kind = 'heading' AND id % 5 = 4 THEN 'references' WHEN kind = 'heading' THEN 'body' END AS section FROM {layout}""",
+    # which family of models a page is translated by
+    "models": "SELECT doc_id AS page, CASE doc_id % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'chat' ELSE 'reasoning' END AS family FROM {documents}",
+    # numbered lines: two lists of a page in turns, with numbers left out here and there
+    "items": "SELECT doc_id AS page, CAST(ord AS BIGINT) AS id, 40.0 + 20.0 * (doc_id % 2) AS x0, concat(CASE WHEN ord % 9 = 4 THEN '' ELSE concat(1 + ord % 6 + CASE WHEN ord % 11 = 5 THEN 1 ELSE 0 END, CASE WHEN doc_id % 3 = 0 THEN ')' ELSE '.' END, ' ') END, text) AS text FROM {blocks} WHERE text <> ''",
+    # superscript marks at the ends of lines, and notes that begin with them
+    "marked": "SELECT doc_id AS page, CAST(ord AS BIGINT) AS id, CASE WHEN ord % 4 = 1 THEN concat(text, translate(CAST(1 + ord % 5 AS STRING), '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹')) ELSE text END AS text FROM {blocks} WHERE text <> ''",
+    "notes": "SELECT doc_id AS page, CAST(ord AS BIGINT) AS id, concat(CAST(1 + ord % 5 AS STRING), CASE WHEN ord % 2 = 0 THEN ' ' ELSE '. ' END, text) AS text FROM {blocks} WHERE text <> '' AND ord % 6 = 5",
     "graphics": "SELECT page, id, x0 + 1.0 AS x0, y0 + 1.0 AS y0, x1 - 1.0 AS x1, y1 - 1.0 AS y1 FROM {layout} WHERE kind = 'figure'",
     "drawn": "SELECT page, id, kind, x0, y0, x1, y1 FROM {layout} UNION ALL SELECT page, id + 200000 AS id, kind, x0 + 3.0 AS x0, y0 + 3.0 AS y0, x0 + (x1 - x0) / (2 + id % 5) AS x1, y1 - 3.0 AS y1 FROM {layout} WHERE kind = 'figure' AND page % 3 = 1",
     "glyphs": f"""SELECT page, (id * 100000 + i) * 2 AS idx, translate(ch, '{ACCENTED}', '{LETTERS}') AS ch, x0 + (x1 - x0) / n * (i + 0.1) AS x0, y0 + 2.0 AS y0, x0 + (x1 - x0) / n * (i + 0.9) AS x1, y1 - 1.0 AS y1 FROM {{chars}}
