@@ -126,17 +126,14 @@ def loss_mask(sizes: np.ndarray, spans: np.ndarray) -> np.ndarray:
 
 def _formatted(batches: Iterator[pa.RecordBatch], path: str, learnt: tuple[str, ...], size: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     core, sizes = encoding(path)
-    for run in turns.runs(batches, *size):
-        text, spans = render([(role, said) for _, role, said in run.rows], learnt)
-        ids = core.encode_to_numpy(text, allowed_special="all").astype(np.int32)
-        loss = loss_mask(sizes[ids], spans)
-        whole = {"conv_id": [run.conv_id], "part": [run.part], "whole": [run.whole], "n_turns": [len(run.rows)], "formatted": [text]}
-        yield record_batch(whole | {"ids": _one(ids), "loss": _one(loss)}, FORMATTED)
 
+    def parts() -> Iterator[tuple[dict, int]]:
+        for run in turns.runs(batches, *size):
+            text, spans = render([(role, said) for _, role, said in run.rows], learnt)
+            ids = core.encode_to_numpy(text, allowed_special="all").astype(np.int32)
+            yield {"conv_id": run.conv_id, "part": run.part, "whole": run.whole, "n_turns": len(run.rows), "formatted": text, "ids": ids, "loss": loss_mask(sizes[ids], spans)}, len(text)
 
-def _one(values: np.ndarray) -> pa.Array:
-    """A column of one list."""
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
+    yield from turns.gathered(parts(), FORMATTED)
 
 
 def format_conversations(conversations: DataFrame, vocabulary: str | None = None, learnt: tuple[str, ...] = LEARNT) -> DataFrame:
@@ -185,17 +182,18 @@ def _parts(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
 def _read(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """Digests of whole conversations; parts of the others pass."""
     core = encoding(path)[0]
-    for batch in batches:
-        for conv_id, part, whole, formatted, ids, loss in _parts(batch, ["conv_id", "part", "whole"]):
-            row = dict.fromkeys(READ.names) | {"conv_id": conv_id, "part": part}
-            if whole:
-                reader = Reader(conv_id, core)
-                reader.add(formatted, ids, loss)
-                row |= reader.row()
-                columns = {k: [v] for k, v in row.items()}
-            else:
-                columns = {k: [v] for k, v in row.items()} | {"formatted": [formatted], "ids": _one(ids), "loss": _one(loss)}
-            yield record_batch(columns, READ)
+
+    def rows() -> Iterator[tuple[dict, int]]:
+        for batch in batches:
+            for conv_id, part, whole, formatted, ids, loss in _parts(batch, ["conv_id", "part", "whole"]):
+                if whole:
+                    reader = Reader(conv_id, core)
+                    reader.add(formatted, ids, loss)
+                    yield {"part": part} | reader.row(), 0
+                else:
+                    yield {"conv_id": conv_id, "part": part, "formatted": formatted, "ids": ids, "loss": loss}, len(formatted)
+
+    yield from turns.gathered(rows(), READ)
 
 
 def _joined(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -60,13 +60,14 @@ def _struct(**kinds: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
 
-RUNS = _struct(conv_id=_long, part=_long, whole=_bool, turn=_longs, role=_strs, text=_strs)
 SEEN = _struct(conv_id=_long, part=_long, h=_str)
 #: rows: how many; edges: initials of the first and the last row; counts: blank, duplicate, truncated, illegal, distinct turns
 SUMMARY = _struct(conv_id=_long, part=_long, rows=_long, edges=_strs, counts=_longs, low=_long, high=_long, matrix=_longs)
 TOTALS = {k: _long for k in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
 CHAIN = _struct(conv_id=_long, part=_long, before=_longs, behind=_longs, last=_bool, **TOTALS)
 REPAIRED = _struct(conv_id=_long, part=_long, entry=_long, leaves=_long, **TOTALS, audit=_str, role=_strs, text=_strs)
+#: whole conversations repaired, runs of the others as they are
+RUNS = T.StructType([*REPAIRED.fields, T.StructField("whole", _bool), T.StructField("turn", _longs)])
 
 
 class Row:
@@ -190,35 +191,41 @@ def solve(turn: list[int | None], roles: list[str], texts: list[str]) -> dict[st
 
 
 def _runs(batches: Iterator[pa.RecordBatch], size: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    for run in turns.runs(batches, *size):
-        there = [r[1:] for r in run.rows if not r[0]]
-        turn, role, text = map(list, zip(*there, strict=True)) if there else ([], [], [])
-        yield record_batch({"conv_id": [run.conv_id], "part": [run.part], "whole": [run.whole], "turn": [turn], "role": [role], "text": [text]}, RUNS)
+    def rows() -> Iterator[tuple[dict, int]]:
+        for run in turns.runs(batches, *size):
+            there = [r[1:] for r in run.rows if not r[0]]
+            turn, role, text = map(list, zip(*there, strict=True)) if there else ([], [], [])
+            held = solve(turn, role, text) if run.whole else {"turn": turn, "role": role, "text": text}
+            yield {"conv_id": run.conv_id, "part": run.part, "whole": run.whole} | held, sum(map(len, text))
 
+    yield from turns.gathered(rows(), RUNS)
 
-def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        for row in batch.to_pylist():
-            out = {"conv_id": row["conv_id"], "part": row["part"]} | solve(row["turn"], row["role"], row["text"])
-            yield record_batch({k: [v] for k, v in out.items()}, REPAIRED)
+        yield from batch.to_pylist()
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            h = sorted({digest(*said) for said in zip(row["role"], row["text"], strict=True)})
-            yield record_batch({"conv_id": [row["conv_id"]] * len(h), "part": [row["part"]] * len(h), "h": h}, SEEN)
+    def rows() -> Iterator[tuple[dict, int]]:
+        for row in _rows(batches):
+            for h in sorted({digest(*said) for said in zip(row["role"], row["text"], strict=True)}):
+                yield {"conv_id": row["conv_id"], "part": row["part"], "h": h}, 0
+
+    yield from turns.gathered(rows(), SEEN, most_rows=10_000)
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            rows, found = faults(row["role"], row["text"], set(row["earlier"] or ()))
+    def rows() -> Iterator[tuple[dict, int]]:
+        for row in _rows(batches):
+            grid, found = faults(row["role"], row["text"], set(row["earlier"] or ()))
             initials = [r[:1] for r in row["role"]]
             low, high, distinct = _spread(row["turn"])
-            matrix = [x for q in STATES for x in forward(rows, [0 if p == q else FAR for p in STATES])[-1]]
-            out = {"rows": len(rows), "edges": initials[:1] + initials[-1:], "counts": [*found, _illegal(initials), distinct], "low": low, "high": high, "matrix": matrix}
-            yield record_batch({k: [v] for k, v in ({"conv_id": row["conv_id"], "part": row["part"]} | out).items()}, SUMMARY)
+            matrix = [x for q in STATES for x in forward(grid, [0 if p == q else FAR for p in STATES])[-1]]
+            out = {"rows": len(grid), "edges": initials[:1] + initials[-1:], "counts": [*found, _illegal(initials), distinct], "low": low, "high": high, "matrix": matrix}
+            yield {"conv_id": row["conv_id"], "part": row["part"]} | out, 0
+
+    yield from turns.gathered(rows(), SUMMARY)
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,18 +268,20 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _traversed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs with the costs around them: a piece for each entry state that a cheapest path can have."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            rows, _ = faults(row["role"], row["text"], set(row["earlier"] or ()))
-            before, behind = forward(rows, row["before"]), backward(rows, row["behind"])
+
+    def rows() -> Iterator[tuple[dict, int]]:
+        for row in _rows(batches):
+            grid, _ = faults(row["role"], row["text"], set(row["earlier"] or ()))
+            before, behind = forward(grid, row["before"]), backward(grid, row["behind"])
             if row["last"]:
                 before[-1] = _inserted(before[-1])
             for q in STATES:
                 if row["before"][q] + behind[0][q] != row["cost"]:
                     continue
-                leaves, audit, role, text = traverse(row["role"], row["text"], rows, before, behind, row["cost"], q, row["last"])
-                out = {k: row[k] for k in ("conv_id", "part", *TOTALS)} | {"entry": q, "leaves": leaves, "audit": audit, "role": role, "text": text}
-                yield record_batch({k: [v] for k, v in out.items()}, REPAIRED)
+                leaves, audit, role, text = traverse(row["role"], row["text"], grid, before, behind, row["cost"], q, row["last"])
+                yield {k: row[k] for k in ("conv_id", "part", *TOTALS)} | {"entry": q, "leaves": leaves, "audit": audit, "role": role, "text": text}, sum(map(len, text))
+
+    yield from turns.gathered(rows(), REPAIRED)
 
 
 def repair(rows: DataFrame) -> DataFrame:
@@ -285,8 +294,8 @@ def repair(rows: DataFrame) -> DataFrame:
     """
     size = (turns.RUN_ROWS, turns.RUN_CHARS)
     held = staged(rows.select("conv_id", "dropped", "turn", "role", "text").mapInArrow(lean(lambda it: _runs(it, size)), RUNS), "runs")
-    solved = held.filter("whole").mapInArrow(lean(_solved), REPAIRED)
-    cut = held.filter("NOT whole")
+    solved = held.filter("whole").select(REPAIRED.names)
+    cut = held.filter("NOT whole").select("conv_id", "part", "turn", "role", "text")
 
     seen = cut.mapInArrow(lean(_digests), SEEN)
     seen = seen.withColumn("first", F.min("part").over(Window.partitionBy("conv_id", "h"))).filter("part > first")

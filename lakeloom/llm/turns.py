@@ -15,6 +15,9 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from .common import record_batch
 
 #: rows and characters of text in a run, at most (a single longer text still comes whole)
 RUN_ROWS = 4096
@@ -61,3 +64,19 @@ def runs(batches: Iterator[pa.RecordBatch], most_rows: int, most_chars: int) ->
             chars += len(row[-1] or "")
     if rows:
         yield Run(at, part, False, rows)
+
+
+def gathered(rows: Iterator[tuple[dict, int]], schema: StructType, most_rows: int = 512, most_size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of rows that come with their sizes; a batch ends with the row that fills it."""
+    held: dict[str, list] = {n: [] for n in schema.names}
+    count = size = 0
+    for row, own in rows:
+        for n, values in held.items():
+            values.append(row.get(n))
+        count, size = count + 1, size + own
+        if count >= most_rows or size >= most_size:
+            yield record_batch(held, schema)
+            held = {n: [] for n in schema.names}
+            count = size = 0
+    if count:
+        yield record_batch(held, schema)
