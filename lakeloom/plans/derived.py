@@ -43,6 +43,11 @@ UNION ALL SELECT doc_id AS page, 100000 AS id, CAST(doc_id % 1000 AS STRING) AS
     "layout": """SELECT page, id, CASE WHEN id % 7 = 0 THEN 'heading' WHEN id % 22 = 5 THEN 'table' WHEN id % 11 = 5 THEN 'figure' WHEN id % 11 = 6 THEN 'caption' ELSE 'paragraph' END AS kind, CASE WHEN id % 7 = 0 THEN 1 + CAST(floor(id / 7.0) AS BIGINT) % 3 END AS level, CASE WHEN id % 22 = 6 THEN 'table' ELSE 'figure' END AS owner_kind,
 CASE WHEN id % 5 = 3 THEN replace(text, 'e', '') ELSE text END AS text, x0 - 2.0 - CASE WHEN id % 11 = 5 THEN 60.0 WHEN id % 11 = 6 THEN 260.0 - 520.0 * ((id + 1) % 2) ELSE 0.0 END AS x0, y0 - 1.0 - CASE WHEN id % 12 = 10 THEN 75.0 WHEN id % 11 = 6 THEN -40.0 ELSE 0.0 END AS y0,
 x1 + 2.0 - CASE WHEN id % 13 = 4 THEN 0.5 * (x1 - x0) WHEN id % 11 = 6 THEN 260.0 - 520.0 * ((id + 1) % 2) ELSE 0.0 END AS x1, y1 + id % 3 + CASE WHEN id % 11 = 5 THEN 25.0 WHEN id % 11 = 6 THEN 40.0 ELSE 0.0 END - CASE WHEN id % 12 = 10 THEN 75.0 ELSE 0.0 END AS y1 FROM {regions} WHERE id % 29 <> 17 AND id < 100000""",
+    # some paragraphs once more, in the box of the next block
+    "copied": """SELECT page, id, kind, text, x0, y0, x1, y1 FROM {layout} UNION ALL SELECT a.page, a.id + 300000 AS id, a.kind, a.text, b.x0, b.y0, b.x1, b.y1 FROM {layout} a JOIN {layout} b ON b.page = a.page AND b.id = a.id + 1 WHERE a.kind = 'paragraph' AND a.id % 3 = 1""",
+    # recognised lines that lost a word, or a letter of one, and their native texts
+    "repairs": """SELECT doc_id * 100000 + ord AS id, text AS native, CASE ord % 4 WHEN 0 THEN concat(split_part(text, ' ', 1), substring(text, length(split_part(text, ' ', 1)) + length(split_part(text, ' ', 2)) + 2)) WHEN 1 THEN replace(text, concat(' ', split_part(text, ' ', 3), ' '), concat(' ', substring(split_part(text, ' ', 3), 2), ' '))
+WHEN 2 THEN concat(text, ' more') ELSE text END AS original FROM {blocks} WHERE text <> ''""",
     # the layout as a tree: a block hangs on the heading before it (some on the block before), a caption on its figure
     "tree": """SELECT *, CASE WHEN id % 13 = 3 THEN id - 1 ELSE max(CASE WHEN kind = 'heading' THEN id END) OVER (PARTITION BY page ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent, CASE WHEN kind = 'caption' THEN id - 1 END AS owner,
 CASE WHEN kind = 'heading' AND id % 5 = 4 THEN 'references' WHEN kind = 'heading' THEN 'body' END AS section FROM {layout}""",

@@ -7,6 +7,7 @@ import pytest
 
 from lakeloom.operators import bibliography as B
 from lakeloom.operators import concepts as C
+from lakeloom.operators import evidence as E
 from lakeloom.operators import order as O
 from lakeloom.operators import tables as T
 
@@ -169,3 +170,42 @@ def test_signatures(spark):
     df = spark.createDataFrame([(a,) for a, _ in rows], "label string")
     assert [r[0] for r in df.select(B.signature(F.col("label"))).collect()] == [b for _, b in rows]
     assert re.fullmatch(B.NUMBERED, "[1, 2–3]")
+
+
+def test_repairs(spark):
+    from pyspark.sql import functions as F
+
+    tail = " b c d e f g h i j k l"
+    rows = [
+        ("one three", "one two three", "insertion"), ("one two", "two one two", "insertion"), ("one two", "two one", None), ("", "a b", None), ("a b", "a b", None),
+        ("learning" + tail, "learnings" + tail, "word"), ("learning" + tail, "learned" + tail, None), ("transformation" + tail, "transformational" + tail, "word"), ("learning b c", "learnings b c", None),
+        ("short" + tail, "shorts" + tail, None), ("learning" + tail + " $x", "learnings" + tail + " $x", None), ("learning z" + tail, "learnings y" + tail, None),
+    ]
+    df = spark.createDataFrame(rows, "o string, n string, want string")
+    assert [r[0] for r in df.select(E.repair(F.col("o"), F.col("n"))).collect()] == [r[2] for r in rows]
+
+
+def test_misplaced_duplicates(spark):
+    text = "A paragraph of some eighty characters or more, told twice on one and the same page here."
+    other = "Another paragraph of enough letters that stands where the copy of the first was put by mistake."
+    blocks = [
+        (1, 1, 0, "paragraph", text, 0.0, 0.0, 100.0, 10.0), (1, 2, 0, "paragraph", text, 0.0, 50.0, 100.0, 60.0), (1, 3, 0, "paragraph", other, 0.0, 50.0, 100.0, 60.0),
+        (2, 1, 0, "paragraph", text, 0.0, 0.0, 100.0, 10.0), (2, 2, 0, "paragraph", text, 0.0, 50.0, 100.0, 60.0),  # nothing else holds the line
+        (3, 1, 0, "paragraph", text, 0.0, 0.0, 100.0, 10.0), (3, 2, 0, "paragraph", text, 0.0, 50.0, 100.0, 60.0),  # both are borne out
+    ]
+    regions = [(1, 1, text, 0.0, 0.0, 100.0, 10.0), (1, 2, other, 0.0, 50.0, 100.0, 60.0), (2, 1, text, 0.0, 0.0, 100.0, 10.0), (2, 2, other, 0.0, 50.0, 100.0, 60.0), (3, 1, text, 0.0, 0.0, 100.0, 10.0), (3, 2, text, 0.0, 50.0, 100.0, 60.0)]
+    got = E.misplaced(spark.createDataFrame(blocks, BLOCK), spark.createDataFrame(regions, REGION)).collect()
+    assert [tuple(r) for r in got] == [(1, 2, 1)]
+
+
+def test_list_runs_and_footnotes(spark):
+    from lakeloom import plans
+    from lakeloom.plans.derived import OPERATORS, run
+
+    plans.load()
+    lines = ["1. a", "2. b", "plain", "3. c", "4. d", "5) e", "6) f", "8) g", "9) h"]
+    items = spark.createDataFrame([(1, i, 40.0 if i < 8 else 90.0, t) for i, t in enumerate(lines)], "page long, id long, x0 double, text string")
+    assert sorted(map(tuple, run(spark, OPERATORS["numbered_runs"], items=items).collect())) == [(1, 0, 2, 1, 2), (1, 3, 2, 3, 4), (1, 5, 2, 5, 6)]
+    notes = spark.createDataFrame([(1, 10, "1 first"), (1, 11, "2. second"), (1, 12, "2 again"), (1, 13, "3 third"), (1, 14, "no number")], "page long, id long, text string")
+    marked = spark.createDataFrame([(1, 1, "text¹"), (1, 2, "more²"), (1, 3, "x³"), (1, 4, "y³"), (1, 5, "¹ alone"), (2, 6, "text¹")], "page long, id long, text string")
+    assert [tuple(r) for r in run(spark, OPERATORS["footnote_index"], notes=notes, marked=marked).collect()] == [(1, 10, 1, 1)]
