@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..plans.derived import frame, oracle
 from ..plans.registry import Tables, query
@@ -31,7 +32,7 @@ RUNS = {script: _class(names) for script, names in NAMED.items()}
 PARTS = r"[\x{1100}-\x{11ff}\x{3099}\x{309a}\x{a960}-\x{a97f}\x{d7b0}-\x{d7ff}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 

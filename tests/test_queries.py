@@ -42,6 +42,13 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_queries_are_known_without_a_session():
+    import subprocess
+    import sys
+
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], check=True, timeout=100)
+
+
 def test_plans_push_filters_and_prune_columns(spark):
     plan = QUERIES["search_blocks"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "StringContains(text,tion)" in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
