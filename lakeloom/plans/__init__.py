@@ -3,7 +3,7 @@
 
 def load() -> dict:
     """All registered queries by name."""
-    from ..operators import bibliography, catalog, checks, concepts, evidence, export, extensions, families, layout, order, queue, revisions, schema, scripts, spatial, tables, text  # noqa: F401
+    from ..operators import bibliography, catalog, checks, concepts, evidence, export, extensions, families, identifiers, layout, order, queue, revisions, schema, scripts, spatial, tables, text  # noqa: F401
     from .registry import REGISTRY
 
     return REGISTRY

@@ -48,6 +48,10 @@ x1 + 2.0 - CASE WHEN id % 13 = 4 THEN 0.5 * (x1 - x0) WHEN id % 11 = 6 THEN 260.
     # recognised lines that lost a word, or a letter of one, and their native texts
     "repairs": """SELECT doc_id * 100000 + ord AS id, text AS native, CASE ord % 4 WHEN 0 THEN concat(split_part(text, ' ', 1), substring(text, length(split_part(text, ' ', 1)) + length(split_part(text, ' ', 2)) + 2)) WHEN 1 THEN replace(text, concat(' ', split_part(text, ' ', 3), ' '), concat(' ', substring(split_part(text, ' ', 3), 2), ' '))
 WHEN 2 THEN concat(text, ' more') ELSE text END AS original FROM {blocks} WHERE text <> ''""",
+    # identifiers as papers print them, and revisions of glossaries with and without a document
+    "cited": """SELECT l_orderkey * 100 + l_linenumber AS id, l_linenumber % 5 AS kind, l_partkey AS n, CASE l_linenumber % 5 WHEN 0 THEN concat('https://doi.org/10.1234/Ab%2Fc', l_partkey, ').') WHEN 1 THEN concat('doi: 10.1234/x(', l_partkey, ')') WHEN 2 THEN '10.12/short'
+WHEN 3 THEN concat('(see 10.1234/y', l_partkey, ')') ELSE concat(' DOI:10.1234/z-', l_partkey, ',;') END AS written FROM {lineitem}""",
+    "revisions": "SELECT CAST(o_orderkey AS BIGINT) AS id, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_custkey AS BIGINT) END AS doc, o_orderpriority AS lang, o_orderdate AS created FROM {orders}",
     # the layout as a tree: a block hangs on the heading before it (some on the block before), a caption on its figure
     "tree": """SELECT *, CASE WHEN id % 13 = 3 THEN id - 1 ELSE max(CASE WHEN kind = 'heading' THEN id END) OVER (PARTITION BY page ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent, CASE WHEN kind = 'caption' THEN id - 1 END AS owner,
 CASE WHEN kind = 'heading' AND id % 5 = 4 THEN 'references' WHEN kind = 'heading' THEN 'body' END AS section FROM {layout}""",

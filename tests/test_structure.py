@@ -209,3 +209,16 @@ def test_list_runs_and_footnotes(spark):
     notes = spark.createDataFrame([(1, 10, "1 first"), (1, 11, "2. second"), (1, 12, "2 again"), (1, 13, "3 third"), (1, 14, "no number")], "page long, id long, text string")
     marked = spark.createDataFrame([(1, 1, "text¹"), (1, 2, "more²"), (1, 3, "x³"), (1, 4, "y³"), (1, 5, "¹ alone"), (2, 6, "text¹")], "page long, id long, text string")
     assert [tuple(r) for r in run(spark, OPERATORS["footnote_index"], notes=notes, marked=marked).collect()] == [(1, 10, 1, 1)]
+
+
+def test_dois(spark):
+    from pyspark.sql import functions as F
+
+    from lakeloom.operators.identifiers import normalized_doi
+
+    rows = [
+        ("doi: 10.1000/ABC.", "10.1000/abc"), ("https://dx.doi.org/10.1000/a%28b%29", "10.1000/a(b)"), ("10.1000/a(b))", "10.1000/a(b)"), ("10.1000/a])}", "10.1000/a"), ("10.1000/a+b", "10.1000/a+b"), ("10.1000/a%zz", "10.1000/a%zz"),
+        ("10.1000/a b\u00adc", "10.1000/abc"), ("10.1/x", None), ("see 10.1000/x", None), ("10.1000/", None), (None, None), ("10.1000/" + "x" * 3000, None),
+    ]
+    df = spark.createDataFrame(rows, "value string, want string")
+    assert [r[0] for r in df.select(normalized_doi(F.col("value"))).collect()] == [r[1] for r in rows]
