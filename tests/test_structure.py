@@ -15,20 +15,6 @@ BLOCK = "page long, id long, ord long, kind string, text string, x0 double, y0 d
 REGION = "page long, id long, text string, x0 double, y0 double, x1 double, y1 double"
 
 
-def bubble(rows):
-    """Neighbours change places until none is wrong; ``rows`` are (id, side, y0, y1)."""
-    rows, changed, met = list(rows), True, dict.fromkeys((r[0] for r in rows), 0)
-    while changed:
-        changed = False
-        for i in range(len(rows) - 1):
-            a, b = rows[i], rows[i + 1]
-            if a[1] == b[1] != 0 and b[3] <= a[2]:
-                rows[i], rows[i + 1], changed = b, a, True
-                met[a[0]] += 1
-                met[b[0]] += 1
-    return [(r[0], pos, met[r[0]]) for pos, r in enumerate(rows)]
-
-
 @pytest.mark.parametrize("stretch", [512, 8])
 def test_order_equals_a_bubble(spark, stretch):
     rng = random.Random(9)
