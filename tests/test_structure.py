@@ -208,3 +208,16 @@ def test_dois(spark):
     ]
     df = spark.createDataFrame(rows, "value string, want string")
     assert [r[0] for r in df.select(normalized_doi(F.col("value"))).collect()] == [r[1] for r in rows]
+
+
+def test_stretches_are_settled_many_at_a_time(spark):
+    """One call per page took longer than the work; a stretch can lie in two batches."""
+    import pandas as pd
+
+    rows = pd.DataFrame([(p, s, i, i, i + 10 * s, 1, 10.0 * (9 - i), 10.0 * (9 - i) + 5, 10.0 * (9 - i), 10.0 * (9 - i) + 5, 0, False) for p in range(3) for s in range(2) for i in range(4)], columns=["page", "stretch", "id", "old", "pos", "side", "y0", "y1", "top", "bottom", "exchanges", "moved"])
+    for cut in range(len(rows) + 1):
+        got = pd.concat(O._stretches(iter([rows[:cut], rows[cut:]])))
+        assert [tuple(r) for r in got[["page", "id", "pos", "exchanges"]].itertuples(index=False)] == [(p, 3 - i, i + 10 * s, 3) for p in range(3) for s in range(2) for i in range(4)]
+    blocks = spark.createDataFrame([(1, 1, 1, "paragraph", "line", 0.0, 0.0, 9.0, 9.0)], BLOCK)
+    plan = O.repaired(blocks, spark.createDataFrame([], REGION))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
