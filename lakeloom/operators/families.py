@@ -14,6 +14,8 @@ parent of a third of all rows is not one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,22 +119,30 @@ def owners(nodes: DataFrame) -> DataFrame:
 def nearest(chain: DataFrame) -> DataFrame:
     """``(id, previous, kind)`` to ``(id, kind, found, distance)``: for each row and kind the nearest row back to itself.
 
-    Rows whose way back ends in a cycle are left out (a broken history gives nothing).
-    A row's map has an entry for each kind, so kinds must be few.
+    Rows whose way back ends in a cycle are left out (a broken history gives nothing):
+    they are the ones that never come to an end.  A row's map has an entry for each
+    kind, so kinds must be few.
     """
-    sound = owners(chain.select("id", F.col("previous").alias("parent"))).join(chain, "id")
-    broken = sound.filter("cyclic").select(F.col("id").alias("owner")).distinct()
-    sound = sound.join(broken, "owner", "left_anti")
     own = F.create_map("kind", F.struct(F.lit(0).cast("long").alias("distance"), F.col("id").alias("found")))
-    state, reach = staged(sound.select("id", F.col("previous").alias("jump"), own.alias("kinds")), "nearest"), 1
-    while not state.filter("jump IS NOT NULL").isEmpty():
-        above = state.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("kinds").alias("older"))
-        further = F.transform_values("older", lambda _, v: F.struct((v["distance"] + F.lit(reach)).alias("distance"), v["found"].alias("found")))
+    begun = staged(chain.select("id", F.col("previous").alias("jump"), own.alias("kinds")), "nearest")
+    # rows that have come to an end are written once, by the round that ends them
+    ended, open_, reach, before = [begun.filter("jump IS NULL")], begun.filter("jump IS NOT NULL"), 1, None
+    while True:
+        left = open_.count()
+        # distances have no holes: as long as one open row has an end, a round ends some
+        if not left or left == before:
+            break
+        known = reduce(DataFrame.union, [*ended, open_])
+        above = known.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("kinds").alias("older"))
+        by = F.lit(reach)
+        further = F.transform_values("older", lambda _, v: F.struct((v["distance"] + by).alias("distance"), v["found"].alias("found")))  # noqa: B023
         both = F.when(F.col("older").isNull(), F.col("kinds")).otherwise(F.map_zip_with("kinds", further, lambda _, near, far: F.coalesce(near, far)))
-        now = staged(state.join(above, "jump", "left").select("id", F.col("next").alias("jump"), both.alias("kinds")), "nearest")
-        release(state)
-        state, reach = now, 2 * reach
-    return state.select("id", F.explode("kinds").alias("kind", "v")).select("id", "kind", "v.found", "v.distance")
+        # a row that is not there ends the way, too
+        now = staged(open_.join(above, "jump", "left").select("id", F.col("next").alias("jump"), both.alias("kinds")), "nearest")
+        ended.append(now.filter("jump IS NULL"))
+        open_, reach, before = now.filter("jump IS NOT NULL"), 2 * reach, left
+    done = reduce(DataFrame.union, ended)
+    return done.select("id", F.explode("kinds").alias("kind", "v")).select("id", "kind", "v.found", "v.distance")
 
 
 # -- queries ----------------------------------------------------------------------------------

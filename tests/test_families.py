@@ -73,3 +73,12 @@ def test_nearest_profile_of_each_kind(spark):
     kinds = [k for _, _, k in chain[:300]]
     want = {(n, k, m, n - m) for n in range(300) for k in "abc" for m in [max((m for m in range(n + 1) if kinds[m] == k), default=None)] if m is not None}
     assert got == want  # a history that goes in circles gives nothing
+
+
+def test_nearest_needs_no_second_climb(spark, monkeypatch):
+    """Rows that never end are the broken ones; looking for owners first cost as many rounds again."""
+    monkeypatch.setattr(families, "owners", None)
+    chain = [(1, None, "a"), (2, 1, "b"), (3, 2, "a"), (4, 99, "c"), (5, 4, "a"), (6, 7, "a"), (7, 6, "b"), (8, 7, "c"), *((i, i - 1, "a" if i == 102 else "b") for i in range(102, 140)), (101, None, "c")]
+    got = {tuple(r) for r in families.nearest(spark.createDataFrame(chain, "id long, previous long, kind string")).collect()}
+    assert {r for r in got if r[0] < 100} == {(1, "a", 1, 0), (2, "b", 2, 0), (2, "a", 1, 1), (3, "a", 3, 0), (3, "b", 2, 1), (4, "c", 4, 0), (5, "a", 5, 0), (5, "c", 4, 1)}
+    assert {r for r in got if r[0] == 139} == {(139, "b", 139, 0), (139, "a", 102, 37), (139, "c", 101, 38)}
