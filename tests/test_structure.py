@@ -221,3 +221,16 @@ def test_stretches_are_settled_many_at_a_time(spark):
     blocks = spark.createDataFrame([(1, 1, 1, "paragraph", "line", 0.0, 0.0, 9.0, 9.0)], BLOCK)
     plan = O.repaired(blocks, spark.createDataFrame([], REGION))._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan
+
+
+def test_tables_are_read_many_a_call(spark):
+    """A table function took a call and a conversion for each text."""
+    texts = spark.createDataFrame([(i, None if i == 3 else "<table><tr><td>a" if i % 2 else "<table>" + "<tr><td>a</td><td>b</td></tr>" * 300 + "</table>", [i]) for i in range(60)], "id long, html string, more array<int>")
+    out = T.html_tables(texts)
+    assert "PythonUDTF" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == ["id", "html", "more", "row", "col", "row_span", "col_span", "header", "text"]
+    rows = out.select("id", "more", "row", "col", "text").collect()
+    assert sorted(map(tuple, rows)) == [(i, [i], r, c, "ab"[c]) for i in range(0, 60, 2) for r in range(300) for c in (0, 1)]
+    slots = T.otsl_tables(spark.createDataFrame([(1, "<fcel>a<lcel><nl>"), (2, None), (3, "<fcel>a<xcel>")], "id long, otsl string"))
+    assert "PythonUDTF" not in slots._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in slots.drop("otsl").collect()] == [(1, 0, 0, 1, 2, False, "a")]
