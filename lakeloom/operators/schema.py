@@ -8,7 +8,7 @@ value of another type and a required key that is absent are violations.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.derived import frame, oracle
@@ -35,26 +35,31 @@ def first_violations(docs: DataFrame, schema: dict[str, tuple[str, bool]]) -> Da
     rules = [(path, _kind_fits(kind), required[path]) for path, (kind, _) in schema.items()]
     known = F.broadcast(spark.createDataFrame(rules, "rule string, kind string, required array<string>"))  # as many rows as the schema has
     parsed = docs.select("id", F.try_parse_json("body").alias("v"))
-    broken = parsed.filter("v IS NULL").select("id", F.lit("NOT_JSON").alias("code"), F.lit("$").alias("path"), F.lit("$").alias("place"))
-    nodes = parsed.filter("v IS NOT NULL").select("id", F.lit("$").alias("path"), F.lit("$").alias("place"), F.lit("$").alias("rule"), "v")
+    # a row is a violation (code) or a node (v); each level passes the ones on and takes the others apart, in one pass over the documents
+    rows = parsed.select("id", F.when(F.col("v").isNull(), "NOT_JSON").alias("code"), F.lit("$").alias("path"), F.lit("$").alias("place"), F.lit("$").alias("rule"), "v")
     depth = max(p.count(".") + p.count("[]") for p in schema)
-    for level in range(depth + 2):
-        met = nodes.join(known, "rule", "left").withColumn("type", F.schema_of_variant("v"))
-        fits = F.rlike(F.col("type"), F.concat(F.lit("^(?:"), F.col("kind"), F.lit(")")))
-        code = F.when(F.col("kind").isNull(), "UNKNOWN_KEY").when(~fits, "TYPE")
-        found = met.select("id", code.alias("code"), "path", "place").filter("code IS NOT NULL")
-        objects = met.filter(fits & F.col("type").startswith("OBJECT"))
-        absent = objects.select("id", F.explode("required").alias("name"), "path", "place", F.json_object_keys(F.to_json("v")).alias("keys")).filter(~F.array_contains("keys", F.col("name")))
-        broken = broken.union(found).union(absent.select("id", F.lit("REQUIRED").alias("code"), F.concat("path", F.lit("."), "name").alias("path"), F.concat("place", F.lit("."), "name").alias("place")))
-        if level > depth:
-            break
-        inner = met.filter(fits & F.rlike(F.col("type"), F.lit("^(OBJECT|ARRAY)"))).select("id", "path", "place", "rule", "v")
-        nodes = spark.sql(
-            """SELECT id, concat(path, CASE WHEN key IS NULL THEN concat('[', pos, ']') ELSE concat('.', key) END) AS path, concat(place, CASE WHEN key IS NULL THEN concat('[', lpad(pos, 10, '0'), ']') ELSE concat('.', key) END) AS place,
-concat(rule, CASE WHEN key IS NULL THEN '[]' ELSE concat('.', key) END) AS rule, value AS v FROM {inner}, LATERAL variant_explode(v) AS t(pos, key, value)""",
-            inner=inner,
-        )
-    return broken.groupBy("id").agg(F.min(F.struct("place", "code", "path")).alias("m")).select("id", "m.code", "m.path")
+    for _ in range(depth + 2):
+        met = rows.join(known, "rule", "left").withColumn("type", F.when(F.col("code").isNull(), F.schema_of_variant("v")))
+        fits = F.coalesce(F.rlike(F.col("type"), F.concat(F.lit("^(?:"), F.col("kind"), F.lit(")"))), F.lit(False))
+        wrong = F.coalesce("code", F.when(F.col("kind").isNull(), "UNKNOWN_KEY").when(~fits, "TYPE"))
+        # objects as maps, arrays as arrays, both of variants; null for anything else
+        inside = met.withColumns({
+            "wrong": wrong, "fields": F.when(wrong.isNull() & F.col("type").startswith("OBJECT"), F.col("v")).cast("map<string,variant>"), "items": F.when(wrong.isNull() & F.col("type").startswith("ARRAY"), F.col("v")).cast("array<variant>"),
+        })
+
+        def row(code: Column, path: Column, place: Column, rule: Column | None = None, v: Column | None = None) -> Column:
+            parts = {"code": code, "path": path, "place": place, "rule": F.lit(None).cast("string") if rule is None else rule, "v": F.lit(None).cast("variant") if v is None else v}
+            return F.struct(*(c.alias(n) for n, c in parts.items()))
+
+        under = lambda of, *tail: F.concat(F.col(of), *tail)
+        none, dot = F.lit(None).cast("string"), F.lit(".")
+        own = F.when(F.col("wrong").isNotNull(), F.array(row(F.col("wrong"), F.col("path"), F.col("place"))))
+        absent = F.transform(F.array_except("required", F.map_keys("fields")), lambda n: row(F.lit("REQUIRED"), under("path", dot, n), under("place", dot, n)))
+        fields = F.transform(F.map_entries("fields"), lambda e: row(none, under("path", dot, e["key"]), under("place", dot, e["key"]), under("rule", dot, e["key"]), e["value"]))
+        items = F.transform("items", lambda v, i: row(none, under("path", F.lit("["), i, F.lit("]")), under("place", F.lit("["), F.lpad(i.cast("string"), 10, "0"), F.lit("]")), under("rule", F.lit("[]")), v))
+        empty = F.array_repeat(row(none, none, none), 0)
+        rows = inside.select("id", F.inline(F.concat(*(F.coalesce(x, empty) for x in (own, absent, fields, items)))))
+    return rows.filter("code IS NOT NULL").groupBy("id").agg(F.min(F.struct("place", "code", "path")).alias("m")).select("id", "m.code", "m.path")
 
 
 #: orders as documents
