@@ -53,17 +53,25 @@ def repair(original: Column, native: Column) -> Column:
     .7 of the longer one or differ by one letter more or less.
     """
     old, new = (F.filter(F.split(c, r"\s+"), lambda t: t != "") for c in (original, native))
-    kept = F.aggregate(new, F.lit(0), lambda n, t: n + F.when(F.get(old, n) == t, 1).otherwise(0))
-    insertion = (F.size(old) > 0) & (F.size(new) > F.size(old)) & (kept == F.size(old))
-    pairs = F.filter(F.arrays_zip(old.alias("o"), new.alias("n")), lambda p: p["o"] != p["n"])
-    a, b = F.get(pairs, F.lit(0))["o"], F.get(pairs, F.lit(0))["n"]
-    one_letter = (F.levenshtein(a, b) == 1) & (F.length(a) != F.length(b))
-    shared = F.size(F.filter(F.sequence(F.lit(1), F.least(F.length(a), F.length(b))), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
-    related = a.rlike("^[A-Za-z]{7,}$") & b.rlike("^[A-Za-z]{7,}$") & (shared >= 6) & ((shared >= 0.7 * F.greatest(F.length(a), F.length(b))) | one_letter)
     plain = ~F.concat(original, native).rlike(r"[$\\^_=<>]")
-    word = (F.size(old) >= 12) & (F.size(old) == F.size(new)) & (F.size(pairs) == 1) & related & plain
+
+    def related(p: Column) -> Column:
+        a, b = p["o"], p["n"]
+        one_letter = (F.levenshtein(a, b) == 1) & (F.length(a) != F.length(b))
+        shared = F.size(F.filter(F.sequence(F.lit(1), F.least(F.length(a), F.length(b))), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
+        return a.rlike("^[A-Za-z]{7,}$") & b.rlike("^[A-Za-z]{7,}$") & (shared >= 6) & ((shared >= 0.7 * F.greatest(F.length(a), F.length(b))) | one_letter)
+
+    def how(s: Column) -> Column:
+        old, new = s["old"], s["new"]
+        kept = F.aggregate(new, F.lit(0), lambda n, t: n + F.when(F.get(old, n) == t, 1).otherwise(0))
+        insertion = (F.size(old) > 0) & (F.size(new) > F.size(old)) & (kept == F.size(old))
+        pairs = F.filter(F.arrays_zip(old.alias("o"), new.alias("n")), lambda p: p["o"] != p["n"])
+        found = F.transform(F.when((F.size(old) >= 12) & (F.size(old) == F.size(new)), F.array(pairs)), lambda p: (F.size(p) == 1) & F.forall(p, related))
+        return F.when(insertion, "insertion").when(F.coalesce(F.get(found, F.lit(0)), F.lit(False)) & plain, "word")
+
+    # the words of both are taken apart once; equal texts need no repair
     short = (F.length(original) <= 8192) & (F.length(native) <= 8192)
-    return F.when(short & insertion, "insertion").when(short & word, "word")
+    return F.when(short & (original != native), F.get(F.transform(F.array(F.struct(old.alias("old"), new.alias("new"))), how), F.lit(0)))
 
 
 @query(
