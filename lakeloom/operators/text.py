@@ -77,7 +77,7 @@ def phrase_terms(t):
     Words stand side by side in one sentence (anything but letters, hyphens and
     blanks ends it) and none is a stop word; the 48 most frequent are the report.
     """
-    return t("documents").select("doc_id", "text").mapInPandas(lambda it: X.phrases(it, STOP, MOST_TERMS), "doc_id long, term string, n long")
+    return X.in_slices(t("documents").select("doc_id", "text"), lambda it: X.phrases(it, STOP, MOST_TERMS), "doc_id long, term string, n long")
 
 
 @query(
@@ -174,7 +174,7 @@ def salvaged_json(t):
 
 @query("page_blocks", "SRC-06", "SRC-09", "LAY-08", "LAY-11")
 def page_blocks(t):
-    return t("pages").mapInPandas(X.html_blocks, "page_id long, ord int, kind string, level int, text string")
+    return X.in_slices(t("pages").select("page_id", "html"), X.html_blocks, "page_id long, ord int, kind string, level int, text string")
 
 
 @query("markdown_blocks", "SRC-10", "STR-32")
