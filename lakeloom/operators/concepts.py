@@ -10,6 +10,8 @@ whole document.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,11 +117,16 @@ def concepts(blocks: DataFrame, most: int = MOST) -> DataFrame:
     return _occurring(ranked, blocks).select("doc", "source", "scope", "method", "score", "aliases", "evidence", "occurrences")
 
 
+def _plain(text: Column) -> Column:
+    return F.translate(text, ascii_uppercase, ascii_lowercase)
+
+
 def _occurring(ranked: DataFrame, blocks: DataFrame) -> DataFrame:
     form = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])\Q"), F.col("form"), F.lit(r"\E(?![A-Za-z0-9])"))
     own = ranked.select("doc", "rank", "scope", F.explode(F.concat(F.array("source"), "aliases")).alias("form")).alias("c")
     there = own.join(blocks.alias("b"), (F.col("c.doc") == F.col("b.doc")) & (F.col("c.scope").isNull() | F.col("c.scope").eqNullSafe(F.col("b.scope"))))
-    there = there.filter(F.rlike(F.col("b.text"), form)).groupBy("c.doc", "rank").agg(F.count_distinct("block").alias("occurrences"))
+    # a pattern of its own for each pair is dear, so first whether the text has the letters at all (of any case, as the pattern: A to Z)
+    there = there.filter(F.contains(_plain(F.col("b.text")), _plain(F.col("form")))).filter(F.rlike(F.col("b.text"), form)).groupBy("c.doc", "rank").agg(F.count_distinct("block").alias("occurrences"))
     return ranked.join(there, ["doc", "rank"], "left").withColumn("occurrences", F.coalesce("occurrences", F.lit(0)))
 
 
