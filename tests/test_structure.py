@@ -5,12 +5,16 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from lakeloom import plans
 from lakeloom.operators import bibliography as B
 from lakeloom.operators import concepts as C
 from lakeloom.operators import evidence as E
 from lakeloom.operators import order as O
 from lakeloom.operators import tables as T
 
+QUERIES = plans.load()
 BLOCK = "page long, id long, ord long, kind string, text string, x0 double, y0 double, x1 double, y1 double"
 REGION = "page long, id long, text string, x0 double, y0 double, x1 double, y1 double"
 
@@ -234,3 +238,39 @@ def test_tables_are_read_many_a_call(spark):
     slots = T.otsl_tables(spark.createDataFrame([(1, "<fcel>a<lcel><nl>"), (2, None), (3, "<fcel>a<xcel>")], "id long, otsl string"))
     assert "PythonUDTF" not in slots._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in slots.drop("otsl").collect()] == [(1, 0, 0, 1, 2, False, "a")]
+
+
+def test_grid_cover_without_a_join(spark):
+    """Grids of two sizes of tasks; the tables were joined with their own cells, and slots compared as texts."""
+    cells = spark.createDataFrame([(1, 0, 0, 2, 1), (1, 0, 1, 1, 1), (1, 1, 1, 1, 1), (2, 0, 0, 1, 2), (2, 0, 1, 1, 1), (3, 0, 0, 1, 1), (3, 1, 1, 1, 1), (4, 2, 0, 1, 1)], "table_id long, r0 long, c0 long, rs long, cs long")
+    for task_rows in (1, 1000):
+        out = T.covered(cells, task_rows)
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, out.collect())) == [(1, True), (2, False), (3, False), (4, False)]
+
+
+def test_occurrences_of_any_case(spark):
+    ranked = spark.createDataFrame([(1, 1, None, "Σas K.", ["ab"])], "doc long, rank int, scope long, source string, aliases array<string>")
+    blocks = spark.createDataFrame([(1, 1, None, "of ΣAS k."), (1, 2, None, "σas K."), (1, 3, None, "AB"), (1, 4, None, "cab"), (1, 5, None, None)], "doc long, block long, scope long, text string")
+    out = C._occurring(ranked, blocks)
+    assert "translate(" in out._jdf.queryExecution().executedPlan().toString()
+    assert [r["occurrences"] for r in out.collect()] == [2]
+
+
+def test_words_are_taken_apart_once(spark):
+    rows = spark.createDataFrame([("a b", "a b"), ("a b", "a c b"), ("a b c d e f g h i j k network", "a b c d e f g h i j k networks"), ("a b c d e f g h i j k network", "a b c d e f g h i j l networks"), (None, "a")], "o string, n string").withColumn("r", E.repair(F.col("o"), F.col("n")))
+    assert str(rows._jdf.queryExecution().executedPlan()).count("split(o") <= 1
+    assert [r["r"] for r in rows.collect()] == [None, "insertion", "word", None, None]
+
+
+def test_kernels_take_few_rows_at_a_time(spark):
+    from lakeloom.functions import text as X
+
+    def sizes(frames):
+        for f in frames:
+            yield f.assign(n=len(f))
+
+    out = X.in_slices(spark.range(1000).repartition(1), sizes, "id long, n long", rows=64).collect()
+    assert sorted(r["id"] for r in out) == list(range(1000)) and max(r["n"] for r in out) == 64
+    for name in ("phrase_terms", "page_blocks"):
+        assert "MapInArrow" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
