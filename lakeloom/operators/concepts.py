@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..plans.derived import frame
 from ..plans.registry import Tables, query
+from ..sources.staging import staged
 
 MOST = 48
 # fixed values: words that no term is, and the patterns of defining sentences and abbreviations
@@ -101,10 +102,10 @@ def concepts(blocks: DataFrame, most: int = MOST) -> DataFrame:
     Columns: doc, source, scope (null: the whole document), method, score,
     aliases, evidence, occurrences (blocks of its scope that have one of its forms).
     """
-    named = _merged(_named(blocks))
+    named = staged(_merged(_named(blocks)), "named")  # read four times
     repeated = _repeated(blocks).join(named.select("doc", "key"), ["doc", "key"], "left_anti")
     order = Window.partitionBy("doc").orderBy(F.col("score").desc(), "key", F.coalesce(F.col("scope").cast("string"), F.lit("")), "evidence")
-    ranked = named.union(repeated.select(named.columns)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    ranked = staged(named.union(repeated.select(named.columns)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most), "ranked")  # read three times
     # how often a form stands for something, among all that are defined or abbreviated
     form = named.select("doc", "key", F.explode(F.array_distinct(F.concat(F.array("source"), "aliases"))).alias("form"))
     forms = form.groupBy("doc", F.lower("form").alias("form")).agg(F.count("*").alias("n"))
