@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.derived import frame, oracle
 from ..plans.registry import Tables, query
+from ..sources.staging import staged
 from .spatial import coverage_text, mapped
 
 # fixed values: least length of a duplicate, least size of its evidence, and the shares that prove and disprove a place
@@ -34,11 +35,14 @@ def misplaced(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     size = _size(F.col("a.text"))
     held = mapped(lines, group).groupBy(F.col("b.page").alias("page"), F.col("b.id").alias("id"), F.col("b.same").alias("same"))
     held = held.agg(F.sum(size).alias("size"), (F.sum(F.when(said, size).otherwise(0)) / F.sum(size)).alias("support")).filter(F.col("size") >= LEAST_PROOF)
+    held = staged(held, "held")  # read twice
     proven = held.filter(F.col("support") >= PROVEN).groupBy("page", "same").agg(F.count("*").alias("n"), F.min("id").alias("retained")).filter("n = 1").drop("n")
-    wrong = held.filter(F.col("support") <= DISPROVEN).join(proven, ["page", "same"]).select("page", "id", "retained")
-    # every line in the box has to stand in a third block
+    wrong = staged(held.filter(F.col("support") <= DISPROVEN).join(proven, ["page", "same"]).select("page", "id", "retained"), "wrong")
+    # every line in the box has to stand in a third block; only these lines look for one
     there = mapped(lines, group.join(wrong.select("page", "id"), ["page", "id"], "left_semi")).select(F.col("b.page").alias("page"), F.col("b.id").alias("id"), F.col("a.id").alias("line"))
-    fits = mapped(lines, blocks).filter(F.col("b.kind").isin(*GRAPHIC) | F.contains(coverage_text(F.coalesce("b.text", F.lit(""))), coverage_text(F.col("a.text"))))
+    there = staged(there, "there")
+    asked = lines.join(there.select("page", F.col("line").alias("id")).distinct(), ["page", "id"], "left_semi")
+    fits = mapped(asked, blocks).filter(F.col("b.kind").isin(*GRAPHIC) | F.contains(coverage_text(F.coalesce("b.text", F.lit(""))), coverage_text(F.col("a.text"))))
     fits = fits.select(F.col("b.page").alias("page"), F.col("a.id").alias("line"), F.col("b.id").alias("other"))
     third = there.join(wrong, ["page", "id"]).join(fits, ["page", "line"], "left")
     third = third.groupBy("page", "id", "retained", "line").agg(F.max(F.coalesce((F.col("other") != F.col("id")) & (F.col("other") != F.col("retained")), F.lit(False))).alias("stands"))

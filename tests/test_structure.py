@@ -274,3 +274,14 @@ def test_kernels_take_few_rows_at_a_time(spark):
     assert sorted(r["id"] for r in out) == list(range(1000)) and max(r["n"] for r in out) == 64
     for name in ("phrase_terms", "page_blocks"):
         assert "MapInArrow" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_lines_of_wrong_places_look_for_blocks(spark, monkeypatch):
+    """All lines of all pages looked for a third block."""
+    asked, mapped = [], E.mapped
+    monkeypatch.setattr(E, "mapped", lambda regions, blocks: (asked.append(regions.count()), mapped(regions, blocks))[1])
+    told, other = "some words of a paragraph that are told twice " * 3, "what really stands in the other place of the page"
+    lines = [(1, 1, told, 0.0, 0.0, 100.0, 10.0), (1, 2, other, 0.0, 50.0, 100.0, 60.0), *((2, i, f"line {i}", 0.0, 20.0 * i, 100.0, 20.0 * i + 10) for i in range(30))]
+    blocks = [(1, 1, 1, "paragraph", told, 0.0, 0.0, 100.0, 10.0), (1, 2, 2, "paragraph", told, 0.0, 50.0, 100.0, 60.0), (1, 3, 3, "paragraph", other, 0.0, 50.0, 100.0, 61.0)]
+    out = E.misplaced(spark.createDataFrame(blocks, BLOCK), spark.createDataFrame(lines, REGION)).collect()
+    assert [tuple(r) for r in out] == [(1, 2, 1)] and asked[-1] == 1
