@@ -8,7 +8,7 @@ entry; one with two or none leaves the whole label open.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.derived import frame, oracle
@@ -21,6 +21,8 @@ NUMBERED = r"\[\s*\d+[a-z]?(?:\s*[,;–—-]\s*\d+[a-z]?)*\s*\]"
 DATED = r"\([^()\[\]]*?\b(?:19|20)\d{2}[a-z]?(?:\s*;[^()\[\]]*)?\)"
 RANGE = r"^(\d{1,9})\s*[-–—]\s*(\d{1,9})$"
 AUTHORS = r",\s*(?:and\s+|&\s*)?|\s+(?:and|&)\s+"
+#: entries that a document's labels meet as one array; those of larger documents are joined part by part
+WHOLE = 64
 INITIALS, NAME = r"^(?:[A-Z]\.?(?:\s+|$))+$", r"^\p{Lu}[\p{L}'’-]*$"
 # fixed values: typographic forms of brackets, separators and digits that say the same
 _FORMS = ("［【］】，、；–—−０１２３４５６７８９", "[[]],,;---0123456789")
@@ -55,11 +57,13 @@ def index(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     number = F.coalesce(F.nullif(F.regexp_extract("text", NUMBER, 1), F.lit("")), F.nullif(F.regexp_extract("text", NUMBER, 2), F.lit("")))
     rows = entries.select("doc", "id", number.alias("part"), F.regexp_replace("text", NUMBER, "").alias("rest"))
     numbered = rows.filter("part IS NOT NULL").groupBy("doc", "part").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    years = F.array_distinct(F.regexp_extract_all("rest", F.lit(YEAR), 0))
-    dated = rows.withColumn("years", years).filter(F.size("years") == 1).withColumn("year", F.get("years", F.lit(0)))
+    # what a generator gives is made once, filters and later columns do not repeat its expressions
+    dated = rows.select("doc", "id", "rest", F.explode(F.array(F.array_distinct(F.regexp_extract_all("rest", F.lit(YEAR), 0)))).alias("years"))
+    dated = dated.filter(F.size("years") == 1).select("doc", "id", "rest", F.get("years", F.lit(0)).alias("year"))
     before = F.regexp_replace(F.expr("substring_index(rest, year, 1)"), r"^[ .(]+|[ .(]+$", "")
     after = F.expr("ltrim(substring(rest, locate(year, rest) + length(year)))")
-    dated = dated.filter((after == "") | F.substring(after, 1, 1).isin(*".,;:)")).withColumn("names", surnames(before))
+    dated = dated.filter((after == "") | F.substring(after, 1, 1).isin(*".,;:)")).select("doc", "id", "year", F.explode(F.array(before)).alias("before"))
+    dated = dated.select("doc", "id", "year", F.explode(F.array(surnames(F.col("before")))).alias("names"))
     dated = dated.filter(F.size("names") > 0).select("doc", F.get("names", F.lit(0)).alias("name"), "year", "id", "names")
     return numbered, dated
 
@@ -76,42 +80,84 @@ def _verdict(parts: DataFrame) -> DataFrame:
     return rows.select("doc", "mention", "nth", "label", state.alias("state"), targets.alias("targets"))
 
 
+def _settled(rows: DataFrame, found: Column) -> DataFrame:
+    """``_verdict`` where a label has all its parts: an array of ``(n, id)``, null for no part."""
+    rows = rows.select("doc", "mention", "nth", "label", F.explode(F.array(found)).alias("found"))
+    state = F.when(F.exists("found", lambda f: f.isNull()), "invalid").when(F.exists("found", lambda f: f["n"] == 0), "dangling").when(F.exists("found", lambda f: f["n"] > 1), "ambiguous").otherwise("resolved")
+    targets = F.when(state == "resolved", F.array_distinct(F.transform("found", lambda f: f["id"]))).otherwise(F.array().cast("array<bigint>"))
+    return rows.select("doc", "mention", "nth", "label", state.alias("state"), targets.alias("targets"))
+
+
+def _by_size(labels: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels with ``size``, how many keys their document has: those with all of them in ``held`` (null: none), those of larger documents."""
+    # a structure is never null: both parts read one shuffle of the labels
+    labels = labels.withColumn("of", F.struct("doc")).repartition("of").distinct()
+    rest = [c for c in keys.columns if c != "doc"]
+    sized = keys.filter("doc IS NOT NULL").select(F.struct("doc").alias("of"), *rest).withColumn("size", F.count("*").over(Window.partitionBy("of")))
+    sized = sized.groupBy("of").agg(F.max("size").alias("size"), F.collect_list(F.when(F.col("size") <= WHOLE, F.struct(*rest))).alias("held"))
+    few = labels.join(sized, "of", "left").filter(F.col("size").isNull() | (F.col("size") <= WHOLE)).withColumn("size", F.coalesce("size", F.lit(0)))
+    return few, labels.join(sized.filter(F.col("size") > WHOLE).drop("held"), "of")
+
+
 def numbered_citations(mentions: DataFrame, entries: DataFrame) -> DataFrame:
     """``(doc, mention, nth, label, state, targets)`` of every numeric citation."""
     numbered, _ = index(entries)
-    size = numbered.groupBy("doc").agg(F.count("*").alias("size"))
-    rows = _labels(mentions, NUMBERED).join(size, "doc", "left").withColumn("size", F.coalesce("size", F.lit(0)))
-    inner = F.expr("substring(label, 2, length(label) - 2)")
-    rows = rows.select("doc", "mention", "nth", "label", "size", F.posexplode(F.split(inner, "[,;]")).alias("place", "part")).withColumn("part", F.trim("part"))
-    low, high = (F.nullif(F.regexp_extract("part", RANGE, k), F.lit("")).cast("long") for k in (1, 2))
-    rows = rows.withColumns({"low": low, "high": high})
-    sound = (F.col("low") <= F.col("high")) & (F.col("high") - F.col("low") < F.col("size"))
-    written = F.when(sound, F.transform(F.sequence("low", F.greatest("low", F.least("high", F.col("low") + F.col("size")))), lambda n: n.cast("string")))
-    single = F.col("low").isNull() & F.col("part").rlike(r"^\d+[a-z]?$")
-    numbers = F.when(single, F.array("part")).when(F.col("low").isNotNull(), written)
-    rows = rows.select("doc", "mention", "nth", "label", "place", F.posexplode_outer(numbers).alias("k", "part"))
-    found = rows.join(numbered, ["doc", "part"], "left")
-    at = F.struct("place", "k")
-    return _verdict(found.select("doc", "mention", "nth", "label", at.alias("at"), F.when(F.col("part").isNotNull(), F.coalesce("n", F.lit(0))).alias("found"), "id"))
+    few, many = _by_size(_labels(mentions, NUMBERED), numbered)
+
+    def read(part: Column) -> Column:
+        low, high = (F.nullif(F.regexp_extract(part, RANGE, k), F.lit("")).cast("long").alias(name) for k, name in ((1, "low"), (2, "high")))
+        return F.struct(part.alias("part"), low, high)
+
+    def written(p: Column) -> Column:
+        low, high = p["low"], p["high"]
+        sound = (low <= high) & (high - low < F.col("size"))
+        numbers = F.transform(F.sequence(low, F.greatest(low, F.least(high, low + F.col("size")))), lambda n: n.cast("string"))
+        return F.when(p["part"].rlike(r"^\d+[a-z]?$"), F.array(p["part"])).when(sound, numbers).otherwise(F.array(F.lit(None).cast("string")))
+
+    pieces = F.split(F.expr("substring(label, 2, length(label) - 2)"), "[,;]")
+    parts = F.flatten(F.transform(F.transform(pieces, lambda p: read(F.trim(p))), written))
+    few = few.withColumn("known", F.map_from_entries(F.transform("held", lambda h: F.struct(h["part"], h))))
+
+    def entry(part: Column) -> Column:
+        hit = F.try_element_at("known", part)
+        return F.when(part.isNotNull(), F.struct(F.coalesce(hit["n"], F.lit(0)).alias("n"), hit["id"].alias("id")))
+
+    found = many.select("doc", "mention", "nth", "label", F.posexplode(parts).alias("at", "part")).join(numbered, ["doc", "part"], "left")
+    found = found.select("doc", "mention", "nth", "label", "at", F.when(F.col("part").isNotNull(), F.coalesce("n", F.lit(0))).alias("found"), "id")
+    return _settled(few, F.transform(parts, entry)).union(_verdict(found))
 
 
 def dated_citations(mentions: DataFrame, entries: DataFrame) -> DataFrame:
     """The same of every author-year citation; a part without names has those before it."""
     _, dated = index(entries)
-    rows = _labels(mentions, DATED)
+    few, many = _by_size(_labels(mentions, DATED), dated)
     parts = F.split(F.regexp_replace("label", r"^[()]+|[()]+$", ""), ";")
     pieces = F.transform(parts, lambda p: F.struct(F.regexp_extract_all(p, F.lit(YEAR), 0).alias("years"), F.regexp_replace(F.regexp_replace(p, rf"(?s){YEAR}.*$", ""), r"^[ ,(]+|[ ,(]+$", "").alias("names")))
-    rows = rows.withColumn("pieces", pieces)
-    carried = F.transform("pieces", lambda p, i: F.struct(p["years"].alias("years"), F.try_element_at(F.filter(F.slice("pieces", F.lit(1), i + 1), lambda q: q["names"] != ""), F.lit(-1))["names"].alias("names")))
-    rows = rows.select("doc", "mention", "nth", "label", F.posexplode(carried).alias("place", "p"))
-    names = F.split(F.lower(F.regexp_replace("p.names", r"\s+et al\.$", "")), r"\s*(?:&|\band\b)\s*")
-    sound = (F.size("p.years") == 1) & F.col("p.names").isNotNull()
-    rows = rows.select("doc", "mention", "nth", "label", "place", sound.alias("sound"), F.when(sound, names).alias("others"), F.when(sound, F.get("p.years", F.lit(0))).alias("year")).withColumn("name", F.get("others", F.lit(0)))
+
+    def key(p: Column) -> Column:
+        names = F.split(F.lower(F.regexp_replace(p["names"], r"\s+et al\.$", "")), r"\s*(?:&|\band\b)\s*")
+        return F.when((F.size(p["years"]) == 1) & p["names"].isNotNull(), F.struct(names.alias("others"), F.get(p["years"], F.lit(0)).alias("year")))
+
+    def taken(rows: DataFrame) -> DataFrame:
+        carried = F.transform("pieces", lambda p, i: F.struct(p["years"].alias("years"), F.try_element_at(F.filter(F.slice("pieces", F.lit(1), i + 1), lambda q: q["names"] != ""), F.lit(-1))["names"].alias("names")))
+        rows = rows.select("*", F.explode(F.array(pieces)).alias("pieces"))
+        return rows.select(*(c for c in rows.columns if c != "pieces"), F.explode(F.array(F.transform(carried, key))).alias("keys"))
+
+    def fits(others: Column, names: Column) -> Column:
+        return F.forall(F.slice(others, F.lit(2), F.greatest(F.size(others), F.lit(1))), lambda n: F.array_contains(names, n))
+
+    def entry(k: Column) -> Column:
+        hits = F.filter("held", lambda h: (h["name"] == F.get(k["others"], F.lit(0))) & (h["year"] == k["year"]) & fits(k["others"], h["names"]))
+        found = F.aggregate(hits, F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("id")), lambda a, h: F.struct((a["n"] + 1).alias("n"), F.least(a["id"], h["id"]).alias("id")))
+        return F.when(k.isNotNull(), F.coalesce(found, F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("id"))))
+
+    rows = taken(many).select("doc", "mention", "nth", "label", F.posexplode("keys").alias("at", "k"))
+    rows = rows.select("doc", "mention", "nth", "label", "at", F.col("k").isNotNull().alias("sound"), "k.others", "k.year", F.get("k.others", F.lit(0)).alias("name"))
     found = rows.join(dated, ["doc", "name", "year"], "left")
-    fits = F.col("id").isNotNull() & F.forall(F.slice("others", F.lit(2), F.greatest(F.size("others"), F.lit(1))), lambda n: F.array_contains("names", n))
-    found = found.groupBy("doc", "mention", "nth", "label", "place", "sound").agg(F.count_if(fits).alias("n"), F.min(F.when(fits, F.col("id"))).alias("id"))
-    at = F.struct("place", F.lit(0).alias("k"))
-    return _verdict(found.select("doc", "mention", "nth", "label", at.alias("at"), F.when(F.col("sound"), F.col("n")).alias("found"), "id"))
+    fit = F.col("id").isNotNull() & fits(F.col("others"), F.col("names"))
+    found = found.groupBy("doc", "mention", "nth", "label", "at", "sound").agg(F.count_if(fit).alias("n"), F.min(F.when(fit, F.col("id"))).alias("id"))
+    found = found.select("doc", "mention", "nth", "label", "at", F.when(F.col("sound"), F.col("n")).alias("found"), "id")
+    return _settled(taken(few), F.transform("keys", entry)).union(_verdict(found))
 
 
 # -- queries ----------------------------------------------------------------------------------

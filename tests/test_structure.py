@@ -153,6 +153,21 @@ def test_citations(spark):
     }
 
 
+def test_citations_of_large_and_small_bibliographies(spark, monkeypatch):
+    entries = spark.createDataFrame([(d, 100 * d + i, f"[{i}] N{'abc'[i % 3]}, J., Smith, A. ({2000 + i % 4}). T") for d, n in ((1, 5), (2, 30)) for i in range(1, n)], "doc long, id long, text string")
+    mentions = spark.createDataFrame([(d, d * 10, f"[1, 3–{k}], [2; {k}], [{k}-1] (Nb, 2001; {2000 + k % 5}) (Na & Smith, 2003)") for d in (1, 2, 3) for k in (3, 4, 29) for _ in "twice"], "doc long, id long, text string")
+    for operator in (B.numbered_citations, B.dated_citations):
+        got = []
+        for limit in (0, 10, 64):
+            monkeypatch.setattr(B, "WHOLE", limit)
+            got.append(sorted(map(str, operator(mentions, entries).collect())))
+        assert got[0] and got[0] == got[1] == got[2] and len(got[0]) == len(set(got[0]))
+    # a document's keys come to its labels: parts of labels are not shuffled
+    monkeypatch.undo()
+    plan = B.numbered_citations(mentions, entries)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "map_from_entries" in plan
+
+
 def test_signatures(spark):
     from pyspark.sql import functions as F
 
