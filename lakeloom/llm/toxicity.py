@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_parts, lean, record_batch, slices, text_bytes
+from .common import binary_parts, given_back, lean, record_batch, slices, text_bytes
 from .labelled import TRAIN_BYTES, held_out, training_texts
 
 BITS = 21
@@ -36,6 +36,8 @@ PER_CLASS = {0: 3000, 1: 1500}
 #: a gram is a feature if its likelihood-ratio statistic between the classes reaches this
 LEAST_EVIDENCE = 15.0
 BATCH_BYTES = 2 << 20
+#: hashes that are weighed at a time
+HASHES = 1 << 17
 
 SCORES = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -123,14 +125,18 @@ def train(pairs: list[tuple[bytes, int]], steps: int = 200, l2: float = 1e-3) ->
     if len(set(y.tolist())) < 2:
         share = min((y.sum() + 0.5) / (len(y) + 1), THRESHOLD - 0.01)
         return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    pos, neg = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    pos, neg = np.zeros(size, np.int32), np.zeros(size, np.int32)
     for part in _parts(pairs):
         doc, h = present(*_buffer([pairs[i][0] for i in part]))
         one = y[part][doc] == 1
-        pos += np.bincount(h[one], minlength=size)
-        neg += np.bincount(h[~one], minlength=size)
-    ratio = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
-    use = _evidence(pos, neg, y.sum(), (1 - y).sum()) >= LEAST_EVIDENCE
+        np.add.at(pos, h[one], 1)
+        np.add.at(neg, h[~one], 1)
+    use = np.zeros(size, bool)
+    for at in range(0, size, HASHES):  # the driver holds few numbers of all hashes at a time
+        some = slice(at, at + HASHES)
+        use[some] = _evidence(pos[some], neg[some], y.sum(), (1 - y).sum()) >= LEAST_EVIDENCE
+    scale = np.log((pos[use] + 0.5) / (y.sum() + 1)) - np.log((neg[use] + 0.5) / ((1 - y).sum() + 1))
+    del pos, neg
     number = (np.cumsum(use) - 1).astype(np.int32)  # hash to position among the features
     docs, feats = [], []
     for part in _parts(pairs):
@@ -138,16 +144,18 @@ def train(pairs: list[tuple[bytes, int]], steps: int = 200, l2: float = 1e-3) ->
         docs.append((doc + part[0]).astype(np.int32))
         feats.append(number[h])
     doc, feat = np.concatenate(docs), np.concatenate(feats)
-    scale = ratio[use]
-    value, size = scale[feat], len(scale)
+    del docs, feats, number
+    size = len(scale)
     # classes weigh alike, so the threshold does not hang on the sample's make-up
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     w, bias = np.zeros(size), 0.0
     m1, m2, b1, b2 = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):  # Adam on the full batch
-        z = bias + np.bincount(doc, weights=w[feat] * value, minlength=len(y))
+        z = bias + np.bincount(doc, weights=(w * scale)[feat], minlength=len(y))
         err = weight * (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y)
-        g = np.bincount(feat, weights=err[doc] * value, minlength=size) + l2 * w
+        pull = err[doc]
+        pull *= scale[feat]
+        g = np.bincount(feat, weights=pull, minlength=size) + l2 * w
         gb = err.sum()
         m1, m2, b1, b2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g, 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb * gb
         rate = 0.05 * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
@@ -179,7 +187,8 @@ def _evidence(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) -> n
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None, max_bytes: int = TRAIN_BYTES) -> Model:
-    return train(training_texts(docs, labels, "toxic", per_class or PER_CLASS, max_bytes))
+    with given_back():
+        return train(training_texts(docs, labels, "toxic", per_class or PER_CLASS, max_bytes))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:

@@ -112,3 +112,19 @@ def test_a_huge_training_text_shuts_out_no_other(spark):
     some = training_texts(docs, labels, "toxic", {0: 100, 1: 100}, 2 * 2000)
     assert {t for t, _ in some} == {b"x" * 40} and len(some) == sum(len(t) == 40 for t, _ in every)
     assert training_texts(docs, labels, "toxic", {0: 100, 1: 100}, 2) == []
+
+
+def test_training_holds_few_numbers_of_all_hashes():
+    import random
+    import tracemalloc
+
+    from lakeloom.llm import toxicity
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(200)]
+    pairs = [((" ".join(rng.choices(words, k=60)) + (" vile" if i % 3 == 0 else "")).encode(), int(i % 3 == 0)) for i in range(300)]
+    tracemalloc.start()
+    model = toxicity.train(pairs)
+    peak = tracemalloc.get_traced_memory()[1] >> 20
+    tracemalloc.stop()
+    assert peak < 100 and (model.scores(*toxicity._buffer([t for t, _ in pairs])) >= 0.7).tolist() == [y == 1 for _, y in pairs], peak
