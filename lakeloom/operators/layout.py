@@ -2,8 +2,34 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..plans.derived import derived
 
+SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
+
+
+def footnotes(notes: DataFrame, marked: DataFrame) -> DataFrame:
+    """``(page, note, marker, mark)``: a page's one note of a number and the one line that ends with it in superscript.
+
+    A mark stands at a line's end and a number at its beginning, so lines are looked at there only;
+    a pattern would be tried at every character.
+    """
+    number = F.regexp_extract(F.substring(F.ltrim("text"), 1, 4), "^([0-9][0-9]?[0-9]?)[. ]", 1)
+    noted = notes.select("page", "id", number.alias("digits"))
+    before = F.rtrim("text", F.lit(SUPERSCRIPTS))
+    ended = marked.filter(F.substring("text", -1, 1).isin(*SUPERSCRIPTS)).select("page", "id", "text", before.alias("before"))
+    digits = F.translate(F.expr("substring(text, length(before) + 1)"), SUPERSCRIPTS, "0123456789")
+    ended = ended.filter("before <> ''").select("page", "id", digits.alias("digits"))
+
+    def only(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.filter("digits <> ''").select("page", "id", F.col("digits").try_cast("long").alias("mark")).filter("mark IS NOT NULL")
+        return rows.groupBy("page", "mark").agg(F.min("id").alias(name), F.count("*").alias("n")).filter("n = 1").drop("n")
+
+    return only(noted, "note").join(only(ended, "marker"), ["page", "mark"]).select("page", "note", "marker", "mark")
+
+
 derived(
     "reading_order", "SRT-10", "LAY-13",
     sql="""SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY band, col, y0, x0, id) AS pos FROM (SELECT page, id, x0, y0, col, sum(CASE WHEN col = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y0, col, id ROWS UNBOUNDED PRECEDING) AS band
@@ -34,6 +60,7 @@ derived(
     "footnote_index", "JOIN-21",
     sql="""SELECT n.page, n.id AS note, m.id AS marker, n.mark FROM (SELECT page, min(id) AS id, mark FROM (SELECT page, id, TRY_CAST(nullif(regexp_extract(text, '^ *([0-9][0-9]?[0-9]?)[. ]', 1), '') AS BIGINT) AS mark FROM {notes}) a WHERE mark IS NOT NULL GROUP BY page, mark HAVING count(*) = 1) n
 JOIN (SELECT page, min(id) AS id, mark FROM (SELECT page, id, TRY_CAST(translate(nullif(regexp_extract(text, '[^⁰¹²³⁴⁵⁶⁷⁸⁹]([⁰¹²³⁴⁵⁶⁷⁸⁹]+)$', 1), ''), '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789') AS BIGINT) AS mark FROM {marked}) b WHERE mark IS NOT NULL GROUP BY page, mark HAVING count(*) = 1) m ON m.page = n.page AND m.mark = n.mark""",
+    build=footnotes,
 )
 derived(
     "glossary_override", "JOIN-16", "SET-05",

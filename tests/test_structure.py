@@ -216,6 +216,31 @@ def test_list_runs_and_footnotes(spark):
     assert [tuple(r) for r in run(spark, OPERATORS["footnote_index"], notes=notes, marked=marked).collect()] == [(1, 10, 1, 1)]
 
 
+def test_footnote_marks_are_read_at_ends_only(spark):
+    """The pattern that was tried at every character took most of the query's time; its $ also passed over a line break."""
+    import duckdb
+
+    from lakeloom.operators.layout import footnotes
+    from lakeloom.plans.derived import OPERATORS
+
+    texts = ["1 a", "  2. b", "2 c", "123 d", "1234 e", "12x f", "", " ", "7.", "8", "\t9 g", "03 h", "a¹", "b²²", "c³\r", "d⁴\n", "⁵", "e⁵ ", "f⁶\u2028", "g¹²³", "h" + "⁰" * 30 + "⁷", "i" + "⁹" * 30, "j⁷k⁸", "ü𝄞³", "¹x²", None]
+    rows = [(p, i, t) for p in (1, 2) for i, t in enumerate(texts) if (i + p) % 3]
+    both = spark.createDataFrame(rows, "page long, id long, text string")
+    base = duckdb.connect()
+    base.execute("CREATE TABLE lines (page BIGINT, id BIGINT, text VARCHAR)")
+    base.executemany("INSERT INTO lines VALUES (?, ?, ?)", rows)
+    want = base.execute(OPERATORS["footnote_index"].replace("{notes}", "lines").replace("{marked}", "lines")).fetchall()
+    out = footnotes(both, both)
+    assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) > 2
+    assert "[^⁰" not in plans_of(spark, "footnote_index")
+
+
+def plans_of(spark, name, folder="/root/testdata/sf0.001"):
+    from lakeloom import plans
+
+    return plans.load()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dois(spark):
     from pyspark.sql import functions as F
 
