@@ -54,16 +54,20 @@ def repair(original: Column, native: Column) -> Column:
 
     An insertion keeps every token in order.  One word of twelve or more may be
     another if both have seven letters or more, begin with the same six, and share
-    .7 of the longer one or differ by one letter more or less.
+    .7 of the longer one or differ by one letter more or less.  Texts have no limit of length.
     """
     old, new = (F.filter(F.split(c, r"\s+"), lambda t: t != "") for c in (original, native))
     plain = ~F.concat(original, native).rlike(r"[$\\^_=<>]")
 
     def related(p: Column) -> Column:
         a, b = p["o"], p["n"]
-        one_letter = (F.levenshtein(a, b) == 1) & (F.length(a) != F.length(b))
-        shared = F.size(F.filter(F.sequence(F.lit(1), F.least(F.length(a), F.length(b))), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
-        return a.rlike("^[A-Za-z]{7,}$") & b.rlike("^[A-Za-z]{7,}$") & (shared >= 6) & ((shared >= 0.7 * F.greatest(F.length(a), F.length(b))) | one_letter)
+        # the letters that both begin with, by halves, so that words of any length take no square of their letters
+        step = lambda k, bit: k + F.when((k + bit <= F.least(F.length(a), F.length(b))) & (F.substring(a, F.lit(1), k + bit) == F.substring(b, F.lit(1), k + bit)), bit).otherwise(0)
+        shared = F.aggregate(F.array(*(F.lit(1 << n) for n in range(29, -1, -1))), F.lit(0), step)
+        long, short = (F.when((F.length(a) > F.length(b)) == more, a).otherwise(b) for more in (True, False))
+        one_letter = lambda k: (F.length(long) == F.length(short) + 1) & (F.substring(long, k + 2, F.length(long)) == F.substring(short, k + 1, F.length(long)))
+        fits = F.transform(F.array(shared), lambda k: (k >= 6) & ((k >= 0.7 * F.greatest(F.length(a), F.length(b))) | one_letter(k)))
+        return a.rlike("^[A-Za-z]{7,}$") & b.rlike("^[A-Za-z]{7,}$") & F.get(fits, F.lit(0))
 
     def how(s: Column) -> Column:
         old, new = s["old"], s["new"]
@@ -74,8 +78,7 @@ def repair(original: Column, native: Column) -> Column:
         return F.when(insertion, "insertion").when(F.coalesce(F.get(found, F.lit(0)), F.lit(False)) & plain, "word")
 
     # the words of both are taken apart once; equal texts need no repair
-    short = (F.length(original) <= 8192) & (F.length(native) <= 8192)
-    return F.when(short & (original != native), F.get(F.transform(F.array(F.struct(old.alias("old"), new.alias("new"))), how), F.lit(0)))
+    return F.when(original != native, F.get(F.transform(F.array(F.struct(old.alias("old"), new.alias("new"))), how), F.lit(0)))
 
 
 @query(

@@ -190,6 +190,17 @@ def test_repairs(spark):
     assert [r[0] for r in df.select(E.repair(F.col("o"), F.col("n"))).collect()] == [r[2] for r in rows]
 
 
+def test_repairs_of_long_texts(spark):
+    """Texts of more than 8192 characters got no repair; their words may be as long as they are."""
+    tail, word = " of many words" * 3000, "letters" * 60_000
+    rows = [
+        ("one three" + tail, "one two three" + tail, "insertion"), ("one three" + tail, "two one three" + tail[:-1], None), ("learning" + tail, "learnings" + tail, "word"), (word + tail, word[:-9] + "X" + word[-9:] + tail, "word"),
+        ("learning" + word + tail, "learned" + word + tail, None), ("learning" + word + tail, "learnng" + word + tail, None), ("learning" + word + tail, "learnig" + word + tail, "word"), ("learning" + tail, "learners" + tail, None), ("learning" + tail, "learnigs $" + tail[2:], None),
+    ]
+    df = spark.createDataFrame(rows, "o string, n string, want string")
+    assert [r[0] for r in df.select(E.repair(F.col("o"), F.col("n"))).collect()] == [r[2] for r in rows]
+
+
 def test_misplaced_duplicates(spark):
     text = "A paragraph of some eighty characters or more, told twice on one and the same page here."
     other = "Another paragraph of enough letters that stands where the copy of the first was put by mistake."
