@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.derived import frame, oracle
 from ..plans.registry import Tables, query
 from ..sources.staging import staged
-from .spatial import coverage_text, mapped
+from .spatial import SIDES, mapped, says
 
 # fixed values: least length of a duplicate, least size of its evidence, and the shares that prove and disprove a place
 LEAST_TEXT, LEAST_PROOF, PROVEN, DISPROVEN = 80, 40, 0.85, 0.1
@@ -26,27 +26,43 @@ def misplaced(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     text in its box; another has .1 of it at most, and all that its box holds
     stands in other blocks, too.  Anything less clear stays.
     """
-    same = F.regexp_replace(F.trim("text"), r"\s+", " ")
-    long = blocks.filter((F.col("kind") == "paragraph") & (F.length(F.trim("text")) >= LEAST_TEXT)).withColumn("same", F.xxhash64(same))
-    twice = long.groupBy("page", "same").agg(F.count("*").alias("n")).filter("n > 1")
-    group = long.join(twice, ["page", "same"], "left_semi")
-    lines = regions.filter(_size(F.col("text")) > 0)
-    said = F.contains(coverage_text(F.col("b.text")), coverage_text(F.col("a.text")))
-    size = _size(F.col("a.text"))
-    held = mapped(lines, group).groupBy(F.col("b.page").alias("page"), F.col("b.id").alias("id"), F.col("b.same").alias("same"))
-    held = held.agg(F.sum(size).alias("size"), (F.sum(F.when(said, size).otherwise(0)) / F.sum(size)).alias("support")).filter(F.col("size") >= LEAST_PROOF)
+    paragraph = (F.col("kind") == "paragraph") & (F.length(F.trim("text")) >= LEAST_TEXT)
+    same = F.when(paragraph, F.xxhash64(F.regexp_replace(F.trim("text"), r"\s+", " ")))
+    # both tables once, with a key for each row; pairs are made of boxes and hashes, few of them ask for texts
+    key, code = F.monotonically_increasing_id().alias("k"), F.xxhash64("text").alias("code")
+    lines = staged(regions.select(key, "page", "id", *SIDES, "text", code, _size(F.col("text")).alias("size")).filter("size > 0"), "lines")
+    blocks = staged(blocks.select(key, "page", "id", *SIDES, "text", code, "kind", same.alias("same")), "blocks")
+    line, block = ["k", "page", *SIDES, "code", "size"], ["k", "page", "id", *SIDES, "code"]
+    long = blocks.filter("same IS NOT NULL").select(*block, "same")
+    group = long.join(long.groupBy("page", "same").agg(F.count("*").alias("n")).filter("n > 1"), ["page", "same"], "left_semi")
+    equal = (F.col("a.code") == F.col("b.code")).alias("said")
+    pairs = staged(mapped(lines.select(*line), group).select(F.col("a.k").alias("line"), F.col("b.k").alias("block"), "b.page", "b.id", "b.same", "a.size", equal), "pairs")
+    told = pairs.filter("said").unionByName(_compared(pairs.filter("NOT said"), lines, blocks)).groupBy("page", "id", "same")
+    held = told.agg(F.sum("size").alias("whole"), (F.sum(F.when(F.col("said"), F.col("size")).otherwise(0)) / F.sum("size")).alias("support")).filter(F.col("whole") >= LEAST_PROOF)
     held = staged(held, "held")  # read twice
     proven = held.filter(F.col("support") >= PROVEN).groupBy("page", "same").agg(F.count("*").alias("n"), F.min("id").alias("retained")).filter("n = 1").drop("n")
-    wrong = staged(held.filter(F.col("support") <= DISPROVEN).join(proven, ["page", "same"]).select("page", "id", "retained"), "wrong")
+    wrong = held.filter(F.col("support") <= DISPROVEN).join(proven, ["page", "same"]).select("page", "id", "retained")
     # every line in the box has to stand in a third block; only these lines look for one
-    there = mapped(lines, group.join(wrong.select("page", "id"), ["page", "id"], "left_semi")).select(F.col("b.page").alias("page"), F.col("b.id").alias("id"), F.col("a.id").alias("line"))
-    there = staged(there, "there")
-    asked = lines.join(there.select("page", F.col("line").alias("id")).distinct(), ["page", "id"], "left_semi")
-    fits = mapped(asked, blocks).filter(F.col("b.kind").isin(*GRAPHIC) | F.contains(coverage_text(F.coalesce("b.text", F.lit(""))), coverage_text(F.col("a.text"))))
-    fits = fits.select(F.col("b.page").alias("page"), F.col("a.id").alias("line"), F.col("b.id").alias("other"))
-    third = there.join(wrong, ["page", "id"]).join(fits, ["page", "line"], "left")
-    third = third.groupBy("page", "id", "retained", "line").agg(F.max(F.coalesce((F.col("other") != F.col("id")) & (F.col("other") != F.col("retained")), F.lit(False))).alias("stands"))
-    return third.groupBy("page", "id", "retained").agg(F.min("stands").alias("all_stand")).filter("all_stand").drop("all_stand")
+    there = staged(pairs.join(wrong, ["page", "id"]).select("page", "id", "retained", "line"), "there")
+    asked = lines.select(*line).join(there.select(F.col("line").alias("k")).distinct(), "k", "left_semi")
+    said = F.coalesce(equal, F.lit(False)) | F.coalesce(F.col("b.kind").isin(*GRAPHIC), F.lit(False))
+    fits = mapped(asked, blocks.select(*block, "kind")).select(F.col("a.k").alias("line"), F.col("b.k").alias("block"), F.col("b.id").alias("other"), said.alias("said"))
+    fits = staged(there.join(fits, "line").filter((F.col("other") != F.col("id")) & (F.col("other") != F.col("retained"))), "fits")
+    one = ["page", "id", "retained", "line"]
+    sure = fits.filter("said").select(*one).distinct()
+    unsure = fits.filter("NOT said").join(sure, one, "left_anti")
+    stands = sure.union(_compared(unsure, lines, blocks).filter("said").select(*one).distinct()).withColumn("stands", F.lit(True))
+    third = there.distinct().join(stands, one, "left")
+    return third.groupBy("page", "id", "retained").agg(F.min(F.coalesce("stands", F.lit(False))).alias("all_stand")).filter("all_stand").drop("all_stand")
+
+
+def _compared(pairs: DataFrame, lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``pairs`` of rows of both tables, and whether the text of one stands in that of the other."""
+    texts = (rows.select(F.col("k").alias(side), F.col("text").alias(f"{side}_text")) for rows, side in ((lines, "line"), (blocks, "block")))
+    for rows in texts:
+        pairs = pairs.join(rows, rows.columns[0])
+    said = F.coalesce(says(F.col("block_text"), F.col("line_text")), F.lit(False))
+    return pairs.withColumn("said", said).drop("line_text", "block_text")
 
 
 def repair(original: Column, native: Column) -> Column:
@@ -93,7 +109,9 @@ SELECT w.page, w.id, w.retained FROM w WHERE NOT EXISTS (SELECT 1 FROM m l WHERE
 )
 def misplaced_duplicates(t: Tables) -> DataFrame:
     """Paragraphs told twice, once in a place whose lines say something else."""
-    return misplaced(frame(t, "copied"), frame(t, "regions"))
+    # places are halves at the finest, as exact as doubles
+    regions = frame(t, "regions").withColumns({c: F.col(c).cast("double") for c in SIDES})
+    return misplaced(frame(t, "copied", regions=regions), regions)
 
 
 @query("text_repairs", "STR-33")

@@ -336,3 +336,20 @@ def test_only_lines_of_wrong_places_look_for_blocks(spark, monkeypatch):
     blocks = [(1, 1, 1, "paragraph", told, 0.0, 0.0, 100.0, 10.0), (1, 2, 2, "paragraph", told, 0.0, 50.0, 100.0, 60.0), (1, 3, 3, "paragraph", other, 0.0, 50.0, 100.0, 61.0)]
     out = E.misplaced(spark.createDataFrame(blocks, BLOCK), spark.createDataFrame(lines, REGION)).collect()
     assert [tuple(r) for r in out] == [(1, 2, 1)] and asked[-1] == 1
+
+
+def test_boxes_of_duplicates_meet_without_texts(spark, monkeypatch):
+    """Texts moved to every pair of a line and a block, three times; now only pairs of different texts ask for them."""
+    met, compared = [], []
+    mapped, compare = E.mapped, getattr(E, "_compared", None)
+    monkeypatch.setattr(E, "mapped", lambda a, b: (met.append({*a.columns, *b.columns}), mapped(a, b))[1])
+    monkeypatch.setattr(E, "_compared", lambda pairs, *tables: (compared.append(pairs.count()), compare(pairs, *tables))[1], raising=False)
+    told, other = "some words of a first paragraph that are told twice " * 2, "what really stands in the other place of the page"
+    blocks = [(p, *b) for p in (1, 2, 3) for b in [(1, 1, "paragraph", told, 0.0, 0.0, 100.0, 10.0), (2, 2, "paragraph", told, 0.0, 50.0, 100.0, 60.0), (3, 3, "paragraph", other if p != 3 else None, 0.0, 50.0, 100.0, 61.0)]]
+    first = {1: told, 2: told.replace("fi", "ﬁ") + "\u00ad ", 3: told}
+    lines = [(p, *r) for p in (1, 2, 3) for r in [(1, first[p], 0.0, 0.0, 100.0, 10.0), (2, other.replace(" ", "  ") if p == 2 else other, 0.0, 50.0, 100.0, 60.0), (3, " - ", 0.0, 50.0, 100.0, 60.0)]]
+    out = E.misplaced(spark.createDataFrame(blocks, BLOCK), spark.createDataFrame(lines, REGION)).collect()
+    assert sorted(map(tuple, out)) == [(1, 2, 1), (2, 2, 1)]
+    assert len(met) == 2 and not any("text" in columns for columns in met)
+    # the lines in wrong places and the one written otherwise; then the other lines of pages 2 and 3 that no block says as written
+    assert compared == [4, 2]
